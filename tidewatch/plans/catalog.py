@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import traffic
+from . import preparation, traffic
 
 
 def _modules():
-    return [traffic]
+    return [traffic, preparation]
 
 
 def all_queries():
