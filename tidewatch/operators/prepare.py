@@ -313,17 +313,18 @@ class Prep:
         adds ``features`` array<float> (P15) and ``label_idx`` when the label
         is present. ``keep`` columns pass through."""
         data = clean(df, self.label)
-        data = align(data, self.raw_features, None).select(
-            *self.raw_features, *[F.col(c) for c in df.columns
-                                  if c == self.label or c in keep])
+        have = set(data.columns)
+        raw = set(self.raw_features)
+        passthru = [c for c in data.columns
+                    if (c == self.label or c in keep) and c not in raw]
+        data = data.select(*[F.col(c) if c in have else F.lit(0).alias(c)
+                             for c in self.raw_features], *passthru)
         encoded = one_hot(data, self.categories)
-        encoded = align(encoded, self.features, None).select(
-            *self.features, *[c for c in encoded.columns if c not in self.features])
-        scaled = scale(encoded, self.scaler, None, as_float=True)
-        out = scaled.select(
-            F.array(*[F.col(c) for c in self.features]).alias("features"),
-            *[c for c in scaled.columns if c not in self.features],
-        )
+        have = set(encoded.columns)
+        feats = [F.col(c) if c in have else F.lit(0).alias(c) for c in self.features]
+        scaled = scale(encoded.select(*feats, *passthru), self.scaler, None, as_float=True)
+        out = scaled.select(F.array(*[F.col(c) for c in self.features]).alias("features"),
+                            *passthru)
         if self.label in out.columns:
             out = label_index(out, self.classes, self.label)
         return out

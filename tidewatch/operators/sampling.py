@@ -2,62 +2,78 @@
 
 ``row_number() over (partition by g order by k)`` puts a whole group in one
 task; with one class holding a third of the rows that is one task holding a
-third of the data. ``group_rank`` gives the same ranks without that:
-
-1. ``orderBy(group, order...)``: a range-partitioned sort, so a hot group is
-   cut across many partitions by sampled boundaries;
-2. ``monotonically_increasing_id`` after the sort increases along the global
-   order (partition index major, row minor);
-3. one row per (group, partition) holds the partition's first id and count;
-   a window over that small table (groups x partitions rows) gives the rows
-   of the same group in earlier partitions;
-4. rank = earlier rows + (id - first id in this partition) + 1.
-
-The order key must be total (add every column or a unique id) so a
-recomputed partition assigns the same ranks.
+third of the data. ``group_rank`` gives the same ranks without that, using
+deterministic expressions only (so a recomputed task gives the same ranks):
+
+1. one aggregation counts the rows per group; if the largest group fits one
+   task (``rows_per_bucket``) a plain window is used;
+2. otherwise approximate quantiles of the leading order column cut every
+   group into B buckets (bucket = boundaries below the value, monotone in the
+   order), so a hot group spreads over B window tasks;
+3. ``row_number`` inside (group, bucket), plus the rows of the group's
+   earlier buckets from a small (groups x B) table joined back, which AQE
+   broadcasts when small.
+
+Exactness does not depend on the quantiles (they only balance load). The
+order key must be total (add every column) so ties cannot swap ranks.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+ROWS_PER_BUCKET = 1 << 20
+MAX_BUCKETS = 4096
+
+
 def _cols(xs):
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
 def group_rank(df: DataFrame, group_cols: list[str], order_cols: list,
-               out: str = "rank", size_col: str | None = None) -> DataFrame:
+               out: str = "rank", size_col: str | None = None,
+               rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add 1-based ``out``: position of the row in its group by ``order_cols``
     (and the group's row count as ``size_col`` when given)."""
     keys = list(group_cols)
-    ordered = df.orderBy(*_cols(keys), *_cols(order_cols))
-    tagged = ordered.withColumns({
-        "_part": F.spark_partition_id(),
-        "_mid": F.monotonically_increasing_id(),
-    })
-    blocks = tagged.groupBy(*keys, "_part").agg(
-        F.min("_mid").alias("_first_mid"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_part").rowsBetween(
-        Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    extra = []
+    order = _cols(order_cols)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gsize"))
+    largest = sizes.agg(F.max("_gsize")).first()[0] or 0
+    buckets = min(MAX_BUCKETS, max(1, math.ceil(largest / rows_per_bucket)))
+    data = df.withColumn("_lead", order[0])
+    if buckets > 1:
+        probs = [i / buckets for i in range(1, buckets)]
+        bounds = data.groupBy(*keys).agg(
+            F.percentile_approx("_lead", probs, 10 * buckets).alias("_bounds"))
+        data = data.join(bounds, keys, "left").withColumn(
+            "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col("_lead")))
+        ).drop("_bounds")
+    else:
+        data = data.withColumn("_bucket", F.lit(0))
+    w = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    data = data.withColumn("_rn", F.row_number().over(w))
+    if buckets > 1:
+        counts = data.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_bn"))
+        cum = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
+            Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_bn").over(cum), F.lit(0)))
+        data = data.join(counts.select(*keys, "_bucket", "_before"), [*keys, "_bucket"], "left")
+    else:
+        data = data.withColumn("_before", F.lit(0))
+    data = data.withColumn(out, (F.col("_before") + F.col("_rn")).cast("long"))
     if size_col:
-        blocks = blocks.withColumn(size_col, F.sum("_n").over(Window.partitionBy(*keys)))
-        extra = [size_col]
-    blocks = blocks.select(*keys, "_part", "_first_mid", "_before", *extra)
-    # No hint: AQE measures the offsets table at run time and broadcasts it
-    # when small; the sort's exchange is reused by both branches.
-    joined = tagged.join(blocks, [*keys, "_part"], "inner")
-    return joined.withColumn(
-        out, (F.col("_before") + F.col("_mid") - F.col("_first_mid") + 1).cast("long")
-    ).drop("_part", "_mid", "_first_mid", "_before")
+        data = data.join(sizes.withColumnRenamed("_gsize", size_col), keys, "left")
+    return data.drop("_lead", "_bucket", "_rn", "_before")
 
 
 def first_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list,
-                      n: int) -> DataFrame:
+                      n: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """The first ``n`` rows of each group in ``order_cols`` order."""
-    return group_rank(df, group_cols, order_cols, "_rk").filter(F.col("_rk") <= n).drop("_rk")
+    return group_rank(df, group_cols, order_cols, "_rk", rows_per_bucket=rows_per_bucket) \
+        .filter(F.col("_rk") <= n).drop("_rk")
 
 
 def quota_for(n_limit: int | None, n_datasets: int, specific: bool) -> int | None:
@@ -81,12 +97,13 @@ def _ceil_pct(name: str, pct: int) -> Column:
 
 def stratified_split(df: DataFrame, label: str, test_pct: int = 20,
                      order_cols: list | None = None, seed: int = 42,
-                     out: str = "split") -> DataFrame:
+                     out: str = "split", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Exact stratified split (W4): per class, the first ceil(n * pct / 100)
     rows of a seeded order are ``test``, the rest ``train``. ``sampleBy``
     only approximates the counts; this hits them exactly."""
     order = order_cols if order_cols is not None else [seeded_order(df, seed), *df.columns]
-    ranked = group_rank(df, [label], order, "_rk", size_col="_cnt")
+    ranked = group_rank(df, [label], order, "_rk", size_col="_cnt",
+                        rows_per_bucket=rows_per_bucket)
     n_test = _ceil_pct("_cnt", test_pct)
     return ranked.withColumn(
         out, F.when(F.col("_rk") <= n_test, F.lit("test")).otherwise(F.lit("train"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import preparation, traffic
+from . import models, preparation, traffic
 
 
 def _modules():
-    return [traffic, preparation]
+    return [traffic, preparation, models]
 
 
 def all_queries():

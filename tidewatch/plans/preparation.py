@@ -115,6 +115,18 @@ def q_stratified_split(spark, sf_dir):
     return round_doubles(S.stratified_split(li, "l_returnflag", 20, _split_order()))
 
 
+def q_first_rows_bucketed(spark, sf_dir):
+    # Forces the multi-bucket path (hot-group handling) at test scale.
+    li = _lineitem(spark, sf_dir)
+    return round_doubles(S.first_n_per_group(li, ["l_returnflag"], ALL_LI, 1000, rows_per_bucket=4096))
+
+
+def q_stratified_split_bucketed(spark, sf_dir):
+    li = _lineitem(spark, sf_dir)
+    return round_doubles(S.stratified_split(li, "l_returnflag", 20, _split_order(),
+                                            rows_per_bucket=4096))
+
+
 def q_three_way_split(spark, sf_dir):
     li = _lineitem(spark, sf_dir)
     return round_doubles(S.three_way_split(li, "l_returnflag", _split_order()))
@@ -206,6 +218,8 @@ QUERIES = {
     "first_rows_per_class": q_first_rows_per_class,
     "stratified_split": q_stratified_split,
     "three_way_split": q_three_way_split,
+    "first_rows_bucketed": q_first_rows_bucketed,
+    "stratified_split_bucketed": q_stratified_split_bucketed,
     "sample_counts": q_sample_counts,
     "synthetic_normal": q_synthetic_normal,
     "accuracy": q_accuracy,
@@ -372,3 +386,5 @@ ORACLE = {
                             FROM (SELECT sample, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding) AS x
                                   FROM ({_EMB_SPLIT})) GROUP BY sample, dim""",
 }
+ORACLE["first_rows_bucketed"] = ORACLE["first_rows_per_class"]
+ORACLE["stratified_split_bucketed"] = ORACLE["stratified_split"]
