@@ -52,6 +52,19 @@ def finish(runs: DataFrame, outcomes: DataFrame) -> DataFrame:
     )
 
 
+def _outcome():
+    return (F.when(F.col("status").isNull(), "not_found")
+            .when(F.col("status") == "completed", "ready")
+            .when(F.col("status") == "failed", "failed")
+            .otherwise("pending"))
+
+
+def outcomes(runs: DataFrame) -> DataFrame:
+    """Every run with the outcome a lookup would report."""
+    return runs.select("id", "filename", "status", "progress", "error",
+                       _outcome().alias("outcome"))
+
+
 def lookup(runs: DataFrame, rid: str) -> DataFrame:
     """Run by id with its outcome (J7): ``not_found`` when absent, else
     ``ready`` for completed, ``failed`` or ``pending``."""
@@ -60,10 +73,7 @@ def lookup(runs: DataFrame, rid: str) -> DataFrame:
     j = want.join(runs, "id", "left")
     return j.select(
         "id", "filename", "status", "progress", "result", "error",
-        F.when(F.col("status").isNull(), "not_found")
-        .when(F.col("status") == "completed", "ready")
-        .when(F.col("status") == "failed", "failed")
-        .otherwise("pending").alias("outcome"),
+        _outcome().alias("outcome"),
     )
 
 

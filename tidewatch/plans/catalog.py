@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import models, preparation, traffic
+from . import extras, models, preparation, traffic
 
 
 def _modules():
-    return [traffic, preparation, models]
+    return [traffic, preparation, extras, models]
 
 
 def all_queries():
