@@ -108,11 +108,20 @@ def align(df: DataFrame, features: list[str], label: str | None = LABEL) -> Data
 
 # --- one-hot (T1) ---------------------------------------------------------
 
-def fit_categories(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
-    """Sorted distinct values of each text column, in one aggregation. The
-    result is as large as the categories, not the table."""
+MAX_CATEGORIES = 10_000
+
+
+def fit_categories(df: DataFrame, columns: list[str],
+                   max_categories: int = MAX_CATEGORIES) -> dict[str, list[str]]:
+    """Sorted distinct values of each text column. The result is as large as
+    the categories, not the table; a cheap approximate count first refuses a
+    column too wide to one-hot (an id or address left among the features)."""
     if not columns:
         return {}
+    approx = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    wide = [c for c in columns if approx[c] > max_categories]
+    if wide:
+        raise ValueError(f"too many categories to one-hot: {wide}")
     row = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns]).first()
     return {c: list(row[c]) for c in columns}
 
