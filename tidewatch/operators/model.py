@@ -92,9 +92,12 @@ def train_job(df: DataFrame, label: str = P.LABEL, kind: str = "forest",
     Returns (bundle, evaluation dict of DataFrames).
     """
     data = df.withColumnRenamed(label, P.LABEL) if label != P.LABEL else df
+    data = data.persist()  # read by the quota, fit and split jobs below
     order = [S.seeded_order(data, seed), *data.columns]
     enc_rows = S.first_n_per_group(data, [P.LABEL], order, encoder_quota) if encoder_quota else data
+    enc_rows = enc_rows.persist()  # read by several fit aggregations
     prep = P.Prep.fit(enc_rows)
+    enc_rows.unpersist()
     clf_rows = S.first_n_per_group(data, [P.LABEL], order, classifier_quota) if classifier_quota else data
     split = S.three_way_split(clf_rows, P.LABEL, seed=seed)
     prepared = _vectorise(prep.transform(split, keep=["split"]))
@@ -102,6 +105,8 @@ def train_job(df: DataFrame, label: str = P.LABEL, kind: str = "forest",
     prepared = P.with_weights(prepared, weights).withColumn(
         "is_val", F.col("split") == "validation")
     prepared = prepared.persist()
+    prepared.count()
+    data.unpersist()
     train = prepared.filter(F.col("split") != "test")
     if kind == "forest":
         train = train.filter(F.col("split") == "train")

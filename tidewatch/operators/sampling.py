@@ -71,7 +71,11 @@ def group_rank(df: DataFrame, group_cols: list[str], order_cols: list,
 
 def first_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list,
                       n: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """The first ``n`` rows of each group in ``order_cols`` order."""
+    """The first ``n`` rows of each group in ``order_cols`` order (W3). When
+    no group exceeds ``n`` every row is kept, so no ranking is planned."""
+    largest = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0]
+    if largest is None or largest <= n:
+        return df
     return group_rank(df, group_cols, order_cols, "_rk", rows_per_bucket=rows_per_bucket) \
         .filter(F.col("_rk") <= n).drop("_rk")
 
