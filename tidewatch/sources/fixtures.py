@@ -35,14 +35,16 @@ def capture_expr(mode: str):
     if mode == "by_class":
         return (F.col("user_id") % 8).cast("string")
     if mode == "mixed":
-        return F.concat(F.lit("cap"), ((F.col("user_id") / 8).cast("long") % 4).cast("string"))
+        return F.concat(F.lit("cap"), (F.expr("div(user_id, 8)") % 4).cast("string"))
     raise ValueError(f"capture mode must be one of {CAPTURE_MODES}")
 
 
 def packets_from_events(events: DataFrame, captures: str = "single") -> DataFrame:
     """One packet per event, with the ``packets`` schema."""
     c = F.col("user_id") % 8
-    off = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(EPOCH_2024_US)
+    # Microseconds since 2024-01-01 of the wall-clock value: independent of
+    # the session time zone (ts is timestamp_ntz).
+    off = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
     flags = (
         F.when(c.isin(0, 4), 24)
         .when(c == 1, 2)
@@ -55,7 +57,7 @@ def packets_from_events(events: DataFrame, captures: str = "single") -> DataFram
         F.col("event_id").alias("pkt_no"),
         off.alias("_off"),
         c.alias("_c"),
-        F.concat(F.lit("10.0."), (F.col("user_id") / 256).cast("long").cast("string"),
+        F.concat(F.lit("10.0."), F.expr("div(user_id, 256)").cast("string"),
                  F.lit("."), (F.col("user_id") % 256).cast("string")).alias("src_ip"),
         F.lit("192.168.0.1").alias("dst_ip"),
         F.when(c.isin(3, 5, 6), 17).otherwise(6).cast("int").alias("proto"),
