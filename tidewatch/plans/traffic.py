@@ -99,6 +99,13 @@ def q_flow_preview(spark, sf_dir):
                                  "label", "confidence"))
 
 
+def q_verdict_json(spark, sf_dir):
+    # Verdict with its nested attack table as JSON text (S13); rows-only check.
+    from ..operators.analyze import verdict_json
+    v = verdict_op.verdicts(labelled(spark, sf_dir, "mixed"), with_time=False)
+    return verdict_json(v)
+
+
 QUERIES = {
     "packets": q_packets,
     "flow_features": q_flow_features,
@@ -112,6 +119,7 @@ QUERIES = {
     "attack_types": q_attack_types,
     "batch_means": q_batch_means,
     "flow_preview": q_flow_preview,
+    "verdict_json": q_verdict_json,
 }
 
 
