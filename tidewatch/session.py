@@ -45,8 +45,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the submitter sets it to shared storage and we only read it.
-    Only when it is unset (local tests) do we create a scratch folder.
+    On a cluster the submitter sets it to shared storage and we only read it;
+    when it is unset there, this raises. Only a session whose driver and
+    executors are one process (``local[...]``: tests, the bench) gets a scratch
+    folder of its own.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
@@ -56,6 +58,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="tidewatch-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
