@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language, packing, simhash
+from . import decontaminate, language, packing, simhash
 
-_MODULES = [packing, simhash, language]
+_MODULES = [decontaminate, packing, simhash, language]
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
