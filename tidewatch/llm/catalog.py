@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, packing, pii, simhash
+from . import decontaminate, language, packing, pii, simhash, topk, urlfilter
 
-_MODULES = [pii, decontaminate, packing, simhash, language]
+_MODULES = [pii, decontaminate, packing, simhash, language, topk, urlfilter]
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
