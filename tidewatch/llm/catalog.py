@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, packing, pii, simhash, topk, urlfilter, warc
+from . import decontaminate, language, mixing, packing, pii, simhash, topk, urlfilter, warc
 
-_MODULES = [pii, decontaminate, packing, simhash, language, topk, urlfilter, warc]
+_MODULES = [pii, mixing, decontaminate, packing, simhash, language, topk, urlfilter, warc]
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
