@@ -24,6 +24,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def id_crc_mod(doc_id: str, mod: int):
     """crc32 of the id as text, modulo ``mod`` (null for a null id)."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod

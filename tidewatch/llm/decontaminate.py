@@ -79,6 +79,15 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
         .select("doc_id", "text_hash", "item_id", F.col("n").alias("n_shingles"), "n_shared")
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
+                      text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text contains an item."""
+    hits = written(contaminated(docs, items, id_col, text_col)
+                   .select("doc_id", "text_hash").distinct(), "contaminated")
+    return docs.join(hits, (F.xxhash64(docs[text_col]) == hits["text_hash"])
+                     & docs[id_col].eqNullSafe(hits["doc_id"]), "left_anti")
+
+
 def query(spark, sf_dir):
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_shingles", "n_shared")

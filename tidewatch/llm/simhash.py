@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, written
+from .common import fresh, table, written
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -187,9 +187,24 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(small, "edges")
 
 
+def grouped(fps: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) -> DataFrame:
+    """``fps`` (a written table with ``doc_id`` and ``fp``) with ``root``, the smallest
+    fingerprint of the row's component, and ``component_id``, its smallest id."""
+    reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fps")
+    roots = written(components(links(reps, max_bits, chunk)), "roots")
+    linked = roots.join(reps.withColumnRenamed("fp", "node"), "node")
+    ids = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    found = written(roots.join(ids, "root").select(F.col("node").alias("fp"), "root",
+                                                   "component_id"), "components")
+    ids = reps.join(found, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"),
+        F.coalesce("component_id", "least_id").alias("component_id"))
+    return fps.join(ids, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     max_bits: int = MAX_BITS, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``.
+    """(doc_id, fp, root, component_id) for every row of ``docs``.
 
     ``component_id`` is the smallest id that is reached over links of
     ``max_bits`` bits or fewer, the row's own included. Null text: as empty,
@@ -197,15 +212,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has no other. Repeated rows come back as often. An empty table gives no rows.
     Only ``id_col`` and ``text_col`` are read."""
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fps")
-    roots = written(components(links(reps, max_bits, chunk)), "roots")
-    linked = roots.join(reps.withColumnRenamed("fp", "node"), "node")
-    ids = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    found = written(roots.join(ids, "root").select(F.col("node").alias("fp"), "component_id"),
-                    "components")
-    ids = reps.join(found, "fp", "left").select(
-        "fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return grouped(fps, max_bits, chunk).select("doc_id", "fp", "root", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                         max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row of each component: that of its smallest id (nulls
+    last, then by fingerprint). Of rows that repeat that id and fingerprint one
+    stays."""
+    (fp,) = fresh(docs, "fp")
+    marked = written(docs.withColumn(fp, _fingerprints(F.col(text_col))), "marked")
+    rows = grouped(marked.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp")), max_bits)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")
+    each = written(rows.groupBy("root", "doc_id", "fp").agg(F.count(F.lit(1)).alias("n")), "each")
+    stay = each.groupBy("root").agg(F.min(key).alias("k")).select("root", "k.doc_id", "k.fp")
+    same = F.expr("e.root = s.root AND e.fp = s.fp AND e.doc_id <=> s.doc_id")
+    drop = written(each.alias("e").join(stay.alias("s"), same, "left_anti").select("doc_id", "fp"),
+                   "near-copies")
+    kept = marked.join(drop, (marked[fp] == drop["fp"]) & marked[id_col].eqNullSafe(drop["doc_id"]),
+                       "left_anti")
+    if not each.filter("n > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, fp])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir):
