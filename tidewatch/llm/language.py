@@ -1,16 +1,16 @@
 """Language identification by hierarchical discrimination (operator 10).
 
-First a one-versus-one linear SVM over the language families in the training
-rows, then, inside the chosen family, one-versus-one linear SVMs between its
-languages. Features are hashed byte trigrams of the text, A-Z lower-cased and
-every other ASCII character that is no letter folded to a space, as relative
-frequencies; only the text is read.
-
-Fitting is Spark ML's ``LinearSVC`` on a sample of ``sample_rows`` rows of each
-language in expectation (chosen by a hash of the id, so a third of all rows in
-one language costs no more). A text's margin for one pair is a sum of weights
-gathered over its trigrams, so prediction is one pass with a model of
-``DIM`` weights a pair, whatever the corpus size.
+First one-versus-one linear SVMs over the language families in the training rows,
+then, inside the chosen family, one-versus-one linear SVMs between its languages.
+Features are hashed byte trigrams of the text, A-Z lower-cased and every other
+ASCII character that is no letter folded to a space, as a vector of counts of
+length one; only the text is read.
+
+Training rows are a sample of ``sample_rows`` of each language in expectation,
+chosen by a hash of the id, so a language with a third of all rows costs no more.
+Each sampled row goes to the pairs it belongs to, and each pair is fitted by one
+task (dual coordinate descent); the driver receives ``DIM`` weights a pair.
+Prediction is one pass over the texts.
 """
 
 from __future__ import annotations
@@ -19,13 +19,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_crc_mod, table, written
+from .common import id_crc_mod, table
 
 DIM = 1 << 13
 SAMPLE_ROWS = 1500      # training rows of each language, in expectation
@@ -59,31 +57,63 @@ def _folded(text: str) -> bytes:
     return b" " + b" ".join(words) + b" "
 
 
-def _vector(text: str | None) -> SparseVector:
+def _counts(text: str) -> np.ndarray:
+    """Trigram counts, scaled to a vector of length one."""
+    n = np.bincount(_slots(_folded(text)), minlength=DIM).astype(np.float32)
+    return n / np.sqrt(n @ n)
+
+
+FEATURES = T.StructType([T.StructField("slots", T.ArrayType(T.IntegerType())),
+                         T.StructField("values", T.ArrayType(T.FloatType()))])
+
+
+@F.udf(FEATURES)
+def _features(text):
     if not has_letter(text):
-        return SparseVector(DIM, [], [])
-    slots, n = np.unique(_slots(_folded(text)), return_counts=True)
-    return SparseVector(DIM, slots.tolist(), (n / n.sum()).tolist())
+        return None
+    row = _counts(text)
+    at = np.flatnonzero(row)
+    return at.tolist(), row[at].tolist()
+
+
+def svm(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, cost: float = 4.0,
+        epochs: int = 8, seed: int = 0) -> np.ndarray:
+    """Weights and a bias of a linear SVM with hinge loss over sparse rows of
+    length one, by dual coordinate descent in a seeded order."""
+    w = np.zeros(DIM + 1, dtype=np.float64)     # the last weight is the bias
+    alpha = np.zeros(len(rows))
+    order = np.arange(len(rows))
+    shuffle = np.random.default_rng(seed).shuffle
+    for _ in range(epochs):
+        shuffle(order)
+        for k in order:
+            at, x = rows[k]
+            slope = signs[k] * (w[at] @ x + w[DIM]) - 1
+            new = min(max(alpha[k] - slope / 2, 0.0), cost)     # |x|^2 + 1 is 2
+            if new != alpha[k]:
+                w[at] += (new - alpha[k]) * signs[k] * x
+                w[DIM] += (new - alpha[k]) * signs[k]
+                alpha[k] = new
+    return w
+
+
+def _fit_pair(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("id_hash", kind="stable")      # the order rows arrive in varies
+    rows = [(np.asarray(s, dtype=np.int64), np.asarray(v, dtype=np.float64))
+            for s, v in zip(pdf["slots"], pdf["values"])]
+    return pd.DataFrame({"pair": pdf["pair"].head(1), "weights": [svm(rows, pdf["sign"].to_numpy())]})
 
 
 def family_of(lang: str) -> str:
     return next((f for f, members in FAMILIES.items() if lang in members), f"={lang}")
 
 
-def _fit_pair(rows: DataFrame, first: list[str], second: list[str]):
-    """Weights and intercept of a linear SVM that is positive for ``first``."""
-    part = rows.filter(F.col("lang").isin(first + second)).withColumn(
-        "label", F.col("lang").isin(first).cast("double"))
-    model = LinearSVC(maxIter=40, regParam=1e-4).fit(part)
-    return np.append(model.coefficients.toArray(), model.intercept).astype(np.float32)
-
-
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
         text_col: str = "text", lang_col: str = "lang") -> dict:
     """The model: ``{"families": {family: [lang]}, "pairs": {(a, b): weights}}``,
     pairs over families and over each family's languages. Rows with a null
     language or id, or without a letter, are not learned from; no such rows: an
-    empty model."""
+    empty model. The classes are taken to be few (languages), not the rows."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                        F.col(lang_col).alias("lang"))
     mod, held = HELD_OUT
@@ -98,18 +128,30 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
                            for x in (lang, min(cells, sample_rows * cells // n + 1))])
     drawn = learn.filter(F.pmod(F.xxhash64(F.lit("lang"), "id"), F.lit(cells))
                          < F.element_at(share, F.col("lang")))
-    vector = F.udf(_vector, VectorUDT())
-    sample = written(drawn.select("lang", vector("text").alias("features")).coalesce(12),
-                     "language-sample").coalesce(6)
-    seen = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     families: dict[str, list[str]] = {}
-    for lang in seen:
+    for lang in sorted(counts):
         families.setdefault(family_of(lang), []).append(lang)
-    pairs = {(f, g): _fit_pair(sample, families[f], families[g])
-             for f, g in combinations(sorted(families), 2)}
-    for members in families.values():
-        pairs |= {(a, b): _fit_pair(sample, [a], [b]) for a, b in combinations(members, 2)}
-    return {"families": families, "pairs": pairs}
+    # (pair, languages for, languages against): families first, then inside each
+    pairs = [((f, g), families[f], families[g]) for f, g in combinations(sorted(families), 2)]
+    pairs += [((a, b), [a], [b]) for members in families.values()
+              for a, b in combinations(members, 2)]
+    if not pairs:
+        return {"families": families, "pairs": {}}
+    roles = {lang: [(k, 1 if lang in first else -1) for k, (_, first, second) in enumerate(pairs)
+                    if lang in first + second] for lang in counts}
+    roles_of = F.create_map(*[x for lang, rs in sorted(roles.items()) for x in (
+        F.lit(lang), F.array(*[F.struct(F.lit(k).alias("pair"), F.lit(s).alias("sign"))
+                               for k, s in rs]))])
+    # a row that repeats counts once, so a sample stays bounded whatever is copied
+    drawn = drawn.withColumn("id_hash", F.xxhash64("id", "text")).dropDuplicates(["id_hash"])
+    rows = drawn.select("lang", "id_hash", _features("text").alias("f")).filter("f IS NOT NULL") \
+        .select("id_hash", "f.*", F.explode(F.element_at(roles_of, F.col("lang"))).alias("r"))
+    fitted = rows.select("id_hash", "slots", "values", "r.*").groupBy("pair").applyInPandas(
+        _fit_pair, "pair int, weights array<double>").collect()
+    # a pair of which no row was drawn says nothing
+    weights = dict.fromkeys((p for p, _, _ in pairs), np.zeros(DIM + 1, dtype=np.float32))
+    weights |= {pairs[r["pair"]][0]: np.asarray(r["weights"], dtype=np.float32) for r in fitted}
+    return {"families": families, "pairs": weights}
 
 
 def _vote(names: list[str], margin: dict) -> tuple[str, float]:
@@ -126,23 +168,21 @@ def _vote(names: list[str], margin: dict) -> tuple[str, float]:
     best = min(names, key=lambda x: (-votes[x], -total[x], x))
     close = min(margin[best, x] if (best, x) in margin else -margin[x, best]
                 for x in names if x != best)
-    return best, float(1 / (1 + np.exp(-np.clip(2 * close, -30, 30))))
+    return best, float(1 / (1 + np.exp(-np.clip(3 * close, -30, 30))))
 
 
 def predictor(model: dict):
     """A function from a list of texts to [(language, score)]."""
     pairs = list(model["pairs"])
     families = model["families"]
-    weights = [np.ascontiguousarray(model["pairs"][p][:-1]) for p in pairs]
-    bias = [float(model["pairs"][p][-1]) for p in pairs]
+    weights = np.array([model["pairs"][p][:DIM] for p in pairs], dtype=np.float32)
+    bias = np.array([model["pairs"][p][DIM] for p in pairs], dtype=np.float32)
     order = sorted(families)
 
     def one(text):
         if not order or not has_letter(text):
             return UNKNOWN, 0.0
-        slots = _slots(_folded(text))
-        margin = {p: float(np.take(w, slots).mean(dtype=np.float64)) + b
-                  for p, w, b in zip(pairs, weights, bias)}
+        margin = dict(zip(pairs, (weights @ _counts(text) + bias).tolist())) if pairs else {}
         family, sure = _vote(order, margin)
         lang, score = _vote(families[family], margin)
         return lang, sure * score
