@@ -24,6 +24,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A written table as the small side of a join: broadcast where its counted
+    rows are at most ``rows``, else left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` does not have (in any case)."""
     taken, out = {c.lower() for c in df.columns}, []

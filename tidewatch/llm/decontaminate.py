@@ -11,8 +11,7 @@ loses nothing, which banded signatures of a short item against a long document
 would. Candidates are verified on the shingle texts themselves.
 
 Documents are never shuffled for the search: their hashes meet the sketches in a
-join whose other side is a written table of known size, broadcast only below
-Spark's own threshold.
+join whose other side is a written table, broadcast only up to a counted size.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingles_sql, table, written
+from .common import shingles_sql, small_side, table, written
 
 WIDTH = 5
 CONTAINMENT = (8, 10)    # at least 8 of 10 of an item's distinct shingles
@@ -63,13 +62,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
                        F.xxhash64(F.col(text_col)).alias("text_hash"))
     found = written(
         rows.select("doc_id", "text_hash", F.explode(F.expr(_HASHES)).alias("h"))
-        .join(sketch, "h").select("doc_id", "text_hash", "item_id").distinct(), "candidates")
+        .join(small_side(sketch), "h").select("doc_id", "text_hash", "item_id").distinct(), "candidates")
     suspects = found.select("doc_id", "text_hash").distinct()
     again = rows.alias("d").join(
         suspects.alias("f"), F.expr("d.text_hash = f.text_hash AND d.doc_id <=> f.doc_id"),
         "left_semi")
     shared = again.select("doc_id", "text_hash", F.explode(F.expr(_TEXTS)).alias("s")) \
-        .join(shingles.select("item_id", "n", "s"), "s") \
+        .join(small_side(shingles.select("item_id", "n", "s")), "s") \
         .groupBy("doc_id", "text_hash", "item_id", "n").agg(
             F.countDistinct("s").alias("n_shared"))
     return shared.alias("s").join(
