@@ -93,7 +93,7 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 def _search(query_ids: np.ndarray, queries: np.ndarray, k: int):
-    none = -(1 << 62)          # below every score
+    none = np.int64(-(1 << 62))          # below every score
 
     def run(batches):
         held = [(np.empty((len(query_ids[q:q + TILE_QUERIES]), 0), dtype=np.int64),) * 2
