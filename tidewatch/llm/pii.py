@@ -110,12 +110,17 @@ _SPELLED = re.compile(rf"(?:\bplus\s+)?{_TOKEN}(?:{_GAP}{_TOKEN}){{2,}}", re.I)
 _SPELLED_PART = re.compile(rf"(plus\s+)|({_WORD})\b|([0-9]+)|(\s+{_DOT}\s+)|([\s,.-]+)", re.I)
 _SPELLED_HINT = re.compile(rf"\b(?={_FIRST}){_WORD}(?:[\s,.-]{{1,2}}{_WORD}\b|\s+{_DOT}\s)"
                            rf"|\bplus\s+{_WORD}\b")
-_HIDDEN_DOT = rf"(?:\s*{_OPEN}\s*(?:{_DOT}|\.)\s*{_CLOSE}\s*|\s+{_DOT}\s+|_{_DOT}_|&(?:\#0*46|\#x2e|period);)"
-_HIDDEN_AT = rf"(?:\s*{_OPEN}\s*(?:{_AT}|@)\s*{_CLOSE}\s*|_{_AT}_|&(?:\#0*64|\#x40|commat);)"
-# A bare "at" counts only before a host whose dot is disguised too.
+_MARKED_DOT = rf"(?:\s*{_OPEN}\s*(?:{_DOT}|\.)\s*{_CLOSE}\s*|_{_DOT}_|&(?:\#0*46|\#x2e|period);)"
+_MARKED_AT = rf"(?:\s*{_OPEN}\s*(?:{_AT}|@)\s*{_CLOSE}\s*|_{_AT}_|&(?:\#0*64|\#x40|commat);)"
+# Bare words are prose unless they lead to one of these top-level domains.
+_TLD = "(?:com|org|net|edu|gov|mil|info|biz|io|co|eu|uk|us|de|fr|es|nl|ch|ca|au|example)"
+_BARE_DOT = rf"\s+{_DOT}\s+"
+_ANY_DOT = rf"(?:{_MARKED_DOT}|{_BARE_DOT})"
+_REST = rf"(?:[A-Za-z0-9-]+(?:{_ANY_DOT}|\.)){{0,8}}{_TLD}\b"
 _DISGUISE = re.compile(
-    rf"(?<=[A-Za-z0-9])(?:(?P<at>{_HIDDEN_AT}|\s+{_AT}\s+(?=[A-Za-z0-9-]+{_HIDDEN_DOT}[A-Za-z0-9])"
-    rf"|\s+@\s+(?=[A-Za-z0-9]))|(?P<dot>{_HIDDEN_DOT}))(?=[A-Za-z0-9])", re.I)
+    rf"(?<=[A-Za-z0-9])(?:(?P<at>{_MARKED_AT}|\s+{_AT}\s+(?=[A-Za-z0-9-]+{_ANY_DOT}{_REST})"
+    rf"|\s+@\s+(?=[A-Za-z0-9]))|(?P<dot>{_MARKED_DOT}|{_BARE_DOT}(?={_REST})))(?=[A-Za-z0-9])",
+    re.I)
 _DISGUISE_HINTS = ("dot", "point", "punkt", "punto", "at]", "at)", "at}", "at>", "at ]", "at )",
                    "@]", "@)", "@}", "@>", " @ ", "_at_", "arroba", "arobase", "&#", "&commat",
                    "[.]", "(.)", "{.}")
