@@ -4,8 +4,8 @@ The text view is a logistic model over what a text is made of (hashed byte
 trigrams, ASCII character shares, shape figures); the metadata view one over its
 source, language and length. Both start from the labelled rows. In each round
 either scores an unlabelled pool and hands the rows it is surest of, as
-pseudo-labels, to the *other* view's training rows. Each view is then calibrated
-(Platt) on labelled rows kept aside, and a document's score adds the two views'
+pseudo-labels, to the *other* view's training rows. A view's sureness is its
+probability after calibration (Platt) on labelled rows kept aside. A document's score adds the two views'
 calibrated log odds, less the prior's, which counts once.
 
 Fitting uses at most about ``LABELLED`` labelled and ``POOL`` unlabelled rows in
@@ -106,11 +106,21 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], as
     own = [(v[~aside], y[~aside]) for v in views]
     free, handed = np.ones(len(pools[0]), dtype=bool), [0, 0]
     limit = max(1, int(share * len(pools[0])))
-    models = [logistic(x, t) for x, t in own]
+
+    def fitted():
+        """Models and their calibration, which a view's sureness rests on."""
+        models = [logistic(x, t) for x, t in own]
+        scales = []
+        for v, model in zip(views, models):
+            slope, bias = logistic(_odds(v[aside], model)[:, None].astype(np.float32), y[aside])
+            scales.append((float(slope[0]), bias))
+        return models, scales
+
+    models, scales = fitted()
     for _ in range(rounds):
         gifts = []
         for v in (0, 1):
-            p = _probability(_odds(pools[v], models[v]))
+            p = _probability(scales[v][0] * _odds(pools[v], models[v]) + scales[v][1])
             pick = []
             for label in (1, 0):      # as many of a class as it has among the labels
                 q = p if label else 1 - p
@@ -127,12 +137,7 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], as
                 handed[v] += len(at)
         if not any(gifts):
             break
-        models = [logistic(x, t) for x, t in own]
-    scales = []
-    for v, model in zip(views, models):
-        odds = _odds(v[aside], model)[:, None].astype(np.float32)
-        slope, bias = logistic(odds, y[aside])
-        scales.append((float(slope[0]), bias))
+        models, scales = fitted()
     rate = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
     return {"models": models, "scales": scales, "prior": float(np.log(rate / (1 - rate))),
             "handed": handed}
