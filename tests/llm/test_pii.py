@@ -6,7 +6,7 @@ import re
 import time
 
 import pytest
-from conftest import SF_SMALL
+from llm_fixtures import SF_SMALL
 from llm_fixtures import documents, make_docs, texts  # noqa: F401
 
 from tidewatch.llm import pii
