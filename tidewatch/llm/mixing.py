@@ -50,7 +50,7 @@ PRIOR = 0.1                # added to either count of a node
 ODDS = 15.0                # units of a stored log odd: int8 holds +-8.4
 WEIGHTS = (0.3, 0.5, 0.3)   # of the three contexts, at the start of a text
 RATE = 0.03
-GROUP = 1 << 18            # symbols that are scored together
+GROUP = 1 << 19            # symbols that are scored together
 _PAD = b"\n" * 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _power = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
@@ -66,7 +66,7 @@ class Alphabet:
         self.of_byte = np.full(256, ESCAPE, dtype=np.uint8 if len(seen) < 254 else np.uint16)
         self.of_byte[seen] = np.arange(2, 2 + len(seen))
         self.size = 2 + len(seen)
-        self.width = 1 << (self.size - 1).bit_length()
+        self.width = self.size          # a table row: symbol counts, then nodes' odds
         counts = [texts, 0, *(int(histogram[b]) for b in seen)]
         # a floor keeps the rarest codes a dozen decisions long
         floor = max(1, sum(counts) >> 12)
@@ -349,6 +349,7 @@ def _score(alphabet, model):
     over the broadcast tokens, the others in ``tail`` as (hash, n)."""
     def run(batches):
         odds, head = model.value
+        get = head.get                      # log10(count + 1), never 0
         for batch in batches:
             texts = [lowered(t) for t in batch.column(1).to_pylist()]
             bits = np.zeros(len(texts))
@@ -358,15 +359,13 @@ def _score(alphabet, model):
             n_tokens, known, logs, ends, hashes, times = [], [], [], [0], [], []
             for text in texts:
                 words = text.split()
-                found = [head.get(w) for w in words]
-                if None in found:
-                    rest = Counter(w for w, f in zip(words, found) if f is None)
-                    found = [f for f in found if f is not None]
-                    hashes += [xxhash.xxh64_intdigest(w, 42) for w in rest]
-                    times += rest.values()
+                found = np.array([get(w, 0.0) for w in words])
+                rest = Counter([words[k] for k in np.flatnonzero(found == 0).tolist()])
+                hashes += [xxhash.xxh64_intdigest(w, 42) for w in rest]
+                times += rest.values()
                 n_tokens.append(len(words) + 1)
-                known.append(len(found))
-                logs.append(sum(found))
+                known.append(int(np.count_nonzero(found)))
+                logs.append(float(found.sum()))
                 ends.append(len(hashes))
             tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
                 [pa.array(np.array(hashes, dtype=np.uint64).astype(np.int64)),
