@@ -24,6 +24,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def document_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Let Spark hand whole documents to Python in batches of about ``size`` bytes
+    (a session setting; only ever lowered), so that what an executor holds at a
+    time does not depend on how long its documents are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).rstrip("b"))
+    if now <= 0 or now > size:
+        spark.conf.set(key, f"{size}b")
+
+
 def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """A written table as the small side of a join: broadcast where its counted
     rows are at most ``rows``, else left to a shuffled join."""

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_crc_mod, table
+from .common import document_batches, id_crc_mod, table
 
 DIM = 1 << 13
 SAMPLE_ROWS = 1500      # training rows of each language, in expectation
@@ -194,6 +194,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text",
             lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``docs`` with two columns more: the language (``und`` for a null text or
     one without any letter, or when nothing was learned) and a score in 0 to 1."""
+    document_batches(docs.sparkSession)
     kind = T.StructType([T.StructField("lang", T.StringType()),
                          T.StructField("score", T.DoubleType())])
 

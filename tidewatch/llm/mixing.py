@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc_mod, table, written
+from .common import document_batches, id_crc_mod, table, written
 
 HELD_OUT = (7, 2)          # crc32(id as text) mod 7 == 2 is never learned from
 SLOT_BITS = (16, 18, 18)   # of each context's table: its slots are a power of two
@@ -387,6 +387,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     every byte is an escape and the counts are 0. An empty table gives no rows.
     Other columns are not read."""
     spark = docs.sparkSession
+    document_batches(spark)
     mod, held = HELD_OUT
     held_out = F.coalesce(id_crc_mod(id_col, mod) == held, F.lit(True))
     learn = docs.filter(~held_out).select(F.col(text_col).alias("text"))

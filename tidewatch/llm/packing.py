@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, written
+from .common import document_batches, table, written
 
 LENGTH = 2048
 END_ID = 0
@@ -82,6 +82,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            length: int = LENGTH, paths: tuple[str, str] | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32), a row per piece. Every row of
     ``docs`` has at least one piece: a null or empty text is the end id alone."""
+    document_batches(docs.sparkSession)
     paths = paths or tokenizer_paths()
 
     @F.pandas_udf(T.ArrayType(PIECE))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import document_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -254,6 +254,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """A row per row of ``docs``: doc_id, the counts and the digest of the plain
     spans, all spans, and how many the transducers added. A null or empty text
     has none. Ids are carried as they are; other columns are not read."""
+    document_batches(docs.sparkSession)
+
     @F.pandas_udf(FOUND)
     def look(texts: pd.Series) -> pd.DataFrame:
         rows = []
@@ -271,6 +273,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span in ``text_col`` masked; all else as it is."""
+    document_batches(docs.sparkSession)
+
     @F.pandas_udf(T.StringType())
     def mask_texts(texts: pd.Series) -> pd.Series:
         return texts.map(masked)

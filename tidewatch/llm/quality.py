@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, written
+from .common import document_batches, table, written
 
 LABELLED = 6000
 POOL = 6000
@@ -163,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
         source_col: str = "source", lang_col: str = "lang", size_col: str = "n_chars") -> dict | None:
     """The co-trained model, or None where the labels hold fewer than two classes
     or too few rows. An id whose labels differ is left out; repeats count once."""
+    document_batches(docs.sparkSession)
     cells = 1 << 30
 
     def drawn(df, col, n, salt):
@@ -206,6 +207,8 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
     each view's calibrated probability, the combined one, and whether it reaches
     ``threshold``. Nulls in any column are scored as described for the features.
     Without a model every score is null and every row is kept."""
+    document_batches(docs.sparkSession)
+
     @F.pandas_udf(SCORES)
     def rate(text, source, lang, size):
         if model is None:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, table, written
+from .common import document_batches, fresh, table, written
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -65,6 +65,7 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) for every row of ``docs``; other columns are not read."""
+    document_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col)).alias("fp"))
 
 
@@ -221,6 +222,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     last, then by fingerprint). Of rows that repeat that id and fingerprint one
     stays."""
     (fp,) = fresh(docs, "fp")
+    document_batches(docs.sparkSession)
     marked = written(docs.withColumn(fp, _fingerprints(F.col(text_col))), "marked")
     rows = grouped(marked.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp")), max_bits)
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")
