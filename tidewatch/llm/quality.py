@@ -24,13 +24,13 @@ from pyspark.sql import types as T
 
 from .common import document_batches, table, written
 
-LABELLED = 6000
-POOL = 6000
+LABELLED = 4000
+POOL = 4000
 ROUNDS = 4
 SURE = 0.95               # a pseudo-label's probability, at least
 SHARE = 0.05              # of the pool that one view hands over in a round, at most
 THRESHOLD = 0.5
-GRAMS, CHARS, SHAPE = 1024, 128, 8
+GRAMS, CHARS, SHAPE = 512, 128, 8
 SOURCES, LANGS, SIZES = 64, 16, 24
 _LETTERS = np.zeros(256, dtype=bool)
 _LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -46,7 +46,7 @@ def text_features(text: str | None) -> np.ndarray:
     if len(b) > 2:
         w = b.astype(np.uint32)
         grams = ((w[:-2] | (w[1:-1] << np.uint32(8)) | (w[2:] << np.uint32(16)))
-                 * np.uint32(2654435761)) >> np.uint32(22)
+                 * np.uint32(2654435761)) >> np.uint32(23)
         out[:GRAMS] = np.sqrt(np.bincount(grams, minlength=GRAMS) / len(grams))
     chars = np.bincount(b, minlength=256)
     out[GRAMS:GRAMS + CHARS] = np.sqrt(chars[:CHARS] / len(b))
@@ -148,14 +148,15 @@ def _view_columns(docs, text_col, source_col, lang_col, size_col):
             F.col(lang_col).cast("string"), F.col(size_col).cast("double")]
 
 
-VIEWS = T.StructType([T.StructField("text", T.ArrayType(T.FloatType())),
-                      T.StructField("meta", T.ArrayType(T.FloatType()))])
+# Half-precision vectors as bytes: the sample's way to the driver, a few MB.
+VIEWS = T.StructType([T.StructField("text", T.BinaryType()), T.StructField("meta", T.BinaryType())])
 
 
 @F.pandas_udf(VIEWS)
 def _views(text, source, lang, size):
-    return pd.DataFrame({"text": [text_features(t) for t in text],
-                         "meta": list(meta_features(source, lang, size))})
+    return pd.DataFrame({"text": [text_features(t).astype("<f2").tobytes() for t in text],
+                         "meta": [m.astype("<f2").tobytes()
+                                  for m in meta_features(source, lang, size)]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL,
@@ -187,7 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     y = data["y"].to_numpy()
     if (y == 0).sum() < 5 or (y == 1).sum() < 5:
         return None
-    views = [np.stack(data[c].to_numpy()) for c in ("text", "meta")]
+    views = [np.frombuffer(b"".join(data[c]), dtype="<f2").reshape(len(data), -1)
+             .astype(np.float32) for c in ("text", "meta")]
     have = y >= 0
     aside = data["key"].to_numpy()[have] % 4 == 0
     if len(set(y[have][aside])) < 2 or len(set(y[have][~aside])) < 2:
