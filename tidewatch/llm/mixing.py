@@ -1,8 +1,8 @@
 """Language-model scoring by online logistic context mixing (operator 3).
 
 A text (A-Z lower-cased) is a sequence of symbols: its bytes, then an end. Each
-symbol is a path of binary decisions down a Huffman tree over the training bytes.
-Every decision is predicted by several hashed contexts: the last three and
+symbol is a path of binary decisions down the Huffman tree of what follows the byte
+before it in training. Every decision is predicted by several hashed contexts: the last three and
 the last four bytes, and the word so far. Each has a table of log odds by (context slot,
 tree node), made from the counts of *all* training texts; a mixer adds them up
 with weights and a bias that its gate, the decision's depth, selects, and the
@@ -11,8 +11,8 @@ read: after each stretch of symbols they follow the gradient of its coding cost.
 The bits of all decisions are the text's cost; every text starts from the same
 weights, so a text's score depends on it and on the counts alone.
 
-On Spark this is three passes over the text. (1) Token counts and the byte
-histogram. (2) Context counts: a task counts into arrays of fixed size and puts
+On Spark this is three passes over the text. (1) Token counts and the counts of
+byte pairs. (2) Context counts: a task counts into arrays of fixed size and puts
 out their blocks; blocks are merged in a tree of groups of ``FAN`` rows, so no
 task ever gathers the blocks of all others, and become log odds of one byte each:
 a model whose size is fixed by ``SLOT_BITS`` and the alphabet, and broadcast. (3) Scores.
@@ -40,7 +40,6 @@ from .common import document_batches, id_crc_mod, table, written
 HELD_OUT = (7, 2)          # crc32(id as text) mod 7 == 2 is never learned from
 SLOT_BITS = (16, 18, 18)   # of each context's table: its slots are a power of two
 CONTEXTS = len(SLOT_BITS)
-FIRST_ROW = (0, 1 << 16, (1 << 16) + (1 << 18))      # the tables lie end to end
 ROWS = sum(1 << b for b in SLOT_BITS)
 BLOCK = 512                # slots in one merged block
 FAN = 32                   # blocks that one merge adds up
@@ -58,55 +57,89 @@ _power = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
 
 # ------------------------------------------------------------------ symbols
 
+def _huffman(weights) -> list[list[tuple[int, int]]]:
+    """The (node, bit) path of each symbol; the root is node 0."""
+    size = len(weights)
+    heap = [(w, s) for s, w in enumerate(weights)]
+    heapq.heapify(heap)
+    children, made = {}, size
+    while len(heap) > 1:
+        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+        children[made] = (x, y)
+        heapq.heappush(heap, (a + b, made))
+        made += 1
+    paths = [[] for _ in range(size)]
+    todo = [(made - 1, [])]
+    while todo:
+        node, path = todo.pop()
+        if node < size:
+            paths[node] = path
+        else:
+            for bit, child in enumerate(children[node]):
+                todo.append((child, [*path, (made - 1 - node, bit)]))
+    return paths
+
+
 class Alphabet:
-    """Symbols of a byte histogram and their Huffman code."""
+    """Symbols of a corpus, a Huffman tree of them after each symbol, and the rows
+    of the context tables, which are dealt out by the symbol before as well: a row
+    belongs to one tree. ``pairs[p, b]`` counts byte ``b`` after byte ``p``, column
+    256 the ends of texts."""
 
-    def __init__(self, histogram, texts: int):
+    def __init__(self, pairs: np.ndarray):
+        histogram = pairs.sum(axis=0)
         seen = [b for b in range(256) if histogram[b]]
-        self.of_byte = np.full(256, ESCAPE, dtype=np.uint8 if len(seen) < 254 else np.uint16)
-        self.of_byte[seen] = np.arange(2, 2 + len(seen))
-        self.size = 2 + len(seen)
-        self.width = self.size          # a table row: symbol counts, then nodes' odds
-        counts = [texts, 0, *(int(histogram[b]) for b in seen)]
-        # a floor keeps the rarest codes a dozen decisions long
-        floor = max(1, sum(counts) >> 12)
-        heap = [(max(c, floor), s, s) for s, c in enumerate(counts)]
-        heapq.heapify(heap)
-        children, made = {}, self.size
-        while len(heap) > 1:
-            (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-            children[made] = (x, y)
-            heapq.heappush(heap, (a + b, made, made))
-            made += 1
-        self.paths = [[] for _ in range(self.size)]      # (node, bit) from the root
-        todo = [(made - 1, [])]
-        while todo:
-            node, path = todo.pop()
-            if node < self.size:
-                self.paths[node] = path
-            else:
-                inner = made - 1 - node
-                for bit, child in enumerate(children[node]):
-                    todo.append((child, [*path, (inner, bit)]))
-        self.length = np.array([len(p) for p in self.paths], dtype=np.uint8)
-        depth = int(self.length.max())
-        # by depth and symbol: the node decided at, its bit as +-1, whether more follow
-        self.node = np.zeros((depth, self.size), dtype=np.int64)
-        self.sign = np.ones((depth, self.size), dtype=np.float32)
-        self.more = self.length > np.arange(1, depth + 1)[:, None]
-        for s, path in enumerate(self.paths):
-            for d, (node, bit) in enumerate(path):
-                self.node[d, s], self.sign[d, s] = node, 1 if bit else -1
-
-    def log_odds(self, counts: np.ndarray) -> np.ndarray:
-        """(slots, width) symbol counts -> stored log odds of each node's 1-branch."""
-        under = np.zeros((2, self.width, self.width))
-        for s, path in enumerate(self.paths):
-            for node, bit in path:
-                under[bit, s, node] = 1
-        zeros, ones = counts @ under[0], counts @ under[1]
-        odds = np.log((ones + PRIOR) / (zeros + PRIOR))
-        return np.clip(np.rint(odds * ODDS), -127, 127).astype(np.int8)
+        size = self.size = 2 + len(seen)
+        self.of_byte = np.full(256, ESCAPE, dtype=np.int64)
+        self.of_byte[seen] = np.arange(2, size)
+        after = np.zeros((size, size))
+        columns = [256, *seen]
+        for p in range(256):
+            after[self.of_byte[p], [END, *range(2, size)]] += pairs[p, columns]
+        total = after.sum(axis=1, keepdims=True)
+        # a share of the corpus' own counts where little was seen; and a floor that
+        # keeps the rarest paths about a dozen decisions long
+        share = (after.sum(axis=0) + 1) / (after.sum() + size)
+        weights = np.maximum(after + (0.01 * total + 1) * share, (total + 1) / 4096)
+        self.paths = [_huffman(w.tolist()) for w in weights]
+        length = np.array([[len(p) for p in tree] for tree in self.paths])
+        depth = int(length.max())
+        # by depth and (symbol before, symbol): the node decided at, its bit as +-1,
+        # whether more decisions follow
+        self.node = np.zeros((depth, size * size), dtype=np.int64)
+        self.sign = np.ones((depth, size * size), dtype=np.float32)
+        self.more = length.ravel() > np.arange(1, depth + 1)[:, None]
+        for q, tree in enumerate(self.paths):
+            for s, path in enumerate(tree):
+                for d, (node, bit) in enumerate(path):
+                    self.node[d, q * size + s] = node
+                    self.sign[d, q * size + s] = 1 if bit else -1
+        # rows of each table by the symbol before: as its count to the power 3/4
+        deal = (total[:, 0] + 1) ** 0.75
+        self.first, self.rows, at = [], [], 0
+        for bits in SLOT_BITS:
+            ends = np.floor(np.cumsum(deal) / deal.sum() * ((1 << bits) - size)).astype(np.int64)
+            ends += np.arange(1, size + 1)              # one row at least
+            self.first.append(at + np.concatenate(([0], ends[:-1])))
+            self.rows.append(np.diff(np.concatenate(([0], ends))).astype(np.uint64))
+            at += 1 << bits
+
+    def log_odds(self, counts: np.ndarray, first_row: int) -> np.ndarray:
+        """(rows, size) symbol counts -> stored log odds of each node's 1-branch, for
+        the table rows from ``first_row``."""
+        out = np.zeros((len(counts), self.size), dtype=np.int8)
+        owner = np.searchsorted(np.concatenate(self.first),
+                                np.arange(first_row, first_row + len(counts)), side="right") - 1
+        for q in np.unique(owner % self.size):
+            under = np.zeros((2, self.size, self.size))
+            for s, path in enumerate(self.paths[q]):
+                for node, bit in path:
+                    under[bit, s, node] = 1
+            mine = owner % self.size == q
+            zeros, ones = counts[mine] @ under[0], counts[mine] @ under[1]
+            odds = np.log((ones + PRIOR) / (zeros + PRIOR))
+            out[mine] = np.clip(np.rint(odds * ODDS), -127, 127)
+        return out
 
 
 def lowered(text: str | None) -> bytes:
@@ -131,8 +164,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _power[0][:n], _power[1][:n]
 
 
-def _slots(data: np.ndarray) -> list[np.ndarray]:
-    """Table row of each context at each place (the first four places are pads)."""
+def _rows(data: np.ndarray, before: np.ndarray, alphabet: Alphabet) -> list[np.ndarray]:
+    """Table row of each context at each place, ``before`` being the symbols before
+    (the first four places are pads)."""
     b = data.astype(np.uint32)
     one = np.concatenate((b[:1], b[:-1]))                  # the byte before
     three = one.copy()
@@ -145,18 +179,34 @@ def _slots(data: np.ndarray) -> list[np.ndarray]:
     powers, back = _powers(len(data))
     n = len(data)
     total = np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers)
-    before = np.concatenate((np.zeros(1, np.uint64), total[:-1]))
+    so_far = np.concatenate((np.zeros(1, np.uint64), total[:-1]))
     space = (data == 32) | ((data >= 9) & (data <= 13)) | (data == 0)
     first = np.zeros(n, dtype=np.int64)                    # where the word began
     began = np.flatnonzero(space[:-1]) + 1
     first[began] = began
     first = np.maximum.accumulate(first)
-    word = (before - before[first]) * back[first]
+    word = (so_far - so_far[first]) * back[first]
     word = (word ^ (word >> np.uint64(29))) * _MIX
     hashes = ((three ^ (three >> np.uint32(11))) * mix, (four ^ (four >> np.uint32(15))) * mix,
               (word >> np.uint64(32)).astype(np.uint32))
-    return [(h >> np.uint32(32 - bits)).astype(np.int64) + first
-            for h, bits, first in zip(hashes, SLOT_BITS, FIRST_ROW)]
+    return [first[before] + ((h * rows[before]) >> np.uint64(32)).astype(np.int64)
+            for h, first, rows in zip(hashes, alphabet.first, alphabet.rows)]
+
+
+def _symbols(data, starts, sizes, alphabet) -> tuple[np.ndarray, np.ndarray]:
+    """The symbol at each place and the one before it."""
+    symbols = alphabet.of_byte[data]
+    before = np.concatenate((symbols[:1], symbols[:-1]))
+    symbols[starts + sizes - 1] = END
+    return symbols, before
+
+
+def _text_places(starts, n: int) -> np.ndarray:
+    """Which of ``n`` places are not pads."""
+    real = np.ones(n, dtype=bool)
+    for p in range(1, len(_PAD) + 1):
+        real[starts - p] = False
+    return real
 
 
 def _groups(texts: list[bytes], order):
@@ -176,7 +226,7 @@ def _groups(texts: list[bytes], order):
 
 def _count_contexts(alphabet: Alphabet):
     """A task's context counts as packed blocks (block, counts)."""
-    width = alphabet.width
+    width = alphabet.size
 
     def run(batches):
         counts = np.zeros(ROWS * width, dtype=np.int32)
@@ -185,14 +235,11 @@ def _count_contexts(alphabet: Alphabet):
             texts = [lowered(t) for t in batch.column(0).to_pylist()]
             for group in _groups(texts, range(len(texts))):
                 data, starts, sizes = _laid_out([texts[k] for k in group])
-                symbols = alphabet.of_byte[data].astype(np.int64)
-                symbols[starts + sizes - 1] = END
-                real = np.ones(len(data), dtype=bool)
-                for p in range(1, len(_PAD) + 1):
-                    real[starts - p] = False
+                symbols, before = _symbols(data, starts, sizes, alphabet)
+                real = _text_places(starts, len(data))
                 some = True
-                for slot in _slots(data):
-                    np.add.at(counts, (slot * width + symbols)[real], one)
+                for row in _rows(data, before, alphabet):
+                    np.add.at(counts, (row * width + symbols)[real], one)
         if some:
             blocks = counts.reshape(ROWS // BLOCK, BLOCK * width)
             used = np.flatnonzero(blocks.any(axis=1))
@@ -228,7 +275,7 @@ def _merged(blocks: DataFrame, tasks: int, finish) -> DataFrame:
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             total = sum(_unpacked(c) for c in pdf["counts"])
             return pdf[["block", "part"]].head(1).assign(
-                counts=[finish(total) if last else _packed(total)])
+                counts=[finish(total, int(pdf["block"].iloc[0])) if last else _packed(total)])
         return run
 
     while True:
@@ -244,10 +291,10 @@ def context_odds(texts: DataFrame, alphabet: Alphabet) -> np.ndarray:
     """The log odds (ROWS * width) of a one-column DataFrame of texts."""
     counted = texts.mapInArrow(_count_contexts(alphabet), "block int, counts binary") \
         .withColumn("part", F.spark_partition_id())
-    width = alphabet.width
+    width = alphabet.size
 
-    def finish(counts):
-        return alphabet.log_odds(counts.reshape(BLOCK, width)).tobytes()
+    def finish(counts, block):
+        return alphabet.log_odds(counts.reshape(BLOCK, width), block * BLOCK).tobytes()
 
     out = np.zeros((ROWS // BLOCK, BLOCK * width), dtype=np.int8)
     for r in _merged(counted, texts.rdd.getNumPartitions(), finish).toLocalIterator():
@@ -256,7 +303,8 @@ def context_odds(texts: DataFrame, alphabet: Alphabet) -> np.ndarray:
 
 
 def _count_tokens(batches):
-    """(token, n) of the words; and, with a null token, the byte histogram."""
+    """(token, n) of the words; and, with a null token, the counts of byte pairs
+    (``byte`` is 257 times the byte before plus the byte, 256 for a text's end)."""
     counts: Counter = Counter()
 
     def rows():
@@ -266,17 +314,22 @@ def _count_tokens(batches):
         counts.clear()
         return batch
 
-    histogram, texts = np.zeros(256, dtype=np.int64), 0
+    n = np.zeros(256 * 257, dtype=np.int64)
     for batch in batches:
-        for text in map(lowered, batch.column(0).to_pylist()):
-            texts += 1
-            histogram += np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+        texts = [lowered(t) for t in batch.column(0).to_pylist()]
+        for group in _groups(texts, range(len(texts))):
+            data, starts, sizes = _laid_out([texts[k] for k in group])
+            byte = data.astype(np.int64)
+            byte[starts + sizes - 1] = 256
+            pair = byte.copy()
+            pair[1:] += 257 * data[:-1].astype(np.int64)
+            n += np.bincount(pair[_text_places(starts, len(data))], minlength=256 * 257)
+        for text in texts:
             counts.update(text.split())
         if len(counts) > 1 << 19:
             yield rows()
     if counts:
         yield rows()
-    n = np.append(histogram, texts)
     at = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.binary()), pa.array(n[at]),
                                       pa.array(at.astype(np.int32))], names=["token", "n", "byte"])
@@ -285,22 +338,22 @@ def _count_tokens(batches):
 # ------------------------------------------------------------------ scoring
 
 def _stretches(longest: int):
-    """Where the weights are refined: after 64, 128, ... 1024 symbols, then every
-    1024 (by place in the text only, so grouping changes nothing)."""
+    """Where the weights are refined: after 64, 128, ... 8192 symbols, then every
+    8192 (by place in the text only, so grouping changes nothing)."""
     at, step = 0, 64
     while at < longest:
         yield at, at + step
         at += step
-        step = min(1024, at)
+        step = min(8192, at)
 
 
 def mixed_bits(texts: list[bytes], alphabet: Alphabet, odds: np.ndarray,
                weights=WEIGHTS, rate: float = RATE) -> np.ndarray:
     """Bits that coding each text and its end costs (texts of one group)."""
     data, starts, sizes = _laid_out(texts)
-    symbols = alphabet.of_byte[data].astype(np.int64)
-    symbols[starts + sizes - 1] = END
-    base = [s * alphabet.width for s in _slots(data)]
+    symbols, before = _symbols(data, starts, sizes, alphabet)
+    codes = before * alphabet.size + symbols
+    base = [r * alphabet.size for r in _rows(data, before, alphabet)]
     n = len(texts)
     mixer = np.empty((len(alphabet.node), CONTEXTS + 1, n), dtype=np.float32)
     mixer[:, :CONTEXTS] = (np.asarray(weights, dtype=np.float32) / ODDS)[None, :, None]
@@ -312,7 +365,7 @@ def mixed_bits(texts: list[bytes], alphabet: Alphabet, odds: np.ndarray,
         many = np.minimum(sizes[who], high) - low
         at = np.repeat(starts[who] + low - (np.cumsum(many) - many), many)
         at += np.arange(len(at))
-        s = symbols[at]
+        s = codes[at]
         places = [b[at] for b in base]
         for gate, node, sign, more in zip(mixer, alphabet.node, alphabet.sign, alphabet.more):
             runs = np.cumsum(many) - many           # where each text's decisions begin
@@ -394,13 +447,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     tokens = written(learn.mapInArrow(_count_tokens, "token binary, n long, byte int")
                      .groupBy("token", "byte").agg(F.sum("n").alias("n")), "tokens")
     words = tokens.filter("token IS NOT NULL")
-    n_bytes = {r["byte"]: r["n"] for r in tokens.filter("token IS NULL").collect()}  # 257 at most
-    texts = n_bytes.get(256, 0)
+    pairs = np.zeros(256 * 257, dtype=np.int64)
+    for r in tokens.filter("token IS NULL").collect():          # 256 * 257 at most
+        pairs[r["byte"]] = r["n"]
+    pairs = pairs.reshape(256, 257)
+    texts = int(pairs[:, 256].sum())
     total = words.agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).first()
     train_tokens, distinct = (total["n"] or 0) + texts, total["v"] + (texts > 0)
     common = words.filter(F.col("n") * HEAD >= train_tokens).toArrow()
     head = dict(zip(common["token"].to_pylist(), np.log10(common["n"].to_numpy() + 1.0).tolist()))
-    alphabet = Alphabet([n_bytes.get(b, 0) for b in range(256)], texts)
+    alphabet = Alphabet(pairs)
     model = spark.sparkContext.broadcast((context_odds(learn, alphabet), head))
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"),
