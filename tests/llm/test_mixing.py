@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_fixtures import SF_SMALL
 from llm_fixtures import make_docs, documents, texts  # noqa: F401
@@ -48,11 +49,11 @@ def test_query_baseline_by_hand(spark, texts, monkeypatch, head):
 @pytest.fixture(scope="module")
 def trained(spark, documents):
     learn = documents.filter("pmod(crc32(cast(cast(doc_id AS string) AS binary)), 7) <> 2").select("text")
-    histogram = np.zeros(257, dtype=np.int64)
+    pairs = np.zeros((256, 257), dtype=np.int64)
     for r in learn.collect():
-        histogram[:256] += np.bincount(np.frombuffer(mixing.lowered(r["text"]), np.uint8), minlength=256)
-        histogram[256] += 1
-    alphabet = mixing.Alphabet(histogram[:256], int(histogram[256]))
+        data = [10, *mixing.lowered(r["text"]), 256]
+        np.add.at(pairs, (data[:-1], data[1:]), 1)
+    alphabet = mixing.Alphabet(pairs)
     return alphabet, mixing.context_odds(learn, alphabet)
 
 
@@ -98,12 +99,11 @@ def _symbol_bits(data, at, trained):
     costs: all within the first stretch, so the weights are the first ones."""
     alphabet, odds = trained
     whole, starts, sizes = mixing._laid_out([data])
-    symbols = alphabet.of_byte[whole].astype(np.int64)
-    symbols[starts + sizes - 1] = mixing.END
+    symbols, before = mixing._symbols(whole, starts, sizes, alphabet)
     spot = starts[0] + at
-    rows = [s[spot] * alphabet.width for s in mixing._slots(whole)]
+    rows = [r[spot] * alphabet.size for r in mixing._rows(whole, before, alphabet)]
     cost = 8.0 if symbols[spot] == mixing.ESCAPE else 0.0
-    for node, bit in alphabet.paths[symbols[spot]]:
+    for node, bit in alphabet.paths[before[spot]][symbols[spot]]:
         total = sum(w / mixing.ODDS * odds[r + node] for w, r in zip(mixing.WEIGHTS, rows))
         p = 1 / (1 + math.exp(-total))
         cost -= math.log2(p if bit else 1 - p)
@@ -123,14 +123,34 @@ def test_score_does_not_depend_on_company(texts, trained):
     assert np.allclose(together, alone, rtol=1e-4)
 
 
-def test_codes_are_a_full_tree():
-    histogram = [0] * 256
-    for b, n in ((97, 10), (98, 1), (32, 1 << 40)):
-        histogram[b] = n
-    alphabet = mixing.Alphabet(histogram, 5)
-    assert math.isclose(sum(2.0 ** -len(p) for p in alphabet.paths), 1.0)
-    assert len({tuple(b for _, b in p) for p in alphabet.paths}) == alphabet.size
-    assert max(alphabet.length) < 16
+def test_codes_are_full_trees_and_rows_belong_to_one():
+    pairs = np.zeros((256, 257), dtype=np.int64)
+    for p, b, n in ((97, 32, 10), (98, 97, 1), (32, 97, 1 << 40), (97, 256, 5)):
+        pairs[p, b] = n
+    for table in (pairs, np.zeros_like(pairs)):
+        alphabet = mixing.Alphabet(table)
+        for tree in alphabet.paths:
+            assert math.isclose(sum(2.0 ** -len(p) for p in tree), 1.0)
+            assert len({tuple(b for _, b in p) for p in tree}) == alphabet.size
+            assert max(map(len, tree)) < 20
+        at = 0
+        for bits, first, rows in zip(mixing.SLOT_BITS, alphabet.first, alphabet.rows):
+            assert first[0] == at and rows.min() >= 1 and rows.sum() <= 1 << bits
+            assert (np.diff(first) == rows[:-1]).all()
+            at += 1 << bits
+
+
+def test_pairs_are_counted():
+    batch = pa.RecordBatch.from_pydict({"t": ["Ab b", None, "", "a\n"]})
+    out = list(mixing._count_tokens([batch]))
+    got = dict(zip(out[-1]["byte"].to_pylist(), out[-1]["n"].to_pylist()))
+    want = Counter()
+    for t in ("ab b", "", "", "a\n"):
+        data = [10, *t.encode(), 256]
+        want.update(257 * x + y for x, y in zip(data, data[1:]))
+    assert got == want
+    words = {w: n for b in out for w, n in zip(b["token"].to_pylist(), b["n"].to_pylist()) if w}
+    assert words == {b"ab": 1, b"b": 1, b"a": 1}
 
 
 def test_blocks_pack_and_merge(spark):
@@ -139,7 +159,7 @@ def test_blocks_pack_and_merge(spark):
     assert (mixing._unpacked(mixing._packed(counts)) == counts).all()
     rows = [(b, task, mixing._packed(counts)) for b in range(3) for task in range(70)]
     blocks = spark.createDataFrame(rows, "block int, part int, counts binary")
-    got = mixing._merged(blocks, 70, lambda c: mixing._packed(c)).collect()
+    got = mixing._merged(blocks, 70, lambda c, _: mixing._packed(c)).collect()
     assert sorted(r["block"] for r in got) == [0, 1, 2]
     assert all((mixing._unpacked(r["odds"]) == 70 * counts).all() for r in got)
 
