@@ -63,7 +63,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     found = written(
         rows.select("doc_id", "text_hash", F.explode(F.expr(_HASHES)).alias("h"))
         .join(small_side(sketch), "h").select("doc_id", "text_hash", "item_id").distinct(), "candidates")
-    suspects = found.select("doc_id", "text_hash").distinct()
+    suspects = small_side(written(found.select("doc_id", "text_hash").distinct(), "suspects"),
+                          1_000_000)
     again = rows.alias("d").join(
         suspects.alias("f"), F.expr("d.text_hash = f.text_hash AND d.doc_id <=> f.doc_id"),
         "left_semi")
@@ -83,6 +84,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """``docs`` without the rows whose text contains an item."""
     hits = written(contaminated(docs, items, id_col, text_col)
                    .select("doc_id", "text_hash").distinct(), "contaminated")
+    hits = small_side(hits, 1_000_000)
     return docs.join(hits, (F.xxhash64(docs[text_col]) == hits["text_hash"])
                      & docs[id_col].eqNullSafe(hits["doc_id"]), "left_anti")
 

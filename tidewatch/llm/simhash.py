@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import document_batches, fresh, table, written
+from .common import document_batches, fresh, small_side, table, written
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -224,16 +224,22 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     (fp,) = fresh(docs, "fp")
     document_batches(docs.sparkSession)
     marked = written(docs.withColumn(fp, _fingerprints(F.col(text_col))), "marked")
-    rows = grouped(marked.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp")), max_bits)
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")
-    each = written(rows.groupBy("root", "doc_id", "fp").agg(F.count(F.lit(1)).alias("n")), "each")
-    stay = each.groupBy("root").agg(F.min(key).alias("k")).select("root", "k.doc_id", "k.fp")
-    same = F.expr("e.root = s.root AND e.fp = s.fp AND e.doc_id <=> s.doc_id")
-    drop = written(each.alias("e").join(stay.alias("s"), same, "left_anti").select("doc_id", "fp"),
-                   "near-copies")
-    kept = marked.join(drop, (marked[fp] == drop["fp"]) & marked[id_col].eqNullSafe(drop["doc_id"]),
-                       "left_anti")
-    if not each.filter("n > 1").isEmpty():
+    pairs = written(marked.groupBy(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp"))
+                    .agg(F.count(F.lit(1)).alias("n")), "pairs")
+    # the row to keep of each fingerprint, then of each component: joins meet one row
+    # a fingerprint, however many rows share it
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")
+    reps = written(pairs.groupBy("fp").agg(F.min(key).alias("k")), "distinct-fps")
+    roots = written(components(links(reps, max_bits)), "roots").withColumnRenamed("node", "fp")
+    stay = reps.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(
+        F.min(F.struct("k.no_id", "k.doc_id", "fp")).alias("k")).select("k.fp", "k.doc_id")
+    drop = written(pairs.alias("p").join(
+        stay.alias("s"), F.expr("p.fp = s.fp AND p.doc_id <=> s.doc_id"), "left_anti")
+        .select("doc_id", "fp"), "near-copies")
+    small = small_side(drop, 1_000_000)
+    kept = marked.join(small, (marked[fp] == small["fp"])
+                       & marked[id_col].eqNullSafe(small["doc_id"]), "left_anti")
+    if not pairs.filter("n > 1").isEmpty():
         kept = kept.dropDuplicates([id_col, fp])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
