@@ -36,9 +36,26 @@ def test_flow_counts_sum_to_packets(spark):
     assert f.agg(F.sum("pkt_count")).first()[0] == p.count()
 
 
-def test_one_shuffle_for_window_and_group(spark):
-    plan = fl.flow_features(_packets(spark))._jdf.queryExecution().executedPlan().toString()
-    assert "Window" in plan
+def test_packets_are_shuffled_once(spark, capsys):
+    """Two exchanges: packets on (key, bucket), the small table on the key."""
+    fl.flow_features(_packets(spark)).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 2 and "Join" not in plan
+
+
+def test_std_of_extreme_stamps_does_not_depend_on_buckets(spark):
+    far = 1 << 62
+    rows = [("c", k, (k % 2) * far, "1.1.1.1", "2.2.2.2", 6, 1, 2, 60, 2) for k in range(13)]
+    rows += [("c", 13 + k, k * 8, "1.1.1.1", "2.2.2.2", 6, 1, 2, 60, 2) for k in range(13)]
+    std = [fl.flow_features(_rows(spark, rows), span).first()["std_iat"]
+           for span in (1, 3, fl.DEFAULT_BUCKET_SPAN)]
+    assert std[0] > 1e12
+    assert all(abs(s / std[0] - 1) < 1e-9 for s in std)
+
+
+def test_captures_without_packets_make_no_flow(spark):
+    rows = [("c", None, None, None, None, None, None, None, None, None)]
+    assert fl.flow_features(_rows(spark, rows)).collect() == []
 
 
 def _rows(spark, rows):

@@ -1,19 +1,22 @@
-"""Runs table lifecycle and the capture stream (availableNow, rerun adds nothing)."""
+"""Runs table lifecycle and the capture stream: nothing lost, nothing twice."""
 
+import json
 import os
-import shutil
-import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from pcap_bytes import ether, ipv4, pcap, tcp
 from tidewatch.operators import runs as RU
 from tidewatch.streaming import capture_stream as ST
 
+FRAME = ether(ipv4("10.0.0.1", "10.0.0.2", 6, tcp(1, 80, 0x18)))
+GOOD = pcap([(1, i * 100000, FRAME) for i in range(5)])
 
-def test_runs_lifecycle(spark):
-    d = tempfile.mkdtemp(prefix="runs-")
-    table = os.path.join(d, "runs")
+
+def test_runs_lifecycle(spark, tmp_path):
+    table = str(tmp_path / "runs")
+    assert RU.read(spark, table).count() == 0
     files = spark.createDataFrame([("/x/a.pcap",), ("/x/b.pcap",)], "path string")
     RU.upsert(spark, table, RU.queued(files))
     runs = RU.read(spark, table)
@@ -30,22 +33,100 @@ def test_runs_lifecycle(spark):
     assert RU.history(RU.read(spark, table)).count() == 2
     RU.clear(spark, table)
     assert RU.read(spark, table).count() == 0
+    RU.upsert(spark, table, RU.queued(files))
+    assert RU.read(spark, table).count() == 2
+
+
+def test_a_version_written_again_replaces_itself_only(spark, tmp_path):
+    table = str(tmp_path / "runs")
+    one, two = (spark.createDataFrame([(f"/x/{n}.pcap",)], "path string") for n in "ab")
+    RU.upsert(spark, table, RU.queued(one), 0)
+    RU.upsert(spark, table, RU.queued(two), 1)
+    RU.upsert(spark, table, RU.queued(two), 1)
+    assert sorted(r.filename for r in RU.read(spark, table).collect()) == ["a.pcap", "b.pcap"]
+
+
+def test_an_unreadable_table_raises_and_is_not_replaced(spark, tmp_path):
+    table = tmp_path / "runs"
+    RU.upsert(spark, str(table), RU.queued(spark.createDataFrame([("/x/a.pcap",)], "path string")), 0)
+    (table / "version=0" / "part-broken.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        RU.read(spark, str(table)).collect()
+    RU.upsert(spark, str(table), RU.queued(spark.createDataFrame([("/x/b.pcap",)], "path string")), 1)
+    (table / "version=0" / "part-broken.parquet").unlink()
+    assert RU.read(spark, str(table)).count() == 2
+
+
+def _run(spark, src, out, ck, **more):
+    ST.start(spark, str(src), str(out), checkpoint=str(ck), available_now=True, **more).awaitTermination()
+
+
+def _names(rows):
+    return {os.path.basename(r.capture_id): r for r in rows.collect()}
+
+
+def test_stream_available_now_idempotent(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    (src / "one.pcap").write_bytes(GOOD)
+    for ck in ("c", "c", "other"):       # again, then replayed from a new checkpoint
+        _run(spark, src, out, tmp_path / ck)
+        rows = ST.verdicts(spark, str(out)).collect()
+        assert len(rows) == 1 and rows[0].flows_analyzed == 1
+        assert [r.status for r in ST.runs(spark, str(out)).collect()] == ["completed"]
+
+
+def test_later_batches_and_streams_keep_history(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    (src / "one.pcap").write_bytes(GOOD)
+    _run(spark, src, out, tmp_path / "c")
+    (src / "two.pcap").write_bytes(GOOD)
+    _run(spark, src, out, tmp_path / "c")
+    (src / "three.pcap").write_bytes(GOOD)
+    _run(spark, src, out, tmp_path / "new")
+    assert set(_names(ST.verdicts(spark, str(out)))) == {"one.pcap", "two.pcap", "three.pcap"}
+    assert ST.runs(spark, str(out)).count() == 3
+
+
+def test_every_capture_ends_in_one_run_row(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    (src / "good.pcap").write_bytes(GOOD)
+    (src / "cut.pcap").write_bytes(GOOD[:-3])
+    (src / "bad.pcap").write_bytes(b"nonsense")
+    (src / "empty.cap").write_bytes(pcap([]))
+    (src / "large.pcap").write_bytes(GOOD * 3)
+    _run(spark, src, out, tmp_path / "c", max_bytes=2 * len(GOOD))
+    runs = {r.filename: r for r in ST.runs(spark, str(out)).collect()}
+    assert {n: r.status for n, r in runs.items()} == {
+        "good.pcap": "completed", "cut.pcap": "failed", "bad.pcap": "failed",
+        "empty.cap": "completed", "large.pcap": "failed"}
+    assert "above the limit" in runs["large.pcap"].error and "truncated" in runs["cut.pcap"].error
+    assert json.loads(runs["empty.cap"].result)["status"] == "Unknown"
+    assert all(r.progress == 100 and r.completed_at is not None for r in runs.values())
+    verdicts = _names(ST.verdicts(spark, str(out)))
+    assert verdicts["cut.pcap"].flows_analyzed == 1 and verdicts["large.pcap"].status == "Unknown"
+
+
+def test_a_crash_between_the_writes_is_made_good(spark, tmp_path, monkeypatch):
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    (src / "one.pcap").write_bytes(GOOD)
+    real = RU.finish
+
+    def broken(*_):
+        raise RuntimeError("lost")
+    monkeypatch.setattr(ST.runs_op, "finish", broken)
+    with pytest.raises(Exception):
+        _run(spark, src, out, tmp_path / "c")
+    assert [r.status for r in ST.runs(spark, str(out)).collect()] == ["queued"]
+    monkeypatch.setattr(ST.runs_op, "finish", real)
+    _run(spark, src, out, tmp_path / "c")
+    assert [r.status for r in ST.runs(spark, str(out)).collect()] == ["completed"]
+    assert ST.verdicts(spark, str(out)).count() == 1
 
 
-def test_stream_available_now_idempotent(spark):
-    src = tempfile.mkdtemp(prefix="in-")
-    out = os.path.join(tempfile.mkdtemp(prefix="out-"), "verdicts")
-    frame = ether(ipv4("10.0.0.1", "10.0.0.2", 6, tcp(1, 80, 0x18)))
-    with open(os.path.join(src, "one.pcap"), "wb") as f:
-        f.write(pcap([(1, i * 100000, frame) for i in range(5)]))
-    ck = os.path.join(tempfile.mkdtemp(prefix="ck-"), "c")
-    ST.start(spark, src, out, checkpoint=ck, available_now=True).awaitTermination()
-    first = spark.read.parquet(out).collect()
-    assert len(first) == 1 and first[0].flows_analyzed == 1
-    ST.start(spark, src, out, checkpoint=ck, available_now=True).awaitTermination()
-    assert spark.read.parquet(out).count() == 1
-    # a new checkpoint replays the file: still one row for that capture
-    ck2 = os.path.join(tempfile.mkdtemp(prefix="ck-"), "c")
-    ST.start(spark, src, out, checkpoint=ck2, available_now=True).awaitTermination()
-    assert spark.read.parquet(out).count() == 1
-    shutil.rmtree(src, ignore_errors=True)
+def test_no_output_yet(spark, tmp_path):
+    assert ST.verdicts(spark, str(tmp_path / "none")).count() == 0
+    assert ST.runs(spark, str(tmp_path / "none")).count() == 0

@@ -51,3 +51,14 @@ def file_extension(name) -> Column:
 def flow_key_text(*cols) -> Column:
     """``src:dst:sport:dport:proto`` text for output (F1)."""
     return F.concat_ws(":", *[col(c).cast("string") for c in cols])
+
+
+def flow_key_parts(key) -> dict[str, Column]:
+    """The five fields of a flow key text (F1); each null when it has not five."""
+    parts = F.split(col(key), ":")
+    five = F.size(parts) == 5
+    out = {}
+    for i, (name, kind) in enumerate((("src_ip", "string"), ("dst_ip", "string"), ("src_port", "int"),
+                                      ("dst_port", "int"), ("proto", "int"))):
+        out[name] = F.when(five, F.get(parts, F.lit(i)).try_cast(kind)).alias(name)
+    return out

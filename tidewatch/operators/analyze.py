@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import capture as cap
 from . import flows as flows_op
 from . import model as model_op
 from . import rules as rules_op
@@ -32,7 +33,12 @@ def label_flows(flows: DataFrame, bundle=None, merge: str = "max") -> DataFrame:
 def analyze(packets: DataFrame, bundle=None, captures: DataFrame | None = None,
             merge: str = "max", bucket_span: int = flows_op.DEFAULT_BUCKET_SPAN,
             with_time: bool = True) -> DataFrame:
-    """Verdict per capture (schema ``VERDICT`` + ``analysis_time``)."""
+    """Verdict per capture (schema ``VERDICT`` + ``analysis_time``).
+
+    Captures are those of ``captures``, or those named in ``packets``: a decoded
+    capture without packets is there as a row of nulls, so it ends as ``Unknown``.
+    ``packets`` is read twice; decode captures into a table first
+    (``capture.decode_once``)."""
     flows = flows_op.flow_features(packets, bucket_span)
     labelled = label_flows(flows, bundle, merge)
     if captures is None:
@@ -40,6 +46,14 @@ def analyze(packets: DataFrame, bundle=None, captures: DataFrame | None = None,
     return verdict_op.verdicts(labelled, captures, with_time=with_time)
 
 
+def analyze_captures(spark, path: str, work: str, bundle=None, merge: str = "max",
+                     max_bytes: int = cap.MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, faults) of the captures under ``path``: they are decoded once,
+    into ``<work>/packets``."""
+    good, bad = cap.split_errors(cap.decode_once(spark, path, f"{work}/packets", max_bytes))
+    return analyze(good, bundle, merge=merge), bad
+
+
 def verdict_json(verdicts: DataFrame) -> DataFrame:
     """(capture_id, result JSON text) for storage in the runs table."""
     body = F.struct(*[c for c in verdicts.columns if c != "capture_id"])

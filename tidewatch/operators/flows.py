@@ -46,7 +46,8 @@ def _square(c):
 
 def _bucket_stats(packets: DataFrame, bucket_span: int) -> DataFrame:
     """One row per (flow, bucket): counts, sums, ends and inner-gap moments."""
-    p = packets.withColumn("bucket", F.expr(f"div(pkt_no, {int(bucket_span)})"))
+    # a capture without packets is one row of nulls: no flow
+    p = packets.filter(F.col("pkt_no").isNotNull()).withColumn("bucket", F.expr(f"div(pkt_no, {int(bucket_span)})"))
     w = Window.partitionBy(*FLOW_KEY, "bucket").orderBy("pkt_no")
     p = p.withColumn("gap", F.col("ts_us") - F.lag("ts_us").over(w))
     tcp = F.col("proto") == 6
@@ -106,7 +107,8 @@ def flow_features(packets: DataFrame, bucket_span: int = DEFAULT_BUCKET_SPAN) ->
         F.sum("dev").alias("gap_m2"),
         F.try_sum(F.coalesce(F.col("g_sum"), F.lit(0)) + F.coalesce(F.col("edge"), F.lit(0)))
         .alias("gap_s1"),
-        F.try_sum(s2).alias("gap_s2"),
+        # a bucket that overflowed leaves no exact sum: null, not the sum of the rest
+        F.when(F.count_if(s2.isNull()) == 0, F.try_sum(s2)).alias("gap_s2"),
         *[F.sum(f"{n}_count").alias(f"{n}_count") for n, _ in FLAG_MASKS],
     )
     return _finish(agg)
@@ -153,12 +155,3 @@ def _std_us():
     nd = n.cast("double")
     exact = F.sqrt(m2n.cast("double") / (nd * nd))
     return F.coalesce(exact, F.sqrt(F.col("gap_m2") / n))
-
-
-def empty_flows(spark) -> DataFrame:
-    """Typed empty flow table."""
-    return spark.createDataFrame([], FLOWS)
-
-
-def flow_key_columns() -> list[str]:
-    return list(FLOW_KEY)

@@ -2,13 +2,13 @@
 
 All are aggregations with map-side partial aggregation: the shuffle carries
 one row per (task, group), never per input row. Array columns (probability
-rows, encodings) are exploded by position and grouped by position, so a
-64-wide column yields 64 groups no matter how many rows there are.
+rows, encodings) are aggregated position by position in one pass, without making
+a row of each cell; what is left is one row, stacked afterwards.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import argmax_index
@@ -31,56 +31,40 @@ def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("count"))
 
 
-def confusion_wide(df: DataFrame, truth: str, pred: str, classes: list) -> DataFrame:
-    """Confusion matrix with one column per predicted class (pivot on the
-    known class list, so no extra pass to find the values)."""
-    return df.groupBy(F.col(truth).alias("truth")).pivot(pred, classes).count().na.fill(0)
-
-
 def classification_report(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """Per-class precision, recall, f1, support, then ``accuracy``,
     ``macro avg`` and ``weighted avg`` rows (A20). A zero denominator gives 0.
-    Class keys are cast to text so summary rows share the column."""
-    t = F.col(truth).cast("string")
-    p = F.col(pred).cast("string")
-    base = df.select(t.alias("t"), p.alias("p"))
-    per_t = base.groupBy(F.col("t").alias("cls")).agg(
-        F.count(F.lit(1)).alias("support"),
-        F.count_if(F.col("t") == F.col("p")).alias("tp"))
-    per_p = base.groupBy(F.col("p").alias("cls")).agg(F.count(F.lit(1)).alias("predicted"))
-    j = per_t.join(per_p, "cls", "full").fillna(0, ["support", "tp", "predicted"])
-    prec = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0)
-    rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
-    rows = j.select(
-        "cls", prec.alias("precision"), rec.alias("recall"), "support", "tp",
-    ).withColumn(
-        "f1", F.when(F.col("precision") + F.col("recall") > 0,
-                     2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
-        .otherwise(0.0))
-    allw = Window.partitionBy()
-    n = F.sum("support").over(allw)
-    rows = rows.withColumns({"_n": n, "_k": F.count(F.lit(1)).over(allw),
-                             "_tp": F.sum("tp").over(allw)})
-    per_class = rows.select(
-        F.col("cls").alias("class"), "precision", "recall", "f1",
-        F.col("support").cast("long").alias("support"))
-    summary = rows.agg(
-        F.first("_n").alias("n"), F.first("_k").alias("k"), F.first("_tp").alias("tp"),
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        (F.sum(F.col("precision") * F.col("support")) / F.first("_n")).alias("wp"),
-        (F.sum(F.col("recall") * F.col("support")) / F.first("_n")).alias("wr"),
-        (F.sum(F.col("f1") * F.col("support")) / F.first("_n")).alias("wf"),
-    )
-    acc = summary.select(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
-                         F.lit(None).cast("double").alias("recall"),
-                         (F.col("tp") / F.col("n")).alias("f1"), F.col("n").cast("long").alias("support"))
-    macro = summary.select(F.lit("macro avg").alias("class"), F.col("mp").alias("precision"),
-                           F.col("mr").alias("recall"), F.col("mf").alias("f1"),
-                           F.col("n").cast("long").alias("support"))
-    weighted = summary.select(F.lit("weighted avg").alias("class"), F.col("wp").alias("precision"),
-                              F.col("wr").alias("recall"), F.col("wf").alias("f1"),
-                              F.col("n").cast("long").alias("support"))
-    return per_class.unionByName(acc).unionByName(macro).unionByName(weighted)
+    Class keys are cast to text so summary rows share the column.
+
+    One confusion table (one scan) gives everything: its rows, as many as pairs of
+    classes, meet in one row whose array the figures are computed on."""
+    t, p = F.col(truth).cast("string"), F.col(pred).cast("string")
+    pairs = df.groupBy(t.alias("t"), p.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    sides = pairs.select(F.explode(F.expr("""array(
+        struct(t AS cls, n AS support, IF(t <=> p, n, 0L) AS tp, 0L AS predicted),
+        struct(p AS cls, 0L AS support, 0L AS tp, n AS predicted))""")).alias("s")).select("s.*")
+    per = sides.groupBy("cls").agg(F.sum("support").alias("support"), F.sum("tp").alias("tp"),
+                                   F.sum("predicted").alias("predicted"))
+    rows = per.select(
+        "cls", "support", "tp",
+        F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0).alias("pr"),
+        F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0).alias("re")) \
+        .withColumn("f1", F.when(F.col("pr") + F.col("re") > 0, 2 * F.col("pr") * F.col("re")
+                                 / (F.col("pr") + F.col("re"))).otherwise(0.0))
+    one = rows.agg(
+        F.collect_list(F.struct(F.col("cls").alias("class"), F.col("pr").alias("precision"),
+                                F.col("re").alias("recall"), "f1", "support")).alias("each"),
+        F.sum("support").alias("n"), F.sum("tp").alias("tp"),
+        *[F.avg(c).alias(f"m_{c}") for c in ("pr", "re", "f1")],
+        *[F.sum(F.col(c) * F.col("support")).alias(f"w_{c}") for c in ("pr", "re", "f1")])
+    summary = F.expr("""array(
+        struct('accuracy' AS class, CAST(NULL AS DOUBLE) AS precision, CAST(NULL AS DOUBLE) AS recall,
+               tp / n AS f1, n AS support),
+        struct('macro avg' AS class, m_pr AS precision, m_re AS recall, m_f1 AS f1, n AS support),
+        struct('weighted avg' AS class, w_pr / n AS precision, w_re / n AS recall, w_f1 / n AS f1,
+               n AS support))""")
+    # an empty table has no accuracy to report
+    return one.filter("n > 0").select(F.explode(F.concat("each", summary)).alias("r")).select("r.*")
 
 
 def write_report(report: DataFrame, path: str, fmt: str = "csv") -> None:
@@ -120,28 +104,61 @@ def prediction_diversity(df: DataFrame, probs: str):
         "single_class": F.col("distinct_predicted") == 1,
         "low_confidence_spread": F.col("max_prob_std") < 0.01,
     })
-    per = df.select(F.posexplode(probs).alias("pos", "p")).groupBy("pos").agg(
-        F.avg("p").alias("mean"), F.min("p").alias("min"), F.max("p").alias("max"),
-        F.stddev_pop("p").alias("std"),
-    ).withColumn("flat", F.col("std") < 0.001)
+    per = _stacked(_per_position(df, probs), ["mean", "min", "max", "std"], "pos") \
+        .withColumn("flat", F.col("std") < 0.001)
     return overall, per
 
 
+def _per_position(df: DataFrame, vec: str, keys=(), width: int | None = None) -> DataFrame:
+    """One row (per ``keys``) of arrays: n, mean, std, min and max of each position
+    of an array column. ``width`` is looked up when not given."""
+    if width is None:
+        width = df.agg(F.max(F.size(vec))).first()[0] or 0
+    aggs = []
+    for i in range(width):
+        x = F.get(vec, F.lit(i)).cast("double")
+        aggs.append((F.count(x), F.avg(x), F.stddev_pop(x), F.min(x), F.max(x)))
+    names = ("n", "mean", "std", "min", "max")
+    if not width:
+        zero = F.array().cast("array<double>")
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).select(
+            *keys, *[zero.alias(n) for n in names])
+    flat = df.groupBy(*keys).agg(*[a.alias(f"{n}{i}") for i, row in enumerate(aggs)
+                                   for n, a in zip(names, row)])
+    return flat.select(*keys, *[F.array(*[F.col(f"{n}{i}") for i in range(width)]).alias(n)
+                                for n in names])
+
+
+def _stacked(arrays: DataFrame, names: list[str], position: str, keys=()) -> DataFrame:
+    """A row per position of parallel arrays."""
+    zipped = F.arrays_zip(*names)
+    return arrays.select(*keys, F.posexplode(zipped).alias(position, "z")).select(
+        *keys, position, *[F.col(f"z.{n}").alias(n) for n in names])
+
+
 def encoding_health(df: DataFrame, vec: str, sample_col: str | None = None):
     """Health of an encoded array column (A22), as two tables:
 
-    * overall mean/std/min/max over every value (flag std < 0.001);
+    * overall mean/std/min/max over every value, with the flags std < 0.001 and mean
+      std over dimensions < 0.01;
     * per dimension mean/std, per sample (e.g. train vs validation) when
-      ``sample_col`` is given, with the flag mean std over dimensions < 0.01.
+      ``sample_col`` is given.
     """
     keys = [sample_col] if sample_col else []
-    exploded = df.select(*keys, F.posexplode(vec).alias("dim", "x"))
-    overall = exploded.groupBy(*keys).agg(
-        F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"),
-        F.min("x").alias("min"), F.max("x").alias("max"),
-    ).withColumn("low_variance", F.col("std") < 0.001)
-    per_dim = exploded.groupBy(*keys, "dim").agg(
-        F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    arrays = _per_position(df, vec, keys)
+    # the whole's moments, merged from the positions'
+    total = "aggregate(n, 0D, (a, x) -> a + x)"
+    weighted = "aggregate(zip_with(n, mean, (a, b) -> a * b), 0D, (a, x) -> a + coalesce(x, 0D))"
+    with_mean = arrays.withColumn("t", F.expr(total)).withColumn(
+        "m", F.expr(f"CASE WHEN t > 0 THEN {weighted} / t END"))
+    spread = ("aggregate(zip_with(zip_with(std, mean, (s, x) -> s * s + (x - m) * (x - m)), n, "
+              "(v, k) -> v * k), 0D, (a, x) -> a + coalesce(x, 0D))")
+    overall = with_mean.select(
+        *keys, F.col("m").alias("mean"), F.sqrt(F.expr(f"CASE WHEN t > 0 THEN {spread} / t END")).alias("std"),
+        F.array_min("min").alias("min"), F.array_max("max").alias("max"),
+        (F.expr("aggregate(std, 0D, (a, x) -> a + coalesce(x, 0D)) / nullif(size(std), 0)") < 0.01)
+        .alias("low_mean_std")).withColumn("low_variance", F.col("std") < 0.001)
+    per_dim = _stacked(arrays, ["mean", "std"], "dim", keys)
     return overall, per_dim
 
 

@@ -14,24 +14,29 @@ from __future__ import annotations
 import json
 import os
 import time
+import uuid
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import PCA
+from pyspark.ml.classification import (GBTClassifier, OneVsRest, OneVsRestModel,
+                                       RandomForestClassificationModel, RandomForestClassifier)
+from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import ATTACK_DESCRIPTIONS
+from ..session import path_exists, shared_path
 from . import metrics as M
 from . import prepare as P
 from . import sampling as S
 
 LATENT = 48
 
-# Artefacts a saved version must hold; either classifier satisfies "classifier".
-REQUIRED_ARTEFACTS = ["pipeline", "prep", "meta"]
+# Artefacts a saved version must hold; of a group any one will do.
+CLASSIFIERS = {"forest": RandomForestClassificationModel, "boosted": OneVsRestModel}
+REQUIRED_ARTEFACTS = [("encoder",), ("prep",), ("meta",), tuple(CLASSIFIERS)]
 
 
 @dataclass
@@ -75,46 +80,54 @@ def build_pipeline(n_features: int, kind: str = "forest", latent: int = LATENT,
                             stepSize=0.1, seed=seed,
                             validationIndicatorCol="is_val", validationTol=0.01)
         clf = OneVsRest(classifier=gbt, featuresCol="latent", labelCol="label_idx",
-                        weightCol="weight")
+                        weightCol="weight", parallelism=4)
     else:
         raise ValueError("kind must be 'forest' or 'boosted'")
     return Pipeline(stages=[pca, clf])
 
 
 def train_job(df: DataFrame, label: str = P.LABEL, kind: str = "forest",
-              encoder_quota: int | None = None, classifier_quota: int | None = None,
-              seed: int = 42, **params):
-    """Train end to end (T11/T12/T13): fit prep on the encoder sample, split
-    64/16/20 exactly by class, weight classes, fit, evaluate.
-
-    ``encoder_quota`` / ``classifier_quota`` bound rows per class (W3 quotas
-    of the batch mode: min(150000, batch // classes) and 2,000,000).
+              classifier_quota: int | None = None, synthetic_share: float = 0.0,
+              report_path: str | None = None, seed: int = 42, **params):
+    """Train end to end (T11/T12/T13): append synthetic ``Normal`` rows when asked
+    and the data has none, fit the preparation on all rows, split 64/16/20 exactly
+    by class, weight classes, fit, evaluate, write the report.
+
+    ``classifier_quota`` bounds the *training* rows per class that the encoder and
+    the classifier are fitted on (the 2,000,000 of the batch mode); test and
+    validation rows are never cut, nor are the rows behind scaler, categories and
+    weights. ``synthetic_share`` is the share of synthetic rows (0.15 in the
+    reference). Prepared rows are written to the shared folder and read from there.
     Returns (bundle, evaluation dict of DataFrames).
     """
     data = df.withColumnRenamed(label, P.LABEL) if label != P.LABEL else df
-    data = data.persist()  # read by the quota, fit and split jobs below
-    order = [S.seeded_order(data, seed), *data.columns]
-    enc_rows = S.first_n_per_group(data, [P.LABEL], order, encoder_quota) if encoder_quota else data
-    enc_rows = enc_rows.persist()  # read by several fit aggregations
-    prep = P.Prep.fit(enc_rows)
-    enc_rows.unpersist()
-    clf_rows = S.first_n_per_group(data, [P.LABEL], order, classifier_quota) if classifier_quota else data
-    split = S.three_way_split(clf_rows, P.LABEL, seed=seed)
+    stats = None
+    if synthetic_share:
+        numeric = P.numeric_columns(data)
+        stats = P.moments_dict(P.feature_moments(P.clean(data), numeric), numeric)
+        data = S.with_synthetic_normal(data, stats, int(data.count() * synthetic_share), seed=seed)
+    prep = P.Prep.fit(data)
+    split = S.three_way_split(data, P.LABEL, seed=seed)
     prepared = _vectorise(prep.transform(split, keep=["split"]))
-    weights = P.class_weights(prepared.filter(F.col("split") == "train").select(P.LABEL))
+    weights = P.fit_weights(split.filter(F.col("split") == "train").select(P.LABEL))
     prepared = P.with_weights(prepared, weights).withColumn(
         "is_val", F.col("split") == "validation")
-    prepared = prepared.persist()
-    prepared.count()
-    data.unpersist()
-    train = prepared.filter(F.col("split") != "test")
-    if kind == "forest":
-        train = train.filter(F.col("split") == "train")
+    spark = df.sparkSession
+    path = shared_path(spark, "training", uuid.uuid4().hex)
+    prepared.write.parquet(path)
+    prepared = spark.read.parquet(path)
+    train = prepared.filter(F.col("split") == "train")
+    if classifier_quota:
+        order = [S.seeded_order(train, seed, exclude=["fvec"]), "features"]
+        train = S.first_n_per_group(train, [P.LABEL], order, classifier_quota)
+    if kind == "boosted":      # early stopping looks at the validation rows
+        train = train.unionByName(prepared.filter(F.col("split") == "validation"))
     pipe = build_pipeline(len(prep.features), kind, seed=seed, **params).fit(train)
-    version = time.strftime("%Y%m%d_%H%M%S")
-    bundle = Bundle(prep=prep, pipeline=pipe, kind=kind, version=version)
-    scored = score_prepared(bundle, prepared)
-    evaluation = evaluate(bundle, scored)
+    version = time.strftime("%Y%m%d_%H%M%S") + f"_{uuid.uuid4().hex[:6]}"
+    bundle = Bundle(prep=prep, pipeline=pipe, kind=kind, version=version, normal_stats=stats)
+    evaluation = evaluate(bundle, score_prepared(bundle, prepared))
+    if report_path:
+        M.write_report(evaluation["report"], report_path)
     return bundle, evaluation
 
 
@@ -165,9 +178,9 @@ def reconstruction(bundle: Bundle, prepared_scored: DataFrame) -> DataFrame:
     pca = bundle.pipeline.stages[0]
     pc = pca.pc.toArray()  # features x k, fit result
     lat = vector_to_array(F.col("latent"))
-    rows = [F.aggregate(F.zip_with(lat, F.array(*[F.lit(float(v)) for v in pc[i]]),
-                                   lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-            for i in range(pc.shape[0])]
+    # one array literal per feature, not a literal per cell
+    rows = [F.aggregate(F.zip_with(lat, F.lit(np.ascontiguousarray(pc[i])), lambda a, b: a * b),
+                        F.lit(0.0), lambda s, x: s + x) for i in range(pc.shape[0])]
     x = F.transform(F.col("features"), lambda v: v.cast("double"))
     df = prepared_scored.select(x.alias("x"), F.array(*rows).alias("xhat"))
     return M.reconstruction_error(df, "x", "xhat")
@@ -190,11 +203,13 @@ def importances(bundle: Bundle, spark: SparkSession, top: int = 20) -> DataFrame
 # --- persistence (S9, S10, S11, O5, J6) --------------------------------------
 
 def save(bundle: Bundle, root: str, make_current: bool = True) -> str:
-    """Write ``<root>/version=<v>/{pipeline,prep,meta}`` and, when asked, the
+    """Write ``<root>/version=<v>/{encoder,<kind>,prep,meta}`` and, when asked, the
     ``current`` pointer row. Nothing is copied."""
     spark = SparkSession.getActiveSession()
     base = os.path.join(root, f"version={bundle.version}")
-    bundle.pipeline.write().overwrite().save(os.path.join(base, "pipeline"))
+    encoder, classifier = bundle.pipeline.stages
+    encoder.write().overwrite().save(os.path.join(base, "encoder"))
+    classifier.write().overwrite().save(os.path.join(base, bundle.kind))
     spark.createDataFrame([(bundle.prep.to_json(),)], "prep string") \
         .coalesce(1).write.mode("overwrite").json(os.path.join(base, "prep"))
     meta = {"version": bundle.version, "kind": bundle.kind,
@@ -225,25 +240,32 @@ def load(spark: SparkSession, root: str, version: str | None = None) -> Bundle:
     missing = missing_artefacts(spark, base)
     if missing:
         raise FileNotFoundError(f"version {version} lacks {missing}")
-    pipe = PipelineModel.load(os.path.join(base, "pipeline"))
     prep = P.Prep.from_json(spark.read.json(os.path.join(base, "prep")).first()["prep"])
     meta = json.loads(spark.read.json(os.path.join(base, "meta")).first()["meta"])
-    return Bundle(prep=prep, pipeline=pipe, kind=meta["kind"], version=version,
-                  normal_stats=meta.get("normal_stats") or None)
+    # the classifier it was saved with, else whichever is there
+    kind = next(k for k in (meta["kind"], *CLASSIFIERS) if path_exists(spark, os.path.join(base, k)))
+    pipe = PipelineModel([PCAModel.load(os.path.join(base, "encoder")),
+                          CLASSIFIERS[kind].load(os.path.join(base, kind))])
+    stats = {k: tuple(v) for k, v in (meta.get("normal_stats") or {}).items()}
+    return Bundle(prep=prep, pipeline=pipe, kind=kind, version=version,
+                  normal_stats=stats or None)
 
 
 def artefact_status(spark: SparkSession, base: str) -> DataFrame:
-    """Required artefacts left-anti the ones present (J6): rows are missing."""
-    present = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-               .load(base).select("path")
-               .select(F.regexp_extract("path", r"version=[^/]+/([^/]+)/", 1).alias("artefact"))
-               .distinct())
-    req = spark.createDataFrame([(a,) for a in REQUIRED_ARTEFACTS], "artefact string")
-    return req.join(present, "artefact", "left_anti")
+    """Required artefacts left-anti the ones present (J6): rows are missing. An
+    artefact that several can stand for is missing when none of them is there."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .load(base).select("path"))
+    present = files.select(F.regexp_extract("path", r"version=[^/]+/([^/]+)/", 1).alias("name")).distinct()
+    names = spark.createDataFrame([(" or ".join(g), n) for g in REQUIRED_ARTEFACTS for n in g],
+                                  "artefact string, name string")
+    there = names.join(present, "name", "left_semi").select("artefact")
+    return names.select("artefact").distinct().join(there, "artefact", "left_anti")
 
 
 def missing_artefacts(spark: SparkSession, base: str) -> list[str]:
-    try:
-        return [r[0] for r in artefact_status(spark, base).collect()]
-    except Exception:  # noqa: BLE001 - a missing folder means all are missing
-        return list(REQUIRED_ARTEFACTS)
+    """Names of missing artefacts; of a folder that does not exist, all. Any other
+    failure to list raises."""
+    if not path_exists(spark, base):
+        return [" or ".join(g) for g in REQUIRED_ARTEFACTS]
+    return sorted(r[0] for r in artefact_status(spark, base).collect())

@@ -1,7 +1,7 @@
 """Table preparation for the models.
 
-Fits are one-pass aggregations whose small results (column names, category
-lists, one row of moments, class list) come to the driver and are frozen in
+A fit is a few aggregations (distinct values of each text column, moments,
+classes) over all rows, whose small results come to the driver and are frozen in
 a ``Prep`` object; transforms are narrow projections, so applying a fit to a
 100 TB table is one scan with no shuffle.
 """
@@ -96,11 +96,23 @@ def clean(df: DataFrame, label: str = LABEL) -> DataFrame:
     return df.select(*cols)
 
 
-def align(df: DataFrame, features: list[str], label: str | None = LABEL) -> DataFrame:
-    """Exactly ``features`` in that order (missing ones as 0), plus the label
-    when present (P5, P6, P7): one ``select``, no column-by-column chain."""
+def column_types(df: DataFrame) -> dict[str, str]:
+    """Type names by column, to freeze beside a feature list."""
+    return {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+
+def _zero(name: str, types: dict[str, str]):
+    """What a missing column holds: 0 of its type, the text '0' in a text column."""
+    kind = types.get(name, "double")
+    return F.lit("0" if kind == "string" else 0).cast(kind).alias(name)
+
+
+def align(df: DataFrame, features: list[str], label: str | None = LABEL,
+          types: dict[str, str] | None = None) -> DataFrame:
+    """Exactly ``features`` in that order (missing ones as 0 of their frozen type),
+    plus the label when present (P5, P6, P7): one ``select``."""
     have = set(df.columns)
-    cols = [F.col(c) if c in have else F.lit(0).alias(c) for c in features]
+    cols = [F.col(c) if c in have else _zero(c, types or {}) for c in features]
     if label and label in have:
         cols.append(F.col(label))
     return df.select(*cols)
@@ -113,17 +125,16 @@ MAX_CATEGORIES = 10_000
 
 def fit_categories(df: DataFrame, columns: list[str],
                    max_categories: int = MAX_CATEGORIES) -> dict[str, list[str]]:
-    """Sorted distinct values of each text column. The result is as large as
-    the categories, not the table; a cheap approximate count first refuses a
-    column too wide to one-hot (an id or address left among the features)."""
-    if not columns:
-        return {}
-    approx = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    wide = [c for c in columns if approx[c] > max_categories]
-    if wide:
-        raise ValueError(f"too many categories to one-hot: {wide}")
-    row = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns]).first()
-    return {c: list(row[c]) for c in columns}
+    """Sorted distinct values of each text column. A column with more than
+    ``max_categories`` values (an id or address left among the features) gets an
+    empty list, which drops that column alone. At most one value above the limit
+    of a column reaches the driver."""
+    out = {}
+    for c in columns:
+        values = [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct()
+                  .limit(max_categories + 1).collect()]
+        out[c] = sorted(values) if len(values) <= max_categories else []
+    return out
 
 
 def one_hot(df: DataFrame, categories: dict[str, list[str]], drop_first: bool = True) -> DataFrame:
@@ -140,13 +151,6 @@ def one_hot(df: DataFrame, categories: dict[str, list[str]], drop_first: bool =
 
 # --- scaler (T2) and moments (A12, A13, A14) --------------------------------
 
-def _stacked(df: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, value) long form, one pass; aggregation on it is a partial
-    aggregate per map task, so the shuffle carries features x tasks rows."""
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in features)
-    return df.select(F.expr(f"stack({len(features)}, {pairs}) AS (feature, value)"))
-
-
 def fit_scaler(df: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population std per feature; a zero std scales by 1."""
     row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)],
@@ -172,34 +176,19 @@ def scale(df: DataFrame, stats: dict[str, tuple[float, float]], label: str | Non
     return df.select(*cols)
 
 
-def scale_expr(df: DataFrame, features: list[str]) -> DataFrame:
-    """Fit and apply in one plan: the moments come from a global window over
-    a one-row aggregate joined back (T2 as a pure DataFrame plan)."""
-    aggs = df.agg(*[F.avg(c).alias(f"__m_{c}") for c in features],
-                  *[F.stddev_pop(c).alias(f"__s_{c}") for c in features])
-    j = df.crossJoin(F.broadcast(aggs))  # one row: size is fixed
-    cols = []
-    for c in df.columns:
-        if c in features:
-            s = F.col(f"__s_{c}")
-            s = F.when(s.isNull() | (s == 0), 1.0).otherwise(s)
-            cols.append(((F.col(c) - F.col(f"__m_{c}")) / s).alias(c))
-        else:
-            cols.append(F.col(c))
-    return j.select(*cols)
-
-
 def feature_moments(df: DataFrame, features: list[str]) -> DataFrame:
     """Per feature: mean, sample std, min, max, count (A14), plus the floored
     std used for synthetic rows: max(std, 0.01 * |mean|, or 0.01 when mean
     is 0), NaN mean -> 0, NaN std -> 1 (A12)."""
-    s = _stacked(df, features).groupBy("feature").agg(
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.count("value").alias("n"),
-    )
+    aggs = []
+    for i, c in enumerate(features):
+        x = F.col(c).cast("double")
+        aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
+                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), F.count(x).alias(f"n{i}")]
+    # one row of moments, stacked into a row per feature
+    rows = ", ".join(f"'{c}', mean{i}, std{i}, min{i}, max{i}, n{i}" for i, c in enumerate(features))
+    s = df.agg(*aggs).select(F.expr(
+        f"stack({len(features)}, {rows}) AS (feature, mean, std, min, max, n)"))
     mean0 = F.coalesce(F.when(~F.isnan("mean"), F.col("mean")), F.lit(0.0))
     std1 = F.coalesce(F.when(~F.isnan("std"), F.col("std")), F.lit(1.0))
     floor = F.when(mean0 != 0, 0.01 * F.abs(mean0)).otherwise(0.01)
@@ -233,9 +222,17 @@ def normal_baseline(normal: DataFrame) -> DataFrame:
 
 # --- labels (T3, J3) and class tables (A9, A10, A11, J4, W5) ---------------
 
+MAX_CLASSES = 10_000
+
+
 def fit_labels(df: DataFrame, label: str = LABEL) -> list[str]:
-    """Sorted distinct labels (T3); as large as the class set."""
-    return [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
+    """Sorted distinct labels (T3), nulls aside; above ``MAX_CLASSES`` the column
+    holds no classes, which raises."""
+    rows = df.select(label).filter(F.col(label).isNotNull()).distinct() \
+        .limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} values")
+    return sorted(r[0] for r in rows)
 
 
 def label_index(df: DataFrame, classes: list[str], label: str = LABEL,
@@ -276,12 +273,22 @@ def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
     )
 
 
-def with_weights(df: DataFrame, weights: DataFrame, label: str = LABEL,
+def fit_weights(df: DataFrame, label: str = LABEL) -> dict[str, float]:
+    """Balanced weight by class, from one row per class."""
+    rows = class_weights(df, label).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} values")
+    return {r[label]: r["weight"] for r in rows if r[label] is not None}
+
+
+def with_weights(df: DataFrame, weights: dict[str, float], label: str = LABEL,
                  out: str = "weight") -> DataFrame:
-    """Per-row weight by class, 1.0 when the class has none (J4). The weight
-    table has one row per class; AQE broadcasts it at run time."""
-    w = weights.select(F.col(label), F.col("weight").alias(out))
-    return df.join(w, label, "left").withColumn(out, F.coalesce(F.col(out), F.lit(1.0)))
+    """Per-row weight by class, 1.0 when the class has none (J4): a look-up in a
+    map literal, so no row is shuffled."""
+    if not weights:
+        return df.withColumn(out, F.lit(1.0))
+    m = F.create_map(*[x for k, w in sorted(weights.items()) for x in (F.lit(k), F.lit(float(w)))])
+    return df.withColumn(out, F.coalesce(m[F.col(label)], F.lit(1.0)))
 
 
 # --- the fitted preprocessor (T4) ------------------------------------------
@@ -295,6 +302,7 @@ class Prep:
     scaler: dict = field(default_factory=dict)
     classes: list[str] = field(default_factory=list)
     label: str = LABEL
+    types: dict = field(default_factory=dict)               # of the raw features
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -309,13 +317,14 @@ class Prep:
     @staticmethod
     def fit(df: DataFrame, all_features: list[str] | None = None, label: str = LABEL) -> "Prep":
         names = all_features or [c for c in df.columns if c != label]
-        data = align(clean(df, label), names, label)
+        types = {c: t for c, t in column_types(df).items() if c in set(names)}
+        data = align(clean(df, label), names, label, types)
         cats = fit_categories(data, string_columns(data, (label,)))
         encoded = one_hot(data, cats)
         feats = [c for c in encoded.columns if c != label]
         return Prep(features=feats, raw_features=names, categories=cats,
                     scaler=fit_scaler(encoded, feats), classes=fit_labels(df, label),
-                    label=label)
+                    label=label, types=types)
 
     def transform(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
         """Apply the frozen state: categories first, then alignment (K9);
@@ -326,11 +335,11 @@ class Prep:
         raw = set(self.raw_features)
         passthru = [c for c in data.columns
                     if (c == self.label or c in keep) and c not in raw]
-        data = data.select(*[F.col(c) if c in have else F.lit(0).alias(c)
+        data = data.select(*[F.col(c) if c in have else _zero(c, self.types)
                              for c in self.raw_features], *passthru)
         encoded = one_hot(data, self.categories)
         have = set(encoded.columns)
-        feats = [F.col(c) if c in have else F.lit(0).alias(c) for c in self.features]
+        feats = [F.col(c) if c in have else F.lit(0).cast("int").alias(c) for c in self.features]
         scaled = scale(encoded.select(*feats, *passthru), self.scaler, None, as_float=True)
         out = scaled.select(F.array(*[F.col(c) for c in self.features]).alias("features"),
                             *passthru)

@@ -1,6 +1,10 @@
 """The ``analysis_runs`` table: one row per submitted capture (C6, J7, O4,
-U5, F8, F10). Stored as a parquet table in the shared folder; every change
-is a DataFrame write, so the history survives the process.
+U5, F8, F10).
+
+Stored as parquet in the shared folder, as versions: a change appends rows in a
+partition of its own and a read takes the newest version of each id. Nothing that
+was written is read or rewritten to make a change, so a failed or repeated write
+cannot lose history and costs as much as its own rows.
 """
 
 from __future__ import annotations
@@ -9,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import ANALYSIS_RUNS
+from ..session import path_exists
 
 
 def run_id(path_col="file_path"):
@@ -93,23 +98,41 @@ def empty(spark: SparkSession) -> DataFrame:
 
 
 def clear(spark: SparkSession, path: str) -> None:
-    """Empty the history (U5): overwrite with an empty frame."""
-    empty(spark).write.mode("overwrite").parquet(path)
+    """Empty the history (U5): overwrite all versions with an empty frame."""
+    empty(spark).withColumn("version", F.lit(0).cast("long")) \
+        .write.mode("overwrite").option("partitionOverwriteMode", "static") \
+        .partitionBy("version").parquet(path)
+
+
+def newest(versions: DataFrame) -> DataFrame:
+    """Of each id the row written last: by its time, then by version."""
+    row = F.struct(*ANALYSIS_RUNS.fieldNames())
+    age = F.struct(F.coalesce("completed_at", "created_at"), "version")
+    return versions.groupBy(F.col("id").alias("_id")).agg(F.max_by(row, age).alias("r")) \
+        .select("r.*")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(ANALYSIS_RUNS).parquet(path)
-    except Exception:  # noqa: BLE001 - no table yet
+    """The newest row of each run; no table yet is an empty one. Any other
+    failure to read raises."""
+    if not path_exists(spark, path):
         return empty(spark)
+    schema = f"{_ddl()}, version long"
+    return newest(spark.read.schema(schema).parquet(path))
+
+
+def _ddl() -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ANALYSIS_RUNS.fields)
 
 
-def upsert(spark: SparkSession, path: str, rows: DataFrame) -> None:
-    """Replace rows with the same id, append the rest. The new table is
-    written beside the old one and then becomes it, so a failed write leaves
-    the old table intact."""
-    old = read(spark, path)
-    merged = old.join(rows.select("id"), "id", "left_anti").unionByName(rows)
-    tmp = path.rstrip("/") + "__next"
-    merged.write.mode("overwrite").parquet(tmp)
-    spark.read.parquet(tmp).write.mode("overwrite").parquet(path)
+def upsert(spark: SparkSession, path: str, rows: DataFrame, version: int | None = None) -> None:
+    """Put ``rows`` in as a version. Writing a version again replaces that version
+    only; without a number the next free one is taken (one writer at a time)."""
+    if version is None:
+        version = 0
+        if path_exists(spark, path):
+            last = spark.read.schema(f"{_ddl()}, version long").parquet(path) \
+                .agg(F.max("version")).first()[0]
+            version = 0 if last is None else last + 1
+    rows.select(*ANALYSIS_RUNS.fieldNames()).write.mode("overwrite") \
+        .parquet(f"{path.rstrip('/')}/version={int(version)}")

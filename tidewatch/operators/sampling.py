@@ -1,91 +1,237 @@
-"""Exact per-group ranks, quotas, splits and samples.
-
-``row_number() over (partition by g order by k)`` puts a whole group in one
-task; with one class holding a third of the rows that is one task holding a
-third of the data. ``group_rank`` gives the same ranks without that, using
-deterministic expressions only (so a recomputed task gives the same ranks):
-
-1. one aggregation counts the rows per group; if the largest group fits one
-   task (``rows_per_bucket``) a plain window is used;
-2. otherwise approximate quantiles of the leading order column cut every
-   group into B buckets (bucket = boundaries below the value, monotone in the
-   order), so a hot group spreads over B window tasks;
-3. ``row_number`` inside (group, bucket), plus the rows of the group's
-   earlier buckets from a small (groups x B) table joined back, which AQE
-   broadcasts when small.
-
-Exactness does not depend on the quantiles (they only balance load). The
-order key must be total (add every column) so ties cannot swap ranks.
+"""Exact first rows per group, splits, samples and synthetic rows.
+
+``row_number() over (partition by class order by key)`` over a whole table puts
+a third of all rows into one task when one class holds them. A quota or a split
+does not need every rank, only to know on which side of a cut position a row
+falls. ``below_cuts`` finds that with counts:
+
+1. one aggregation gives each group's size and the range of the order key;
+2. for a group larger than ``rows_per_range``, the range around each cut is
+   counted in ``RANGES`` parts and narrowed to the part in which the cut falls,
+   until few rows are left in it. Only counts reach the driver, a few per cut;
+3. rows below or above that part are decided by comparing keys, a narrow
+   expression; only rows inside it (and those of smaller groups) are ranked, so
+   what is shuffled and sorted is a sliver.
+
+The key is compared as *digits*: order-preserving integers made from the order
+columns, nulls first when ascending and last when descending as in a sort. Digits
+may tie where the columns differ; the ranking inside the sliver settles ties on
+the columns themselves. Groups and keys may be null; every expression is
+deterministic, so a recomputed task decides alike. Order keys must be total (add
+every column) so that ties cannot swap rows.
 """
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+ROWS_PER_RANGE = 1 << 20     # rows that are ranked around one cut, about
+RANGES = 1024                # parts that a range is counted in at a time
+SMALL_N = 100_000            # quotas up to this are plain limited windows
+MAX_LARGE_GROUPS = 10_000    # groups above ROWS_PER_RANGE that are narrowed at once
+
+_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DateType,
+             T.TimestampType)
+
+
+def _pairs(order_cols) -> list[tuple[Column, bool]]:
+    """(column, descending) of order items: a name, a Column, or (either, "desc")."""
+    out = []
+    for item in order_cols:
+        item, way = item if isinstance(item, tuple) else (item, "asc")
+        out.append((F.col(item) if isinstance(item, str) else item, way == "desc"))
+    return out
+
+
+def _sorted_by(order_cols) -> list[Column]:
+    return [c.desc() if down else c.asc() for c, down in _pairs(order_cols)]
+
+
+def _digits(df: DataFrame, order_cols) -> list[Column]:
+    """Longs whose lexicographic order agrees with the sort order (ties allowed).
+    The list ends with the first column that its digits do not tell exactly."""
+    out = []
+    for c, down in _pairs(order_cols):
+        kind = df.select(c.alias("k")).schema["k"].dataType
+        if isinstance(kind, _INTEGERS):
+            if isinstance(kind, T.DateType):
+                parts = [F.unix_date(c)]
+            elif isinstance(kind, T.TimestampType):
+                parts = [F.unix_micros(c)]
+            else:
+                parts = [c]
+            exact = True
+        elif isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+            x = c.cast("double")
+            whole = F.floor(F.when(F.isnan(x), F.lit(9e18)).otherwise(
+                F.least(F.greatest(x, F.lit(-9e18)), F.lit(9e18))))
+            rest = F.when(F.abs(x) < 9e15, F.floor((x - F.floor(x)) * float(1 << 52)))
+            parts, exact = [whole, F.coalesce(rest, F.lit(0))], False
+        elif isinstance(kind, T.StringType):
+            # seven bytes a digit, as far as 28 bytes
+            text = F.rpad(F.hex(c.cast("binary")), 56, "0")
+            parts = [F.conv(F.substring(text, 1 + 14 * k, 14), 16, 10) for k in range(4)]
+            exact = False
+        else:
+            break
+        null = F.when(c.isNull(), 1 if down else 0).otherwise(0 if down else 1)
+        values = [F.coalesce(p.cast("long"), F.lit(0).cast("long")) for p in parts]
+        out += [null.cast("long"), *[F.bitwise_not(v) if down else v for v in values]]
+        if not exact:
+            break
+    return out
 
-ROWS_PER_BUCKET = 1 << 20
-MAX_BUCKETS = 4096
 
+@dataclass
+class _Cut:
+    """The search for one cut of one large group: rows whose first digits equal
+    ``prefix`` and whose next one lies in [low, high]; ``before`` rows sort lower."""
+    group: tuple
+    cut: int
+    position: int
+    bounds: list                      # (min, max) of every digit in the group
+    rows: int
+    before: int = 0
+    prefix: list = field(default_factory=list)
+    low: int = 0
+    high: int = 0
 
-def _cols(xs):
-    return [F.col(x) if isinstance(x, str) else x for x in xs]
+    def settle(self):
+        """Step over digits on which all rows left agree; False at the last digit."""
+        while self.low == self.high:
+            if len(self.prefix) + 1 == len(self.bounds):
+                return False
+            self.prefix.append(self.low)
+            self.low, self.high = self.bounds[len(self.prefix)]
+        return True
 
 
-def group_rank(df: DataFrame, group_cols: list[str], order_cols: list,
-               out: str = "rank", size_col: str | None = None,
-               rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Add 1-based ``out``: position of the row in its group by ``order_cols``
-    (and the group's row count as ``size_col`` when given)."""
+def _narrow(df, keys, active):
+    """Count the parts of every active range; rows (group, cut, part, n, low, high)."""
+    spark = df.sparkSession
+    kinds = [df.schema[k] for k in keys]
+    schema = T.StructType([T.StructField(f"__g{i}", f.dataType) for i, f in enumerate(kinds)]
+                          + [T.StructField("__cut", T.IntegerType()),
+                             T.StructField("__prefix", T.ArrayType(T.LongType())),
+                             T.StructField("__low", T.LongType()),
+                             T.StructField("__high", T.LongType())])
+    states = spark.createDataFrame(
+        [(*s.group, s.cut, s.prefix, s.low, s.high) for s in active], schema)
+    on = F.slice("__d", F.lit(1), F.size("__prefix")) == F.col("__prefix")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__g{i}"))
+    digit = F.element_at("__d", F.size("__prefix") + 1)
+    low, high = F.col("__low").cast("double"), F.col("__high").cast("double")
+    part = F.least(F.floor((digit.cast("double") - low) * RANGES / (high - low + 1)),
+                   F.lit(RANGES - 1))
+    # the states are a few rows per large group, so their side is the broadcast one
+    hit = df.select(*keys, "__d").join(F.broadcast(states), on).filter(
+        digit.between(F.col("__low"), F.col("__high")))
+    return hit.groupBy(*[f"__g{i}" for i in range(len(keys))], "__cut", part.alias("__part")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(digit).alias("low"), F.max(digit).alias("high")).collect()
+
+
+def below_cuts(df: DataFrame, group_cols: list[str], order_cols: list, cuts: list,
+               rows_per_range: int = ROWS_PER_RANGE, names: list[str] | None = None) -> DataFrame:
+    """``df`` with a boolean column per cut: whether the row is among the first
+    ``position`` rows of its group in the given order. ``cuts`` are functions of a
+    group's size, on Python integers and on Columns alike."""
     keys = list(group_cols)
-    order = _cols(order_cols)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gsize"))
-    largest = sizes.agg(F.max("_gsize")).first()[0] or 0
-    buckets = min(MAX_BUCKETS, max(1, math.ceil(largest / rows_per_bucket)))
-    data = df.withColumn("_lead", order[0])
-    if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        bounds = data.groupBy(*keys).agg(
-            F.percentile_approx("_lead", probs, 10 * buckets).alias("_bounds"))
-        data = data.join(bounds, keys, "left").withColumn(
-            "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col("_lead")))
-        ).drop("_bounds")
-    else:
-        data = data.withColumn("_bucket", F.lit(0))
-    w = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    data = data.withColumn("_rn", F.row_number().over(w))
-    if buckets > 1:
-        counts = data.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_bn"))
-        cum = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
-            Window.unboundedPreceding, -1)
-        counts = counts.withColumn("_before", F.coalesce(F.sum("_bn").over(cum), F.lit(0)))
-        data = data.join(counts.select(*keys, "_bucket", "_before"), [*keys, "_bucket"], "left")
-    else:
-        data = data.withColumn("_before", F.lit(0))
-    data = data.withColumn(out, (F.col("_before") + F.col("_rn")).cast("long"))
-    if size_col:
-        data = data.join(sizes.withColumnRenamed("_gsize", size_col), keys, "left")
-    return data.drop("_lead", "_bucket", "_rn", "_before")
+    names = names or [f"below_{i}" for i in range(len(cuts))]
+    plain = df.columns
+    digits = _digits(df, order_cols) or [F.lit(0).cast("long")]
+    data = df.withColumn("__d", F.array(*digits))
+    sizes = data.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"),
+        *[F.min(F.col("__d")[i]).alias(f"__lo{i}") for i in range(len(digits))],
+        *[F.max(F.col("__d")[i]).alias(f"__hi{i}") for i in range(len(digits))])
+    large = sizes.filter(F.col("__n") > rows_per_range).limit(MAX_LARGE_GROUPS + 1).collect()
+    if len(large) > MAX_LARGE_GROUPS:
+        raise ValueError(f"more than {MAX_LARGE_GROUPS} groups above {rows_per_range} rows: "
+                         "raise rows_per_range")
+    found = []
+    for r in large:
+        bounds = [(r[f"__lo{i}"], r[f"__hi{i}"]) for i in range(len(digits))]
+        for c, cut in enumerate(cuts):
+            found.append(_Cut(tuple(r[k] for k in keys), c, int(cut(r["__n"])), bounds,
+                              r["__n"], low=bounds[0][0], high=bounds[0][1]))
+    active = [s for s in found if 0 < s.position < s.rows and s.settle()]
+    while active:
+        parts: dict = {}
+        for r in _narrow(data, keys, active):
+            group = tuple(r[f"__g{i}"] for i in range(len(keys)))
+            parts.setdefault((group, r["__cut"]), []).append((r["low"], r["high"], r["n"]))
+        still = []
+        for s in active:
+            for low, high, n in sorted(parts[s.group, s.cut]):
+                if s.before + n >= s.position:
+                    s.low, s.high, s.rows = low, high, n
+                    break
+                s.before += n
+            if s.rows > rows_per_range and s.settle():
+                still.append(s)
+        active = still
 
+    kinds = [df.schema[k] for k in keys]
+    ends = T.StructType([T.StructField(f"__g{i}", f.dataType) for i, f in enumerate(kinds)]
+                        + [T.StructField(f"__{n}{c}", k) for c in range(len(cuts)) for n, k in (
+                            ("pos", T.LongType()), ("before", T.LongType()),
+                            ("from", T.ArrayType(T.LongType())), ("to", T.ArrayType(T.LongType())))])
+    rows: dict = {}
+    for s in found:
+        rows.setdefault(s.group, [])
+        rows[s.group] += [s.position, s.before, [*s.prefix, s.low], [*s.prefix, s.high]]
+    table = df.sparkSession.createDataFrame([(*g, *v) for g, v in rows.items()], ends)
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__g{i}"))
+    data = data.join(F.broadcast(table), on, "left")       # at most MAX_LARGE_GROUPS rows
+    open_cols, sure = [], []
+    for c in range(len(cuts)):
+        head = F.slice("__d", F.lit(1), F.size(f"__from{c}"))
+        pos = F.col(f"__pos{c}")
+        # null for a small group: every row of it is ranked
+        side = F.when(pos <= 0, False).when(head < F.col(f"__from{c}"), True) \
+            .when(head > F.col(f"__to{c}"), False)
+        sure.append(side)
+        open_cols.append(f"__open{c}")
+        data = data.withColumn(open_cols[c], side.isNull())
+    any_open = F.lit(False)
+    for o in open_cols:
+        any_open = any_open | F.col(o)
+    settled = data.filter(~any_open).select(*plain, *[s.alias(n) for s, n in zip(sure, names)])
+    ranked = data.filter(any_open)
+    order = _sorted_by(order_cols)
+    for c, cut in enumerate(cuts):
+        rank = F.row_number().over(Window.partitionBy(*keys, open_cols[c]).orderBy(*order))
+        # a small group is all here, and all open, so this counts it whole
+        size = F.count(F.lit(1)).over(Window.partitionBy(*keys, open_cols[c]))
+        limit = F.when(F.col(f"__pos{c}").isNull(), cut(size)).otherwise(
+            F.col(f"__pos{c}") - F.col(f"__before{c}"))
+        ranked = ranked.withColumn(f"__in{c}", rank <= limit)
+    ranked = ranked.select(*plain, *[
+        F.when(F.col(open_cols[c]), F.col(f"__in{c}")).otherwise(sure[c])
+        .alias(names[c]) for c in range(len(cuts))])
+    return settled.unionByName(ranked)
 
-def first_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list,
-                      n: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """The first ``n`` rows of each group in ``order_cols`` order (W3). When
-    no group exceeds ``n`` every row is kept, so no ranking is planned."""
-    largest = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0]
-    if largest is None or largest <= n:
-        return df
-    return group_rank(df, group_cols, order_cols, "_rk", rows_per_bucket=rows_per_bucket) \
-        .filter(F.col("_rk") <= n).drop("_rk")
 
+def first_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list,
+                      n: int, rows_per_range: int | None = None) -> DataFrame:
+    """The first ``n`` rows of each group in ``order_cols`` order.
 
-def quota_for(n_limit: int | None, n_datasets: int, specific: bool) -> int | None:
-    """Rows per dataset: the whole limit for one named dataset, else limit //
-    datasets (W3)."""
-    if n_limit is None:
-        return None
-    return n_limit if specific else n_limit // max(n_datasets, 1)
+    Small quotas are a limited window: the engine keeps ``n`` rows per group in
+    each task before the shuffle. Larger ones (or a given ``rows_per_range``) go
+    through ``below_cuts``; the rows are the same."""
+    if n <= SMALL_N and rows_per_range is None:
+        rank = F.row_number().over(Window.partitionBy(*group_cols).orderBy(*_sorted_by(order_cols)))
+        return df.withColumn("__rank", rank).filter(F.col("__rank") <= n).drop("__rank")
+    out = below_cuts(df, group_cols, order_cols, [lambda size: n],
+                     rows_per_range or ROWS_PER_RANGE, ["__below"])
+    return out.filter("__below").drop("__below")
 
 
 def seeded_order(df: DataFrame, seed: int, exclude=()) -> Column:
@@ -94,36 +240,37 @@ def seeded_order(df: DataFrame, seed: int, exclude=()) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
-def _ceil_pct(name: str, pct: int) -> Column:
-    """ceil(n * pct / 100) in integers."""
-    return F.expr(f"div({name} * {int(pct)} + 99, 100)")
+def _percent(pct: int):
+    """ceil(n * pct / 100) in integers, of an integer or a Column."""
+    def part(n):
+        if isinstance(n, Column):
+            return F.floor((n * int(pct) + 99) / 100)
+        return (n * int(pct) + 99) // 100
+    return part
 
 
 def stratified_split(df: DataFrame, label: str, test_pct: int = 20,
                      order_cols: list | None = None, seed: int = 42,
-                     out: str = "split", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Exact stratified split (W4): per class, the first ceil(n * pct / 100)
-    rows of a seeded order are ``test``, the rest ``train``. ``sampleBy``
-    only approximates the counts; this hits them exactly."""
+                     out: str = "split", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Exact stratified split (W4): per class, null included, the first
+    ceil(n * pct / 100) rows of a seeded order are ``test``, the rest ``train``.
+    ``sampleBy`` only approximates the counts; this hits them exactly."""
     order = order_cols if order_cols is not None else [seeded_order(df, seed), *df.columns]
-    ranked = group_rank(df, [label], order, "_rk", size_col="_cnt",
-                        rows_per_bucket=rows_per_bucket)
-    n_test = _ceil_pct("_cnt", test_pct)
-    return ranked.withColumn(
-        out, F.when(F.col("_rk") <= n_test, F.lit("test")).otherwise(F.lit("train"))
-    ).drop("_rk", "_cnt")
+    cut = below_cuts(df, [label], order, [_percent(test_pct)], rows_per_range, ["__test"])
+    return cut.withColumn(out, F.when(F.col("__test"), "test").otherwise("train")).drop("__test")
 
 
 def three_way_split(df: DataFrame, label: str, order_cols: list | None = None,
-                    seed: int = 42, out: str = "split") -> DataFrame:
-    """80/20 then 80/20 of the 80: train 64%, validation 16%, test 20%."""
-    first = stratified_split(df, label, 20, order_cols, seed, "_s1")
-    rest = first.filter(F.col("_s1") == "train").drop("_s1")
-    test = first.filter(F.col("_s1") == "test").drop("_s1").withColumn(out, F.lit("test"))
-    second = stratified_split(rest, label, 20, order_cols, seed + 1, "_s2")
-    second = second.withColumn(
-        out, F.when(F.col("_s2") == "test", "validation").otherwise("train")).drop("_s2")
-    return second.unionByName(test)
+                    seed: int = 42, out: str = "split",
+                    rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """80/20, then 80/20 of the 80 (W4): test 20%, validation 16%, train 64% of
+    each class, as two cuts of one order."""
+    order = order_cols if order_cols is not None else [seeded_order(df, seed), *df.columns]
+    fifth = _percent(20)
+    cut = below_cuts(df, [label], order, [fifth, lambda n: fifth(n) + fifth(n - fifth(n))],
+                     rows_per_range, ["__test", "__held"])
+    return cut.withColumn(out, F.when(F.col("__test"), "test").when(F.col("__held"), "validation")
+                          .otherwise("train")).drop("__test", "__held")
 
 
 def sample_per_group(df: DataFrame, group_cols: list[str], size: int,
@@ -134,11 +281,6 @@ def sample_per_group(df: DataFrame, group_cols: list[str], size: int,
     return first_n_per_group(df, group_cols, order, size)
 
 
-def synthetic_sample_size(normal_size: int, n_chunks: int) -> int:
-    """min(1000, normal_size // chunks) rows per chunk (M1)."""
-    return min(1000, normal_size // max(n_chunks, 1))
-
-
 def synthetic_rows(spark, stats: dict[str, tuple[float, float]], n: int,
                    label_col: str = "Label", label: str = "Normal",
                    spread: float = 0.75, seed: int = 42,
@@ -154,3 +296,16 @@ def synthetic_rows(spark, stats: dict[str, tuple[float, float]], n: int,
         for i, (name, (mean, std)) in enumerate(stats.items())
     ]
     return base.select(*cols, F.lit(label).alias(label_col))
+
+
+def with_synthetic_normal(df: DataFrame, stats: dict[str, tuple[float, float]], n: int,
+                          label_col: str = "Label", label: str = "Normal",
+                          seed: int = 42) -> DataFrame:
+    """``df`` with ``n`` synthetic rows of ``label`` appended, unless it has rows of
+    that label already (U2); features without stats are null in them."""
+    if not df.filter(F.col(label_col) == label).isEmpty():
+        return df
+    made = synthetic_rows(df.sparkSession, stats, n, label_col, label, seed=seed)
+    made = made.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in made.columns
+                         if c in df.columns])
+    return df.unionByName(made, allowMissingColumns=True)

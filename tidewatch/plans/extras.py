@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import flow_key_text
+from ..functions.scalar import file_extension, flow_key_parts, flow_key_text
 from ..operators import prepare as P
 from ..operators import rules as R
 from ..operators import runs as RU
+from ..sources.labelled import load_audit
 from . import sql_fixtures as sqlf
 from .output import r6, round_doubles
 from .preparation import datasets
@@ -24,6 +25,33 @@ def q_flow_keys(spark, sf_dir):
                     .alias("flow_key"), "pkt_count")
 
 
+def q_flow_key_parts(spark, sf_dir):
+    """The key's text taken apart again (F1)."""
+    keys = q_flow_keys(spark, sf_dir)
+    return keys.select("capture_id", *flow_key_parts("flow_key").values(), "pkt_count")
+
+
+def q_file_extensions(spark, sf_dir):
+    """Extensions of names with, without and with several dots."""
+    o = table(spark, sf_dir, "orders")
+    name = F.concat(F.lit("Capture_"), F.col("o_orderkey").cast("string"),
+                    F.when(F.col("o_orderkey") % 3 == 0, ".PCAP").when(F.col("o_orderkey") % 3 == 1, "")
+                    .otherwise(".tar.Cap"))
+    return o.select("o_orderkey", file_extension(name).alias("extension"))
+
+
+def q_run_lifecycle(spark, sf_dir):
+    """Runs queued, then finished from the orders' status, newest version per id."""
+    rows = runs_from_orders(spark, sf_dir)
+    queued = RU.queued(rows.select(F.col("file_path").alias("path"))).withColumn("version", F.lit(0))
+    ended = rows.filter("status <> 'processing'").select(
+        "file_path", F.when(F.col("status") == "completed", "{}").alias("result"), "error")
+    done = RU.finish(queued.drop("version"), ended).withColumn("version", F.lit(1))
+    newest = RU.newest(queued.unionByName(done))
+    return newest.select("id", "filename", "status", "progress", "result", "error",
+                         RU._outcome().alias("outcome"))
+
+
 def q_renamed_signatures(spark, sf_dir):
     f = flows(spark, sf_dir, "mixed").drop("proto").withColumnRenamed("syn_count", "SYN_count")
     s = R.with_signatures(f)
@@ -33,8 +61,7 @@ def q_renamed_signatures(spark, sf_dir):
 
 
 def q_load_audit(spark, sf_dir):
-    return P.union_by_name(datasets(spark, sf_dir)).rollup(P.LABEL) \
-        .agg(F.count(F.lit(1)).alias("rows"))
+    return load_audit(P.union_by_name(datasets(spark, sf_dir)))
 
 
 def q_documents_labelled(spark, sf_dir):
@@ -90,6 +117,9 @@ def q_prep_rows(spark, sf_dir):
 
 QUERIES = {
     "flow_keys": q_flow_keys,
+    "flow_key_parts": q_flow_key_parts,
+    "file_extensions": q_file_extensions,
+    "run_lifecycle": q_run_lifecycle,
     "renamed_signatures": q_renamed_signatures,
     "load_audit": q_load_audit,
     "documents_labelled": q_documents_labelled,
@@ -132,4 +162,16 @@ ORACLE = {
                            CAST(count(*) AS BIGINT) AS rows,
                            CAST(count_if(l_linestatus = 'O') AS BIGINT) AS open_rows
                     FROM lineitem GROUP BY l_returnflag""",
+    "flow_key_parts": f"""SELECT capture_id, src_ip, dst_ip, src_port, dst_port, proto, pkt_count
+                          FROM ({sqlf.flows_sql('mixed')})""",
+    "file_extensions": """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'pcap' WHEN 2 THEN 'cap' END AS extension
+                          FROM orders""",
+    "run_lifecycle": f"""SELECT substr(sha256('/captures/' || filename), 1, 32) AS id, filename,
+                                CASE status WHEN 'processing' THEN 'queued' ELSE status END AS status,
+                                CAST(CASE WHEN status = 'processing' THEN 0 ELSE 100 END AS INTEGER) AS progress,
+                                CASE WHEN status = 'completed' THEN '{{}}' END AS result,
+                                CASE WHEN status = 'failed' THEN 'analysis error' END AS error,
+                                CASE WHEN status = 'completed' THEN 'ready' WHEN status = 'failed' THEN 'failed'
+                                     ELSE 'pending' END AS outcome
+                         FROM ({_RUNS})""",
 }

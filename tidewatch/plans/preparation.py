@@ -68,7 +68,7 @@ def q_one_hot_orders(spark, sf_dir):
 
 def q_standardize(spark, sf_dir):
     li = _lineitem(spark, sf_dir).select(*KEYS, "l_partkey", *NUM)
-    return round_doubles(P.scale_expr(li, NUM))
+    return round_doubles(P.scale(li, P.fit_scaler(li, NUM), None, as_float=False))
 
 
 def q_label_codes(spark, sf_dir):
@@ -88,7 +88,7 @@ def q_class_weights(spark, sf_dir):
 
 def q_row_weights(spark, sf_dir):
     li = _lineitem(spark, sf_dir).select(*KEYS, "l_partkey", F.col("l_returnflag").alias(P.LABEL))
-    return round_doubles(P.with_weights(li, P.class_weights(li)))
+    return round_doubles(P.with_weights(li, P.fit_weights(li)))
 
 
 def q_feature_moments(spark, sf_dir):
@@ -116,15 +116,15 @@ def q_stratified_split(spark, sf_dir):
 
 
 def q_first_rows_bucketed(spark, sf_dir):
-    # Forces the multi-bucket path (hot-group handling) at test scale.
+    # The path of large quotas and groups at test scale.
     li = _lineitem(spark, sf_dir)
-    return round_doubles(S.first_n_per_group(li, ["l_returnflag"], ALL_LI, 1000, rows_per_bucket=4096))
+    return round_doubles(S.first_n_per_group(li, ["l_returnflag"], ALL_LI, 1000, rows_per_range=256))
 
 
 def q_stratified_split_bucketed(spark, sf_dir):
     li = _lineitem(spark, sf_dir)
     return round_doubles(S.stratified_split(li, "l_returnflag", 20, _split_order(),
-                                            rows_per_bucket=4096))
+                                            rows_per_range=256))
 
 
 def q_three_way_split(spark, sf_dir):
@@ -138,15 +138,95 @@ def q_sample_counts(spark, sf_dir):
     return s.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("sampled"))
 
 
-def q_synthetic_normal(spark, sf_dir):
-    """15% synthetic Normal rows from per-class samples."""
+def _text_split_rows(spark, sf_dir):
+    """Orders with a null class (one priority) and a text key."""
+    o = table(spark, sf_dir, "orders")
+    cls = F.when(F.col("o_orderpriority") != "3-MEDIUM", F.col("o_orderpriority"))
+    key = F.concat(F.lit("Clerk of the order numbered "), (F.col("o_orderkey") % 997).cast("string"))
+    return o.select("o_orderkey", cls.alias("cls"), key.alias("key"))
+
+
+def q_split_null_class(spark, sf_dir):
+    """A null class is split like any other; a descending text key orders it."""
+    rows = _text_split_rows(spark, sf_dir)
+    return S.three_way_split(rows, "cls", [("key", "desc"), "o_orderkey"], rows_per_range=128)
+
+
+def q_first_rows_null_class(spark, sf_dir):
+    rows = _text_split_rows(spark, sf_dir)
+    return S.first_n_per_group(rows, ["cls"], ["key", ("o_orderkey", "desc")], 500, rows_per_range=128)
+
+
+SYNTHETIC_PCT = 15
+
+
+def _synthetic_training(spark, sf_dir):
+    """lineitem classes with synthetic Normal rows appended."""
     li = _lineitem(spark, sf_dir).select(*NUM, F.col("l_returnflag").alias(P.LABEL))
-    total = li.count()
-    normal_size = int(total * 0.15)
-    per = S.synthetic_sample_size(normal_size, 3)
-    sample = S.sample_per_group(li, [P.LABEL], per)
-    stats = P.moments_dict(P.feature_moments(sample, NUM), NUM)
-    return S.synthetic_rows(spark, stats, normal_size)
+    stats = P.moments_dict(P.feature_moments(li, NUM), NUM)
+    n = li.count() * SYNTHETIC_PCT // 100
+    return S.with_synthetic_normal(li, stats, n), stats, n
+
+
+def q_synthetic_normal(spark, sf_dir):
+    """Rows per class after appending; the synthetic rows' moments must lie within
+    six standard errors of what they were drawn from."""
+    rows, stats, n = _synthetic_training(spark, sf_dir)
+    ok = F.lit(True)
+    for c, (mean, std) in stats.items():
+        near = F.abs(F.avg(c) - mean) <= 6 * 0.75 * std / max(n, 1) ** 0.5
+        spread = F.abs(F.stddev_samp(c) / (0.75 * std) - 1) <= 6 / max(2 * n, 1) ** 0.5
+        ok = ok & near & spread
+    return rows.groupBy(P.LABEL).agg(F.count(F.lit(1)).alias("rows"),
+                                     F.coalesce(ok, F.lit(True)).alias("drawn")) \
+        .withColumn("moments_ok", (F.col(P.LABEL) != "Normal") | F.col("drawn")).drop("drawn")
+
+
+def _dirty(spark, sf_dir):
+    """lineitem numbers with NaN, both infinities and nulls put in by position."""
+    li = _lineitem(spark, sf_dir)
+    k = (F.col("l_orderkey") + F.col("l_linenumber")) % 7
+    bad = F.when(k == 0, float("nan")).when(k == 1, float("inf")).when(k == 2, float("-inf")) \
+        .when(k == 3, F.lit(None).cast("double"))
+    return li.select(*KEYS, F.coalesce(bad, F.when(k != 3, F.col("l_quantity"))).alias("l_quantity"),
+                     F.when(k != 4, F.col("l_tax")).alias("l_tax"),
+                     F.when(k != 5, F.col("l_linestatus")).alias("l_linestatus"), "l_partkey")
+
+
+def q_clean_dirty(spark, sf_dir):
+    return round_doubles(P.clean(_dirty(spark, sf_dir)))
+
+
+def q_align_columns(spark, sf_dir):
+    """A missing feature, an extra column and another order."""
+    li = _lineitem(spark, sf_dir).select("l_tax", "l_suppkey", *KEYS, "l_quantity")
+    wanted = [*KEYS, "l_quantity", "l_discount", "l_tax", "l_linestatus"]
+    types = P.column_types(_lineitem(spark, sf_dir))
+    return round_doubles(P.align(li, wanted, None, types))
+
+
+def q_column_differences(spark, sf_dir):
+    """Missing and extra names of each dataset against the union of all."""
+    frames = datasets(spark, sf_dir)
+    wanted = P.feature_names(frames)[:5]
+    parts = []
+    for f in frames:
+        missing, extra = P.column_differences(f, wanted)
+        parts.append(f.groupBy(P.LABEL).agg(F.count(F.lit(1)).alias("rows")).withColumns(
+            {"missing": F.lit(",".join(missing)), "extra": F.lit(",".join(extra))}))
+    return P.union_by_name(parts)
+
+
+def q_prep_values(spark, sf_dir):
+    """Every prepared value of the real path: clean, align, one-hot, scale, cast."""
+    li = _lineitem(spark, sf_dir).select(*KEYS, "l_quantity", "l_tax", "l_linestatus",
+                                         F.col("l_returnflag").alias(P.LABEL))
+    prep = P.Prep.fit(li.drop(*KEYS))
+    out = prep.transform(li, keep=KEYS)
+    # float32 values, rounded to what float32 holds
+    return out.select(*KEYS, "label_idx", *[
+        (F.floor(F.col("features")[i].cast("double") * 1e4 + 0.5) / 1e4).alias(f"f{i}")
+        for i in range(len(prep.features))])
 
 
 def _labels(spark, sf_dir):
@@ -222,6 +302,12 @@ QUERIES = {
     "stratified_split_bucketed": q_stratified_split_bucketed,
     "sample_counts": q_sample_counts,
     "synthetic_normal": q_synthetic_normal,
+    "split_null_class": q_split_null_class,
+    "first_rows_null_class": q_first_rows_null_class,
+    "clean_dirty": q_clean_dirty,
+    "align_columns": q_align_columns,
+    "column_differences": q_column_differences,
+    "prep_values": q_prep_values,
     "accuracy": q_accuracy,
     "validation_gate": q_validation_gate,
     "confusion": q_confusion,
@@ -379,12 +465,54 @@ ORACLE = {
                                       {r6('max(p)')} AS max, {r6('stddev_pop(p)')} AS std, stddev_pop(p) < 0.001 AS flat
                                FROM (SELECT generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS p FROM embeddings)
                                GROUP BY pos""",
-    "encoding_overall": f"""SELECT sample, {r6('avg(x)')} AS mean, {r6('stddev_pop(x)')} AS std, {r6('min(x)')} AS min,
-                                   {r6('max(x)')} AS max, stddev_pop(x) < 0.001 AS low_variance
-                            FROM (SELECT sample, unnest(embedding) AS x FROM ({_EMB_SPLIT})) GROUP BY sample""",
+    "encoding_overall": f"""WITH x AS (SELECT sample, generate_subscripts(embedding, 1) AS dim, unnest(embedding) AS x
+                                       FROM ({_EMB_SPLIT})),
+                                 d AS (SELECT sample, avg(s) < 0.01 AS low FROM (
+                                         SELECT sample, dim, stddev_pop(x) AS s FROM x GROUP BY ALL) GROUP BY sample)
+                            SELECT sample, {r6('avg(x)')} AS mean, {r6('stddev_pop(x)')} AS std, {r6('min(x)')} AS min,
+                                   {r6('max(x)')} AS max, stddev_pop(x) < 0.001 AS low_variance,
+                                   any_value(low) AS low_mean_std
+                            FROM x JOIN d USING (sample) GROUP BY sample""",
     "encoding_per_dim": f"""SELECT sample, CAST(dim AS INTEGER) AS dim, {r6('avg(x)')} AS mean, {r6('stddev_pop(x)')} AS std
                             FROM (SELECT sample, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding) AS x
                                   FROM ({_EMB_SPLIT})) GROUP BY sample, dim""",
 }
 ORACLE["first_rows_bucketed"] = ORACLE["first_rows_per_class"]
 ORACLE["stratified_split_bucketed"] = ORACLE["stratified_split"]
+
+_TEXT_ROWS = """SELECT o_orderkey, CASE WHEN o_orderpriority <> '3-MEDIUM' THEN o_orderpriority END AS cls,
+                       'Clerk of the order numbered ' || (o_orderkey % 997) AS key FROM orders"""
+ORACLE["split_null_class"] = f"""
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY key DESC, o_orderkey) AS rk,
+                      count(*) OVER (PARTITION BY cls) AS n FROM ({_TEXT_ROWS})),
+    c AS (SELECT *, (n * 20 + 99) // 100 AS t FROM r)
+    SELECT o_orderkey, cls, key, CASE WHEN rk <= t THEN 'test'
+           WHEN rk <= t + ((n - t) * 20 + 99) // 100 THEN 'validation' ELSE 'train' END AS split FROM c"""
+ORACLE["first_rows_null_class"] = f"""
+    SELECT o_orderkey, cls, key FROM ({_TEXT_ROWS})
+    QUALIFY row_number() OVER (PARTITION BY cls ORDER BY key, o_orderkey DESC) <= 500"""
+ORACLE["synthetic_normal"] = f"""
+    SELECT l_returnflag AS Label, CAST(count(*) AS BIGINT) AS rows, true AS moments_ok FROM lineitem GROUP BY 1
+    UNION ALL SELECT 'Normal', CAST(count(*) * {SYNTHETIC_PCT} // 100 AS BIGINT), true FROM lineitem"""
+ORACLE["clean_dirty"] = f"""
+    SELECT l_orderkey, l_linenumber, l_partkey, {r6('CASE WHEN k > 3 THEN l_quantity ELSE 0 END')} AS l_quantity,
+           {r6('CASE WHEN k <> 4 THEN l_tax ELSE 0 END')} AS l_tax,
+           CASE WHEN k <> 5 THEN l_linestatus ELSE '0' END AS l_linestatus
+    FROM (SELECT *, (l_orderkey + l_linenumber) % 7 AS k FROM lineitem)"""
+ORACLE["align_columns"] = f"""
+    SELECT l_orderkey, l_linenumber, {r6('l_quantity')} AS l_quantity, 0.0::DOUBLE AS l_discount,
+           {r6('l_tax')} AS l_tax, '0' AS l_linestatus FROM lineitem"""
+ORACLE["column_differences"] = """
+    SELECT l_returnflag AS Label, CAST(count(*) AS BIGINT) AS rows,
+           CASE l_returnflag WHEN 'A' THEN 'l_discount' WHEN 'N' THEN 'l_extendedprice' ELSE 'l_quantity' END AS missing,
+           CASE l_returnflag WHEN 'N' THEN 'l_tax' ELSE '' END AS extra
+    FROM lineitem GROUP BY l_returnflag"""
+ORACLE["prep_values"] = """
+    WITH s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_tax) AS mt, stddev_pop(l_tax) AS st,
+                      avg((l_linestatus = 'O')::INT) AS mo, stddev_pop((l_linestatus = 'O')::INT) AS so FROM lineitem)
+    SELECT l_orderkey, l_linenumber,
+           CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS INTEGER) AS label_idx,
+           floor(CAST(CAST((l_quantity - mq) / sq AS FLOAT) AS DOUBLE) * 1e4 + 0.5) / 1e4 AS f0,
+           floor(CAST(CAST((l_tax - mt) / st AS FLOAT) AS DOUBLE) * 1e4 + 0.5) / 1e4 AS f1,
+           floor(CAST(CAST(((l_linestatus = 'O')::INT - mo) / so AS FLOAT) AS DOUBLE) * 1e4 + 0.5) / 1e4 AS f2
+    FROM lineitem, s"""

@@ -100,10 +100,55 @@ def q_flow_preview(spark, sf_dir):
 
 
 def q_verdict_json(spark, sf_dir):
-    # Verdict with its nested attack table as JSON text (S13); rows-only check.
+    # The JSON text of each verdict (S13), read back field by field.
     from ..operators.analyze import verdict_json
     v = verdict_op.verdicts(labelled(spark, sf_dir, "mixed"), with_time=False)
-    return verdict_json(v)
+    kind = ("status string, details string, flows_analyzed long, normal_percentage double, "
+            "attack_types array<struct<type: string, count: long>>")
+    j = verdict_json(v).select("capture_id", F.from_json("result", kind).alias("j")).select("capture_id", "j.*")
+    return round_doubles(j.withColumn("attack_types", F.array_join(
+        F.transform("attack_types", lambda x: F.concat(x["type"], F.lit("="), x["count"])), ",")))
+
+
+# Model output with a closed form, so that the merge has an oracle: class and
+# probability from the flow's own integers.
+_MODEL_CLASSES = ["Normal", "OS_Scan", "SSDP_Flood", "SYN_DoS"]
+_MODEL_IDX = "(src_port + dst_port + pkt_count) % 4"
+_MODEL_PROB = "(50 + (dst_port * 7 + pkt_count) % 50) / 100.0"
+
+
+def _merged(spark, sf_dir, captures, merge):
+    f = rules_op.with_signatures(flows(spark, sf_dir, captures))
+    names = F.array(*[F.lit(c) for c in _MODEL_CLASSES])
+    scored = f.withColumns({
+        "pred_label": F.element_at(names, (F.expr(_MODEL_IDX) + 1).cast("int")),
+        "pred_prob": F.expr(_MODEL_PROB).cast("double")})
+    return rules_op.merge_with_model(scored, merge=merge)
+
+
+def _merged_rows(df):
+    return round_doubles(df.select("capture_id", "src_ip", "dst_ip", "src_port", "dst_port", "proto",
+                                   "label", "confidence"))
+
+
+def q_hybrid_merge(spark, sf_dir):
+    return _merged_rows(_merged(spark, sf_dir, "mixed", "max"))
+
+
+def q_hybrid_merge_same_type(spark, sf_dir):
+    return _merged_rows(_merged(spark, sf_dir, "mixed", "same_type"))
+
+
+def q_hybrid_merge_verdict(spark, sf_dir):
+    v = verdict_op.verdicts(_merged(spark, sf_dir, "by_class", "max"), with_time=False)
+    return round_doubles(v.drop("attack_types"))
+
+
+def q_hybrid_preview(spark, sf_dir):
+    # Class and probability of the first 10 flows (O6): a preview is the feature here.
+    f = _merged(spark, sf_dir, "single", "max")
+    return round_doubles(f.orderBy("first_pkt_no").limit(10).select(
+        "first_pkt_no", "pred_label", "pred_prob", "label", "confidence"))
 
 
 QUERIES = {
@@ -120,6 +165,10 @@ QUERIES = {
     "batch_means": q_batch_means,
     "flow_preview": q_flow_preview,
     "verdict_json": q_verdict_json,
+    "hybrid_merge": q_hybrid_merge,
+    "hybrid_merge_same_type": q_hybrid_merge_same_type,
+    "hybrid_merge_verdict": q_hybrid_merge_verdict,
+    "hybrid_preview": q_hybrid_preview,
 }
 
 
@@ -130,9 +179,9 @@ def _flows_rounded(captures):
     return f"SELECT {', '.join(cols)} FROM ({sqlf.flows_sql(captures)})"
 
 
-def _verdict_sql(captures):
+def _verdict_sql(captures, rows=None):
     return f"""
-    WITH l AS ({sqlf.labelled_sql(captures)}),
+    WITH l AS ({rows or sqlf.labelled_sql(captures)}),
     s AS (SELECT capture_id, label, count(*) AS cnt, sum(confidence) AS csum,
                  min(first_pkt_no) AS first_seen FROM l GROUP BY capture_id, label),
     t AS (SELECT capture_id, sum(cnt) AS total,
@@ -237,3 +286,28 @@ ORACLE = {
                {r6('coalesce(sig_confidence, 0.0)')} AS confidence
         FROM ({sqlf.signatures_sql('single')}) ORDER BY first_pkt_no LIMIT 10""",
 }
+
+
+def _merge_sql(captures, same_type):
+    names = ", ".join(f"'{c}'" for c in _MODEL_CLASSES)
+    lifts = "sc > 0" + (" AND sig_type = pred_label" if same_type else "")
+    return f"""
+        SELECT *, CASE WHEN sc >= 90 THEN sig_type ELSE pred_label END AS label,
+               CASE WHEN sc >= 90 THEN sc WHEN {lifts} THEN greatest(pred_prob * 100, sc)
+                    ELSE pred_prob * 100 END AS confidence
+        FROM (SELECT *, coalesce(sig_confidence, 0.0) AS sc, [{names}][CAST({_MODEL_IDX} AS INTEGER) + 1] AS pred_label,
+                     CAST({_MODEL_PROB} AS DOUBLE) AS pred_prob
+              FROM ({sqlf.signatures_sql(captures)}))"""
+
+
+for _name, _same in (("hybrid_merge", False), ("hybrid_merge_same_type", True)):
+    ORACLE[_name] = f"""SELECT capture_id, src_ip, dst_ip, src_port, dst_port, proto, label,
+                               {r6('confidence')} AS confidence FROM ({_merge_sql('mixed', _same)})"""
+ORACLE["hybrid_merge_verdict"] = _verdict_sql("by_class", _merge_sql("by_class", False))
+ORACLE["hybrid_preview"] = f"""SELECT first_pkt_no, pred_label, {r6('pred_prob')} AS pred_prob, label,
+                                      {r6('confidence')} AS confidence
+                               FROM ({_merge_sql('single', False)}) ORDER BY first_pkt_no LIMIT 10"""
+ORACLE["verdict_json"] = f"""
+    SELECT v.*, t.attack_types FROM ({_verdict_sql('mixed')}) v JOIN (
+        SELECT capture_id, string_agg(label || '=' || count, ',' ORDER BY rank) AS attack_types
+        FROM ({_summary_sql('mixed')}) GROUP BY capture_id) t USING (capture_id)"""

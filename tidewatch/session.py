@@ -70,3 +70,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (for written tables)."""
     return os.path.join(ensure_checkpoint_dir(spark), *parts)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, asked of the file system it lies in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

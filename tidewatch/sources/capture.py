@@ -4,7 +4,8 @@ The one Python boundary of the engine. Spark lists and reads the files
 (``binaryFile``, many captures in parallel, one task per file since a capture
 is not splittable); ``mapInPandas`` decodes each file's bytes in an Arrow
 batch. Record boundaries are found with one ``struct`` step per record, then
-every header field is read for all records at once with numpy.
+every header field is read for all records of a slice at once with numpy, and
+each slice leaves the task before the next is decoded.
 
 Formats: classic pcap (both byte orders, microsecond or nanosecond stamps)
 and pcapng (section header, interface description with ``if_tsresol``,
@@ -12,8 +13,11 @@ enhanced and simple packet blocks). Link types: Ethernet (VLAN tags
 skipped), raw IPv4/IP, Linux cooked capture, BSD loopback. Only IPv4 packets
 become rows (P12); ports come from TCP, else UDP, else 0 (P13).
 
-A file that cannot be read to the end yields the packets before the fault
-and one row with ``error`` set (S15); ``split_errors`` separates them.
+A bad record is skipped and the rest is kept where its framing allows; a file with
+a fault yields one row with ``error`` set beside its packets, a file above the size
+limit that row alone (S8, S15). A file without any packet row also yields a row
+with nothing but its name, so that it stays known. ``split_errors`` separates
+errors from packets.
 """
 
 from __future__ import annotations
@@ -46,14 +50,13 @@ def extension_glob() -> str:
     return "{" + ",".join(_ci_glob(e) for e in EXTENSIONS) + "}"
 
 
-def capture_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES,
-                  recursive: bool = True) -> DataFrame:
-    """Accepted capture files with their bytes (S7, S8). The size filter is
-    pushed into the binaryFile scan, so an oversize file is never read."""
+def capture_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """Accepted capture files with their bytes (S7); bytes are read only where
+    ``content`` is used."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", extension_glob())
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    return reader.load(path).filter(F.col("length") <= max_bytes)
+    return reader.load(path)
 
 
 def capture_listing(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
@@ -70,44 +73,73 @@ def capture_listing(spark: SparkSession, path: str, recursive: bool = True) -> D
 
 # --- record framing --------------------------------------------------------
 
+SLICE = 100_000          # records that are decoded together
+_MAX_US = (1 << 63) - 1
+
+
 class _Records:
+    """A slice of record places, and the faults of the file so far."""
+
     def __init__(self):
+        self.faults: list[str] = []
+        self.first = 0           # number of the slice's first record
+        self._clear()
+
+    def _clear(self):
         self.offsets: list[int] = []
         self.lengths: list[int] = []
         self.ts_us: list[int] = []
         self.links: list[int] = []
-        self.error: str | None = None
+
+    def add(self, pos: int, offset: int, length: int, ts_us: int, link: int) -> None:
+        if 0 <= ts_us <= _MAX_US and length >= 0:
+            self.offsets.append(offset)
+            self.lengths.append(length)
+            self.ts_us.append(ts_us)
+            self.links.append(link)
+        else:
+            self.faults.append(f"bad time stamp or length at byte {pos}")
+
+    def next_slice(self):
+        self.first += len(self.offsets)
+        self._clear()
+
+    @property
+    def error(self) -> str | None:
+        if not self.faults:
+            return None
+        more = len(self.faults) - 1
+        return self.faults[0] + (f" (and {more} more)" if more else "")
 
 
-def _frame_pcap(buf: bytes, out: _Records) -> None:
+def _frame_pcap(buf: bytes, out: _Records):
     magic = buf[:4]
     if magic in (b"\xd4\xc3\xb2\xa1", b"\x4d\x3c\xb2\xa1"):
         end = "<"
     elif magic in (b"\xa1\xb2\xc3\xd4", b"\xa1\xb2\x3c\x4d"):
         end = ">"
     else:
-        out.error = "unknown capture format"
+        out.faults.append("unknown capture format")
         return
     nano = magic in (b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d")
     if len(buf) < 24:
-        out.error = "truncated file header"
+        out.faults.append("truncated file header")
         return
     link = struct.unpack_from(end + "I", buf, 20)[0] & 0x0FFFFFFF
     rec = struct.Struct(end + "IIII")
     pos, n = 24, len(buf)
     while pos < n:
         if pos + 16 > n:
-            out.error = f"truncated record header at byte {pos}"
+            out.faults.append(f"truncated record header at byte {pos}")
             return
         sec, frac, incl, _orig = rec.unpack_from(buf, pos)
-        if pos + 16 + incl > n:
-            out.error = f"truncated record at byte {pos}"
+        if pos + 16 + incl > n:      # where the next record begins is not known
+            out.faults.append(f"truncated record at byte {pos}")
             return
-        out.offsets.append(pos + 16)
-        out.lengths.append(incl)
-        out.ts_us.append(sec * 1_000_000 + (frac // 1000 if nano else frac))
-        out.links.append(link)
+        out.add(pos, pos + 16, incl, sec * 1_000_000 + (frac // 1000 if nano else frac), link)
         pos += 16 + incl
+        if len(out.offsets) >= SLICE:
+            yield
 
 
 def _tsresol_divisor(opt: int) -> tuple[int, int]:
@@ -117,64 +149,72 @@ def _tsresol_divisor(opt: int) -> tuple[int, int]:
     return 1_000_000, per_sec
 
 
-def _frame_pcapng(buf: bytes, out: _Records) -> None:
+def _interface(buf: bytes, end: str, body: int, stop: int) -> tuple[int, int, int]:
+    """(link, multiplier, divisor) of an interface block's body."""
+    link = struct.unpack_from(end + "H", buf, body)[0]
+    mult, div = 1, 1  # default resolution: microseconds (ticks = us)
+    opt = body + 8
+    while opt + 4 <= stop:
+        code, olen = struct.unpack_from(end + "HH", buf, opt)
+        if code == 0:
+            break
+        if code == 9 and olen >= 1 and opt + 5 <= stop:
+            mult, div = _tsresol_divisor(buf[opt + 4])
+        opt += 4 + ((olen + 3) & ~3)
+    return link, mult, div
+
+
+# The least body of the pcapng blocks that are read: interface, packets.
+_LEAST_BODY = {1: 8, 6: 20, 3: 4}
+
+
+def _frame_pcapng(buf: bytes, out: _Records):
     pos, n = 0, len(buf)
     end = "<"
     ifaces: list[tuple[int, int, int]] = []  # (link, mult, div)
     while pos < n:
         if pos + 12 > n:
-            out.error = f"truncated block at byte {pos}"
+            out.faults.append(f"truncated block at byte {pos}")
             return
-        btype_raw = buf[pos:pos + 4]
-        if btype_raw == b"\x0a\x0d\x0d\x0a":
-            bom = buf[pos + 8:pos + 12]
-            end = "<" if bom == b"\x4d\x3c\x2b\x1a" else ">"
+        if buf[pos:pos + 4] == b"\x0a\x0d\x0d\x0a":
+            end = "<" if buf[pos + 8:pos + 12] == b"\x4d\x3c\x2b\x1a" else ">"
             ifaces = []
         btype, blen = struct.unpack_from(end + "II", buf, pos)
         if blen < 12 or pos + blen > n:
-            out.error = f"truncated block at byte {pos}"
+            out.faults.append(f"truncated block at byte {pos}")
             return
-        body = pos + 8
-        if btype == 1:  # interface description
-            link = struct.unpack_from(end + "H", buf, body)[0]
-            mult, div = 1, 1  # default resolution: microseconds (ticks = us)
-            opt = body + 8
-            while opt + 4 <= pos + blen - 4:
-                code, olen = struct.unpack_from(end + "HH", buf, opt)
-                if code == 0:
-                    break
-                if code == 9 and olen >= 1:
-                    mult, div = _tsresol_divisor(buf[opt + 4])
-                opt += 4 + ((olen + 3) & ~3)
-            ifaces.append((link, mult, div))
+        body, stop = pos + 8, pos + blen - 4
+        if stop - body < _LEAST_BODY.get(btype, 0):
+            out.faults.append(f"short block at byte {pos}")
+            if btype == 1:       # keeps the numbers of the interfaces after it
+                ifaces.append((-1, 1, 1))
+        elif btype == 1:
+            ifaces.append(_interface(buf, end, body, stop))
         elif btype == 6:  # enhanced packet
             iface, hi, lo, incl, _orig = struct.unpack_from(end + "IIIII", buf, body)
-            if iface >= len(ifaces):
-                out.error = f"packet for unknown interface at byte {pos}"
-                return
-            link, mult, div = ifaces[iface]
-            ticks = (hi << 32) | lo
-            out.offsets.append(body + 20)
-            out.lengths.append(min(incl, blen - 32))
-            out.ts_us.append(ticks * mult // div)
-            out.links.append(link)
+            if iface < len(ifaces):
+                link, mult, div = ifaces[iface]
+                out.add(pos, body + 20, min(incl, stop - body - 20), ((hi << 32) | lo) * mult // div, link)
+            else:
+                out.faults.append(f"packet for unknown interface at byte {pos}")
         elif btype == 3:  # simple packet: no time stamp
             orig = struct.unpack_from(end + "I", buf, body)[0]
             link = ifaces[0][0] if ifaces else LINK_ETHERNET
-            out.offsets.append(body + 4)
-            out.lengths.append(min(orig, blen - 16))
-            out.ts_us.append(0)
-            out.links.append(link)
+            out.add(pos, body + 4, min(orig, stop - body - 4), 0, link)
         pos += blen
+        if len(out.offsets) >= SLICE:
+            yield
 
 
-def frame_records(buf: bytes) -> _Records:
+def frame_records(buf: bytes):
+    """Slices of a capture's records: the same object again and again, its lists
+    filled anew; faults add up in it."""
     out = _Records()
-    if buf[:4] == b"\x0a\x0d\x0d\x0a":
-        _frame_pcapng(buf, out)
-    else:
-        _frame_pcap(buf, out)
-    return out
+    frame = _frame_pcapng if buf[:4] == b"\x0a\x0d\x0d\x0a" else _frame_pcap
+    for _ in frame(buf, out):
+        yield out
+        out.next_slice()
+    yield out
 
 
 # --- vectorised header decode ------------------------------------------------
@@ -189,8 +229,37 @@ def _be16(arr, idx, valid):
 
 
 def decode(buf: bytes, capture_id: str) -> pd.DataFrame:
-    """All IPv4 packets of one capture as a ``PARSED`` frame."""
-    rec = frame_records(buf)
+    """All rows of one capture as one ``PARSED`` frame."""
+    return pd.concat(list(decode_slices(buf, capture_id)), ignore_index=True)
+
+
+def _empty_row(capture_id: str, error: str | None, pkt_no: int | None = None) -> pd.DataFrame:
+    row = dict.fromkeys(PARSED.fieldNames()) | {
+        "capture_id": capture_id, "error": error, "pkt_no": pkt_no}
+    return pd.DataFrame([row]).astype(object)
+
+
+def decode_slices(buf: bytes, capture_id: str):
+    """``PARSED`` frames of one capture: its packets slice by slice, then a row
+    for its faults and, without any packet, one that names it."""
+    packets, error, n = 0, None, 0
+    try:
+        for rec in frame_records(buf):
+            frame = _decode_slice(buf, capture_id, rec)
+            packets += len(frame)
+            error, n = rec.error, rec.first + len(rec.offsets)
+            if len(frame):
+                yield frame
+    except Exception as e:  # noqa: BLE001 - one bad file must not end the job
+        error = f"cannot be decoded: {type(e).__name__}: {e}"
+    if error is not None:
+        yield _empty_row(capture_id, error, n)
+    if not packets:
+        yield _empty_row(capture_id, None)
+
+
+def _decode_slice(buf: bytes, capture_id: str, rec: _Records) -> pd.DataFrame:
+    """The IPv4 packets of a slice of records."""
     arr = np.frombuffer(buf, dtype=np.uint8)
     if len(arr) == 0:
         arr = np.zeros(1, dtype=np.uint8)
@@ -199,7 +268,7 @@ def decode(buf: bytes, capture_id: str) -> pd.DataFrame:
     link = np.asarray(rec.links, dtype=np.int64)
     n = len(off)
     end = off + length
-    pkt_no = np.arange(n, dtype=np.int64)
+    pkt_no = rec.first + np.arange(n, dtype=np.int64)
 
     # network-layer offset and ethertype by link type
     ip = np.full(n, -1, dtype=np.int64)
@@ -247,7 +316,7 @@ def decode(buf: bytes, capture_id: str) -> pd.DataFrame:
     src = ip_text(ip + 12)
     dst = ip_text(ip + 16)
     keep = v4
-    out = pd.DataFrame({
+    return pd.DataFrame({
         "capture_id": capture_id,
         "pkt_no": pkt_no[keep],
         "ts_us": np.asarray(rec.ts_us, dtype=np.int64)[keep] if n else np.array([], np.int64),
@@ -260,39 +329,44 @@ def decode(buf: bytes, capture_id: str) -> pd.DataFrame:
         "tcp_flags": flags[keep].astype(np.int32),
         "error": None,
     })
-    if rec.error:
-        bad = pd.DataFrame([{
-            "capture_id": capture_id, "pkt_no": n, "ts_us": None, "src_ip": None,
-            "dst_ip": None, "proto": None, "src_port": None, "dst_port": None,
-            "ip_len": None, "tcp_flags": None, "error": rec.error}])
-        out = pd.concat([out, bad], ignore_index=True) if len(out) else bad
-    return out
 
 
 def _parse_batches(batches):
     for pdf in batches:
-        frames = [decode(bytes(c), p) for p, c in zip(pdf["path"], pdf["content"])]
-        if frames:
-            yield pd.concat(frames, ignore_index=True)
-
-
-def parse_captures(files: DataFrame) -> DataFrame:
-    """binaryFile rows -> packets + ``error`` (one row per faulty file)."""
-    return files.select("path", "content").mapInPandas(_parse_batches, PARSED)
+        for path, content in zip(pdf["path"], pdf["content"]):
+            yield from decode_slices(bytes(content), path)
+
+
+def parse_captures(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """binaryFile rows -> ``PARSED`` rows. The bytes of a file above ``max_bytes``
+    are not read: it yields an error row (S8)."""
+    fits = files.filter(F.col("length") <= max_bytes).select("path", "content") \
+        .mapInPandas(_parse_batches, PARSED)
+    message = F.concat(F.lit("capture of "), F.col("length").cast("string"),
+                       F.lit(f" bytes is above the limit of {max_bytes}"))
+    large = files.filter(F.col("length") > max_bytes).select("path", message.alias("m"))
+    rows = [F.explode(F.array("m", F.lit(None).cast("string"))).alias("error"),
+            F.col("path").alias("capture_id")]
+    large = large.select(*rows).select(*[
+        F.col(f.name) if f.name in ("capture_id", "error") else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in PARSED.fields])
+    return fits.unionByName(large)
 
 
 def split_errors(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good packets, dead letters) of a parsed frame."""
+    """(packets, faults) of a parsed frame (S15). A capture without packets is in
+    the first as a row of nulls."""
     good = parsed.filter(F.col("error").isNull()).drop("error")
     bad = parsed.filter(F.col("error").isNotNull()).select("capture_id", "pkt_no", "error")
     return good, bad
 
 
 def read_packets(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Good packets of every accepted capture under ``path``."""
-    return split_errors(parse_captures(capture_files(spark, path, max_bytes)))[0]
+    """Packets of every accepted capture under ``path``, decoded at each use."""
+    return split_errors(parse_captures(capture_files(spark, path), max_bytes))[0]
 
 
-def write_packets(packets: DataFrame, path: str) -> None:
-    """Persist packets once, partitioned by capture, for every later job."""
-    packets.write.mode("overwrite").partitionBy("capture_id").parquet(path)
+def decode_once(spark: SparkSession, path: str, out: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Decode the captures under ``path`` into a parquet table for every later job."""
+    parse_captures(capture_files(spark, path), max_bytes).write.mode("overwrite").parquet(out)
+    return spark.read.schema(PARSED).parquet(out)

@@ -79,10 +79,10 @@ def first_rows_in_file_order(df: DataFrame, n: int) -> DataFrame:
 
     A scan split is read in file order by one task, and its rows are
     contiguous in that task, so ``monotonically_increasing_id`` minus the
-    split's smallest id is the row's index inside the split. One row per
-    split (count, smallest id) gives, by a running sum over (file, split
-    start), the rows before each split. A split wholly past ``n`` is
-    dropped; the row filter is narrow."""
+    split's smallest id is the row's index inside the split. One count per
+    split (a row each, read in order up to the cut) finds the split in which row
+    ``n`` lies; a filter on file, split and row keeps what comes before, so rows
+    past the cut are dropped as they are read and none is joined."""
     cols = df.columns
     tagged = df.select(
         *cols,
@@ -91,13 +91,16 @@ def first_rows_in_file_order(df: DataFrame, n: int) -> DataFrame:
         F.monotonically_increasing_id().alias("_mid"),
     )
     splits = tagged.groupBy("_file", "_block").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    order = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)))
-    splits = splits.filter(F.col("_before") < n).select("_file", "_block", "_first", "_before")
-    kept = tagged.join(splits, ["_file", "_block"], "inner").filter(
-        F.col("_before") + F.col("_mid") - F.col("_first") < n)
-    return kept.select(*cols)
+        F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")).orderBy("_file", "_block")
+    before = 0
+    for s in splits.toLocalIterator():
+        if before + s["_n"] >= n:
+            file, block = F.col("_file"), F.col("_block")
+            inside = (block == s["_block"]) & (F.col("_mid") < s["_first"] + n - before)
+            keep = (file < s["_file"]) | ((file == s["_file"]) & ((block < s["_block"]) | inside))
+            return tagged.filter(keep).select(*cols)
+        before += s["_n"]
+    return df
 
 
 def load_labelled(spark: SparkSession, root: str, limit: int | None = None,
