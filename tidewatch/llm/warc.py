@@ -42,35 +42,38 @@ def record_id(*parts: Column) -> Column:
                     F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
-# HTML to text: (pattern, replacement), applied in order. The patterns mean the same
-# in Java's and RE2's syntax. Elements that hold no text go first, block ends
-# become line ends, other tags spaces of nothing, entities their characters last.
-_DROP = [(rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>", " ") for t in ("script", "style", "noscript", "template", "head")]
+# HTML to text: (pattern, replacement), applied in order; the patterns mean the same
+# in Java's and RE2's syntax. Elements that hold no text and comments go first, ends
+# of blocks become marks, other tags nothing; white space is then one space and a run
+# of marks a line end.
+MARK = "\x01"
+_NO_TEXT = "|".join(rf"{t}\b[^>]*>.*?</{t}\s*>"
+                    for t in ("script", "style", "noscript", "template", "head"))
 TEXT_STEPS = (
-    (r"(?s)<!--.*?-->", " "),
-    *_DROP,
-    (r"[ \t\r\n\f]+", " "),
-    (r"(?i)<(?:br|hr)\b[^>]*>", "\n"),
-    (r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|nav|header|footer|blockquote|pre|title)\b[^>]*>", "\n"),
+    (rf"(?is)<(?:!--.*?-->|{_NO_TEXT})", " "),
+    (r"(?i)<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|nav|header|footer|blockquote|pre|title)"
+     r"\b|[bh]r\b)[^>]*>", MARK),
     (r"<[^>]*>", ""),
-    (r"&nbsp;|&#160;", " "),
-    (r"&lt;|&#60;", "<"),
-    (r"&gt;|&#62;", ">"),
-    (r"&quot;|&#34;", '"'),
-    (r"&#39;|&apos;", "'"),
-    (r"&amp;|&#38;", "&"),
-    (r" +", " "),
-    (r" ?\n[ \n]*", "\n"),
-    (r"^[ \n]+|[ \n]+$", ""),
+    (r"[\t\r\n\f]+", " "),
+    (r"  +", " "),
+    (rf" ?{MARK}[ {MARK}]*", "\n"),
 )
+SPACES = (("&nbsp;", " "), ("&#160;", " "))
+# Entities, after all tags are gone; the ampersand last.
+ENTITIES = (("&lt;", "<"), ("&#60;", "<"), ("&gt;", ">"), ("&#62;", ">"), ("&quot;", '"'),
+            ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&#38;", "&"), ("&amp;", "&"))
 
 
 def plain_text(html: Column) -> Column:
     """The text of an HTML payload; null and empty give an empty text."""
     text = F.coalesce(html, F.lit(""))
+    for entity, char in SPACES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
     for pattern, put in TEXT_STEPS:
         text = F.regexp_replace(text, F.lit(pattern), F.lit(put))
-    return text
+    for entity, char in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return F.btrim(text, F.lit(" \n"))
 
 
 def responses_of_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
@@ -216,12 +219,21 @@ def query(spark, sf_dir):
                        .alias("content_length"))
 
 
+def _sql_string(text: str) -> str:
+    text = text.replace("'", "''")
+    for c in ("\n", MARK):
+        text = text.replace(c, f"' || chr({ord(c)}) || '")
+    return f"('{text}')"
+
+
 def _sql_text(html: str) -> str:
+    for entity, char in SPACES:
+        html = f"replace({html}, {_sql_string(entity)}, {_sql_string(char)})"
     for pattern, put in TEXT_STEPS:
-        quoted = pattern.replace("'", "''")
-        put = put.replace("'", "''").replace("\n", "' || chr(10) || '")
-        html = f"regexp_replace({html}, '{quoted}', '{put}', 'g')"
-    return html
+        html = f"regexp_replace({html}, {_sql_string(pattern)}, {_sql_string(put)}, 'g')"
+    for entity, char in ENTITIES:
+        html = f"replace({html}, {_sql_string(entity)}, {_sql_string(char)})"
+    return f"trim({html}, ' ' || chr(10))"
 
 
 def _sql_id(key: str, kind: str) -> str:
