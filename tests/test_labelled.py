@@ -29,6 +29,8 @@ def test_load_union_clean_and_quota(spark):
     os.makedirs(os.path.join(root, ".hidden"))
     found = sorted(r.folder for r in L.discover(spark, root).collect())
     assert found == ["OS_Scan", "SYN_DoS"]
+    rows = {r.folder: r.label_rows for r in L.dataset_audit(spark, root, require_labels=False).collect()}
+    assert rows == {"OS_Scan": 1, "SYN_DoS": 1, "Orphan": None}
     df = L.load_labelled(spark, root)
     assert df.count() == 80
     audit = {r.Label: r.rows for r in L.load_audit(df).collect()}
@@ -52,8 +54,9 @@ def test_first_rows_in_file_order_across_splits(spark):
     try:
         df = spark.read.option("header", True).option("inferSchema", True).csv(path)
         assert df.rdd.getNumPartitions() > 5
-        got = sorted(r.v for r in L.first_rows_in_file_order(df, 5000).collect())
-        assert got == list(range(5000))
+        for n in (0, 1, 5000, 19_999, 20_000, 30_000):
+            got = sorted(r.v for r in L.first_rows_in_file_order(df, n).collect())
+            assert got == list(range(min(n, 20_000)))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 

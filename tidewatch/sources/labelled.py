@@ -58,6 +58,16 @@ def label_row_counts(spark: SparkSession, root: str, folders: list[str]) -> Data
     return out
 
 
+def dataset_audit(spark: SparkSession, root: str, require_labels: bool = True) -> DataFrame:
+    """(folder, path, length, label_rows) of the complete datasets (S2, S4): what a
+    load will read, with the rows of each labels file; null without one."""
+    found = discover(spark, root, require_labels)
+    labelled = [r["folder"] for r in discover(spark, root).select("folder").collect()]
+    if not labelled:
+        return found.withColumn("label_rows", F.lit(None).cast("long"))
+    return found.join(label_row_counts(spark, root, labelled), "folder", "left")
+
+
 def read_dataset(spark: SparkSession, path: str, label: str, schema=None,
                  infer: bool = True, limit: int | None = None) -> DataFrame:
     """One folder's data with its label (P1); ``limit`` keeps the first rows
