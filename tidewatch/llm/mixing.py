@@ -117,11 +117,13 @@ class Alphabet:
         # rows of each table by the symbol before: as its count to the power 3/4
         deal = (total[:, 0] + 1) ** 0.75
         self.first, self.rows, at = [], [], 0
-        for bits in SLOT_BITS:
+        for k, bits in enumerate(SLOT_BITS):
             ends = np.floor(np.cumsum(deal) / deal.sum() * ((1 << bits) - size)).astype(np.int64)
             ends += np.arange(1, size + 1)              # one row at least
             self.first.append(at + np.concatenate(([0], ends[:-1])))
-            self.rows.append(np.diff(np.concatenate(([0], ends))).astype(np.uint64))
+            # equally large tables share one array, and what is gathered from it
+            self.rows.append(self.rows[-1] if k and bits == SLOT_BITS[k - 1] else
+                             np.diff(np.concatenate(([0], ends))).astype(np.uint64))
             at += 1 << bits
 
     def log_odds(self, counts: np.ndarray, first_row: int) -> np.ndarray:
@@ -165,8 +167,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(data: np.ndarray, before: np.ndarray, alphabet: Alphabet) -> list[np.ndarray]:
-    """Table row of each context at each place, ``before`` being the symbols before
-    (the first four places are pads)."""
+    """Where each context's table row begins, at each place; ``before`` is the symbols
+    before (the first four places are pads)."""
     b = data.astype(np.uint32)
     one = np.concatenate((b[:1], b[:-1]))                  # the byte before
     three = one.copy()
@@ -189,8 +191,18 @@ def _rows(data: np.ndarray, before: np.ndarray, alphabet: Alphabet) -> list[np.n
     word = (word ^ (word >> np.uint64(29))) * _MIX
     hashes = ((three ^ (three >> np.uint32(11))) * mix, (four ^ (four >> np.uint32(15))) * mix,
               (word >> np.uint64(32)).astype(np.uint32))
-    return [first[before] + ((h * rows[before]) >> np.uint64(32)).astype(np.int64)
-            for h, first, rows in zip(hashes, alphabet.first, alphabet.rows)]
+    out, last = [], None
+    for h, first, rows in zip(hashes, alphabet.first, alphabet.rows):
+        if last is None or rows is not last:
+            share, last = rows[before], rows
+        row = h.astype(np.uint64)       # all in one type: mixed ones are cast in pieces
+        row *= share
+        row >>= np.uint64(32)
+        row = row.view(np.int64)
+        row += first[before]
+        row *= alphabet.size
+        out.append(row)
+    return out
 
 
 def _symbols(data, starts, sizes, alphabet) -> tuple[np.ndarray, np.ndarray]:
@@ -229,19 +241,21 @@ def _count_contexts(alphabet: Alphabet):
     width = alphabet.size
 
     def run(batches):
-        counts = np.zeros(ROWS * width, dtype=np.int32)
+        counts = np.zeros(ROWS * width + 1, dtype=np.int32)     # the last is the pads'
         some, one = False, np.int32(1)      # of the table's type: ufunc.at's fast path
         for batch in batches:
             texts = [lowered(t) for t in batch.column(0).to_pylist()]
             for group in _groups(texts, range(len(texts))):
                 data, starts, sizes = _laid_out([texts[k] for k in group])
                 symbols, before = _symbols(data, starts, sizes, alphabet)
-                real = _text_places(starts, len(data))
+                pads = np.flatnonzero(~_text_places(starts, len(data)))
                 some = True
-                for row in _rows(data, before, alphabet):
-                    np.add.at(counts, (row * width + symbols)[real], one)
+                for cell in _rows(data, before, alphabet):
+                    cell += symbols
+                    cell[pads] = ROWS * width
+                    np.add.at(counts, cell, one)
         if some:
-            blocks = counts.reshape(ROWS // BLOCK, BLOCK * width)
+            blocks = counts[:-1].reshape(ROWS // BLOCK, BLOCK * width)
             used = np.flatnonzero(blocks.any(axis=1))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(used.astype(np.int32)),
@@ -353,7 +367,7 @@ def mixed_bits(texts: list[bytes], alphabet: Alphabet, odds: np.ndarray,
     data, starts, sizes = _laid_out(texts)
     symbols, before = _symbols(data, starts, sizes, alphabet)
     codes = before * alphabet.size + symbols
-    base = [r * alphabet.size for r in _rows(data, before, alphabet)]
+    base = _rows(data, before, alphabet)
     n = len(texts)
     mixer = np.empty((len(alphabet.node), CONTEXTS + 1, n), dtype=np.float32)
     mixer[:, :CONTEXTS] = (np.asarray(weights, dtype=np.float32) / ODDS)[None, :, None]
