@@ -101,7 +101,7 @@ def _symbol_bits(data, at, trained):
     whole, starts, sizes = mixing._laid_out([data])
     symbols, before = mixing._symbols(whole, starts, sizes, alphabet)
     spot = starts[0] + at
-    rows = [r[spot] * alphabet.size for r in mixing._rows(whole, before, alphabet)]
+    rows = [r[spot] for r in mixing._rows(whole, before, alphabet)]
     cost = 8.0 if symbols[spot] == mixing.ESCAPE else 0.0
     for node, bit in alphabet.paths[before[spot]][symbols[spot]]:
         total = sum(w / mixing.ODDS * odds[r + node] for w, r in zip(mixing.WEIGHTS, rows))
