@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from .common import document_batches, id_crc_mod, table
 
 DIM = 1 << 13
+MAX_LANGUAGES = 1000    # more values than this are no languages
 SAMPLE_ROWS = 1500      # training rows of each language, in expectation
 HELD_OUT = (5, 0)       # crc32(id as text) mod 5 == 0 is never learned from
 UNKNOWN = "und"
@@ -118,9 +119,12 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
                        F.col(lang_col).alias("lang"))
     mod, held = HELD_OUT
     learn = rows.filter(F.col("lang").isNotNull() & (id_crc_mod("id", mod) != held))
-    # null languages aside, one row a language: the classes, a small table
+    # one row a language
     counts = {r["lang"]: r["n"] for r in
-              learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+              learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+              .limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} values")
     if not counts:
         return {"families": {}, "pairs": {}}
     cells = 1 << 30
