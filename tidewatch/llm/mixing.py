@@ -1,15 +1,15 @@
 """Language-model scoring by online logistic context mixing (operator 3).
 
 A text (A-Z lower-cased) is a sequence of symbols: its bytes, then an end. Each
-symbol is a path of binary decisions down the Huffman tree of what follows the byte
-before it in training. Every decision is predicted by several hashed contexts: the last three and
-the last four bytes, and the word so far. Each has a table of log odds by (context slot,
-tree node), made from the counts of *all* training texts; a mixer adds them up
-with weights and a bias that its gate, the decision's depth, selects, and the
-sum's logistic is the probability. The weights are refined online while a text is
-read: after each stretch of symbols they follow the gradient of its coding cost.
-The bits of all decisions are the text's cost; every text starts from the same
-weights, so a text's score depends on it and on the counts alone.
+symbol is a path of binary decisions down the Huffman tree of what follows the
+byte before it in training. Every decision is predicted by several hashed contexts:
+the last three and the last four bytes, and the word so far. Each has a table of
+log odds by (context row, tree node), made from the counts of *all* training texts;
+a mixer adds them up with weights and a bias that its gate, the decision's depth,
+selects, and the sum's logistic is the probability. The weights are refined online
+while a text is read: after each stretch of symbols they follow the gradient of its
+coding cost. The bits of all decisions are the text's cost; every text starts from
+the same weights, so a text's score depends on it and on the counts alone.
 
 On Spark this is three passes over the text. (1) Token counts and the counts of
 byte pairs. (2) Context counts: a task counts into arrays of fixed size and puts
