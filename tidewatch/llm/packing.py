@@ -15,6 +15,7 @@ best-fit decreasing leaves at most a few part-filled sequences a shard.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 
 import numpy as np
@@ -44,6 +45,15 @@ def tokenizer_paths(vocabulary: str = VOCABULARY) -> tuple[str, str]:
     return public_tokenizers.path(f"{vocabulary}.json"), public_tokenizers.path(f"{vocabulary}.tiktoken")
 
 
+def _full(path: str):
+    """The ``tokenizers`` file, loaded when a text first needs it."""
+    if path not in _loaded:
+        from tokenizers import Tokenizer
+
+        _loaded[path] = Tokenizer.from_file(path)
+    return _loaded[path]
+
+
 def encoder(paths: tuple[str, str]):
     """text -> ids. The ranks file holds the same vocabulary and merges and gives
     the same ids about four times as fast; texts that spell a special token go
@@ -51,18 +61,17 @@ def encoder(paths: tuple[str, str]):
     if paths not in _loaded:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        full = Tokenizer.from_file(paths[0])
+        with open(paths[0], encoding="utf-8") as f:
+            special = [t["content"] for t in json.load(f)["added_tokens"]]
         with open(paths[1], "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN,
                                  mergeable_ranks=ranks, special_tokens={})
-        special = [t.content for t in full.get_added_tokens_decoder().values()]
 
         def encode(text):
             if any(s in text for s in special):
-                return full.encode(text, add_special_tokens=False).ids
+                return _full(paths[0]).encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
         _loaded[paths] = encode
     return _loaded[paths]
