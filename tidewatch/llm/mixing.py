@@ -3,7 +3,7 @@
 A text (A-Z lower-cased) is a sequence of symbols: its bytes, then an end. Each
 symbol is a path of binary decisions down the Huffman tree of what follows the
 byte before it in training. Every decision is predicted by several hashed contexts:
-the last three and the last four bytes, and the word so far. Each has a table of
+the last two and the last four bytes, and the word so far. Each has a table of
 log odds by (context row, tree node), made from the counts of *all* training texts;
 a mixer adds them up with weights and a bias that its gate, the decision's depth,
 selects, and the sum's logistic is the probability. The weights are refined online
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import document_batches, id_crc_mod, table, written
 
 HELD_OUT = (7, 2)          # crc32(id as text) mod 7 == 2 is never learned from
-SLOT_BITS = (16, 18, 18)   # of each context's table: its slots are a power of two
+SLOT_BITS = (12, 18, 18)   # of each context's table: its rows are a power of two
 CONTEXTS = len(SLOT_BITS)
 ROWS = sum(1 << b for b in SLOT_BITS)
 BLOCK = 512                # slots in one merged block
@@ -47,7 +47,7 @@ HEAD = 1 << 20
 END, ESCAPE = 0, 1         # symbols; the bytes of the training texts follow
 PRIOR = 0.1                # added to either count of a node
 ODDS = 15.0                # units of a stored log odd: int8 holds +-8.4
-WEIGHTS = (0.3, 0.5, 0.3)   # of the three contexts, at the start of a text
+WEIGHTS = (0.15, 0.6, 0.35)   # of the three contexts, at the start of a text
 RATE = 0.03
 GROUP = 1 << 19            # symbols that are scored together
 _PAD = b"\n" * 4
@@ -171,10 +171,10 @@ def _rows(data: np.ndarray, before: np.ndarray, alphabet: Alphabet) -> list[np.n
     before (the first four places are pads)."""
     b = data.astype(np.uint32)
     one = np.concatenate((b[:1], b[:-1]))                  # the byte before
-    three = one.copy()
-    three[2:] |= b[:-2] << np.uint32(8)
-    three[3:] |= b[:-3] << np.uint32(16)
-    four = three.copy()
+    two = one.copy()
+    two[2:] |= b[:-2] << np.uint32(8)
+    four = two.copy()
+    four[3:] |= b[:-3] << np.uint32(16)
     four[4:] |= b[:-4] << np.uint32(24)
     mix = np.uint32(2654435761)
     # the word so far: a polynomial hash of the bytes since the last white space
@@ -189,7 +189,7 @@ def _rows(data: np.ndarray, before: np.ndarray, alphabet: Alphabet) -> list[np.n
     first = np.maximum.accumulate(first)
     word = (so_far - so_far[first]) * back[first]
     word = (word ^ (word >> np.uint64(29))) * _MIX
-    hashes = ((three ^ (three >> np.uint32(11))) * mix, (four ^ (four >> np.uint32(15))) * mix,
+    hashes = ((two ^ (two >> np.uint32(7))) * mix, (four ^ (four >> np.uint32(15))) * mix,
               (word >> np.uint64(32)).astype(np.uint32))
     out, last = [], None
     for h, first, rows in zip(hashes, alphabet.first, alphabet.rows):
