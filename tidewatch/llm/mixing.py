@@ -50,6 +50,7 @@ ODDS = 15.0                # units of a stored log odd: int8 holds +-8.4
 WEIGHTS = (0.15, 0.6, 0.35)   # of the three contexts, at the start of a text
 RATE = 0.03
 GROUP = 1 << 19            # symbols that are scored together
+BLOCK_SYMBOLS = 1 << 16    # symbols whose context rows are worked out together
 _PAD = b"\n" * 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _power = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
@@ -98,9 +99,9 @@ class Alphabet:
             after[self.of_byte[p], [END, *range(2, size)]] += pairs[p, columns]
         total = after.sum(axis=1, keepdims=True)
         # a share of the corpus' own counts where little was seen; and a floor that
-        # keeps the rarest paths about a dozen decisions long
+        # keeps the rarest paths about ten decisions long
         share = (after.sum(axis=0) + 1) / (after.sum() + size)
-        weights = np.maximum(after + (0.01 * total + 1) * share, (total + 1) / 4096)
+        weights = np.maximum(after + (0.01 * total + 1) * share, (total + 1) / 1024)
         self.paths = [_huffman(w.tolist()) for w in weights]
         length = np.array([[len(p) for p in tree] for tree in self.paths])
         depth = int(length.max())
@@ -193,13 +194,16 @@ def _rows(data: np.ndarray, before: np.ndarray, alphabet: Alphabet) -> list[np.n
               (word >> np.uint64(32)).astype(np.uint32))
     out, last = [], None
     for h, first, rows in zip(hashes, alphabet.first, alphabet.rows):
-        if last is None or rows is not last:
-            share, last = rows[before], rows
+        if rows is last:
+            begin = begin + (first[0] - at)
+        else:
+            share, last, begin = rows[before], rows, first[before]
+        at = first[0]
         row = h.astype(np.uint64)       # all in one type: mixed ones are cast in pieces
         row *= share
         row >>= np.uint64(32)
         row = row.view(np.int64)
-        row += first[before]
+        row += begin
         row *= alphabet.size
         out.append(row)
     return out
@@ -221,11 +225,11 @@ def _text_places(starts, n: int) -> np.ndarray:
     return real
 
 
-def _groups(texts: list[bytes], order):
-    """Runs of ``order`` with at most ``GROUP`` symbols, or a single text."""
+def _groups(texts: list[bytes], order, most: int = GROUP):
+    """Runs of ``order`` with at most ``most`` symbols, or a single text."""
     run, size = [], 0
     for k in order:
-        if run and size + len(texts[k]) >= GROUP:
+        if run and size + len(texts[k]) >= most:
             yield run
             run, size = [], 0
         run.append(k)
@@ -245,7 +249,7 @@ def _count_contexts(alphabet: Alphabet):
         some, one = False, np.int32(1)      # of the table's type: ufunc.at's fast path
         for batch in batches:
             texts = [lowered(t) for t in batch.column(0).to_pylist()]
-            for group in _groups(texts, range(len(texts))):
+            for group in _groups(texts, range(len(texts)), BLOCK_SYMBOLS):
                 data, starts, sizes = _laid_out([texts[k] for k in group])
                 symbols, before = _symbols(data, starts, sizes, alphabet)
                 pads = np.flatnonzero(~_text_places(starts, len(data)))
@@ -331,7 +335,7 @@ def _count_tokens(batches):
     n = np.zeros(256 * 257, dtype=np.int64)
     for batch in batches:
         texts = [lowered(t) for t in batch.column(0).to_pylist()]
-        for group in _groups(texts, range(len(texts))):
+        for group in _groups(texts, range(len(texts)), BLOCK_SYMBOLS):
             data, starts, sizes = _laid_out([texts[k] for k in group])
             byte = data.astype(np.int64)
             byte[starts + sizes - 1] = 256
@@ -364,11 +368,16 @@ def _stretches(longest: int):
 def mixed_bits(texts: list[bytes], alphabet: Alphabet, odds: np.ndarray,
                weights=WEIGHTS, rate: float = RATE) -> np.ndarray:
     """Bits that coding each text and its end costs (texts of one group)."""
-    data, starts, sizes = _laid_out(texts)
-    symbols, before = _symbols(data, starts, sizes, alphabet)
-    codes = before * alphabet.size + symbols
-    base = _rows(data, before, alphabet)
-    n = len(texts)
+    n, sizes = len(texts), np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    starts = np.cumsum(sizes + len(_PAD)) - sizes
+    codes, rows = [], []
+    for block in _groups(texts, range(n), BLOCK_SYMBOLS):
+        data, first, size = _laid_out([texts[k] for k in block])
+        symbols, before = _symbols(data, first, size, alphabet)
+        rows.append(_rows(data, before, alphabet))
+        codes.append(before * alphabet.size + symbols)
+    codes = np.concatenate(codes)
+    base = [np.concatenate(r) for r in zip(*rows)]
     mixer = np.empty((len(alphabet.node), CONTEXTS + 1, n), dtype=np.float32)
     mixer[:, :CONTEXTS] = (np.asarray(weights, dtype=np.float32) / ODDS)[None, :, None]
     mixer[:, CONTEXTS] = 0
@@ -406,8 +415,8 @@ def mixed_bits(texts: list[bytes], alphabet: Alphabet, odds: np.ndarray,
                 break
             s, places = s[on], [p[on] for p in places]
             who, many = who[left > 0], left[left > 0]
-    escaped = np.zeros(len(data) + 1, dtype=np.int64)
-    np.cumsum(symbols == ESCAPE, out=escaped[1:])
+    escaped = np.zeros(len(codes) + 1, dtype=np.int64)
+    np.cumsum(codes % alphabet.size == ESCAPE, out=escaped[1:])
     return nats / np.log(2) + 8.0 * (escaped[starts + sizes] - escaped[starts])
 
 
