@@ -55,7 +55,7 @@ def _lineitem_training(spark, sf_dir, *keys):
 
 
 def lineitem_model(spark, sf_dir, kind="forest"):
-    params = {"trees": 30, "depth": 10} if kind == "forest" else {"max_iter": 10, "depth": 5}
+    params = {"trees": 20, "depth": 8} if kind == "forest" else {"max_iter": 10, "depth": 5}
     return _fit_once(spark, (sf_dir, kind), lambda: MD.train_job(
         _lineitem_training(spark, sf_dir), kind=kind, classifier_quota=CLASSIFIER_QUOTA, **params))
 
