@@ -184,3 +184,32 @@ def test_nothing_to_learn_from(make_docs):
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got] \
         == [(3, 0, 0, 0.0)] * 3
     assert all(np.isfinite(r["score"]) for r in got)
+
+
+def test_refined_all_through_the_text(trained):
+    """Short fixed stretches up to the end of a long text, not longer ones later on."""
+    spans = list(mixing._stretches(20_001))
+    assert spans[0][0] == 0 and spans[-1][1] >= 20_001
+    assert all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    assert max(b - a for a, b in spans) <= 64
+    # what comes after place 8192 is learned from at once
+    head, tail = "the cat and the dog. " * 400, "qzqz xjxj " * 100
+    late = bits([head + tail], trained)[0] - bits([head], trained)[0]
+    still = bits([head + tail], trained, rate=0.0)[0] - bits([head], trained, rate=0.0)[0]
+    assert late < 0.95 * still
+
+
+def test_three_bytes_are_a_context(trained):
+    """Where only the fourth byte before differs, two tables agree; where the third, one."""
+    alphabet, _ = trained
+
+    def rows(text):
+        data, starts, sizes = mixing._laid_out([text])
+        before = mixing._symbols(data, starts, sizes, alphabet)[1]
+        return [int(r[starts[0] + 4]) for r in mixing._rows(data, before, alphabet)]
+
+    def agree(a, b):
+        return sum(x == y for x, y in zip(rows(a), rows(b)))
+
+    assert agree(b"stone", b"atone") == 2
+    assert agree(b"stone", b"saone") == 1

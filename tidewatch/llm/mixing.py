@@ -3,11 +3,11 @@
 A text (A-Z lower-cased) is a sequence of symbols: its bytes, then an end. Each
 symbol is a path of binary decisions down the Huffman tree of what follows the
 byte before it in training. Every decision is predicted by several hashed contexts:
-the last two and the last four bytes, and the word so far. Each has a table of
+the last two, three and four bytes, and the word so far. Each has a table of
 log odds by (context row, tree node), made from the counts of *all* training texts;
 a mixer adds them up with weights and a bias that its gate, the decision's depth,
 selects, and the sum's logistic is the probability. The weights are refined online
-while a text is read: after each stretch of symbols they follow the gradient of its
+while a text is read: after every ``STRETCH`` symbols they follow the gradient of its
 coding cost. The bits of all decisions are the text's cost; every text starts from
 the same weights, so a text's score depends on it and on the counts alone.
 
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import document_batches, id_crc_mod, table, written
 
 HELD_OUT = (7, 2)          # crc32(id as text) mod 7 == 2 is never learned from
-SLOT_BITS = (12, 18, 18)   # of each context's table: its rows are a power of two
+SLOT_BITS = (12, 16, 18, 18)   # of each context's table: its rows are a power of two
 CONTEXTS = len(SLOT_BITS)
 ROWS = sum(1 << b for b in SLOT_BITS)
 BLOCK = 512                # slots in one merged block
@@ -47,9 +47,10 @@ HEAD = 1 << 20
 END, ESCAPE = 0, 1         # symbols; the bytes of the training texts follow
 PRIOR = 0.1                # added to either count of a node
 ODDS = 15.0                # units of a stored log odd: int8 holds +-8.4
-WEIGHTS = (0.15, 0.6, 0.35)   # of the three contexts, at the start of a text
+WEIGHTS = (0.1, 0.15, 0.5, 0.35)   # of the four contexts, at the start of a text
 RATE = 0.03
-GROUP = 1 << 19            # symbols that are scored together
+STRETCH = 64               # symbols after which the weights are refined
+GROUP = 1 << 21            # symbols that are scored together
 BLOCK_SYMBOLS = 1 << 16    # symbols whose context rows are worked out together
 _PAD = b"\n" * 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -174,8 +175,9 @@ def _rows(data: np.ndarray, before: np.ndarray, alphabet: Alphabet) -> list[np.n
     one = np.concatenate((b[:1], b[:-1]))                  # the byte before
     two = one.copy()
     two[2:] |= b[:-2] << np.uint32(8)
-    four = two.copy()
-    four[3:] |= b[:-3] << np.uint32(16)
+    three = two.copy()
+    three[3:] |= b[:-3] << np.uint32(16)
+    four = three.copy()
     four[4:] |= b[:-4] << np.uint32(24)
     mix = np.uint32(2654435761)
     # the word so far: a polynomial hash of the bytes since the last white space
@@ -190,7 +192,8 @@ def _rows(data: np.ndarray, before: np.ndarray, alphabet: Alphabet) -> list[np.n
     first = np.maximum.accumulate(first)
     word = (so_far - so_far[first]) * back[first]
     word = (word ^ (word >> np.uint64(29))) * _MIX
-    hashes = ((two ^ (two >> np.uint32(7))) * mix, (four ^ (four >> np.uint32(15))) * mix,
+    hashes = ((two ^ (two >> np.uint32(7))) * mix, (three ^ (three >> np.uint32(11))) * mix,
+              (four ^ (four >> np.uint32(15))) * mix,
               (word >> np.uint64(32)).astype(np.uint32))
     out, last = [], None
     for h, first, rows in zip(hashes, alphabet.first, alphabet.rows):
@@ -356,13 +359,10 @@ def _count_tokens(batches):
 # ------------------------------------------------------------------ scoring
 
 def _stretches(longest: int):
-    """Where the weights are refined: after 64, 128, ... 8192 symbols, then every
-    8192 (by place in the text only, so grouping changes nothing)."""
-    at, step = 0, 64
-    while at < longest:
-        yield at, at + step
-        at += step
-        step = min(8192, at)
+    """Where the weights are refined: after every ``STRETCH`` symbols of the whole
+    text (by place in the text only, so grouping changes nothing)."""
+    for at in range(0, longest, STRETCH):
+        yield at, at + STRETCH
 
 
 def mixed_bits(texts: list[bytes], alphabet: Alphabet, odds: np.ndarray,
