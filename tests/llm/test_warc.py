@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import html as html_names
 
 import pytest
 from llm_fixtures import SF_SMALL
@@ -102,3 +103,17 @@ def test_query_has_two_records_a_page(spark):
     rows = warc.query(spark, SF_SMALL).collect()
     pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet").count()
     assert len(rows) == 2 * pages == len({r["record_id"] for r in rows})
+
+
+def test_every_reference_is_decoded(spark):
+    """Against the standard library: all names, decimal and hex, in text and title."""
+    refs = [f"&{name}" for name in html_names.entities.html5 if name.endswith(";")]
+    refs += ["&#8217;", "&#x27;", "&#X1F600;", "&#233;", "&copy", "&#128;", "&nosuch;", "&amp;eacute;",
+             "&#38;amp;", "&#1;", "&#xD800;", "&amp;#60;"]
+    raw = "x".join(f"[{r}]" for r in refs)
+    want = " ".join(html_names.unescape(raw).replace("\xa0", " ").replace("\n", " ").replace("\t", " ").split(" "))
+    got = derived(spark, [("<u>", None, None, None, f"<title>Caf&eacute; &#8217;n&nbsp;&#x27;</title><p>{raw}</p>"),
+                          ("<v>", None, None, None, "\xa0a&copy;&nbsp;&#160;b&#xa0;c")])
+    assert got["<u>", "conversion"]["block"].split("\n")[-1] == want
+    assert got["<u>", "metadata"]["block"].startswith("title: Caf\u00e9 \u2019n '\r\n")
+    assert got["<v>", "conversion"]["block"] == "\xa0a\u00a9 b c"
