@@ -128,3 +128,23 @@ def test_awkward_rows(make_docs):
     assert masked.columns == docs.columns
     assert sorted(str(r["text"]) for r in masked.collect()) == [
         "", "None", "[EMAIL]", "[IP]", "[IP]"]
+
+
+@pytest.mark.parametrize("text, kind", [
+    ("+1 four 1 five 555 one 2 one 2", "phone"), ("plus 1 four 1 five 555 one 2 one 2", "phone"),
+    ("192 dot 168 dot 0 dot 1", "ip"), ("call +1 four - one - five 555 one two one two", "phone"),
+    ("plus one (four one five) five five five one two one two", "phone")])
+def test_mixed_spellings_are_found_alone(text, kind):
+    assert any(k == kind for k, _, _ in pii.find(text)[1])
+    assert f"[{kind.upper()}]" in pii.masked(text)
+
+
+def test_the_gate_never_changes_the_result(texts):
+    rng = random.Random(1)
+    bits = ["four", "1", "plus", "dot", "+", " - ", "(", ")", "at", "com", "x", "192", "[", "]", ".", "@",
+            "O", "one", "&period;", "&#64;", "_at_", "<", ">", "\u017fix", "s\u0131x", "a"]
+    some = ["".join(rng.choice(bits) + rng.choice(["", " ", "  "]) for _ in range(rng.randint(1, 12)))
+            for _ in range(5000)]
+    for t in [*some, *texts.values()]:
+        t, gated = t or "", pii.deobfuscated(t or "")
+        assert (gated.text if gated else t) == pii.deobfuscated(t, always=True).text

@@ -105,11 +105,9 @@ _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 # a look-ahead on first letters spares most words the long alternation
 _FIRST = "[" + "".join(sorted({w[0] for w in DIGIT_WORDS})) + "]"
 _TOKEN = rf"(?:\b(?={_FIRST}){_WORD}\b|(?<![0-9])[0-9]++)"
-_GAP = rf"(?:\s+{_DOT}\s+|[\s,.-]{{1,2}})"
+_GAP = rf"(?:\s+{_DOT}\s+|[\s,.()\[\]-]{{1,4}})"
 _SPELLED = re.compile(rf"(?:\bplus\s+)?{_TOKEN}(?:{_GAP}{_TOKEN}){{2,}}", re.I)
-_SPELLED_PART = re.compile(rf"(plus\s+)|({_WORD})\b|([0-9]+)|(\s+{_DOT}\s+)|([\s,.-]+)", re.I)
-_SPELLED_HINT = re.compile(rf"\b(?={_FIRST}){_WORD}(?:[\s,.-]{{1,2}}{_WORD}\b|\s+{_DOT}\s)"
-                           rf"|\bplus\s+{_WORD}\b")
+_SPELLED_PART = re.compile(rf"(plus\s+)|({_WORD})\b|([0-9]+)|(\s+{_DOT}\s+)|([\s,.()\[\]-]+)", re.I)
 _MARKED_DOT = rf"(?:\s*{_OPEN}\s*(?:{_DOT}|\.)\s*{_CLOSE}\s*|_{_DOT}_|&(?:\#0*46|\#x2e|period);)"
 _MARKED_AT = rf"(?:\s*{_OPEN}\s*(?:{_AT}|@)\s*{_CLOSE}\s*|_{_AT}_|&(?:\#0*64|\#x40|commat);)"
 # Bare words are prose unless they lead to one of these top-level domains.
@@ -121,9 +119,6 @@ _DISGUISE = re.compile(
     rf"(?<=[A-Za-z0-9])(?:(?P<at>{_MARKED_AT}|\s+{_AT}\s+(?=[A-Za-z0-9-]+{_ANY_DOT}{_REST})"
     rf"|\s+@\s+(?=[A-Za-z0-9]))|(?P<dot>{_MARKED_DOT}|{_BARE_DOT}(?={_REST})))(?=[A-Za-z0-9])",
     re.I)
-_DISGUISE_HINTS = ("dot", "point", "punkt", "punto", "at]", "at)", "at}", "at>", "at ]", "at )",
-                   "@]", "@)", "@}", "@>", " @ ", "_at_", "arroba", "arobase", "&#", "&commat",
-                   "[.]", "(.)", "{.}")
 _LETTER_DIGIT = re.compile(r"(?<=[0-9])[OoIl]{1,3}(?=[0-9])")
 
 
@@ -173,7 +168,7 @@ def _character(m):
 def _spelled(m):
     parts = [(p.lastindex, p[0], m.start() + p.start(), m.start() + p.end())
              for p in _SPELLED_PART.finditer(m[0])]
-    if not any(k == 2 for k, *_ in parts):
+    if not any(k in (2, 4) for k, *_ in parts):      # a digit word, or a dot word
         return None
     out = []
     for at, (k, s, a, b) in enumerate(parts):
@@ -181,7 +176,7 @@ def _spelled(m):
         if k == 1:
             out.append(("+", a, a + 4))
         elif k == 2:
-            out.append((DIGIT_WORDS[s.lower()], a, b))
+            out.append((DIGIT_WORDS[s.casefold().replace("ı", "i")], a, b))
         elif k == 4 or k == 5 and s.strip() == ".":
             out.append((".", a, b))
         elif k == 3 or 2 not in beside:      # digits, and what stands between digits
@@ -189,17 +184,16 @@ def _spelled(m):
     return out
 
 
-def deobfuscated(text: str) -> Mapped | None:
-    """The text behind the transducers, or None where none of them can act."""
-    low = text.lower()
-    odd, spelled = _ODD.search(text), _SPELLED_HINT.search(low)
-    hidden = any(h in low for h in _DISGUISE_HINTS)
-    if not (odd or spelled or hidden or _LETTER_DIGIT.search(text)):
+def deobfuscated(text: str, always: bool = False) -> Mapped | None:
+    """The text behind the transducers, or None where none of them can act: the
+    patterns themselves say so, as the first that acts finds the text as it is
+    (``always`` runs them all the same)."""
+    if not (always or _ODD.search(text) or _LETTER_DIGIT.search(text) or _DISGUISE.search(text)
+            or any(_spelled(x) for x in _SPELLED.finditer(text))):
         return None
     m = Mapped(text)
     m.rewrite(_ODD, _character)
-    if spelled or odd:
-        m.rewrite(_SPELLED, _spelled)
+    m.rewrite(_SPELLED, _spelled)
     m.rewrite(_DISGUISE, lambda x: [("@" if x["at"] else ".", *x.span())])
     m.rewrite(_LETTER_DIGIT, lambda x: [("0" if c in "Oo" else "1", x.start() + i, x.start() + i + 1)
                                         for i, c in enumerate(x[0])])
