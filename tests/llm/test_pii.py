@@ -148,3 +148,21 @@ def test_the_gate_never_changes_the_result(texts):
     for t in [*some, *texts.values()]:
         t, gated = t or "", pii.deobfuscated(t or "")
         assert (gated.text if gated else t) == pii.deobfuscated(t, always=True).text
+
+
+@pytest.mark.parametrize("text, address", [
+    ("mail maria at posta dot it now", "maria at posta dot it"),
+    ("ivan at yandex dot ru", "ivan at yandex dot ru"), ("ana at uol dot com dot br", "ana at uol dot com dot br"),
+    ("jan at poczta dot pl", "jan at poczta dot pl"), ("raj at mail dot in", "raj at mail dot in"),
+    ("kim at tool dot dev", "kim at tool dot dev"), ("a at b dot museum", "a at b dot museum"),
+    ("bo at firma punkt at", None), ("eva at firma punkt pl", "eva at firma punkt pl")])
+def test_all_top_level_domains_end_an_address(text, address):
+    found = [text[a:b] for k, a, b in pii.find(text)[1] if k == "email"]
+    assert found == ([address] if address else [])
+
+
+@pytest.mark.parametrize("text", [
+    "look at the dot in the middle", "at this point in time", "it rained at some point it seems",
+    "we were at that point people said", "she stood at knife point in May"])
+def test_prose_with_words_that_are_domains_is_left_alone(text):
+    assert pii.find(text) == ([], [])

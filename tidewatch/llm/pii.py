@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import document_batches, table
+from .tlds import TLDS
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -110,14 +111,42 @@ _SPELLED = re.compile(rf"(?:\bplus\s+)?{_TOKEN}(?:{_GAP}{_TOKEN}){{2,}}", re.I)
 _SPELLED_PART = re.compile(rf"(plus\s+)|({_WORD})\b|([0-9]+)|(\s+{_DOT}\s+)|([\s,.()\[\]-]+)", re.I)
 _MARKED_DOT = rf"(?:\s*{_OPEN}\s*(?:{_DOT}|\.)\s*{_CLOSE}\s*|_{_DOT}_|&(?:\#0*46|\#x2e|period);)"
 _MARKED_AT = rf"(?:\s*{_OPEN}\s*(?:{_AT}|@)\s*{_CLOSE}\s*|_{_AT}_|&(?:\#0*64|\#x40|commat);)"
-# Bare words are prose unless they lead to one of these top-level domains.
-_TLD = "(?:com|org|net|edu|gov|mil|info|biz|io|co|eu|uk|us|de|fr|es|nl|ch|ca|au|example)"
+def _any_of(words) -> str:
+    """A pattern of any of the words, branching by character."""
+    tree: dict = {}
+    for word in words:
+        at = tree
+        for c in word:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        branches = [re.escape(c) + pattern(at[c]) for c in sorted(at) if c]
+        if not branches:
+            return ""
+        return f"(?:{'|'.join(branches)})" + ("?" if "" in at else "")
+
+    return pattern(tree)
+
+
+# Bare words are prose unless they lead to a top-level domain. Those that are also words
+# (long ones, and these codes) count only behind "dot" and a label that is no determiner.
+_WORD_CODES = frozenset("ad am as at be by do et id in is it la ma me my ne ni no pa pm sa se so "
+                        "su to tu".split())
+_CLEAR = {t for t in TLDS if len(t) == 2 or t.startswith("xn--")} - _WORD_CODES | frozenset(
+    "com org net edu gov mil info biz example dev app xyz".split())
+_TLD, _ANY_TLD = _any_of(_CLEAR), _any_of(TLDS | _CLEAR)
+_DETERMINER = (r"(?:an?|the|this|that|these|those|some|any|no|one|each|every|which|what|his|her|its|"
+               r"their|our|my|your|another|either)\b(?!-)")
 _BARE_DOT = rf"\s+{_DOT}\s+"
 _ANY_DOT = rf"(?:{_MARKED_DOT}|{_BARE_DOT})"
 _REST = rf"(?:[A-Za-z0-9-]+(?:{_ANY_DOT}|\.)){{0,8}}{_TLD}\b"
+_SAID_DOT = rf"(?:{_MARKED_DOT}|\s+dot\s+)"
+_SAID_REST = rf"(?:[A-Za-z0-9-]+(?:{_SAID_DOT}|\.)){{0,8}}{_ANY_TLD}\b"
 _DISGUISE = re.compile(
-    rf"(?<=[A-Za-z0-9])(?:(?P<at>{_MARKED_AT}|\s+{_AT}\s+(?=[A-Za-z0-9-]+{_ANY_DOT}{_REST})"
-    rf"|\s+@\s+(?=[A-Za-z0-9]))|(?P<dot>{_MARKED_DOT}|{_BARE_DOT}(?={_REST})))(?=[A-Za-z0-9])",
+    rf"(?<=[A-Za-z0-9])(?:(?P<at>{_MARKED_AT}|\s+{_AT}\s+(?:(?=[A-Za-z0-9-]+{_ANY_DOT}{_REST})"
+    rf"|(?!{_DETERMINER})(?=[A-Za-z0-9-]+{_SAID_DOT}{_SAID_REST}))|\s+@\s+(?=[A-Za-z0-9]))"
+    rf"|(?P<dot>{_MARKED_DOT}|{_BARE_DOT}(?={_REST})|\s+dot\s+(?={_SAID_REST})))(?=[A-Za-z0-9])",
     re.I)
 _LETTER_DIGIT = re.compile(r"(?<=[0-9])[OoIl]{1,3}(?=[0-9])")
 
