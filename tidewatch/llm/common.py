@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +68,12 @@ def shingles_sql(words: str, width: int, each: str) -> str:
             f"transform(sequence(1, greatest(size(w) - {width - 1}, 1)), i -> {body}) END)[0]")
 
 
+def int_matrix(column: pa.Array, width: int = 0) -> np.ndarray:
+    """Rows of integer lists as a matrix of ``width`` columns at least; shorter rows
+    end in zeros."""
+    ends = column.offsets.to_numpy()
+    flat = column.values.to_numpy(zero_copy_only=False)
+    sizes = np.diff(ends)
+    out = np.zeros((len(sizes), max(width, int(sizes.max(initial=0)))), dtype=np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = flat[ends[0]:ends[-1]]
+    return out
