@@ -42,7 +42,7 @@ def test_only_the_text_counts(spark, documents, model):
 def test_awkward_rows(make_docs, model):
     docs = make_docs([(1, None), (2, ""), (3, "123 !?\n"), (4, "é"), (None, "the and of that"),
                       (5, "the and of that with this"), (5, "the and of that with this"),
-                      (6, "word " * 30_000)]).selectExpr("*", "9 AS score", "'q' AS lang_pred")
+                      (6, "word " * 30_000)]).selectExpr("*", "9 AS score", "'q' AS lang_pred", "1 AS __said", "2 AS said")
     rows = language.predict(docs, model).collect()
     said = [(r["doc_id"], r["lang_pred"]) for r in rows]
     assert [x for x in said if x[0] in (1, 2, 3)] == [(1, "und"), (2, "und"), (3, "und")]

@@ -11,6 +11,7 @@ from llm_fixtures import SF_SMALL
 from llm_fixtures import make_docs, documents, texts  # noqa: F401
 
 from tidewatch.llm import mixing
+from tidewatch.llm.common import written
 
 END = object()
 
@@ -213,3 +214,27 @@ def test_three_bytes_are_a_context(trained):
 
     assert agree(b"stone", b"atone") == 2
     assert agree(b"stone", b"saone") == 1
+
+
+def test_ids_keep_their_scores_over_shuffled_inputs(spark, documents):
+    """However the input's plan deals its rows, and whatever adaptive planning makes of
+    it, a document's figures are its own."""
+    figures = ["held_out", "n_tokens", "n_known", "base_score", "score"]
+    docs = documents.limit(60)
+    docs = written(docs, "some")
+    want = {r["doc_id"]: [r[c] for c in figures] for r in mixing.score(docs).collect()}
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    try:
+        for advised in (before, "2k"):
+            spark.conf.set(size, advised)
+            for shuffled in (docs.dropDuplicates(["doc_id"]), docs.repartition(5, "source"),
+                             docs.groupBy("doc_id").agg({"text": "min"}).withColumnRenamed("min(text)", "text"),
+                             docs.coalesce(1).orderBy("text")):
+                got = {r["doc_id"]: [r[c] for c in figures] for r in mixing.score(shuffled).collect()}
+                assert set(got) == set(want)
+                for d, values in got.items():
+                    assert values[:3] == want[d][:3]
+                    assert values[3:] == pytest.approx(want[d][3:], rel=1e-9)
+    finally:
+        spark.conf.set(size, before)

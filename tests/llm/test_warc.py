@@ -89,14 +89,32 @@ def test_broken_files_end_quietly():
     assert list(warc.parse_records(b"WARC/1.0\r\nContent-Length: 3")) == []
 
 
-def test_repeated_rows_extra_columns_and_empty_table(spark):
+def test_repeated_rows_clashing_columns_and_empty_table(spark):
     rows = spark.createDataFrame([("<u>", "http://a", None, None, "x")] * 2, RESPONSES) \
-        .selectExpr("*", "'k' AS block", "1 AS warc_type")
-    carried = rows.withColumnsRenamed({"block": "k", "warc_type": "t"})
-    got = warc.derivatives(carried).collect()
+        .selectExpr("*", "'k' AS block", "1 AS warc_type", "'b' AS block_", "2 AS refers_to",
+                    "3 AS source_digest", "4 AS __n", "5 AS __r", "6 AS n", "7 AS text", "8 AS m")
+    made = warc.derivatives(rows)
+    assert len({c.lower() for c in made.columns}) == len(made.columns)
+    got = made.collect()
     assert len(got) == 4 and len({r["record_id"] for r in got}) == 2
-    assert {(r["k"], r["t"]) for r in got} == {("k", 1)}
-    assert warc.derivatives(carried.limit(0)).collect() == []
+    assert {(r["block__"], r["block_"], r["warc_type_"], r["refers_to_"], r["source_digest_"], r["__n"], r["__r"],
+             r["n"], r["text"], r["m"]) for r in got} == {("k", "b", 1, 2, 3, 4, 5, 6, 7, 8)}
+    assert {r["refers_to"] for r in got} == {"<u>"}
+    assert warc.derivatives(rows.limit(0)).collect() == []
+
+
+def test_oracle_decodes_as_the_standard_library(spark):
+    import duckdb
+    refs = [f"&{name}" for name in html_names.entities.html5]
+    refs += [f"&#{k};" for k in (0, 1, 13, 38, 128, 159, 160, 233, 8217, 55296, 64976, 65533, 1114111, 1114112)]
+    refs += ["&#x27;", "&#X1F600", "&#x;", "&copyx;", "&notit;", "&nosuch;", "&", "&&amp;", "&#99999999999999999999;"]
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE p AS SELECT {warc._PATTERN} AS pattern, {warc._NAMES} AS names")
+    con.execute("CREATE TABLE t (k INTEGER, bare VARCHAR)")
+    texts = [f"a{r}b {r}" for r in refs]
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(texts)))
+    got = [x for _, x in sorted(con.execute(f"SELECT k, {warc._sql_decoded('bare')} FROM t, p").fetchall())]
+    assert got == [warc.unescaped(t) for t in texts]
 
 
 def test_query_has_two_records_a_page(spark):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import document_batches, id_crc_mod, table
+from .common import document_batches, fresh, id_crc_mod, table
 
 DIM = 1 << 13
 MAX_LANGUAGES = 1000    # more values than this are no languages
@@ -197,7 +197,11 @@ def predictor(model: dict):
 def predict(docs: DataFrame, model: dict, text_col: str = "text",
             lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``docs`` with two columns more: the language (``und`` for a null text or
-    one without any letter, or when nothing was learned) and a score in 0 to 1."""
+    one without any letter, or when nothing was learned) and a score in 0 to 1.
+
+    Columns of these two names are replaced, all others carried along. Every row is
+    judged by its text alone, so repeated rows get equal answers; a text is read whole,
+    however long, with memory that follows the longest one. An empty table gives none."""
     document_batches(docs.sparkSession)
     kind = T.StructType([T.StructField("lang", T.StringType()),
                          T.StructField("score", T.DoubleType())])
@@ -207,9 +211,10 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text",
         return pd.DataFrame(predictor(model)(texts), columns=["lang", "score"])
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (lang_out, score_out)]
-    said = docs.select(*rest, label(F.col(text_col)).alias("__said"))
-    return said.select(*rest, F.col("__said.lang").alias(lang_out),
-                       F.col("__said.score").alias(score_out))
+    (both,) = fresh(docs, "said")
+    said = docs.select(*rest, label(F.col(text_col)).alias(both))
+    return said.select(*rest, F.col(f"{both}.lang").alias(lang_out),
+                       F.col(f"{both}.score").alias(score_out))
 
 
 def query(spark, sf_dir):

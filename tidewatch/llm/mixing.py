@@ -421,13 +421,14 @@ def mixed_bits(texts: list[bytes], alphabet: Alphabet, odds: np.ndarray,
 
 
 def _score(alphabet, model):
-    """(row, n_bytes, n_tokens, known, logs, bits, tail) of each text: baseline sums
-    over the broadcast tokens, the others in ``tail`` as (hash, n)."""
+    """The first two columns of each row as they are, then n_bytes, n_tokens, known, logs,
+    bits, tail of its text, the third: baseline sums over the broadcast tokens, the
+    others in ``tail`` as (hash, n)."""
     def run(batches):
         odds, head = model.value
         get = head.get                      # log10(count + 1), never 0
         for batch in batches:
-            texts = [lowered(t) for t in batch.column(1).to_pylist()]
+            texts = [lowered(t) for t in batch.column(2).to_pylist()]
             bits = np.zeros(len(texts))
             order = sorted(range(len(texts)), key=lambda k: len(texts[k]))
             for group in _groups(texts, order):
@@ -447,10 +448,10 @@ def _score(alphabet, model):
                 [pa.array(np.array(hashes, dtype=np.uint64).astype(np.int64)),
                  pa.array(times, pa.int32())], names=["h", "n"]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t) for t in texts], pa.int64()),
+                [batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int64()),
                  pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()),
                  pa.array(logs, pa.float64()), pa.array(bits), tail],
-                names=["row", "n_bytes", "n_tokens", "known", "logs", "bits", "tail"])
+                names=["doc_id", "held_out", "n_bytes", "n_tokens", "known", "logs", "bits", "tail"])
     return run
 
 
@@ -482,20 +483,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     alphabet = Alphabet(pairs)
     model = spark.sparkContext.broadcast((context_odds(learn, alphabet), head))
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"),
+    # the id travels with its text; rows are numbered once, as they are written
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"),
                        F.col(text_col).alias("text"))
     scored = rows.mapInArrow(
-        _score(alphabet, model), "row long, n_bytes long, n_tokens long, known long, logs double, "
-                                 "bits double, tail array<struct<h: long, n: int>>")
-    scored = written(scored, "scored")
+        _score(alphabet, model),
+        f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_bytes long, "
+        "n_tokens long, known long, logs double, bits double, tail array<struct<h: long, n: int>>")
+    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = words.filter(F.col("n") * HEAD < train_tokens).select(F.xxhash64("token").alias("h"),
                                                                  F.col("n").alias("c"))
     rest = scored.select("row", F.explode("tail").alias("t")).select("row", "t.h", "t.n") \
         .join(rare, "h").groupBy("row").agg(
             F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_logs"))
-    ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
-                      held_out.alias("held_out"))
-    out = scored.drop("tail").join(rest, "row", "left").join(ids, "row")
+    out = scored.drop("tail").join(rest, "row", "left")
     zero, end_log = F.lit(0), float(np.log10(texts + 1))
     return out.select(
         "doc_id", "held_out", "n_tokens",

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import document_batches, table
+from .common import document_batches, fresh, table
 
 VERSION = "WARC/1.1"
 RESPONSE = ("record_id string, target_uri string, warc_date string, content_type string, "
@@ -61,12 +61,6 @@ TEXT_STEPS = (
     (r"  +", " "),
     (rf" ?{MARK}[ {MARK}]*", "\n"),
 )
-# The oracle SQL decodes these few references only (see REPLY_r02.md).
-SPACES = (("&nbsp;", " "), ("&#160;", " "))
-ENTITIES = (("&lt;", "<"), ("&#60;", "<"), ("&gt;", ">"), ("&#62;", ">"), ("&quot;", '"'),
-            ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&#38;", "&"), ("&amp;", "&"))
-
-
 TAG_STEPS = 3             # of TEXT_STEPS, before references are decoded
 _REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
 
@@ -110,19 +104,36 @@ def responses_of_pages(pages: DataFrame, id_col: str = "page_id", url_col: str =
                         F.col(html_col).alias("payload"))
 
 
+ADDED = {"warc_type", "record_id", "refers_to", "refers_to_uri", "refers_to_date", "concurrent_to",
+         "content_type", "source_content_type", "source_digest", "block", "block_digest",
+         "content_length"}
+
+
 def derivatives(responses: DataFrame) -> DataFrame:
     """Two rows per response: its ``metadata`` and its ``conversion`` record.
 
-    Other columns of ``responses`` are carried along. Columns added:
-    warc_type, record_id (the response's becomes refers_to), refers_to,
+    Other columns of ``responses`` are carried along; one whose name is also that of a
+    column added gets ``_`` behind it. Columns added: warc_type, record_id (the response's becomes refers_to), refers_to,
     refers_to_uri, refers_to_date, concurrent_to (the record made with it),
     content_type, source_content_type, source_digest, block, block_digest,
     content_length. A null payload is an empty one (its conversion is empty, its
     digest that of no bytes); null URIs and dates stay null. Repeated rows give
     repeated records with equal ids. An empty table gives none."""
     document_batches(responses.sparkSession)
-    carried = [c for c in responses.columns
-               if c not in ("record_id", "target_uri", "warc_date", "content_type", "payload")]
+    used = {"record_id", "target_uri", "warc_date", "content_type", "payload"}
+    carried = [c for c in responses.columns if c.lower() not in used]
+    out = [c for c in carried if c.lower() not in ADDED]
+    for c in carried:
+        if c.lower() in ADDED:
+            taken = {x.lower() for x in (*carried, *out)} | ADDED
+            new = c + "_"
+            while new.lower() in taken:
+                new += "_"
+            responses = responses.withColumnRenamed(c, new)
+            out.append(new)
+    carried = out
+    n, title_, lang_, links_, text_, m, c, r, from_, uri, date, kind, digest_ = fresh(
+        responses, "n", "title", "lang", "links", "text", "m", "c", "r", "from", "uri", "date", "kind", "digest")
     html = F.coalesce("payload", F.lit(""))
     text = plain_text(F.col("payload"))
     title = F.regexp_replace(_unescaped(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1)),
@@ -130,31 +141,32 @@ def derivatives(responses: DataFrame) -> DataFrame:
     lang = F.regexp_extract(html, r"(?i)<html[^>]*\blang=[\"']?([A-Za-z-]+)", 1)
     links = F.regexp_count(html, F.lit(r"(?i)<a\s[^>]*\bhref="))
     made = responses.select(
-        *[F.col(f"`{c}`") for c in carried], F.col("record_id").alias("refers_to"),
-        F.col("target_uri").alias("refers_to_uri"), F.col("warc_date").alias("refers_to_date"),
-        F.col("content_type").alias("source_content_type"), digest(html).alias("source_digest"),
-        F.octet_length(html).alias("__n"), title.alias("__title"), lang.alias("__lang"),
-        links.alias("__links"), text.alias("__text"),
-        record_id(F.col("record_id"), F.lit("metadata")).alias("__m"),
-        record_id(F.col("record_id"), F.lit("conversion")).alias("__c"))
+        *[F.col(f"`{x}`") for x in carried], F.col("record_id").alias(from_),
+        F.col("target_uri").alias(uri), F.col("warc_date").alias(date),
+        F.col("content_type").alias(kind), digest(html).alias(digest_),
+        F.octet_length(html).alias(n), title.alias(title_), lang.alias(lang_),
+        links.alias(links_), text.alias(text_),
+        record_id(F.col("record_id"), F.lit("metadata")).alias(m),
+        record_id(F.col("record_id"), F.lit("conversion")).alias(c))
     fields = F.concat(
-        F.lit("title: "), "__title", F.lit("\r\nlanguage: "), "__lang", F.lit("\r\noutlinks: "),
-        F.col("__links").cast("string"), F.lit("\r\nsource-length: "), F.col("__n").cast("string"),
-        F.lit("\r\ntext-length: "), F.octet_length("__text").cast("string"), F.lit("\r\n"))
+        F.lit("title: "), title_, F.lit("\r\nlanguage: "), lang_, F.lit("\r\noutlinks: "),
+        F.col(links_).cast("string"), F.lit("\r\nsource-length: "), F.col(n).cast("string"),
+        F.lit("\r\ntext-length: "), F.octet_length(text_).cast("string"), F.lit("\r\n"))
     both = made.select("*", F.explode(F.array(
-        F.struct(F.lit("metadata").alias("warc_type"), F.col("__m").alias("record_id"),
-                 F.col("__c").alias("concurrent_to"),
+        F.struct(F.lit("metadata").alias("warc_type"), F.col(m).alias("record_id"),
+                 F.col(c).alias("concurrent_to"),
                  F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
-        F.struct(F.lit("conversion").alias("warc_type"), F.col("__c").alias("record_id"),
-                 F.col("__m").alias("concurrent_to"),
+        F.struct(F.lit("conversion").alias("warc_type"), F.col(c).alias("record_id"),
+                 F.col(m).alias("concurrent_to"),
                  F.lit("text/plain; charset=utf-8").alias("content_type"),
-                 F.col("__text").alias("block")))).alias("__r"))
+                 F.col(text_).alias("block")))).alias(r))
     return both.select(
-        *[F.col(f"`{c}`") for c in carried], "__r.warc_type", "__r.record_id", "refers_to",
-        "refers_to_uri", "refers_to_date", "__r.concurrent_to", "__r.content_type",
-        "source_content_type", "source_digest", "__r.block",
-        digest(F.col("__r.block")).alias("block_digest"),
-        F.octet_length("__r.block").alias("content_length"))
+        *[F.col(f"`{x}`") for x in carried], f"{r}.warc_type", f"{r}.record_id",
+        F.col(from_).alias("refers_to"), F.col(uri).alias("refers_to_uri"),
+        F.col(date).alias("refers_to_date"), f"{r}.concurrent_to", f"{r}.content_type",
+        F.col(kind).alias("source_content_type"), F.col(digest_).alias("source_digest"), f"{r}.block",
+        digest(F.col(f"{r}.block")).alias("block_digest"),
+        F.octet_length(f"{r}.block").alias("content_length"))
 
 
 def _header(name: str, value: Column) -> Column:
@@ -249,14 +261,39 @@ def _sql_string(text: str) -> str:
     return f"('{text}')"
 
 
-def _sql_text(html: str) -> str:
-    for entity, char in SPACES:
-        html = f"replace({html}, {_sql_string(entity)}, {_sql_string(char)})"
-    for pattern, put in TEXT_STEPS:
+def _sql_steps(html: str, steps) -> str:
+    for pattern, put in steps:
         html = f"regexp_replace({html}, {_sql_string(pattern)}, {_sql_string(put)}, 'g')"
-    for entity, char in ENTITIES:
-        html = f"replace({html}, {_sql_string(entity)}, {_sql_string(char)})"
-    return f"trim({html}, ' ' || chr(10))"
+    return html
+
+
+def _sql_references() -> tuple[str, str]:
+    """DuckDB SQL of (a pattern of the references that HTML5 decodes, the map from a named
+    one to its character), from the standard library's table. Whole names come first, then
+    those that need no semicolon, the longest first."""
+    whole = sorted(k for k in html_names.entities.html5 if k.endswith(";"))
+    bare = sorted((k for k in html_names.entities.html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+    pattern = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|" + "|".join(whole + bare) + ")"
+    keys = ", ".join(_sql_string("&" + k) for k in whole + bare)
+    chars = ", ".join("(" + " || ".join(f"chr({ord(c)})" for c in html_names.entities.html5[k]) + ")"
+                      for k in whole + bare)
+    return _sql_string(pattern), f"map([{keys}], [{chars}])"
+
+
+def _sql_decoded(text: str) -> str:
+    """The text with every reference decoded; ``p`` is the table of pattern and names."""
+    code = ("coalesce(try_cast(CASE WHEN lower(r[3:3]) = 'x' THEN '0x' || rtrim(r[4:], ';') "
+            "ELSE rtrim(r[3:], ';') END AS BIGINT), 1114112)")
+    odd = "".join(f" WHEN {k} THEN chr({ord(v)})" for k, v in sorted(html_names._invalid_charrefs.items())
+                  if k and v != chr(k))
+    none = ", ".join(str(k) for k in sorted(html_names._invalid_codepoints))
+    number = (f"CASE {code}{odd} WHEN 0 THEN chr(65533) ELSE CASE WHEN {code} BETWEEN 55296 AND 57343 "
+              f"OR {code} > 1114111 THEN chr(65533) WHEN {code} IN ({none}) AND {code} <> 13 THEN '' "
+              f"ELSE chr(CAST({code} AS INTEGER)) END END")
+    char = f"CASE WHEN r[2:2] = '#' THEN {number} ELSE names[r] END"
+    decoded = f"list_transform(regexp_extract_all({text}, pattern), lambda r: replace({char}, chr(160), ' '))"
+    return (f"array_to_string(list_transform(list_zip(string_split_regex({text}, pattern), {decoded}), "
+            "lambda z: z[1] || coalesce(z[2], '')), '')")
 
 
 def _sql_id(key: str, kind: str) -> str:
@@ -265,18 +302,24 @@ def _sql_id(key: str, kind: str) -> str:
             f"{h}[18:20] || '-' || {h}[21:32] || '>')")
 
 
+_PATTERN, _NAMES = _sql_references()
 ORACLE = {"op4_warc_derivatives": f"""
-WITH r AS (
+WITH p AS (SELECT {_PATTERN} AS pattern, {_NAMES} AS names),
+r AS (
   SELECT page_id, url, coalesce(html, '') AS html,
          {_sql_id("concat_ws('|', 'page', CAST(page_id AS VARCHAR), url)", "response")} AS id
   FROM pages),
+g AS (
+  SELECT *, {_sql_steps("html", TEXT_STEPS[:TAG_STEPS])} AS bare,
+         regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1) AS heading
+  FROM r),
 t AS (
-  SELECT *, {_sql_text("html")} AS txt, {_sql_id("id", "metadata")} AS m,
+  SELECT *, trim({_sql_steps(_sql_decoded("bare"), TEXT_STEPS[TAG_STEPS:])}, ' ' || chr(10)) AS txt, {_sql_id("id", "metadata")} AS m,
          {_sql_id("id", "conversion")} AS c,
-         regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '\\s+', ' ', 'g') AS title,
+         regexp_replace({_sql_decoded("heading")}, '\\s+', ' ', 'g') AS title,
          regexp_extract(html, '(?i)<html[^>]*\\blang=["'']?([A-Za-z-]+)', 1) AS lang,
          len(regexp_extract_all(html, '(?i)<a\\s[^>]*\\bhref=')) AS links
-  FROM r),
+  FROM g, p),
 b AS (
   SELECT page_id, 'conversion' AS warc_type, c AS record_id, id AS refers_to, url, m AS concurrent_to,
          'text/plain; charset=utf-8' AS content_type, html, txt AS block FROM t
