@@ -11,13 +11,15 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tidewatch.llm import packing, pii
+from tidewatch.llm import language, packing, pii, simhash
 from tidewatch.llm.common import written
 
 
-def slow_corpus(rows, items):
+def slow_corpus(rows, items, model):
     """(id, text) rows that reach the last stage, from a table of unique ids."""
-    rows = [(d, t) for d, t in rows if any(c.isalpha() for c in t or "")]
+    said = language.predictor(model)([t for _, t in rows])
+    rows = [r for r, (lang, score) in zip(rows, said)
+            if any(c.isalpha() for c in r[1] or "") and score >= corpus_pipeline.MIN_SCORE]
     groups = slow_components([(d, slow_fingerprint(t)) for d, t in rows])
     rows = [(d, t) for (d, t), g in zip(rows, groups) if d == g]
     leaks = {d for d, *_ in slow_contained(rows, items)}
@@ -28,7 +30,7 @@ def test_run_matches_brute_force(spark, documents):
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
     items = [(r["item_id"], r["text"]) for r in
              spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()]
-    want = slow_corpus(rows, items)
+    want = slow_corpus(rows, items, language.fit(documents))
     assert 0 < len(want) < len(rows)
     tok = Tokenizer.from_file(packing.tokenizer_paths()[0])
     ids = {d: [*tok.encode(t, add_special_tokens=False).ids, 0] for d, t in want.items()}
@@ -70,6 +72,39 @@ def test_awkward_documents(spark, make_docs):
     assert {r["doc_id"] for r in rows} == {4, 7, None}
 
 
+def test_rejects_by_the_score(spark, documents, monkeypatch):
+    """The stage keeps what scores at least MIN_SCORE; at the default nearly every clean
+    document, at a higher one fewer."""
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    said = dict(zip(texts, language.predictor(language.fit(documents))(list(texts.values()))))
+    lettered = {d for d, (lang, _) in said.items() if lang != language.UNKNOWN}
+    sizes = []
+    for bar in (corpus_pipeline.MIN_SCORE, 0.97):
+        monkeypatch.setattr(corpus_pipeline, "MIN_SCORE", bar)
+        kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, documents, SF_SMALL)
+                .select("doc_id").collect()}
+        assert kept == {d for d in lettered if said[d][1] >= bar}
+        sizes.append(len(kept))
+    assert sizes[0] >= 0.999 * len(lettered) > sizes[1] > 0
+
+
+def test_nothing_learned_keeps_every_text_with_a_letter(spark, make_docs):
+    docs = make_docs([(1, None, None), (2, "12 34", None), (3, "some text", None), (4, "\u00e9", None)])
+    kept = corpus_pipeline.identify_language(spark, docs, SF_SMALL)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4]
+
+
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_near_copies_go_whichever_way_they_are_met(spark, documents, broadcast_rows):
+    """Above and below the size that is broadcast: the same rows, each once."""
+    twice = documents.unionAll(documents.limit(50))
+    got = simhash.drop_near_duplicates(twice, broadcast_rows=broadcast_rows).collect()
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    groups = slow_components([(d, slow_fingerprint(t)) for d, t in rows])
+    assert sorted(r["doc_id"] for r in got) == sorted({d for (d, _), g in zip(rows, groups) if d == g})
+
+
 def test_empty_documents(spark, make_docs):
     last = through(spark, make_docs([]))[-1]
     assert corpus_pipeline.STAGES[-1][1](spark, last, SF_SMALL).collect() == []

@@ -216,31 +216,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return grouped(fps, max_bits, chunk).select("doc_id", "fp", "root", "component_id")
 
 
+DROP_ROWS = 2_000_000        # row numbers (16 bytes each) that are broadcast at most
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                         max_bits: int = MAX_BITS) -> DataFrame:
+                         max_bits: int = MAX_BITS, broadcast_rows: int = DROP_ROWS) -> DataFrame:
     """``docs`` with one row of each component: that of its smallest id (nulls
     last, then by fingerprint). Of rows that repeat that id and fingerprint one
-    stays."""
-    (fp,) = fresh(docs, "fp")
+    stays. A null text is an empty one. An empty table gives no rows. All columns are
+    carried along.
+
+    Rows are numbered as the marked table is written, so a row is known by one long, and
+    all is decided on (row, id, fingerprint). Texts are read once more, against the
+    numbers of the rows to drop; these are broadcast up to ``broadcast_rows``, a counted
+    bound, beyond which texts are shuffled by row number once."""
+    fp, row = fresh(docs, "fp", "row")
     document_batches(docs.sparkSession)
-    marked = written(docs.withColumn(fp, _fingerprints(F.col(text_col))), "marked")
-    pairs = written(marked.groupBy(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp"))
-                    .agg(F.count(F.lit(1)).alias("n")), "pairs")
+    marked = written(docs.withColumn(fp, _fingerprints(F.col(text_col)))
+                     .withColumn(row, F.monotonically_increasing_id()), "marked")
+    pairs = written(marked.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp"),
+                                  F.col(row).alias("row")), "pairs")
     # the row to keep of each fingerprint, then of each component: joins meet one row
     # a fingerprint, however many rows share it
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     reps = written(pairs.groupBy("fp").agg(F.min(key).alias("k")), "distinct-fps")
     roots = written(components(links(reps, max_bits)), "roots").withColumnRenamed("node", "fp")
     stay = reps.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(
-        F.min(F.struct("k.no_id", "k.doc_id", "fp")).alias("k")).select("k.fp", "k.doc_id")
-    drop = written(pairs.alias("p").join(
-        stay.alias("s"), F.expr("p.fp = s.fp AND p.doc_id <=> s.doc_id"), "left_anti")
-        .select("doc_id", "fp"), "near-copies")
-    small = small_side(drop, 1_000_000)
-    kept = marked.join(small, (marked[fp] == small["fp"])
-                       & marked[id_col].eqNullSafe(small["doc_id"]), "left_anti")
-    if not pairs.filter("n > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, fp])
+        F.min(F.struct("k.no_id", "k.doc_id", "fp", "k.row")).alias("k")).select("k.row")
+    drop = written(pairs.select("row").join(stay, "row", "left_anti"), "near-copies")
+    kept = marked.join(small_side(drop.withColumnRenamed("row", row), broadcast_rows), row, "left_anti")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
