@@ -36,9 +36,9 @@ def test_saved_bundle_and_missing_artefacts(spark, training, tmp_path):
     back = MD.load(spark, root)
     assert back.kind == "forest" and back.version == bundle.version and back.prep == bundle.prep
     assert MD.missing_artefacts(spark, str(tmp_path / "none")) == [
-        "encoder", "prep", "meta", "forest or boosted"]
+        "encoder", "prep", "meta", "forest or boosted or softmax"]
     os.rename(os.path.join(base, "forest"), os.path.join(base, "other"))
-    assert MD.missing_artefacts(spark, base) == ["forest or boosted"]
+    assert MD.missing_artefacts(spark, base) == ["forest or boosted or softmax"]
     with pytest.raises(FileNotFoundError):
         MD.load(spark, root)
     os.rename(os.path.join(base, "other"), os.path.join(base, "boosted"))

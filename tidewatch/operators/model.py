@@ -1,12 +1,13 @@
 """Models: encoding, weighted classifier, scoring, persistence (T5-T14, A23,
 A26, O3, O5, S9-S11, J6).
 
-Spark ML only. The reference's 48-wide learned encoding is re-aimed as
-``PCA(k=min(48, features))`` (a linear stand-in, with an inverse projection
-for the reconstruction check); its boosted trees as a class-weighted
-``RandomForestClassifier`` or ``OneVsRest(GBTClassifier)`` whose raw scores
-are turned into probabilities by softmax. Fits run as distributed Spark ML
-jobs; the driver holds only fitted parameters.
+A model is an encoder and a classifier. Encoders: ``neural``, the nonlinear
+48-wide network of ``encoder.py``, or ``pca``, ``PCA(k=min(48, features))``, each
+with its inverse for the reconstruction check. Classifiers: ``softmax``, the
+jointly boosted multiclass trees of ``boosting.py``; ``forest``, a class-weighted
+``RandomForestClassifier``; ``boosted``, ``OneVsRest(GBTClassifier)``, whose raw
+scores are turned into probabilities by softmax. Fits run as distributed jobs;
+the driver holds only fitted parameters.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import uuid
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (GBTClassifier, OneVsRest, OneVsRestModel,
                                        RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import PCA, PCAModel
@@ -31,11 +32,16 @@ from ..session import path_exists, shared_path
 from . import metrics as M
 from . import prepare as P
 from . import sampling as S
+from .boosting import SoftmaxBoost, SoftmaxBoostModel
+from .encoder import NeuralEncoder, NeuralEncoderModel
 
 LATENT = 48
 
 # Artefacts a saved version must hold; of a group any one will do.
-CLASSIFIERS = {"forest": RandomForestClassificationModel, "boosted": OneVsRestModel}
+ENCODERS = {"pca": PCAModel, "neural": NeuralEncoderModel}
+CLASSIFIERS = {"forest": RandomForestClassificationModel, "boosted": OneVsRestModel,
+               "softmax": SoftmaxBoostModel}
+ENCODER_QUOTA = 150_000      # rows a class that the encoder sees, of the batch mode
 REQUIRED_ARTEFACTS = [("encoder",), ("prep",), ("meta",), tuple(CLASSIFIERS)]
 
 
@@ -51,6 +57,10 @@ class Bundle:
     def classes(self):
         return self.prep.classes
 
+    @property
+    def encoder(self) -> str:
+        return next(k for k, c in ENCODERS.items() if isinstance(self.pipeline.stages[0], c))
+
 
 def _vectorise(df: DataFrame) -> DataFrame:
     return df.withColumn("fvec", array_to_vector("features"))
@@ -65,40 +75,56 @@ def _softmax(raw: str = "rawPrediction", out: str = "probs"):
     return F.transform(ex, lambda x: x / tot).alias(out)
 
 
-def build_pipeline(n_features: int, kind: str = "forest", latent: int = LATENT,
-                   seed: int = 42, trees: int = 30, depth: int = 6,
-                   max_iter: int = 30) -> Pipeline:
-    """PCA encoder (T5) then classifier (T6 forest, T7/T8 boosted one-vs-rest)."""
-    k = max(1, min(latent, n_features))
-    pca = PCA(k=k, inputCol="fvec", outputCol="latent")
+def build_encoder(n_features: int, encoder: str = "pca", latent: int = LATENT, seed: int = 42,
+                  **params):
+    """The encoder to fit (T5); a neural one may be wider than its input."""
+    if encoder == "pca":
+        return PCA(k=max(1, min(latent, n_features)), inputCol="fvec", outputCol="latent")
+    if encoder == "neural":
+        return NeuralEncoder(latent=latent, seed=seed, **params)
+    raise ValueError("encoder must be 'pca' or 'neural'")
+
+
+def build_classifier(kind: str = "forest", classes: int = 0, seed: int = 42, trees: int = 30,
+                     depth: int = 6, max_iter: int = 30, **params):
+    """The classifier to fit: T6 softmax boosting or a forest, T7 one-vs-rest boosting."""
     if kind == "forest":
-        clf = RandomForestClassifier(featuresCol="latent", labelCol="label_idx",
-                                     weightCol="weight", numTrees=trees, maxDepth=depth,
-                                     seed=seed, featureSubsetStrategy="sqrt")
-    elif kind == "boosted":
+        return RandomForestClassifier(featuresCol="latent", labelCol="label_idx",
+                                      weightCol="weight", numTrees=trees, maxDepth=depth,
+                                      seed=seed, featureSubsetStrategy="sqrt")
+    if kind == "boosted":
         gbt = GBTClassifier(featuresCol="latent", maxDepth=depth, maxIter=max_iter,
                             stepSize=0.1, seed=seed,
                             validationIndicatorCol="is_val", validationTol=0.01)
-        clf = OneVsRest(classifier=gbt, featuresCol="latent", labelCol="label_idx",
-                        weightCol="weight", parallelism=4)
-    else:
-        raise ValueError("kind must be 'forest' or 'boosted'")
-    return Pipeline(stages=[pca, clf])
+        return OneVsRest(classifier=gbt, featuresCol="latent", labelCol="label_idx",
+                         weightCol="weight", parallelism=4)
+    if kind == "softmax":
+        return SoftmaxBoost(classes=classes, seed=seed, depth=depth, **params)
+    raise ValueError("kind must be 'softmax', 'forest' or 'boosted'")
+
+
+def encoder_quota(batch_size: int, classes: int) -> int:
+    """Rows of each class that the encoder of the batch mode sees."""
+    return min(ENCODER_QUOTA, batch_size // max(1, classes))
 
 
 def train_job(df: DataFrame, label: str = P.LABEL, kind: str = "forest",
               classifier_quota: int | None = None, synthetic_share: float = 0.0,
-              report_path: str | None = None, seed: int = 42, **params):
+              report_path: str | None = None, seed: int = 42, encoder: str = "pca",
+              batch_size: int | None = None, latent: int = LATENT,
+              encoder_params: dict | None = None, **params):
     """Train end to end (T11/T12/T13): append synthetic ``Normal`` rows when asked
     and the data has none, fit the preparation on all rows, split 64/16/20 exactly
     by class, weight classes, fit, evaluate, write the report.
 
-    ``classifier_quota`` bounds the *training* rows per class that the encoder and
-    the classifier are fitted on (the 2,000,000 of the batch mode); test and
-    validation rows are never cut, nor are the rows behind scaler, categories and
-    weights. ``synthetic_share`` is the share of synthetic rows (0.15 in the
-    reference). Prepared rows are written to the shared folder and read from there.
-    Returns (bundle, evaluation dict of DataFrames).
+    The batch mode bounds the *training* rows: ``batch_size`` those of each class that
+    the encoder is fitted on (``encoder_quota``), ``classifier_quota`` those that the
+    classifier is fitted on, once the encoder stands. Both samples are the first rows of
+    one seeded order, so they are nested, and are cut in one pass. Test and validation
+    rows are never cut, nor are the rows behind scaler, categories and weights.
+    ``synthetic_share`` is the share of synthetic rows (0.15 in the reference). Prepared
+    rows are written to the shared folder and read from there. ``params`` are the
+    classifier's. Returns (bundle, evaluation dict of DataFrames).
     """
     data = df.withColumnRenamed(label, P.LABEL) if label != P.LABEL else df
     stats = None
@@ -116,13 +142,21 @@ def train_job(df: DataFrame, label: str = P.LABEL, kind: str = "forest",
     path = shared_path(spark, "training", uuid.uuid4().hex)
     prepared.write.parquet(path)
     prepared = spark.read.parquet(path)
+    held = prepared.filter(F.col("split") == "validation")
     train = prepared.filter(F.col("split") == "train")
-    if classifier_quota:
-        order = [S.seeded_order(train, seed, exclude=["fvec"]), "features"]
-        train = S.first_n_per_group(train, [P.LABEL], order, classifier_quota)
-    if kind == "boosted":      # early stopping looks at the validation rows
-        train = train.unionByName(prepared.filter(F.col("split") == "validation"))
-    pipe = build_pipeline(len(prep.features), kind, seed=seed, **params).fit(train)
+    seen, learned = train, train
+    if classifier_quota or batch_size:
+        marked = training_samples(train, encoder_quota(batch_size, len(prep.classes)) if batch_size else None,
+                                  classifier_quota, seed)
+        marked.write.parquet(f"{path}-samples")
+        marked = spark.read.parquet(f"{path}-samples")
+        seen, learned = (marked.filter(c).drop(*SAMPLES) for c in SAMPLES)
+    to_encode = build_encoder(len(prep.features), encoder, latent, seed, **(encoder_params or {}))
+    encoded = to_encode.fit(seen.unionByName(held) if encoder == "neural" else seen)
+    if kind != "forest":       # early stopping looks at the validation rows
+        learned = learned.unionByName(held)
+    classifier = build_classifier(kind, len(prep.classes), seed, **params).fit(encoded.transform(learned))
+    pipe = PipelineModel([encoded, classifier])
     version = time.strftime("%Y%m%d_%H%M%S") + f"_{uuid.uuid4().hex[:6]}"
     bundle = Bundle(prep=prep, pipeline=pipe, kind=kind, version=version, normal_stats=stats)
     evaluation = evaluate(bundle, score_prepared(bundle, prepared))
@@ -131,14 +165,30 @@ def train_job(df: DataFrame, label: str = P.LABEL, kind: str = "forest",
     return bundle, evaluation
 
 
+SAMPLES = ("in_encoder_sample", "in_classifier_sample")
+
+
+def training_samples(train: DataFrame, encoder_rows: int | None, classifier_rows: int | None,
+                     seed: int = 42, label: str = P.LABEL,
+                     rows_per_range: int = S.ROWS_PER_RANGE) -> DataFrame:
+    """The rows of ``train`` in either sample, with a flag for each: the first
+    ``encoder_rows`` and the first ``classifier_rows`` of every class in one seeded order
+    (None: all), cut in one pass."""
+    order = [S.seeded_order(train, seed, exclude=["fvec"]),
+             *[c for c in train.columns if c != "fvec"]]
+    cuts = [(lambda size, n=n: size if n is None else n) for n in (encoder_rows, classifier_rows)]
+    out = S.below_cuts(train, [label], order, cuts, rows_per_range, list(SAMPLES))
+    return out.filter(" OR ".join(SAMPLES))
+
+
 def score_prepared(bundle: Bundle, prepared: DataFrame) -> DataFrame:
     """Model output on prepared rows: ``probs`` array, ``pred_idx``,
     ``pred_prob`` and ``pred_label`` (T10, F5, J3)."""
     out = bundle.pipeline.transform(prepared)
-    if bundle.kind == "forest":
-        out = out.withColumn("probs", vector_to_array("probability"))
-    else:
+    if bundle.kind == "boosted":
         out = out.withColumn("probs", _softmax())
+    else:
+        out = out.withColumn("probs", vector_to_array("probability"))
     out = M.with_argmax(out, "probs")
     return P.index_label(out, bundle.classes)
 
@@ -174,15 +224,18 @@ def evaluate(bundle: Bundle, scored: DataFrame) -> dict:
 
 
 def reconstruction(bundle: Bundle, prepared_scored: DataFrame) -> DataFrame:
-    """Mean squared error of x against its PCA reconstruction."""
-    pca = bundle.pipeline.stages[0]
-    pc = pca.pc.toArray()  # features x k, fit result
+    """Mean squared error of x against its reconstruction."""
+    encoder = bundle.pipeline.stages[0]
     lat = vector_to_array(F.col("latent"))
-    # one array literal per feature, not a literal per cell
-    rows = [F.aggregate(F.zip_with(lat, F.lit(np.ascontiguousarray(pc[i])), lambda a, b: a * b),
-                        F.lit(0.0), lambda s, x: s + x) for i in range(pc.shape[0])]
     x = F.transform(F.col("features"), lambda v: v.cast("double"))
-    df = prepared_scored.select(x.alias("x"), F.array(*rows).alias("xhat"))
+    if bundle.encoder == "neural":
+        df = prepared_scored.select(x.alias("x"), encoder.decoded(lat).alias("xhat"))
+    else:
+        pc = encoder.pc.toArray()  # features x k, fit result
+        # one array literal per feature, not a literal per cell
+        rows = [F.aggregate(F.zip_with(lat, F.lit(np.ascontiguousarray(pc[i])), lambda a, b: a * b),
+                            F.lit(0.0), lambda s, x: s + x) for i in range(pc.shape[0])]
+        df = prepared_scored.select(x.alias("x"), F.array(*rows).alias("xhat"))
     return M.reconstruction_error(df, "x", "xhat")
 
 
@@ -212,18 +265,41 @@ def save(bundle: Bundle, root: str, make_current: bool = True) -> str:
     classifier.write().overwrite().save(os.path.join(base, bundle.kind))
     spark.createDataFrame([(bundle.prep.to_json(),)], "prep string") \
         .coalesce(1).write.mode("overwrite").json(os.path.join(base, "prep"))
-    meta = {"version": bundle.version, "kind": bundle.kind,
+    meta = {"version": bundle.version, "kind": bundle.kind, "encoder": bundle.encoder,
             "classes": bundle.classes, "features": bundle.prep.features,
             "descriptions": dict(ATTACK_DESCRIPTIONS),
             "normal_stats": bundle.normal_stats or {}}
     spark.createDataFrame([(bundle.version, json.dumps(meta))], "v string, meta string") \
         .coalesce(1).write.mode("overwrite").json(os.path.join(base, "meta"))
+    files = _files(spark, base)
+    files.coalesce(1).write.mode("overwrite").json(os.path.join(base, MANIFEST))
     if make_current:
         spark.createDataFrame([(bundle.version,)], "version string") \
             .coalesce(1).write.mode("overwrite").json(os.path.join(root, "current"))
     return base
 
 
+MANIFEST = "manifest"
+
+
+def _files(spark: SparkSession, base: str) -> DataFrame:
+    """(name, length, digest) of the files under a version, its manifest aside."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    name = F.regexp_extract("path", r"version=[^/]+/(.+)$", 1)
+    return files.select(name.alias("name"), "length", F.sha2("content", 256).alias("digest")) \
+        .filter(~F.col("name").startswith(f"{MANIFEST}/") & ~F.col("name").rlike(r"(^|/)[._][^/]*$"))
+
+
+def is_whole(spark: SparkSession, base: str) -> bool:
+    """Whether a version was saved to its end and still is what was saved: its manifest,
+    which is written last, names every file that is there with its length and digest."""
+    if not path_exists(spark, os.path.join(base, MANIFEST, "_SUCCESS")):
+        return False
+    listed = spark.read.schema("name string, length long, digest string") \
+        .json(os.path.join(base, MANIFEST))
+    return listed.join(_files(spark, base), ["name", "length", "digest"], "left_anti").isEmpty()
+
+
 def versions(spark: SparkSession, root: str) -> DataFrame:
     """Saved versions, newest first (O5): partition discovery on ``version=``."""
     return (spark.read.json(os.path.join(root, "version=*", "meta"))
@@ -231,26 +307,43 @@ def versions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def load(spark: SparkSession, root: str, version: str | None = None) -> Bundle:
-    """Load a version: ``None`` = newest (S10), ``'current'`` = pointer."""
-    if version == "current":
+    """Load a version: ``None`` = the newest that is whole (S10), ``'current'`` = pointer
+    (S11). A version whose save did not end is no version: the one before is taken. One
+    that is asked for by name and is not whole raises."""
+    if version is None:
+        found = _version_names(spark, root)
+        version = next((v for v in found if is_whole(spark, os.path.join(root, f"version={v}"))), None)
+        if version is None:
+            raise FileNotFoundError(f"no whole version under {root} (found: {found})")
+    elif version == "current":
         version = spark.read.json(os.path.join(root, "current")).first()["version"]
-    elif version is None:
-        version = versions(spark, root).first()["version"]
     base = os.path.join(root, f"version={version}")
     missing = missing_artefacts(spark, base)
     if missing:
         raise FileNotFoundError(f"version {version} lacks {missing}")
+    if not is_whole(spark, base):
+        raise FileNotFoundError(f"version {version} differs from its manifest, or has none")
     prep = P.Prep.from_json(spark.read.json(os.path.join(base, "prep")).first()["prep"])
     meta = json.loads(spark.read.json(os.path.join(base, "meta")).first()["meta"])
     # the classifier it was saved with, else whichever is there
     kind = next(k for k in (meta["kind"], *CLASSIFIERS) if path_exists(spark, os.path.join(base, k)))
-    pipe = PipelineModel([PCAModel.load(os.path.join(base, "encoder")),
+    pipe = PipelineModel([ENCODERS[meta["encoder"]].load(os.path.join(base, "encoder")),
                           CLASSIFIERS[kind].load(os.path.join(base, kind))])
     stats = {k: tuple(v) for k, v in (meta.get("normal_stats") or {}).items()}
     return Bundle(prep=prep, pipeline=pipe, kind=kind, version=version,
                   normal_stats=stats or None)
 
 
+def _version_names(spark: SparkSession, root: str) -> list[str]:
+    """Names of the version folders, whole or not, newest first."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(where)]
+    return sorted((n[len("version="):] for n in names if n.startswith("version=")), reverse=True)
+
+
 def artefact_status(spark: SparkSession, base: str) -> DataFrame:
     """Required artefacts left-anti the ones present (J6): rows are missing. An
     artefact that several can stand for is missing when none of them is there."""
