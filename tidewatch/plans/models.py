@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import analyze as A
+from ..operators import boosting as B
 from ..operators import model as MD
 from ..operators import rules as R
 from ..schemas import FEATURES
@@ -54,8 +56,12 @@ def _lineitem_training(spark, sf_dir, *keys):
                      F.expr(_CLASS_SQL).alias("Label"))
 
 
+FITS = {"forest": {"trees": 20, "depth": 8}, "boosted": {"max_iter": 10, "depth": 5},
+        "softmax": {"rounds": 8, "rate": 0.5, "depth": 6, "column_share": 1.0, "patience": 4}}
+
+
 def lineitem_model(spark, sf_dir, kind="forest"):
-    params = {"trees": 20, "depth": 8} if kind == "forest" else {"max_iter": 10, "depth": 5}
+    params = FITS[kind]
     return _fit_once(spark, (sf_dir, kind), lambda: MD.train_job(
         _lineitem_training(spark, sf_dir), kind=kind, classifier_quota=CLASSIFIER_QUOTA, **params))
 
@@ -69,6 +75,18 @@ def embedding_model(spark, sf_dir):
                      lambda: MD.train_job(rows, kind="forest", trees=5, depth=3))
 
 
+NEURAL = {"epochs": 12, "steps": 2, "rate": 0.003, "dropout": 0.0}
+
+
+def neural_model(spark, sf_dir):
+    """The neural encoder on the same rows as ``embedding_model``'s, softmax trees on it."""
+    e = table(spark, sf_dir, "embeddings")
+    rows = e.select(*[F.col("embedding")[i].cast("double").alias(f"e{i:02d}") for i in range(64)],
+                    F.when(F.col("embedding")[0] > 0, "up").otherwise("down").alias("Label"))
+    return _fit_once(spark, (sf_dir, "neural"), lambda: MD.train_job(
+        rows, kind="softmax", encoder="neural", encoder_params=NEURAL, rounds=3, rate=0.3, depth=3, patience=3))
+
+
 def flow_training(spark, sf_dir):
     f = R.rules_only(R.with_signatures(flows(spark, sf_dir, "mixed")))
     return f.select(*FEATURES, F.col("label").alias("Label"))
@@ -137,6 +155,82 @@ def q_boosted_accuracy(spark, sf_dir):
     return a.select("rows", (F.col("accuracy") >= 0.8).alias("above_floor"))
 
 
+def q_softmax_accuracy(spark, sf_dir):
+    """Joint softmax trees: above the 90% gate, and at least as likely to be right as the
+    forest on held-out rows (mean log loss)."""
+    def log_loss(kind):
+        bundle, _ = lineitem_model(spark, sf_dir, kind)
+        s = MD.score(bundle, _lineitem_training(spark, sf_dir, *KEYS), keep=KEYS)
+        return s.agg(F.avg(-F.log(F.greatest(F.get("probs", F.col("label_idx")), F.lit(1e-15)))).alias(kind))
+    a = lineitem_model(spark, sf_dir, "softmax")[1]["test_accuracy"]
+    both = log_loss("softmax").crossJoin(log_loss("forest"))       # a row each
+    return a.crossJoin(both).select("rows", (F.col("accuracy") >= 0.9).alias("meets_target"),
+                                    (F.col("softmax") < F.col("forest")).alias("beats_forest"))
+
+
+def q_softmax_history(spark, sf_dir):
+    """A row per round of the fit: exact row counts, losses that fall from log 3, and the
+    round that was kept."""
+    bundle, _ = lineitem_model(spark, sf_dir, "softmax")
+    model = bundle.pipeline.stages[1]
+    kept, h = len(model.rounds), model.history
+    best = min(range(len(h)), key=lambda k: h[k]["validation_loss"])
+    rows = [(k, r["train_rows"], r["validation_rows"],
+             k == 0 and abs(r["train_loss"] - 1.0986123) < 1e-6 or k > 0 and r["train_loss"] < h[k - 1]["train_loss"],
+             kept == best) for k, r in enumerate(h) if k <= 1]
+    return spark.createDataFrame(rows, "round int, train_rows long, validation_rows long, falls boolean, "
+                                       "best_is_kept boolean")
+
+
+FIRST_CUTS = ([float(v) for v in range(1, 50)], [v / 100 for v in range(10)])
+
+
+def q_boosting_first_round(spark, sf_dir):
+    """One tree of one cut a class over all rows, which has a closed form: the cut of
+    largest gain and the two leaves, to four places."""
+    params = B.BoostParams(rounds=1, rate=1.0, depth=1, min_gain=0.0, min_curvature=0.0, row_share=1.0,
+                           column_share=1.0)
+    code = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.expr(_CLASS_SQL)) - 1
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.array(F.col("l_quantity").cast("double"), F.col("l_discount").cast("double")).alias("x"),
+        code.cast("int").alias("label"), F.lit(1.0).alias("weight"), F.lit(False).alias("is_val"))
+    cuts = [np.array(c) for c in FIRST_CUTS]
+    _, (tree,), _ = B.fit_boosting(rows, len(CLASSES), params, 2, cuts)
+    names = ("l_quantity", "l_discount")
+    out = []
+    for k, name in enumerate(CLASSES):
+        f = int(tree.feature[k, 0])
+        out.append((name, names[f], float(cuts[f][tree.cut[k, 0]]),
+                    *(float(np.floor(v * 1e4 + 0.5) / 1e4) for v in tree.value[k, 1:])))
+    return spark.createDataFrame(out, "class string, feature string, cut double, left_value double, "
+                                      "right_value double")
+
+
+SAMPLE_BATCH, SAMPLE_QUOTA = 3_000, 2_500       # small enough to bind on the test tables
+
+
+def q_training_samples(spark, sf_dir):
+    """Both samples of the batch mode by class: exact counts, the smaller in the larger."""
+    rows = _lineitem_training(spark, sf_dir, *KEYS)
+    marked = MD.training_samples(rows, MD.encoder_quota(SAMPLE_BATCH, len(CLASSES)), SAMPLE_QUOTA)
+    enc, cls = (F.col(c) for c in MD.SAMPLES)
+    return marked.groupBy("Label").agg(
+        F.count_if(enc).alias("encoder_rows"), F.count_if(cls).alias("classifier_rows"),
+        (F.count_if(enc & ~cls) == 0).alias("nested"))
+
+
+def q_neural_reconstruction(spark, sf_dir):
+    e = neural_model(spark, sf_dir)[1]["reconstruction"]
+    return e.select("rows", ((F.col("mse") > 0) & (F.col("mse") < 1)).alias("lossy"))
+
+
+def q_neural_encoding(spark, sf_dir):
+    """Encoded rows by split: 48 wide and spread out; leaky units, so not centred."""
+    done = neural_model(spark, sf_dir)[1]
+    dims = done["encoding_per_dim"].groupBy("split").agg(F.count(F.lit(1)).alias("dims"))
+    return done["encoding"].join(dims, "split").select("split", "dims", "low_variance", "low_mean_std")
+
+
 def q_model_scores(spark, sf_dir):
     """Every row scored: probabilities add up to one, the label is the likeliest's."""
     bundle = lineitem_model(spark, sf_dir)[0]
@@ -184,6 +278,12 @@ QUERIES = {
     "model_encoding": q_model_encoding,
     "model_diversity": q_model_diversity,
     "boosted_accuracy": q_boosted_accuracy,
+    "softmax_accuracy": q_softmax_accuracy,
+    "softmax_history": q_softmax_history,
+    "boosting_first_round": q_boosting_first_round,
+    "training_samples": q_training_samples,
+    "neural_reconstruction": q_neural_reconstruction,
+    "neural_encoding": q_neural_encoding,
     "model_scores": q_model_scores,
     "hybrid_verdict": q_hybrid_verdict,
     "saved_rescore": q_saved_rescore,
@@ -215,6 +315,36 @@ ORACLE = {
     "model_diversity": """SELECT 3::BIGINT AS distinct_predicted, false AS single_class,
                                  false AS low_confidence_spread""",
     "boosted_accuracy": f"SELECT CAST(sum(test) AS BIGINT) AS rows, true AS above_floor FROM ({_sizes(_LI)})",
+    "softmax_accuracy": f"""SELECT CAST(sum(test) AS BIGINT) AS rows, true AS meets_target,
+                                   true AS beats_forest FROM ({_sizes(_LI)})""",
+    "softmax_history": f"""SELECT CAST(round AS INTEGER) AS round, CAST(sum(n - test - validation) AS BIGINT) AS train_rows,
+                                  CAST(sum(validation) AS BIGINT) AS validation_rows, true AS falls,
+                                  true AS best_is_kept
+                           FROM ({_sizes(_LI)}), (VALUES (0), (1)) t(round) GROUP BY round""",
+    "boosting_first_round": f"""
+        WITH li AS (SELECT {_CLASS_SQL} AS label, CAST(l_quantity AS DOUBLE) AS l_quantity,
+                           CAST(l_discount AS DOUBLE) AS l_discount FROM lineitem),
+        x AS (SELECT label, 'l_quantity' AS feature, l_quantity AS v FROM li
+              UNION ALL SELECT label, 'l_discount', l_discount FROM li),
+        cuts AS (SELECT 'l_quantity' AS feature, unnest([{", ".join(map(repr, FIRST_CUTS[0]))}]::DOUBLE[]) AS cut
+                 UNION ALL SELECT 'l_discount', unnest([{", ".join(map(repr, FIRST_CUTS[1]))}]::DOUBLE[])),
+        s AS (SELECT class, x.feature, cut,
+                     sum((1 / 3.0 - (label = class)::INT)::DOUBLE) FILTER (v <= cut) AS gl,
+                     sum((1 / 3.0 - (label = class)::INT)::DOUBLE) FILTER (v > cut) AS gr,
+                     count(*) FILTER (v <= cut) * 4 / 9.0::DOUBLE AS hl, count(*) FILTER (v > cut) * 4 / 9.0::DOUBLE AS hr
+              FROM x JOIN cuts ON x.feature = cuts.feature, (VALUES ('high'), ('low'), ('mid')) c(class)
+              GROUP BY class, x.feature, cut)
+        SELECT class, feature, cut, floor(-gl / (hl + 1) * 1e4 + 0.5) / 1e4 AS left_value,
+               floor(-gr / (hr + 1) * 1e4 + 0.5) / 1e4 AS right_value
+        FROM s WHERE hl > 0 AND hr > 0
+        QUALIFY row_number() OVER (PARTITION BY class ORDER BY gl * gl / (hl + 1) + gr * gr / (hr + 1) DESC,
+                                   feature DESC, cut) = 1""",
+    "training_samples": f"""SELECT Label, CAST(least(count(*), {SAMPLE_BATCH // 3}) AS BIGINT) AS encoder_rows,
+                                   CAST(least(count(*), {SAMPLE_QUOTA}) AS BIGINT) AS classifier_rows, true AS nested
+                            FROM ({_LI}) GROUP BY Label""",
+    "neural_reconstruction": "SELECT count(*) AS rows, true AS lossy FROM embeddings",
+    "neural_encoding": """SELECT x AS split, 48::BIGINT AS dims, false AS low_variance, false AS low_mean_std
+                          FROM (VALUES ('train'), ('validation')) t(x)""",
     "model_scores": f"SELECT l_orderkey, l_linenumber, {_CLASS_SQL} AS Label, true AS fine FROM lineitem",
     "saved_rescore": "SELECT count(*) AS rows_equal FROM lineitem",
     "hybrid_verdict": f"""SELECT capture_id, count(*) AS flows_analyzed, true AS fine
