@@ -45,12 +45,40 @@ def test_saved_bundle_and_missing_artefacts(spark, training, tmp_path):
     assert MD.missing_artefacts(spark, base) == []       # either classifier will do
 
 
-def test_wide_text_columns_alone_are_dropped(spark):
-    df = spark.createDataFrame([(str(k), "ab"[k % 2], k) for k in range(50)], "wide string, t string, n int")
-    cats = P.fit_categories(df, ["wide", "t"], max_categories=49)
-    assert cats == {"wide": [], "t": ["a", "b"]}
-    assert P.one_hot(df, cats).columns == ["n", "t_b"]
-    assert len(P.fit_categories(df, ["wide"], max_categories=50)["wide"]) == 50
+def test_rare_values_of_a_wide_column_share_an_indicator(spark):
+    rows = [(str(k), "ab"[k % 2], k) for k in range(50)] + [("7", "a", 50), ("3", None, 51), (None, "b", 52)]
+    df = spark.createDataFrame(rows, "wide string, t string, n int")
+    cats = P.fit_categories(df, ["wide", "t"], max_categories=2)
+    assert cats == {"wide": ["3", "7", P.OTHER], "t": ["a", "b"]}
+    out = P.one_hot(df, cats)
+    assert out.columns == ["n", "wide_7", "wide_<other>", "t_b"]
+    sums = out.agg(*[F.sum(f"`{c}`").alias(c) for c in out.columns[1:]]).first()
+    assert tuple(sums) == (2, 48, 26)
+    whole = P.fit_categories(df, ["wide"], max_categories=50)["wide"]
+    assert len(whole) == 50 and P.OTHER not in whole
+    assert P.fit_categories(df.limit(0), ["wide"]) == {"wide": []} and P.fit_categories(df, []) == {}
+
+
+def test_ten_thousand_and_one_values(spark):
+    df = spark.range(10_001).selectExpr("CAST(id AS STRING) AS wide", "1 AS n", "'x' AS Label")
+    cats = P.fit_categories(df, ["wide"])["wide"]
+    assert len(cats) == 10_001 and cats[-1] is P.OTHER
+    rare = (set(map(str, range(10_001))) - set(cats[:-1])).pop()
+    some = P.one_hot(df, {"wide": [cats[0], cats[1], P.OTHER]}).agg(F.sum("`wide_<other>`")).first()
+    assert some[0] == 9_999 and rare == "9999"
+
+
+def test_folding_is_frozen_in_prep(spark, monkeypatch):
+    monkeypatch.setattr(P, "MAX_CATEGORIES", 2)
+    monkeypatch.setattr(P.fit_categories, "__defaults__", (2,))
+    df = spark.createDataFrame([("a", "u"), ("a", "v"), ("b", "u"), ("b", "v"), ("c", "u"), ("d", "v")],
+                               "t string, Label string")
+    prep = P.Prep.from_json(P.Prep.fit(df).to_json())
+    assert prep.features == ["t_b", "t_<other>"]
+    new = spark.createDataFrame([("zz", "u"), ("b", "u"), (None, "u")], "t string, Label string")
+    rows = [r["features"] for r in prep.transform(new).collect()]
+    assert rows[0][1] == max(x[1] for x in rows) and rows[1][0] == max(x[0] for x in rows)
+    assert len(rows) == 3
 
 
 def test_alignment_fills_with_the_frozen_type(spark):

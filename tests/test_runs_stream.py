@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pcap_bytes import ether, ipv4, pcap, tcp
+from tidewatch.operators import analyze as AN
 from tidewatch.operators import runs as RU
 from tidewatch.streaming import capture_stream as ST
 
@@ -127,6 +128,64 @@ def test_a_crash_between_the_writes_is_made_good(spark, tmp_path, monkeypatch):
     assert ST.verdicts(spark, str(out)).count() == 1
 
 
+POISON = 6666
+
+
+def _poisoned(monkeypatch):
+    """Scoring that raises on any flow from one port."""
+    real = AN.label_flows
+
+    def label_flows(flows, *more):
+        ok = F.when(F.col("src_port") == POISON, F.raise_error(F.lit("poisoned flow"))) \
+            .otherwise(F.col("src_port"))
+        return real(flows.withColumn("src_port", ok.cast("int")), *more)
+    monkeypatch.setattr(AN, "label_flows", label_flows)
+
+
+def test_one_bad_capture_of_ten_fails_alone(spark, tmp_path, monkeypatch):
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    bad = [ether(ipv4("10.0.0.1", "10.0.0.2", 6, tcp(port, 80, 0x18))) for port in (POISON, 5, 9)]
+    for k in range(10):
+        (src / f"f{k}.pcap").write_bytes(GOOD)
+    (src / "f4.pcap").write_bytes(pcap([(1, i * 100000, f) for i, f in enumerate(bad)]))
+    want = None
+    for poisoned in (False, True):
+        if poisoned:
+            _poisoned(monkeypatch)
+        _run(spark, src, out / str(poisoned), tmp_path / f"c{poisoned}")
+        runs = {r.filename: r for r in ST.runs(spark, str(out / str(poisoned))).collect()}
+        verdicts = _names(ST.verdicts(spark, str(out / str(poisoned))))
+        assert len(runs) == len(verdicts) == 10
+        if not poisoned:
+            assert {r.status for r in runs.values()} == {"completed"}
+            want = {n: v.asDict() for n, v in verdicts.items()}
+    assert {n for n, r in runs.items() if r.status == "failed"} == {"f4.pcap"}
+    failed = runs["f4.pcap"]
+    assert "poisoned flow" in failed.error and "Traceback" in failed.error_details
+    result = json.loads(failed.result)
+    assert (result["status"], result["flows_analyzed"], result["attack_types"]) == ("Error during analysis", 3, [])
+    for n, v in verdicts.items():
+        if n != "f4.pcap":
+            assert {c: x for c, x in v.asDict().items() if c != "analysis_time"} == {
+                c: x for c, x in want[n].items() if c != "analysis_time"}
+
+
+def test_all_bad_and_none_at_all(spark, monkeypatch):
+    from tidewatch.schemas import PACKETS
+    none = spark.createDataFrame([], PACKETS)
+    assert AN.analyze_isolated(none).collect() == []
+    captures = spark.createDataFrame([("a",), ("b",), ("c",)], "capture_id string")
+    assert {r.status for r in AN.analyze_isolated(none, captures=captures).collect()} == {"Unknown"}
+
+    def broken(*_):
+        raise ValueError("no model")
+    monkeypatch.setattr(AN, "label_flows", broken)
+    got = AN.analyze_isolated(none, captures=captures).collect()
+    assert sorted((r.capture_id, r.status, r.error, r.flows_analyzed) for r in got) == [
+        (c, "Error during analysis", "no model", 0) for c in "abc"]
+
+
 def test_no_output_yet(spark, tmp_path):
     assert ST.verdicts(spark, str(tmp_path / "none")).count() == 0
     assert ST.runs(spark, str(tmp_path / "none")).count() == 0

@@ -121,31 +121,47 @@ def align(df: DataFrame, features: list[str], label: str | None = LABEL,
 # --- one-hot (T1) ---------------------------------------------------------
 
 MAX_CATEGORIES = 10_000
+OTHER = None                 # stands in a category list for all values that are not in it
 
 
 def fit_categories(df: DataFrame, columns: list[str],
-                   max_categories: int = MAX_CATEGORIES) -> dict[str, list[str]]:
-    """Sorted distinct values of each text column. A column with more than
-    ``max_categories`` values (an id or address left among the features) gets an
-    empty list, which drops that column alone. At most one value above the limit
-    of a column reaches the driver."""
+                   max_categories: int = MAX_CATEGORIES) -> dict[str, list]:
+    """Sorted distinct values of each text column, all columns in one pass. Of a column
+    with more than ``max_categories`` values (an id or address left among the features)
+    the most frequent ones stay, ties by value, and the list ends with ``OTHER``: all
+    other values share one indicator, so no row's value is lost without a trace. At most
+    one value above the limit of a column reaches the driver."""
+    if not columns:
+        return {}
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v"))
+                                          for i, c in enumerate(columns)])).alias("c")).select("c.*")
+    counts = cells.filter(F.col("v").isNotNull()).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    # a limited window: each task keeps that many values a column before the shuffle
+    rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "v"))
+    found: dict[int, list] = {}
+    for r in counts.withColumn("r", rank).filter(F.col("r") <= max_categories + 1).collect():
+        found.setdefault(r["i"], []).append((r["r"], r["v"]))
     out = {}
-    for c in columns:
-        values = [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct()
-                  .limit(max_categories + 1).collect()]
-        out[c] = sorted(values) if len(values) <= max_categories else []
+    for i, c in enumerate(columns):
+        values = sorted(v for r, v in found.get(i, []) if r <= max_categories)
+        out[c] = values + [OTHER] if len(found.get(i, [])) > max_categories else values
     return out
 
 
-def one_hot(df: DataFrame, categories: dict[str, list[str]], drop_first: bool = True) -> DataFrame:
+def one_hot(df: DataFrame, categories: dict[str, list], drop_first: bool = True) -> DataFrame:
     """Replace each text column by 0/1 columns ``col_value``; the first
     category in sort order is dropped. Non-text columns keep their order and
-    the indicators follow them, column by column."""
+    the indicators follow them, column by column; a column's last is ``col_<other>``
+    where its list ends with ``OTHER``."""
     keep = [F.col(c) for c in df.columns if c not in categories]
     ind = []
     for c, values in categories.items():
         for v in (values[1:] if drop_first else values):
-            ind.append(F.when(F.col(c) == v, 1).otherwise(0).cast("int").alias(f"{c}_{v}"))
+            if v is OTHER:
+                one, name = F.col(c).isNotNull() & ~F.col(c).isin(values[:-1]), f"{c}_<other>"
+            else:
+                one, name = F.col(c) == v, f"{c}_{v}"
+            ind.append(F.when(one, 1).otherwise(0).cast("int").alias(name))
     return df.select(*keep, *ind)
 
 

@@ -39,9 +39,11 @@ def queued(files: DataFrame) -> DataFrame:
 
 
 def finish(runs: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Apply outcomes (``file_path, result, error``) to run rows (C6): an
-    error gives ``failed``, otherwise ``completed``; progress 100 either way."""
-    o = outcomes.select("file_path", F.col("result").alias("_res"), F.col("error").alias("_err"))
+    """Apply outcomes (``file_path, result, error`` and maybe ``error_details``) to run
+    rows (C6): an error gives ``failed``, otherwise ``completed``; progress 100 either way."""
+    more = F.col("error_details") if "error_details" in outcomes.columns else F.lit(None).cast("string")
+    o = outcomes.select("file_path", F.col("result").alias("_res"), F.col("error").alias("_err"),
+                        more.alias("_more"))
     j = runs.join(o, "file_path", "left")
     done = F.col("_res").isNotNull() | F.col("_err").isNotNull()
     return j.select(
@@ -53,7 +55,7 @@ def finish(runs: DataFrame, outcomes: DataFrame) -> DataFrame:
         F.when(done, F.current_timestamp()).otherwise(F.col("completed_at")).alias("completed_at"),
         F.coalesce("_res", "result").alias("result"),
         F.coalesce("_err", "error").alias("error"),
-        "error_details",
+        F.coalesce("_more", "error_details").alias("error_details"),
     )
 
 

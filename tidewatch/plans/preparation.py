@@ -66,6 +66,22 @@ def q_one_hot_orders(spark, sf_dir):
     return round_doubles(P.one_hot(o, cats))
 
 
+FOLD_AT = 4                # categories kept of each column
+
+
+def q_one_hot_folded(spark, sf_dir):
+    """Indicators of two wide text columns, rare values folded into one (T1): how many
+    rows each marks. The first category in sort order has none."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    cats = P.fit_categories(p, ["p_brand", "p_type"], FOLD_AT)
+    hot = P.one_hot(p, cats)
+    marks = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(v or "<other>").alias("category"),
+                               F.col(f"`{c}_{v or '<other>'}`").alias("one"))
+                      for c, values in cats.items() for v in values[1:]])
+    return hot.select(F.explode(marks).alias("m")).groupBy("m.column", "m.category").agg(
+        F.sum("m.one").alias("ones"))
+
+
 def q_standardize(spark, sf_dir):
     li = _lineitem(spark, sf_dir).select(*KEYS, "l_partkey", *NUM)
     return round_doubles(P.scale(li, P.fit_scaler(li, NUM), None, as_float=False))
@@ -288,6 +304,7 @@ QUERIES = {
     "bad_cells": q_bad_cells,
     "one_hot_customer": q_one_hot_customer,
     "one_hot_orders": q_one_hot_orders,
+    "one_hot_folded": q_one_hot_folded,
     "standardize": q_standardize,
     "label_codes": q_label_codes,
     "class_distribution": q_class_distribution,
@@ -409,6 +426,16 @@ ORACLE = {
                                      ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]),
     "one_hot_orders": _one_hot_sql("orders", "o_orderkey", "o_totalprice", "o_orderpriority",
                                    ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]),
+    "one_hot_folded": f"""
+        WITH x AS (SELECT 'p_brand' AS "column", p_brand AS v FROM part WHERE p_brand IS NOT NULL
+                   UNION ALL SELECT 'p_type', p_type FROM part WHERE p_type IS NOT NULL),
+        n AS (SELECT "column", v, count(*) AS n,
+                     row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, v) AS place
+              FROM x GROUP BY "column", v),
+        k AS (SELECT "column", CASE WHEN place <= {FOLD_AT} THEN v ELSE '<other>' END AS category, sum(n) AS ones,
+                     min(place) AS place FROM n GROUP BY 1, 2)
+        SELECT "column", category, CAST(ones AS BIGINT) AS ones FROM k
+        QUALIFY place > {FOLD_AT} OR row_number() OVER (PARTITION BY "column", place > {FOLD_AT} ORDER BY category) > 1""",
     "standardize": f"""SELECT l_orderkey, l_linenumber, l_partkey,
         {', '.join(r6(f'({c} - avg({c}) OVER ()) / CASE WHEN coalesce(stddev_pop({c}) OVER (), 0) = 0 THEN 1 ELSE stddev_pop({c}) OVER () END') + ' AS ' + c for c in NUM)}
         FROM lineitem""",

@@ -14,9 +14,10 @@ taken from the checkpoint, so a stream restarted from a new checkpoint adds to t
 history instead of replacing an older stream's batches. Readers take the newest
 row of each capture.
 
-Every file ends in a run row: a file that cannot be decoded to its end, or that is
-above the size limit, is ``failed`` with its error; one without flows is
-``completed`` with the verdict ``Unknown``.
+Every file ends in a run row: a file that cannot be decoded to its end, that is
+above the size limit or whose analysis raises is ``failed`` with its error, and takes
+no other file of its batch with it; one without flows is ``completed`` with the verdict
+``Unknown``.
 """
 
 from __future__ import annotations
@@ -64,15 +65,18 @@ def _batch_writer(out_path: str, stream: str, bundle, merge: str, max_bytes: int
         cap.parse_captures(batch, max_bytes).write.mode("overwrite").parquet(decoded)
         parsed = spark.read.schema(cap.PARSED).parquet(decoded)
         good, bad = cap.split_errors(parsed)
-        verdicts = analyze_op.analyze(good, bundle, files.withColumnRenamed("path", "capture_id"),
-                                      merge=merge)
-        failed = bad.groupBy("capture_id").agg(F.min("error").alias("error"))
-        rows = verdicts.join(failed, "capture_id", "left")
+        verdicts = analyze_op.analyze_isolated(
+            good, bundle, files.withColumnRenamed("path", "capture_id"), merge=merge)
+        failed = bad.groupBy("capture_id").agg(F.min("error").alias("fault"))
+        rows = verdicts.join(failed, "capture_id", "left") \
+            .withColumn("error", F.coalesce("fault", "error")).drop("fault")
         made = f"{out_path}/verdicts/{part}"
         rows.write.mode("overwrite").parquet(made)
         done = spark.read.schema(rows.schema).parquet(made)
-        text = analyze_op.verdict_json(done.drop("error")).withColumnRenamed("capture_id", "file_path")
-        outcome = done.select(F.col("capture_id").alias("file_path"), "error").join(text, "file_path")
+        text = analyze_op.verdict_json(done.drop("error", "error_details")) \
+            .withColumnRenamed("capture_id", "file_path")
+        outcome = done.select(F.col("capture_id").alias("file_path"), "error", "error_details") \
+            .join(text, "file_path")
         runs_op.upsert(spark, runs_path, runs_op.finish(queued, outcome), first + 1)
     return write
 
