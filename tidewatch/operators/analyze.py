@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..schemas import ATTACK_TYPE
 from ..session import shared_path
 from ..sources import capture as cap
+from ..sources import capture_ranges
 from . import flows as flows_op
 from . import model as model_op
 from . import rules as rules_op
@@ -128,9 +129,9 @@ def _minimal(capture: DataFrame, packets: DataFrame, bucket_span: int, error: Ex
 
 def analyze_captures(spark, path: str, work: str, bundle=None, merge: str = "max",
                      max_bytes: int = cap.MAX_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(verdicts, faults) of the captures under ``path``: they are decoded once,
-    into ``<work>/packets``."""
-    good, bad = cap.split_errors(cap.decode_once(spark, path, f"{work}/packets", max_bytes))
+    """(verdicts, faults) of the captures under ``path``: they are decoded once, large
+    ones by many tasks, into ``<work>/packets``."""
+    good, bad = cap.split_errors(capture_ranges.decode_split(spark, path, f"{work}/packets", max_bytes))
     return analyze(good, bundle, merge=merge), bad
 
 

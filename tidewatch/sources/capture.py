@@ -1,9 +1,9 @@
 """Packet captures -> ``packets`` rows.
 
-The one Python boundary of the engine. Spark lists and reads the files
-(``binaryFile``, many captures in parallel, one task per file since a capture
-is not splittable); ``mapInPandas`` decodes each file's bytes in an Arrow
-batch. Record boundaries are found with one ``struct`` step per record, then
+The one Python boundary of the engine. Spark lists the files; their bytes come
+either whole (``binaryFile``, a task per file: small captures, streams) or in ranges
+of records, many tasks per file (``capture_ranges.py``); ``mapInPandas`` decodes
+them in Arrow batches. Record boundaries are found with one ``struct`` step per record, then
 every header field is read for all records of a slice at once with numpy, and
 each slice leaves the task before the next is decoded.
 
@@ -112,34 +112,44 @@ class _Records:
         return self.faults[0] + (f" (and {more} more)" if more else "")
 
 
-def _frame_pcap(buf: bytes, out: _Records):
-    magic = buf[:4]
-    if magic in (b"\xd4\xc3\xb2\xa1", b"\x4d\x3c\xb2\xa1"):
-        end = "<"
-    elif magic in (b"\xa1\xb2\xc3\xd4", b"\xa1\xb2\x3c\x4d"):
-        end = ">"
-    else:
-        out.faults.append("unknown capture format")
-        return
-    nano = magic in (b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d")
-    if len(buf) < 24:
-        out.faults.append("truncated file header")
-        return
-    link = struct.unpack_from(end + "I", buf, 20)[0] & 0x0FFFFFFF
-    rec = struct.Struct(end + "IIII")
-    pos, n = 24, len(buf)
+def _frame_pcap(buf: bytes, out: _Records, state: dict, more: bool = False):
+    """Records of a pcap buffer. ``state`` holds what the file header says; it is read
+    from the buffer where it is empty. ``state["at"]`` is the file's byte that the buffer
+    begins with. With ``more`` to come, a record that is cut off is no fault. Returns the
+    place up to which the buffer was read."""
+    at, n, pos = state.setdefault("at", 0), len(buf), 0
+    if "end" not in state:
+        magic = buf[:4]
+        if magic in (b"\xd4\xc3\xb2\xa1", b"\x4d\x3c\xb2\xa1"):
+            end = "<"
+        elif magic in (b"\xa1\xb2\xc3\xd4", b"\xa1\xb2\x3c\x4d"):
+            end = ">"
+        else:
+            out.faults.append("unknown capture format")
+            return n
+        if n < 24:
+            out.faults.append("truncated file header")
+            return n
+        state["nano"] = magic in (b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d")
+        state["link"] = struct.unpack_from(end + "I", buf, 20)[0] & 0x0FFFFFFF
+        state["end"], pos = end, 24
+    nano, link = state["nano"], state["link"]
+    rec = struct.Struct(state["end"] + "IIII")
     while pos < n:
         if pos + 16 > n:
-            out.faults.append(f"truncated record header at byte {pos}")
-            return
+            if not more:
+                out.faults.append(f"truncated record header at byte {at + pos}")
+            return pos
         sec, frac, incl, _orig = rec.unpack_from(buf, pos)
         if pos + 16 + incl > n:      # where the next record begins is not known
-            out.faults.append(f"truncated record at byte {pos}")
-            return
-        out.add(pos, pos + 16, incl, sec * 1_000_000 + (frac // 1000 if nano else frac), link)
+            if not more:
+                out.faults.append(f"truncated record at byte {at + pos}")
+            return pos
+        out.add(at + pos, pos + 16, incl, sec * 1_000_000 + (frac // 1000 if nano else frac), link)
         pos += 16 + incl
         if len(out.offsets) >= SLICE:
             yield
+    return pos
 
 
 def _tsresol_divisor(opt: int) -> tuple[int, int]:
@@ -168,50 +178,64 @@ def _interface(buf: bytes, end: str, body: int, stop: int) -> tuple[int, int, in
 _LEAST_BODY = {1: 8, 6: 20, 3: 4}
 
 
-def _frame_pcapng(buf: bytes, out: _Records):
-    pos, n = 0, len(buf)
-    end = "<"
-    ifaces: list[tuple[int, int, int]] = []  # (link, mult, div)
+def _frame_pcapng(buf: bytes, out: _Records, state: dict, more: bool = False):
+    """Records of a pcapng buffer, as ``_frame_pcap``. ``state`` holds the section's byte
+    order and its interfaces so far."""
+    at, n, pos = state.setdefault("at", 0), len(buf), 0
+    end = state.setdefault("end", "<")
+    ifaces = state.setdefault("ifaces", [])     # [link, multiplier, divisor]
     while pos < n:
         if pos + 12 > n:
-            out.faults.append(f"truncated block at byte {pos}")
-            return
+            if not more:
+                out.faults.append(f"truncated block at byte {at + pos}")
+            return pos
         if buf[pos:pos + 4] == b"\x0a\x0d\x0d\x0a":
             end = "<" if buf[pos + 8:pos + 12] == b"\x4d\x3c\x2b\x1a" else ">"
             ifaces = []
+            state.update(end=end, ifaces=ifaces)
         btype, blen = struct.unpack_from(end + "II", buf, pos)
         if blen < 12 or pos + blen > n:
-            out.faults.append(f"truncated block at byte {pos}")
-            return
+            if blen < 12 or not more:
+                out.faults.append(f"truncated block at byte {at + pos}")
+            return n if blen < 12 else pos
         body, stop = pos + 8, pos + blen - 4
         if stop - body < _LEAST_BODY.get(btype, 0):
-            out.faults.append(f"short block at byte {pos}")
+            out.faults.append(f"short block at byte {at + pos}")
             if btype == 1:       # keeps the numbers of the interfaces after it
-                ifaces.append((-1, 1, 1))
+                ifaces.append([-1, 1, 1])
         elif btype == 1:
-            ifaces.append(_interface(buf, end, body, stop))
+            ifaces.append(list(_interface(buf, end, body, stop)))
         elif btype == 6:  # enhanced packet
             iface, hi, lo, incl, _orig = struct.unpack_from(end + "IIIII", buf, body)
             if iface < len(ifaces):
                 link, mult, div = ifaces[iface]
-                out.add(pos, body + 20, min(incl, stop - body - 20), ((hi << 32) | lo) * mult // div, link)
+                out.add(at + pos, body + 20, min(incl, stop - body - 20),
+                        ((hi << 32) | lo) * mult // div, link)
             else:
-                out.faults.append(f"packet for unknown interface at byte {pos}")
+                out.faults.append(f"packet for unknown interface at byte {at + pos}")
         elif btype == 3:  # simple packet: no time stamp
             orig = struct.unpack_from(end + "I", buf, body)[0]
             link = ifaces[0][0] if ifaces else LINK_ETHERNET
-            out.add(pos, body + 4, min(orig, stop - body - 4), 0, link)
+            out.add(at + pos, body + 4, min(orig, stop - body - 4), 0, link)
         pos += blen
         if len(out.offsets) >= SLICE:
             yield
+    return pos
+
+
+def framing(head: bytes):
+    """The framing function of a file that begins with ``head``."""
+    return _frame_pcapng if head[:4] == b"\x0a\x0d\x0d\x0a" else _frame_pcap
 
 
-def frame_records(buf: bytes):
+def frame_records(buf: bytes, state: dict | None = None, first: int = 0):
     """Slices of a capture's records: the same object again and again, its lists
-    filled anew; faults add up in it."""
+    filled anew; faults add up in it. With a ``state`` the buffer is a range of whole
+    records, the first of them number ``first``."""
     out = _Records()
-    frame = _frame_pcapng if buf[:4] == b"\x0a\x0d\x0d\x0a" else _frame_pcap
-    for _ in frame(buf, out):
+    out.first = first
+    frame = framing(buf) if state is None else (_frame_pcapng if "ifaces" in state else _frame_pcap)
+    for _ in frame(buf, out, {} if state is None else state):
         yield out
         out.next_slice()
     yield out
