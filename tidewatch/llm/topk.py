@@ -8,7 +8,8 @@ then selects its k best per query, a partition keeps a running k best, and the
 partitions' lists are merged by a window. Every candidate meets every query.
 
 Queries go in blocks of at most ``QUERY_BLOCK`` rows, each a broadcast of bounded
-size and one pass over the candidates, which are never shuffled.
+size and one pass over the candidates, which are never shuffled. A block's lists are
+written before the next block is fetched, so the driver holds one block at a time.
 """
 
 from __future__ import annotations
@@ -148,6 +149,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec
             part = rows.mapInArrow(_search(ids[at:at + query_block], matrix[at:at + query_block], k),
                                    "query_id long, query_row long, vec_id long, score long") \
                 .withColumn("block", F.lit(f"{b}.{at}"))
+            part = written(part, "found")
             found = part if found is None else found.unionAll(part)
     best = Window.partitionBy("block", "query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k) \
