@@ -46,7 +46,8 @@ def test_views_teach_each_other():
     second[:, 7] += 3 * y
     n, m = slice(0, 60), slice(60, 600)
     aside = np.arange(60) % 4 == 0
-    args = ([first[n], second[n]], y[n].astype(np.float32), [first[m], second[m]], aside)
+    args = ([first[n], second[n]], y[n].astype(np.float32),
+            quality.LocalRows([first[m], second[m]], np.arange(540)), aside)
     taught, alone = quality.co_train(*args), quality.co_train(*args, rounds=0)
 
     def accuracy(model):
@@ -55,6 +56,41 @@ def test_views_teach_each_other():
     assert accuracy(taught) > accuracy(alone)
 
 
+def test_spark_rounds_equal_those_of_one_task(spark, more_documents, labels):
+    """The same co-training over rows in memory: models, calibration and gifts."""
+    feats = quality.featured(more_documents)
+    model = quality.fit(more_documents, labels, labelled=80, features=feats)
+    known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = feats.toPandas()
+    xs = quality._matrices(list(rows["text"]), list(rows["meta"]))
+    drawn = {r["id"] for r in spark.createDataFrame([(int(d),) for d in known], "id long").filter(
+        f"pmod(xxhash64('labelled', id), {1 << 30}) < {min(1 << 30, 80 * (1 << 30) // len(known) + 1)}").collect()}
+    mine = rows["id"].isin(drawn).to_numpy()
+    order = np.flatnonzero(mine)[np.argsort(rows["key"].to_numpy()[mine], kind="stable")]
+    y = np.array([known[i] for i in rows["id"].to_numpy()[order]], dtype=np.float32)
+    alone = quality.co_train([x[order] for x in xs], y,
+                             quality.LocalRows([x[~mine] for x in xs], rows["key"].to_numpy()[~mine]),
+                             rows["key"].to_numpy()[order] % 4 == 0)
+    assert model["handed"] == alone["handed"] and sum(alone["handed"]) > 100
+    for (w, b), (u, c) in zip(model["models"], alone["models"]):
+        assert np.allclose(w, u, atol=1e-4) and b == pytest.approx(c, abs=1e-4)
+    by_text = {r["doc_id"]: r["score"] for r in quality.score(more_documents, model).collect()}
+    by_features = {r["doc_id"]: r["score"] for r in quality.score_features(feats, model).collect()}
+    assert by_text == pytest.approx(by_features, abs=1e-6)
+
+
+def test_cuts_take_the_likeliest_and_share_out_ties():
+    counts = np.zeros(quality.BINS, dtype=np.int64)
+    assert quality.cut_of(counts, 5) is None
+    counts[quality.BINS - 1], counts[quality.BINS - 9] = 3, 100
+    assert quality.cut_of(counts, 3) == (quality.BINS - 1, 1.0)
+    assert quality.cut_of(counts, 53) == (quality.BINS - 9, 0.5)
+    assert quality.cut_of(counts, 500)[1] == 1.0
+    counts[:] = 0
+    counts[100] = 9                                   # not sure enough
+    assert quality.cut_of(counts, 5) is None
+
+
 def test_logistic_recovers_odds():
     rng = np.random.default_rng(1)
     x = rng.normal(0, 1, (4000, 2)).astype(np.float32)
