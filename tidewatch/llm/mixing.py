@@ -50,7 +50,8 @@ ODDS = 15.0                # units of a stored log odd: int8 holds +-8.4
 WEIGHTS = (0.1, 0.15, 0.5, 0.35)   # of the four contexts, at the start of a text
 RATE = 0.03
 STRETCH = 64               # symbols after which the weights are refined
-GROUP = 1 << 21            # symbols that are scored together
+GROUP = 1 << 21            # symbols that are scored together, in texts
+WIDTH = 512                # of at most this number, which a core's cache can hold
 BLOCK_SYMBOLS = 1 << 16    # symbols whose context rows are worked out together
 _PAD = b"\n" * 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -106,16 +107,14 @@ class Alphabet:
         self.paths = [_huffman(w.tolist()) for w in weights]
         length = np.array([[len(p) for p in tree] for tree in self.paths])
         depth = int(length.max())
-        # by depth and (symbol before, symbol): the node decided at, its bit as +-1,
-        # whether more decisions follow
-        self.node = np.zeros((depth, size * size), dtype=np.int64)
-        self.sign = np.ones((depth, size * size), dtype=np.float32)
-        self.more = length.ravel() > np.arange(1, depth + 1)[:, None]
-        for q, tree in enumerate(self.paths):
-            for s, path in enumerate(tree):
-                for d, (node, bit) in enumerate(path):
-                    self.node[d, q * size + s] = node
-                    self.sign[d, q * size + s] = 1 if bit else -1
+        # paths end to end by (symbol before, symbol): where each begins, its decisions,
+        # and of every decision its node, its bit as +-1 and its depth
+        self.depth, self.length = depth, length.ravel()
+        self.begin = np.cumsum(self.length) - self.length
+        steps = [(node, 1 if bit else -1, d) for tree in self.paths for path in tree
+                 for d, (node, bit) in enumerate(path)]
+        self.node, sign, self.deep = (np.array(c, dtype=np.int64) for c in zip(*steps))
+        self.sign = sign.astype(np.float32)
         # rows of each table by the symbol before: as its count to the power 3/4
         deal = (total[:, 0] + 1) ** 0.75
         self.first, self.rows, at = [], [], 0
@@ -228,11 +227,11 @@ def _text_places(starts, n: int) -> np.ndarray:
     return real
 
 
-def _groups(texts: list[bytes], order, most: int = GROUP):
-    """Runs of ``order`` with at most ``most`` symbols, or a single text."""
+def _groups(texts: list[bytes], order, most: int = GROUP, width: int = 1 << 30):
+    """Runs of ``order`` with at most ``width`` texts and ``most`` symbols, or a single text."""
     run, size = [], 0
     for k in order:
-        if run and size + len(texts[k]) >= most:
+        if run and (size + len(texts[k]) >= most or len(run) == width):
             yield run
             run, size = [], 0
         run.append(k)
@@ -374,47 +373,59 @@ def mixed_bits(texts: list[bytes], alphabet: Alphabet, odds: np.ndarray,
     for block in _groups(texts, range(n), BLOCK_SYMBOLS):
         data, first, size = _laid_out([texts[k] for k in block])
         symbols, before = _symbols(data, first, size, alphabet)
-        rows.append(_rows(data, before, alphabet))
-        codes.append(before * alphabet.size + symbols)
+        rows.append([r.astype(np.int32) for r in _rows(data, before, alphabet)])
+        codes.append((before * alphabet.size + symbols).astype(np.int32))
     codes = np.concatenate(codes)
     base = [np.concatenate(r) for r in zip(*rows)]
-    mixer = np.empty((len(alphabet.node), CONTEXTS + 1, n), dtype=np.float32)
-    mixer[:, :CONTEXTS] = (np.asarray(weights, dtype=np.float32) / ODDS)[None, :, None]
-    mixer[:, CONTEXTS] = 0
+    depth, unit = alphabet.depth, np.float32(1 / ODDS ** 2)
+    # by context (the last is the bias), text and depth
+    mixer = np.empty((CONTEXTS + 1, n, depth), dtype=np.float32)
+    mixer[:CONTEXTS] = (np.asarray(weights, dtype=np.float32) / ODDS)[:, None, None]
+    mixer[CONTEXTS] = 0
     nats = np.zeros(n)
-    unit = np.float32(1 / ODDS ** 2)
     for low, high in _stretches(int(sizes.max())):
         who = np.flatnonzero(sizes > low)           # texts that have a symbol here
         many = np.minimum(sizes[who], high) - low
-        at = np.repeat(starts[who] + low - (np.cumsum(many) - many), many)
+        first = np.cumsum(many) - many
+        at = np.repeat(starts[who] + low - first, many)
         at += np.arange(len(at))
+        # all decisions of the stretch at once: its weights are those of its start
         s = codes[at]
-        places = [b[at] for b in base]
-        for gate, node, sign, more in zip(mixer, alphabet.node, alphabet.sign, alphabet.more):
-            runs = np.cumsum(many) - many           # where each text's decisions begin
-            spot = node[s]
-            inputs = [odds[p + spot].astype(np.float32) for p in places]
-            total = np.repeat(gate[CONTEXTS, who], many)
-            for w, x in zip(gate, inputs):
-                total += np.repeat(w[who], many) * x
-            way = sign[s]
-            total *= way
-            np.clip(total, -20, 20, out=total)
-            wrong = np.exp(-total)
-            nats[who] += np.add.reduceat(np.log1p(wrong), runs)
-            slope = way * (wrong / (1 + wrong))
-            # a step along the gradient's mean, shorter where little was read
-            pace = (rate / np.sqrt(many + 16)).astype(np.float32)
-            for w, x in zip(gate, inputs):
-                w[who] += unit * pace * np.add.reduceat(slope * x, runs)
-            gate[CONTEXTS, who] += pace * np.add.reduceat(slope, runs)
-            goes_on = more[s]
-            left = np.add.reduceat(goes_on, runs, dtype=np.int64)
-            on = np.flatnonzero(goes_on)
-            if not len(on):
-                break
-            s, places = s[on], [p[on] for p in places]
-            who, many = who[left > 0], left[left > 0]
+        count = alphabet.length[s]
+        symbol = np.repeat(np.arange(len(s)), count)
+        step = np.repeat(alphabet.begin[s] - (np.cumsum(count) - count), count)
+        step += np.arange(len(step))
+        node, way = alphabet.node[step], alphabet.sign[step]
+        steps = np.add.reduceat(count, first)       # of each text
+        slot = np.repeat(np.arange(0, len(who) * depth, depth), steps)
+        slot += alphabet.deep[step]                 # the weights that a decision uses
+        whole = len(who) == n
+        held = mixer if whole else mixer[:, who]
+        total = held[CONTEXTS].ravel()[slot]
+        inputs = []
+        for b, w in zip(base, held):
+            place = b[at].astype(np.int64)[symbol]
+            place += node
+            x = odds[place].astype(np.float32)
+            inputs.append(x)
+            total += w.ravel()[slot] * x
+        total *= way
+        np.maximum(total, np.float32(-20), out=total)
+        np.minimum(total, np.float32(20), out=total)
+        wrong = np.exp(-total)
+        one = wrong + np.float32(1)
+        nats[who] += np.add.reduceat(np.log(one), np.cumsum(steps) - steps)
+        wrong /= one
+        wrong *= way                                # the slope of the cost
+        # a step along the gradient's mean, shorter where little was read
+        cells = len(who) * depth
+        pace = rate / np.sqrt(np.bincount(slot, minlength=cells) + 16)
+        for k, x in enumerate([*inputs, None]):
+            slope = np.bincount(slot, wrong if x is None else wrong * x, cells)
+            slope *= pace if x is None else unit * pace
+            held[k] += slope.reshape(len(who), depth)
+        if not whole:
+            mixer[:, who] = held
     escaped = np.zeros(len(codes) + 1, dtype=np.int64)
     np.cumsum(codes % alphabet.size == ESCAPE, out=escaped[1:])
     return nats / np.log(2) + 8.0 * (escaped[starts + sizes] - escaped[starts])
@@ -431,7 +442,7 @@ def _score(alphabet, model):
             texts = [lowered(t) for t in batch.column(2).to_pylist()]
             bits = np.zeros(len(texts))
             order = sorted(range(len(texts)), key=lambda k: len(texts[k]))
-            for group in _groups(texts, order):
+            for group in _groups(texts, order, GROUP, WIDTH):
                 bits[group] = mixed_bits([texts[k] for k in group], alphabet, odds)
             n_tokens, known, logs, ends, hashes, times = [], [], [], [0], [], []
             for text in texts:
