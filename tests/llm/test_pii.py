@@ -142,7 +142,8 @@ def test_mixed_spellings_are_found_alone(text, kind):
 def test_the_gate_never_changes_the_result(texts):
     rng = random.Random(1)
     bits = ["four", "1", "plus", "dot", "+", " - ", "(", ")", "at", "com", "x", "192", "[", "]", ".", "@",
-            "O", "one", "&period;", "&#64;", "_at_", "<", ">", "\u017fix", "s\u0131x", "a"]
+            "O", "one", "&period;", "&#64;", "_at_", "<", ">", "\u017fix", "s\u0131x", "a",
+            "%40", "。", "b.c", "email:", "\u00a0", "S\u0130X"]
     some = ["".join(rng.choice(bits) + rng.choice(["", " ", "  "]) for _ in range(rng.randint(1, 12)))
             for _ in range(5000)]
     for t in [*some, *texts.values()]:
@@ -166,3 +167,56 @@ def test_all_top_level_domains_end_an_address(text, address):
     "we were at that point people said", "she stood at knife point in May"])
 def test_prose_with_words_that_are_domains_is_left_alone(text):
     assert pii.find(text) == ([], [])
+
+
+@pytest.mark.parametrize("text, kind, span", [
+    ("bob @ example . com", "email", "bob @ example . com"), ("see bob @ example . co . uk.", "email", "bob @ example . co . uk"),
+    ("bob＠example。com", "email", "bob＠example。com"), ("写信bob@example。com。", "email", "bob@example。com"),
+    ("?m=bob%40example.com&x", "email", "bob%40example.com"), ("bob%40example%2Ecom", "email", "bob%40example%2Ecom"),
+    ("ask ann.lee at example.com today", "email", "ann.lee at example.com"),
+    ("Email: john at example.com", "email", "john at example.com"), ("write to john at mail.example.org", "email", "john at mail.example.org"),
+    ("jօhո@example.com", "email", "jօhո@example.com"), ("Ꭺnn@example.com", "email", "Ꭺnn@example.com"),
+    ("ᴊᴏᴇ@ᴀᴄᴍᴇ.ᴄᴏᴍ", "email", "ᴊᴏᴇ@ᴀᴄᴍᴇ.ᴄᴏᴍ"), ("bob﹫example․com", "email", "bob﹫example․com"),
+    ("+1\u2011415\u2013555\u20111212", "phone", "+1\u2011415\u2013555\u20111212"),
+    ("4539\u00a01488\u202f0343\u00a06467", "card", "4539\u00a01488\u202f0343\u00a06467")])
+def test_spaced_encoded_and_look_alike_disguises(text, kind, span):
+    assert (kind, span) in [(k, text[a:b]) for k, a, b in pii.find(text)[1]]
+    assert f"[{kind.upper()}]" in pii.masked(text)
+
+
+@pytest.mark.parametrize("text", [
+    "we met at example.com yesterday", "sign up at github.com now", "see README.md at github.com", "contact us at example.com",
+    "tickets @ the door . Come early", "he paid 5 @ 3 . 2 each", "50%40 off", "到了。com 是", "the end . De rest",
+    "pages 12\u201315 and 1990\u20131995", "email works at example.com", "her\u00a0name\u2014Ann\u2014was"])
+def test_prose_near_the_new_disguises_is_left_alone(text):
+    assert pii.find(text) == ([], [])
+
+
+def test_planted_disguises_are_recalled():
+    """Of 2,000 addresses and numbers, each in one disguise within prose, nearly all are found
+    whole, and the prose alone gives nothing."""
+    rng = random.Random(5)
+    names = "anna bob carla dmitri elena farid grace hugo ines jan".split()
+    hosts = ["example.com", "mail.example.org", "firma.de", "correo.es", "posta.it", "uni.ac.uk", "shop.net"]
+    alike = str.maketrans("aeopcx", "аеорсх")
+    words = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+    prose = "the old house near the river was sold at last and nobody knew why it had taken so long".split()
+    email = [lambda u, h: f"{u} [at] {h.replace('.', ' [dot] ')}", lambda u, h: f"{u} at {h.replace('.', ' dot ')}",
+             lambda u, h: f"{u} @ {h.replace('.', ' . ')}", lambda u, h: f"{u}%40{h}", lambda u, h: f"{u}&#64;{h}",
+             lambda u, h: f"{u}@{h}".translate(alike), lambda u, h: f"{u}＠{h.replace('.', '。')}",
+             lambda u, h: "".join(chr(ord(c) + 0xFEE0) for c in f"{u}@{h}"), lambda u, h: f"{u}.lee at {h}",
+             lambda u, h: f"{u}_at_{h.replace('.', '_dot_')}", lambda u, h: f"{u[0]}\u200b{u[1:]}@{h}"]
+    phone = [lambda d: "plus " + " ".join(words[int(c)] for c in d), lambda d: "+" + "\u2011".join([d[:2], d[2:5], d[5:]]),
+             lambda d: "＋" + "".join(chr(ord(c) + 0xFEE0) for c in d), lambda d: f"+{d[:2]} {words[int(d[2])]} {d[3:]}"]
+    hit = 0
+    for i in range(2000):
+        if i % 4:
+            kind, said = "email", rng.choice(email)(rng.choice(names), rng.choice(hosts))
+        else:
+            kind, said = "phone", rng.choice(phone)("49" + "".join(rng.choice("123456789") for _ in range(9)))
+        left, right = (" ".join(rng.sample(prose, 6)) for _ in range(2))
+        assert pii.find(f"{left}. {right}") == ([], [])
+        text = f"{left}: {said} , {right}"
+        at = len(left) + 2
+        hit += (kind, at, at + len(said)) in pii.find(text)[1]
+    assert hit >= 1900, hit

@@ -5,9 +5,14 @@ behind a chain of transducers, each of which rewrites the text and carries, for
 every character it puts out, the source characters it stands for:
 
 1. characters: homoglyphs, full-width and other digits and letters to ASCII,
-   invisible characters dropped;
+   odd blanks and dashes between digits, invisible characters dropped;
 2. spelled digits ("four one five", in four languages, with "plus" and "dot");
-3. "at" and "dot" disguises ("x [at] y (dot) z", "x at y dot z", entities).
+3. spaced addresses ("x @ y . z"), ideographic dots;
+4. "at" and "dot" disguises ("x [at] y (dot) z", "x at y dot z", entities, "%40").
+
+A bare "at" before a plain domain names a place more often than an address, so it
+counts behind a local part of two names ("ann.lee at y.org") or a cue ("email: ann at
+y.org") only.
 
 The plain patterns run on the rewritten text and their spans are mapped back to
 code points of the source. A mapped span is added unless a plain one of its kind
@@ -79,14 +84,24 @@ def plain_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-# Look-alikes of ASCII letters in Cyrillic and Greek.
+# Look-alikes of ASCII letters in Cyrillic, Greek, Armenian, Cherokee and
+# phonetic letters; dashes.
 _LOOKALIKES = str.maketrans(
-    "АВЕЅІЈКМНОРСТУХаеѕіјорсухԁԛԝһΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανικρτυχ",
-    "ABESIJKMHOPCTYXaesijopcyxdqwhABEZHIKMNOPTYXoavikptux")
-_INVISIBLE = "­​‌‍⁠﻿"
+    "АВЕЅІЈКМНОРСТУХаеѕіјорсухԁԛԝһӏѵүΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανικρτυχ"
+    "օսհոզցՕՏՍᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃɑɡɩıſ"
+    "‐‑‒–—―−",
+    "ABESIJKMHOPCTYXaesijopcyxdqwhlvyABEZHIKMNOPTYXoavikptux"
+    "ouhnqgOSUABCDEGHJKLMPRSTVWZagiis"
+    "-------")
+# Small capitals, by their names.
+_LOOKALIKES.update({c: m[1].lower() for c in range(0x1D00, 0x1D23) for m in
+                    [re.fullmatch("LATIN LETTER SMALL CAPITAL ([A-Z])", unicodedata.name(chr(c)))] if m})
+_INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 # Ranges in which a character may stand for an ASCII one.
-_ODD = re.compile("[­Ͱ-ԯ٠-٩۰-۹०-९​-‍"
-                  "⁠⁰-ₜ①-⓿﻿！-～\U0001d400-\U0001d7ff]")
+_ODD = re.compile("[\u00ad\u0131\u017f\u0250-\u02af\u0370-\u0587\u0660-\u0669\u06f0-\u06f9\u0966-\u096f"
+                  "\u13a0-\u13f5\u1d00-\u1d22\u200b-\u200d\u2024\u2060\u2070-\u209c\u2460-\u24ff\ufe50-\ufe6b"
+                  "\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]"
+                  "|[\u00a0\u2000-\u200a\u202f\u2010-\u2015\u2212](?<=[0-9)].)(?=[0-9(])", re.S)
 # Digit words in English, French, German and Spanish.
 DIGIT_WORDS = {
     **dict.fromkeys("zero oh zéro null cero".split(), "0"),
@@ -100,17 +115,6 @@ DIGIT_WORDS = {
     **dict.fromkeys("eight huit acht ocho".split(), "8"),
     **dict.fromkeys("nine neuf neun nueve".split(), "9"),
 }
-_WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
-_AT, _DOT = "(?:at|arobase|arroba)", "(?:dot|point|punkt|punto)"
-_OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-# a look-ahead on first letters spares most words the long alternation
-_FIRST = "[" + "".join(sorted({w[0] for w in DIGIT_WORDS})) + "]"
-_TOKEN = rf"(?:\b(?={_FIRST}){_WORD}\b|(?<![0-9])[0-9]++)"
-_GAP = rf"(?:\s+{_DOT}\s+|[\s,.()\[\]-]{{1,4}})"
-_SPELLED = re.compile(rf"(?:\bplus\s+)?{_TOKEN}(?:{_GAP}{_TOKEN}){{2,}}", re.I)
-_SPELLED_PART = re.compile(rf"(plus\s+)|({_WORD})\b|([0-9]+)|(\s+{_DOT}\s+)|([\s,.()\[\]-]+)", re.I)
-_MARKED_DOT = rf"(?:\s*{_OPEN}\s*(?:{_DOT}|\.)\s*{_CLOSE}\s*|_{_DOT}_|&(?:\#0*46|\#x2e|period);)"
-_MARKED_AT = rf"(?:\s*{_OPEN}\s*(?:{_AT}|@)\s*{_CLOSE}\s*|_{_AT}_|&(?:\#0*64|\#x40|commat);)"
 def _any_of(words) -> str:
     """A pattern of any of the words, branching by character."""
     tree: dict = {}
@@ -129,6 +133,20 @@ def _any_of(words) -> str:
     return pattern(tree)
 
 
+_WORD = _any_of(DIGIT_WORDS)
+_AT, _DOT = "(?:at|arobase|arroba)", "(?:dot|point|punkt|punto)"
+_OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
+# These patterns read the folded text. A look-ahead on first letters spares most words
+# the long alternation.
+_FIRST = "[" + "".join(sorted({w[0] for w in DIGIT_WORDS})) + "]"
+_TOKEN = rf"(?:\b(?={_FIRST}){_WORD}\b|(?<![0-9])[0-9]++)"
+_GAP = rf"(?:\s+{_DOT}\s+|[\s,.()\[\]-]{{1,4}})"
+_SPELLED = re.compile(rf"(?:\bplus\s+)?{_TOKEN}(?:{_GAP}{_TOKEN}){{2,}}")
+_SPELLED_PART = re.compile(rf"(plus\s+)|({_WORD})\b|([0-9]+)|(\s+{_DOT}\s+)|([\s,.()\[\]-]+)")
+_MARKED_DOT = rf"(?:\s*{_OPEN}\s*(?:{_DOT}|\.)\s*{_CLOSE}\s*|_{_DOT}_|&(?:\#0*46|\#x2e|period);|%2e)"
+_MARKED_AT = rf"(?:\s*{_OPEN}\s*(?:{_AT}|@)\s*{_CLOSE}\s*|_{_AT}_|&(?:\#0*64|\#x40|commat);|%40)"
+
+
 # Bare words are prose unless they lead to a top-level domain. Those that are also words
 # (long ones, and these codes) count only behind "dot" and a label that is no determiner.
 _WORD_CODES = frozenset("ad am as at be by do et id in is it la ma me my ne ni no pa pm sa se so "
@@ -140,17 +158,44 @@ _DETERMINER = (r"(?:an?|the|this|that|these|those|some|any|no|one|each|every|whi
                r"their|our|my|your|another|either)\b(?!-)")
 _BARE_DOT = rf"\s+{_DOT}\s+"
 _ANY_DOT = rf"(?:{_MARKED_DOT}|{_BARE_DOT})"
-_REST = rf"(?:[A-Za-z0-9-]+(?:{_ANY_DOT}|\.)){{0,8}}{_TLD}\b"
+_REST = rf"(?:[a-z0-9-]+(?:{_ANY_DOT}|\.)){{0,8}}{_TLD}\b"
 _SAID_DOT = rf"(?:{_MARKED_DOT}|\s+dot\s+)"
-_SAID_REST = rf"(?:[A-Za-z0-9-]+(?:{_SAID_DOT}|\.)){{0,8}}{_ANY_TLD}\b"
+_SAID_REST = rf"(?:[a-z0-9-]+(?:{_SAID_DOT}|\.)){{0,8}}{_ANY_TLD}\b"
 _DISGUISE = re.compile(
-    rf"(?<=[A-Za-z0-9])(?:(?P<at>{_MARKED_AT}|\s+{_AT}\s+(?:(?=[A-Za-z0-9-]+{_ANY_DOT}{_REST})"
-    rf"|(?!{_DETERMINER})(?=[A-Za-z0-9-]+{_SAID_DOT}{_SAID_REST}))|\s+@\s+(?=[A-Za-z0-9]))"
-    rf"|(?P<dot>{_MARKED_DOT}|{_BARE_DOT}(?={_REST})|\s+dot\s+(?={_SAID_REST})))(?=[A-Za-z0-9])",
-    re.I)
+    rf"(?<=[a-z0-9])(?:(?P<at>{_MARKED_AT}|\s+{_AT}\s+(?:(?=[a-z0-9-]+{_ANY_DOT}{_REST})"
+    rf"|(?!{_DETERMINER})(?=[a-z0-9-]+{_SAID_DOT}{_SAID_REST}))|\s+@\s+(?=[a-z0-9]))"
+    rf"|(?P<dot>{_MARKED_DOT}|{_BARE_DOT}(?={_REST})|\s+dot\s+(?={_SAID_REST})))(?=[a-z0-9])")
+# What every text holds that the patterns above match: a sign, or a word for a dot that leads
+# to a domain; a digit word beside another token, or a word for a dot between digits.
+_SIGNS = tuple("@ %40 %2e _at_ _arobase_ _arroba_ _dot_ _point_ _punkt_ _punto_ &# &period; &commat;".split())
+_BRACKETED = re.compile(rf"{_OPEN}\s*(?:{_AT}|{_DOT}|[@.])\s*{_CLOSE}")
+_LEADING_DOT = re.compile(rf"{_DOT}\s+(?=(?:[a-z0-9-]+(?:{_ANY_DOT}|\.)){{0,8}}{_ANY_TLD}\b)")
+_WORD_FIRST = re.compile(rf"{_WORD}\b{_GAP}{_TOKEN}")
+_DIGIT_FIRST = re.compile(rf"[0-9](?:{_GAP}{_WORD}\b|\s+{_DOT}\s+[0-9])")
+# An address whose dots all stand between the same blanks, or are ideographic.
+_LABEL = "[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
+_SPACED = re.compile(
+    rf"(?<=[a-z0-9])(?P<at>[ \t]{{0,3}}@[ \t]{{0,3}}|{_MARKED_AT}){_LABEL}(?P<dot>[ \t]{{1,3}}\.[ \t]{{1,3}}|[。｡])"
+    rf"(?:{_LABEL}(?P=dot)){{0,7}}?(?:(?:com?|org|ac|gov|net|edu)(?P=dot)[a-z]{{2}}|{_TLD})\b(?!-)")
+# A bare "at" before a plain domain, and what must stand before it.
+_AT_DOMAIN = rf"{_AT}\s{{1,3}}(?=(?:{_LABEL}\.){{1,8}}{_TLD}\b(?!-))"
+_PLAIN_AT = re.compile(rf"(?<=[a-z0-9])\s{{1,3}}{_AT_DOMAIN}")
+_LEADING_AT = re.compile(_AT_DOMAIN)
+_FILES = "bmp c conf cpp css csv doc docx exe gif go h html java jpg js json md pdf php png ppt py rb rs sh sql txt xls xml yml zip"
+_NAMED = re.compile(r"(?<![a-z0-9._%+-])[a-z]+[0-9]*(?:[._][a-z]{2,}[0-9]*)+\Z")
+_FILE = re.compile(rf"\.(?:{'|'.join(_FILES.split())})\Z")
+_CUED = re.compile(r"\b(?:(?:e-?mail|mail|contact|courriel|correo)(?:\s+address)?\s*(?::|=)|(?:e-?mail|mail)\s+address\s+is"
+                   r"|(?:e-?mail|write|mail)\s+(?:to|(?:me|us|him|her|them)\s+at))\s*[a-z0-9._%+-]+\Z")
 _LETTER_DIGIT = re.compile(r"(?<=[0-9])[OoIl]{1,3}(?=[0-9])")
 
 
+def fold(text: str) -> str:
+    """The text in lower case, of the same length, dotless i and long s folded too."""
+    if text.isascii():
+        return text.lower()
+    return text.replace("\u0130", "i").lower().replace("\u0131", "i").replace("\u017f", "s")
+
+
 class Mapped:
     """A rewritten text; character ``i`` stands for source ``[starts[i], ends[i])``."""
 
@@ -159,11 +204,12 @@ class Mapped:
         self.starts = list(range(len(text)))
         self.ends = list(range(1, len(text) + 1))
 
-    def rewrite(self, pattern: re.Pattern, put) -> None:
+    def rewrite(self, pattern: re.Pattern, put, folded: bool = False) -> None:
         """Replace each match by the (piece, from, to) that ``put`` gives: every
-        character of a piece stands for the match's characters from..to."""
+        character of a piece stands for the match's characters from..to. ``folded``
+        patterns read the text in lower case."""
         out, starts, ends, at = [], [], [], 0
-        for m in pattern.finditer(self.text):
+        for m in pattern.finditer(fold(self.text) if folded else self.text):
             pieces = put(m)
             if pieces is None:
                 continue
@@ -205,7 +251,7 @@ def _spelled(m):
         if k == 1:
             out.append(("+", a, a + 4))
         elif k == 2:
-            out.append((DIGIT_WORDS[s.casefold().replace("ı", "i")], a, b))
+            out.append((DIGIT_WORDS[s], a, b))
         elif k == 4 or k == 5 and s.strip() == ".":
             out.append((".", a, b))
         elif k == 3 or 2 not in beside:      # digits, and what stands between digits
@@ -213,17 +259,53 @@ def _spelled(m):
     return out
 
 
+def _spaced(m):
+    """The address without its blanks, every other character in its place."""
+    at, from_ = m.start(), m.start("at")
+    out = [("@", from_, m.end("at"))]
+    for i, c in enumerate(m[0][m.end("at") - at:], m.end("at")):
+        if c in ".。｡":
+            out.append((".", i, i + 1))
+        elif c not in " \t":
+            out.append((c, i, i + 1))
+    return out
+
+
+def _plain_at(m):
+    before = m.string[max(0, m.start() - 120):m.start()]
+    if _CUED.search(before) or (_NAMED.search(before) and not _FILE.search(before)):
+        return [("@", *m.span())]
+    return None
+
+
+def _disguise(m):
+    return [("@" if m["at"] else ".", *m.span())]
+
+
+def _acts(text: str) -> bool:
+    """Whether a transducer finds anything in the text as it is; where none does, none can."""
+    if not text.isascii() and _ODD.search(text) or _LETTER_DIGIT.search(text):
+        return True
+    low = fold(text)
+    signs = any(s in low for s in _SIGNS) or _BRACKETED.search(low)
+    return bool((signs or _LEADING_DOT.search(low)) and _DISGUISE.search(low)
+                or signs and _SPACED.search(low) or _LEADING_AT.search(low) and any(map(_plain_at, _PLAIN_AT.finditer(low)))
+                or (_WORD_FIRST.search(low) or _DIGIT_FIRST.search(low))
+                and any(map(_spelled, _SPELLED.finditer(low))))
+
+
 def deobfuscated(text: str, always: bool = False) -> Mapped | None:
     """The text behind the transducers, or None where none of them can act: the
     patterns themselves say so, as the first that acts finds the text as it is
     (``always`` runs them all the same)."""
-    if not (always or _ODD.search(text) or _LETTER_DIGIT.search(text) or _DISGUISE.search(text)
-            or any(_spelled(x) for x in _SPELLED.finditer(text))):
+    if not (always or _acts(text)):
         return None
     m = Mapped(text)
     m.rewrite(_ODD, _character)
-    m.rewrite(_SPELLED, _spelled)
-    m.rewrite(_DISGUISE, lambda x: [("@" if x["at"] else ".", *x.span())])
+    m.rewrite(_SPELLED, _spelled, folded=True)
+    m.rewrite(_SPACED, _spaced, folded=True)
+    m.rewrite(_PLAIN_AT, _plain_at, folded=True)
+    m.rewrite(_DISGUISE, _disguise, folded=True)
     m.rewrite(_LETTER_DIGIT, lambda x: [("0" if c in "Oo" else "1", x.start() + i, x.start() + i + 1)
                                         for i, c in enumerate(x[0])])
     return m
