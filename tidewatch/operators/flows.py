@@ -44,18 +44,26 @@ def _square(c):
     return d * d
 
 
-def _bucket_stats(packets: DataFrame, bucket_span: int) -> DataFrame:
-    """One row per (flow, bucket): counts, sums, ends and inner-gap moments."""
+def flow_parts(packets: DataFrame, bucket_span: int = DEFAULT_BUCKET_SPAN,
+               idle_us: int | None = None) -> DataFrame:
+    """One row per (flow, bucket): counts, sums, ends and inner-gap moments. With
+    ``idle_us`` a longer gap ends a part, and none of its moments hold that gap."""
     # a capture without packets is one row of nulls: no flow
     p = packets.filter(F.col("pkt_no").isNotNull()).withColumn("bucket", F.expr(f"div(pkt_no, {int(bucket_span)})"))
     w = Window.partitionBy(*FLOW_KEY, "bucket").orderBy("pkt_no")
     p = p.withColumn("gap", F.col("ts_us") - F.lag("ts_us").over(w))
+    keys = [*FLOW_KEY, "bucket"]
+    if idle_us is not None:
+        broken = F.col("gap") > idle_us
+        p = p.withColumn("run", F.sum(F.when(broken, 1).otherwise(0)).over(w)) \
+            .withColumn("gap", F.when(~broken, F.col("gap")))
+        keys.append("run")
     tcp = F.col("proto") == 6
     flag_aggs = [
         F.count_if(tcp & flag_set("tcp_flags", m)).alias(f"{n}_count")
         for n, m in FLAG_MASKS
     ]
-    return p.groupBy(*FLOW_KEY, "bucket").agg(
+    return p.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("pkt_no").alias("first_pkt_no"),
         F.min_by("ts_us", "pkt_no").alias("first_ts"),
@@ -74,9 +82,45 @@ def _bucket_stats(packets: DataFrame, bucket_span: int) -> DataFrame:
 
 def flow_features(packets: DataFrame, bucket_span: int = DEFAULT_BUCKET_SPAN) -> DataFrame:
     """Flow table (schema ``FLOWS``): one row per directional flow key."""
-    b = _bucket_stats(packets, bucket_span)
-
-    by_flow = Window.partitionBy(*FLOW_KEY)
+    return _finish(_merged(flow_parts(packets, bucket_span), FLOW_KEY))
+
+
+def flow_sessions(packets: DataFrame, idle_us: int,
+                  bucket_span: int = DEFAULT_BUCKET_SPAN) -> DataFrame:
+    """Flow table with a row per flow key and session: a flow ends after a gap of more
+    than ``idle_us`` and what follows is a new one (schema ``FLOWS``)."""
+    return finished(merged_sessions(flow_parts(packets, bucket_span, idle_us), idle_us))
+
+
+def merged_sessions(parts: DataFrame, idle_us: int) -> DataFrame:
+    """Parts of flows (``flow_parts`` of the same ``idle_us``, or what this gave before)
+    merged: a part for each session, exact in every moment. Parts of a flow must not overlap
+    in packet numbers."""
+    w = Window.partitionBy(*FLOW_KEY).orderBy("first_pkt_no")
+    begins = F.col("first_ts") - F.lag("last_ts").over(w) > idle_us
+    b = parts.withColumn("session", F.sum(F.when(begins, 1).otherwise(0)).over(w)) \
+        .withColumn("bucket", F.col("first_pkt_no"))
+    m = _merged(b, [*FLOW_KEY, "session"])
+    mean = F.when(F.col("gap_n") > 0, (F.col("last_ts") - F.col("first_ts")) / F.col("gap_n"))
+    return m.select(*FLOW_KEY, F.col("pkt_count").alias("n"), "first_pkt_no", "first_ts", "last_ts",
+                    "total_size", F.col("gap_n").alias("g_n"), F.col("gap_s1").alias("g_sum"),
+                    F.col("gap_s2").alias("g_s2"), mean.alias("g_mean"),
+                    F.col("gap_m2").alias("g_m2"), F.col("gap_min").alias("g_min"),
+                    F.col("gap_max").alias("g_max"), *[f"{n}_count" for n, _ in FLAG_MASKS])
+
+
+def finished(parts: DataFrame) -> DataFrame:
+    """The flow table of merged parts, one row each."""
+    return _finish(parts.select(
+        *FLOW_KEY, F.col("n").alias("pkt_count"), "first_pkt_no", "first_ts", "last_ts", "total_size",
+        F.col("g_n").alias("gap_n"), F.col("g_sum").alias("gap_s1"), F.col("g_s2").alias("gap_s2"),
+        F.col("g_m2").alias("gap_m2"), F.col("g_min").alias("gap_min"), F.col("g_max").alias("gap_max"),
+        *[f"{n}_count" for n, _ in FLAG_MASKS]))
+
+
+def _merged(b: DataFrame, keys: list[str]) -> DataFrame:
+    """Parts merged by ``keys`` in the order of ``bucket``, the gaps between them counted."""
+    by_flow = Window.partitionBy(*keys)
     ordered = by_flow.orderBy("bucket")
     # Gap from the last packet of the previous bucket to the first of this one.
     b = b.withColumn("edge", F.col("first_ts") - F.lag("last_ts").over(ordered))
@@ -95,7 +139,7 @@ def flow_features(packets: DataFrame, bucket_span: int = DEFAULT_BUCKET_SPAN) ->
     inner_s2 = F.when(F.col("g_n") == 0, F.lit(0).cast("decimal(38,0)")).otherwise(F.col("g_s2"))
     s2 = inner_s2 + F.coalesce(_square("edge"), F.lit(0).cast("decimal(38,0)"))
 
-    agg = b.groupBy(*FLOW_KEY).agg(
+    return b.groupBy(*keys).agg(
         F.sum("n").alias("pkt_count"),
         F.min("first_pkt_no").alias("first_pkt_no"),
         F.min_by("first_ts", "bucket").alias("first_ts"),
@@ -111,7 +155,6 @@ def flow_features(packets: DataFrame, bucket_span: int = DEFAULT_BUCKET_SPAN) ->
         F.when(F.count_if(s2.isNull()) == 0, F.try_sum(s2)).alias("gap_s2"),
         *[F.sum(f"{n}_count").alias(f"{n}_count") for n, _ in FLAG_MASKS],
     )
-    return _finish(agg)
 
 
 def _finish(agg: DataFrame) -> DataFrame:

@@ -39,13 +39,28 @@ def packets_sql(captures: str = "single") -> str:
 KEY = "capture_id, src_ip, dst_ip, src_port, dst_port, proto"
 
 
-def flows_sql(captures: str = "single") -> str:
-    """Flow features with full precision, one row per flow key."""
+def sessions_sql(captures: str, idle_us: int) -> str:
+    """Packets with the number of idle gaps before them in their flow."""
     return f"""
-    WITH p AS ({packets_sql(captures)}),
-    g AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY {KEY} ORDER BY pkt_no) AS gap FROM p),
+    SELECT *, sum(idle) OVER (PARTITION BY {KEY} ORDER BY pkt_no) AS session FROM (
+      SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY {KEY} ORDER BY pkt_no) > {idle_us}
+                     THEN 1 ELSE 0 END AS idle FROM ({packets_sql(captures)}))
+    """
+
+
+def flows_sql(captures: str = "single", idle_us: int | None = None) -> str:
+    """Flow features with full precision, one row per flow key (and session)."""
+    if idle_us is None:
+        return _features_sql(packets_sql(captures), KEY)
+    return _features_sql(sessions_sql(captures, idle_us), f"{KEY}, session")
+
+
+def _features_sql(packets: str, key: str) -> str:
+    return f"""
+    WITH p AS ({packets}),
+    g AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY {key} ORDER BY pkt_no) AS gap FROM p),
     a AS (
-      SELECT {KEY},
+      SELECT {key},
              min(pkt_no) AS first_pkt_no,
              count(*) AS pkt_count,
              arg_max(ts_us, pkt_no) - arg_min(ts_us, pkt_no) AS dur_us,
@@ -59,7 +74,7 @@ def flows_sql(captures: str = "single") -> str:
              count_if(proto = 6 AND (tcp_flags & 8) <> 0) AS psh_count,
              count_if(proto = 6 AND (tcp_flags & 16) <> 0) AS ack_count,
              count_if(proto = 6 AND (tcp_flags & 32) <> 0) AS urg_count
-      FROM g GROUP BY {KEY})
+      FROM g GROUP BY {key})
     SELECT capture_id, src_ip, dst_ip, CAST(first_pkt_no AS BIGINT) AS first_pkt_no,
            proto AS protocol, proto,
            CAST(pkt_count AS BIGINT) AS pkt_count,

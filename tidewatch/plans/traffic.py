@@ -7,13 +7,17 @@ result for the correctness check.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import flows as flows_op
 from ..operators import rules as rules_op
 from ..operators import verdict as verdict_op
 from ..schemas import FLOWS
+from ..session import shared_path
 from ..sources.fixtures import packets_from_events
+from ..streaming import live_flows as live
 from . import sql_fixtures as sqlf
 from .output import r6, round_doubles
 from .tables import table
@@ -42,6 +46,28 @@ def q_flow_features_bucketed(spark, sf_dir):
     return round_doubles(flows(spark, sf_dir, "mixed", bucket_span=64))
 
 
+SESSION_IDLE_US = 1_000_000
+
+
+def q_flow_sessions(spark, sf_dir):
+    """A flow ends after a second without a packet."""
+    return round_doubles(flows_op.flow_sessions(packets(spark, sf_dir, "mixed"), SESSION_IDLE_US))
+
+
+def q_live_flows(spark, sf_dir):
+    """The packets arrive in four batches, by number; the flows that ended by the last."""
+    arriving = packets(spark, sf_dir, "mixed")
+    cuts = arriving.agg(F.max("pkt_no")).first()[0] or 0
+    out = shared_path(spark, "live", uuid.uuid4().hex)
+    for n in range(4):
+        here = F.least(F.expr(f"div(pkt_no * 4, {cuts + 1})"), F.lit(3)) == n
+        live.advance(arriving.filter(here), out, n, SESSION_IDLE_US, LIVE_DELAY_US, last=n == 3)
+    return round_doubles(live.flows(spark, out))
+
+
+LIVE_DELAY_US = 1 << 60          # stamps follow no order of the numbers: nothing is late
+
+
 def q_flow_signatures(spark, sf_dir):
     f = rules_op.with_signatures(flows(spark, sf_dir, "mixed"))
     out = f.select(*FLOWS.fieldNames(), F.col("sig.type").alias("sig_type"),
@@ -155,6 +181,8 @@ QUERIES = {
     "packets": q_packets,
     "flow_features": q_flow_features,
     "flow_features_bucketed": q_flow_features_bucketed,
+    "flow_sessions": q_flow_sessions,
+    "live_flows": q_live_flows,
     "flow_signatures": q_flow_signatures,
     "heuristic_signatures": q_heuristic_signatures,
     "signature_hits": q_signature_hits,
@@ -172,11 +200,11 @@ QUERIES = {
 }
 
 
-def _flows_rounded(captures):
+def _flows_rounded(captures, idle_us=None):
     cols = []
     for f in FLOWS.fields:
         cols.append(f"{r6(f.name)} AS {f.name}" if f.name in FLOW_DOUBLES else f.name)
-    return f"SELECT {', '.join(cols)} FROM ({sqlf.flows_sql(captures)})"
+    return f"SELECT {', '.join(cols)} FROM ({sqlf.flows_sql(captures, idle_us)})"
 
 
 def _verdict_sql(captures, rows=None):
@@ -231,6 +259,8 @@ ORACLE = {
     "packets": sqlf.packets_sql("mixed"),
     "flow_features": _flows_rounded("mixed"),
     "flow_features_bucketed": _flows_rounded("mixed"),
+    "flow_sessions": _flows_rounded("mixed", SESSION_IDLE_US),
+    "live_flows": _flows_rounded("mixed", SESSION_IDLE_US),
     "flow_signatures": f"""
         SELECT {', '.join(f'{r6(c)} AS {c}' if c in FLOW_DOUBLES else c for c in FLOWS.fieldNames())},
                sig_type, {r6('sig_confidence')} AS sig_confidence
