@@ -36,6 +36,10 @@ def test_load_union_clean_and_quota(spark):
     audit = {r.Label: r.rows for r in L.load_audit(df).collect()}
     assert audit[None] == 80 and audit["SYN_DoS"] == 50
     assert P.bad_cell_count(df).first()[0] == 50 + 30 + 50  # missing columns are null
+    for labels, want in ((["OS_Scan", "SYN_DoS", "None"], audit), (["OS_Scan"], {"OS_Scan": 30, "other": 50, None: 80})):
+        seen, bad = L.write_audited(df, os.path.join(root, ".written"), labels)
+        assert {r.Label: r.rows for r in seen.collect()} == want and bad == 130
+        assert spark.read.parquet(os.path.join(root, ".written")).count() == 80
     clean = P.clean(df)
     assert clean.filter(F.col("mean_iat").isNull()).count() == 0
     first = L.load_labelled(spark, root, limit=40)  # 20 per folder, file order

@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from ..functions.scalar import argmax_index
 
 
+def matrix_preview(df: DataFrame, array: str, order: str, rows: int = 5, columns: int = 5) -> DataFrame:
+    """The corner of a matrix whose rows are arrays (O6): ``order``, position and value of
+    the first ``columns`` positions of the first ``rows`` rows."""
+    return df.select(order, F.slice(array, 1, columns).alias("_a")).orderBy(order).limit(rows) \
+        .select(order, F.posexplode("_a").alias("position", "value"))
+
+
 def accuracy(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """Share of rows where prediction equals truth."""
     return df.agg(F.avg((F.col(truth) == F.col(pred)).cast("double")).alias("accuracy"),

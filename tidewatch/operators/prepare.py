@@ -61,8 +61,8 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def bad_cell_count(df: DataFrame, label: str = LABEL) -> DataFrame:
-    """Number of null, NaN or infinite cells over all columns but the label."""
+def bad_cells(df: DataFrame, label: str = LABEL):
+    """Aggregate: null, NaN or infinite cells over all columns but the label."""
     terms = []
     for f in df.schema.fields:
         if f.name == label:
@@ -73,10 +73,15 @@ def bad_cell_count(df: DataFrame, label: str = LABEL) -> DataFrame:
         else:
             bad = x.isNull()
         terms.append(F.count_if(bad))
-    total = terms[0]
+    total = terms[0] if terms else F.lit(0)
     for t in terms[1:]:
         total = total + t
-    return df.agg(total.cast("long").alias("bad_cells"))
+    return total.cast("long").alias("bad_cells")
+
+
+def bad_cell_count(df: DataFrame, label: str = LABEL) -> DataFrame:
+    """The bad cells of a table."""
+    return df.agg(bad_cells(df, label))
 
 
 def clean(df: DataFrame, label: str = LABEL) -> DataFrame:

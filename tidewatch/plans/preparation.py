@@ -269,6 +269,11 @@ def _emb(spark, sf_dir):
     return table(spark, sf_dir, "embeddings")
 
 
+def q_matrix_preview(spark, sf_dir):
+    p = M.matrix_preview(_emb(spark, sf_dir), "embedding", "vec_id")
+    return round_doubles(p.withColumn("value", F.col("value").cast("double")))
+
+
 def q_argmax(spark, sf_dir):
     e = M.with_argmax(_emb(spark, sf_dir), "embedding")
     return round_doubles(e.select("vec_id", "label", "pred_idx", "pred_prob"))
@@ -329,6 +334,7 @@ QUERIES = {
     "validation_gate": q_validation_gate,
     "confusion": q_confusion,
     "classification_report": q_report,
+    "matrix_preview": q_matrix_preview,
     "argmax": q_argmax,
     "confidence_stats": q_confidence_stats,
     "diversity_overall": q_diversity_overall,
@@ -479,6 +485,8 @@ ORACLE = {
     "confusion": """SELECT quality AS truth, toxic AS predicted, CAST(count(*) AS BIGINT) AS count
                     FROM labels GROUP BY quality, toxic""",
     "classification_report": _report_sql(),
+    "matrix_preview": f"""SELECT vec_id, CAST(k AS INTEGER) AS position, {r6('embedding[k + 1]')} AS value
+        FROM (SELECT vec_id, embedding FROM embeddings ORDER BY vec_id LIMIT 5), range(5) AS r(k)""",
     "argmax": f"""SELECT vec_id, label, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS pred_idx,
                          {r6('CAST(list_max(embedding) AS DOUBLE)')} AS pred_prob FROM embeddings""",
     "confidence_stats": f"""SELECT {r6('avg(m)')} AS mean, {r6('stddev_pop(m)')} AS std, {r6('min(m)')} AS min, {r6('max(m)')} AS max

@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.prepare import LABEL, union_by_name
+from ..operators.prepare import LABEL, bad_cells, union_by_name
 
 DATA_SUFFIX = "_dataset.csv"
 LABELS_SUFFIX = "_labels.csv"
@@ -139,3 +139,19 @@ def load_audit(df: DataFrame) -> DataFrame:
     """Rows per dataset and the total (S16): ``rollup`` adds the total row
     with a null label."""
     return df.rollup(LABEL).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def write_audited(df: DataFrame, path: str, labels: list[str]) -> tuple[DataFrame, int]:
+    """Write a load and audit it in the same pass (S16): (Label, rows) of the given labels,
+    of all other rows together when there are any (``other``), and of the total under a null
+    label, as ``load_audit`` gives them; and the number of bad cells. The counts are observed
+    as the rows are written, none is read again."""
+    seen = Observation("load")
+    counts = [F.count_if(F.col(LABEL) == x).alias(f"rows_{k}") for k, x in enumerate(labels)]
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), bad_cells(df), *counts) \
+        .write.mode("overwrite").parquet(path)
+    said = seen.get
+    rows = [(x, said[f"rows_{k}"]) for k, x in enumerate(labels) if said[f"rows_{k}"]]
+    other = said["rows"] - sum(n for _, n in rows)
+    rows += [("other", other)] * (other > 0) + [(None, said["rows"])]
+    return df.sparkSession.createDataFrame(rows, f"{LABEL} string, rows long"), said["bad_cells"]
