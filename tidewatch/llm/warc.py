@@ -10,14 +10,13 @@ records.
 
 All of it is column expressions over one narrow scan; only character references
 are decoded by an Arrow UDF, as HTML5 does (``html.unescape``). ``warc_bytes`` writes the
-records out in the WARC/1.1 format; ``read_warc`` reads files of that format back.
+records out in the WARC/1.1 format; ``scan_warc`` (see ``warc_files``) reads files of
+that format as responses, with their own digests and headers, and faults.
 """
 
 from __future__ import annotations
 
-import gzip
 import html as html_names
-import io
 import re
 
 import pandas as pd
@@ -26,10 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import document_batches, fresh, table
+from .warc_files import RESPONSE, parse_records, read_warc  # noqa: F401
 
 VERSION = "WARC/1.1"
-RESPONSE = ("record_id string, target_uri string, warc_date string, content_type string, "
-            "payload string")
 
 
 def digest(block: Column) -> Column:
@@ -109,6 +107,15 @@ ADDED = {"warc_type", "record_id", "refers_to", "refers_to_uri", "refers_to_date
          "content_length"}
 
 
+def _fields(name: str, headers: Column) -> Column:
+    """A ``name-header`` field of each header line, which says its name and value."""
+    lines = F.btrim(headers.cast("string"), F.lit("\r\n"))
+    return F.when(F.coalesce(lines, F.lit("")) == "", F.lit("")).otherwise(
+        F.concat(F.lit(f"{name}-header: "),
+                 F.regexp_replace(F.regexp_replace(lines, r"\r?\n[ \t]+", " "), r"[\r\n]+",
+                                  f"\r\n{name}-header: "), F.lit("\r\n")))
+
+
 def derivatives(responses: DataFrame) -> DataFrame:
     """Two rows per response: its ``metadata`` and its ``conversion`` record.
 
@@ -118,9 +125,14 @@ def derivatives(responses: DataFrame) -> DataFrame:
     content_type, source_content_type, source_digest, block, block_digest,
     content_length. A null payload is an empty one (its conversion is empty, its
     digest that of no bytes); null URIs and dates stay null. Repeated rows give
-    repeated records with equal ids. An empty table gives none."""
+    repeated records with equal ids. An empty table gives none.
+
+    Where ``responses`` has them (``scan_warc``), ``payload_digest`` is the source's
+    digest (null: that of the payload's text), and each line of ``warc_headers`` and
+    ``http_headers`` is a ``warc-header`` or ``http-header`` field of the metadata."""
     document_batches(responses.sparkSession)
-    used = {"record_id", "target_uri", "warc_date", "content_type", "payload"}
+    used = {"record_id", "target_uri", "warc_date", "content_type", "payload",
+            "payload_digest", "warc_headers", "http_headers"}
     carried = [c for c in responses.columns if c.lower() not in used]
     out = [c for c in carried if c.lower() not in ADDED]
     for c in carried:
@@ -132,9 +144,15 @@ def derivatives(responses: DataFrame) -> DataFrame:
             responses = responses.withColumnRenamed(c, new)
             out.append(new)
     carried = out
-    n, title_, lang_, links_, text_, m, c, r, from_, uri, date, kind, digest_ = fresh(
-        responses, "n", "title", "lang", "links", "text", "m", "c", "r", "from", "uri", "date", "kind", "digest")
+    has = {x.lower() for x in responses.columns}
+    n, title_, lang_, links_, text_, m, c, r, from_, uri, date, kind, digest_, heads = fresh(
+        responses, "n", "title", "lang", "links", "text", "m", "c", "r", "from", "uri", "date", "kind", "digest",
+        "heads")
     html = F.coalesce("payload", F.lit(""))
+    source = digest(html)
+    if "payload_digest" in has:
+        source = F.coalesce(F.col("payload_digest").cast("string"), source)
+    lines = [_fields(name, F.col(f"{name}_headers")) for name in ("warc", "http") if f"{name}_headers" in has]
     text = plain_text(F.col("payload"))
     title = F.regexp_replace(_unescaped(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1)),
                              r"\s+", " ")
@@ -143,7 +161,8 @@ def derivatives(responses: DataFrame) -> DataFrame:
     made = responses.select(
         *[F.col(f"`{x}`") for x in carried], F.col("record_id").alias(from_),
         F.col("target_uri").alias(uri), F.col("warc_date").alias(date),
-        F.col("content_type").alias(kind), digest(html).alias(digest_),
+        F.col("content_type").alias(kind), source.alias(digest_),
+        F.concat(F.lit(""), *lines).alias(heads),
         F.octet_length(html).alias(n), title.alias(title_), lang.alias(lang_),
         links.alias(links_), text.alias(text_),
         record_id(F.col("record_id"), F.lit("metadata")).alias(m),
@@ -151,7 +170,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
     fields = F.concat(
         F.lit("title: "), title_, F.lit("\r\nlanguage: "), lang_, F.lit("\r\noutlinks: "),
         F.col(links_).cast("string"), F.lit("\r\nsource-length: "), F.col(n).cast("string"),
-        F.lit("\r\ntext-length: "), F.octet_length(text_).cast("string"), F.lit("\r\n"))
+        F.lit("\r\ntext-length: "), F.octet_length(text_).cast("string"), F.lit("\r\n"), F.col(heads))
     both = made.select("*", F.explode(F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.col(m).alias("record_id"),
                  F.col(c).alias("concurrent_to"),
@@ -195,57 +214,6 @@ def warc_bytes(records: DataFrame) -> DataFrame:
     return records.withColumn("record", F.concat(head, F.col("block"), F.lit("\r\n\r\n")).cast("binary"))
 
 
-_LENGTH = re.compile(rb"(?im)^content-length:\s*(\d+)\s*$")
-
-
-def parse_records(data: bytes):
-    """(headers, block) of each record of a WARC file's bytes, plain or gzipped.
-    Bytes that start no record end the file."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
-    at = 0
-    while data.startswith(b"WARC/", at):
-        end = data.find(b"\r\n\r\n", at)
-        length = _LENGTH.search(data, at, end + 2) if end >= 0 else None
-        if length is None:
-            return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        start = end + 4
-        stop = start + int(length[1])
-        yield headers, data[start:stop]
-        at = stop + 4
-
-
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of WARC files. An HTTP header block before the payload is
-    split off; its content type becomes the record's. Files are read one a row
-    (crawl archives are files of about a gigabyte at most)."""
-    def run(frames):
-        for pdf in frames:
-            for data in pdf["content"]:
-                rows = []
-                for h, block in parse_records(bytes(data)):
-                    if h.get("warc-type") != "response":
-                        continue
-                    kind, payload = h.get("content-type"), block
-                    if block.startswith(b"HTTP/"):
-                        head, _, payload = block.partition(b"\r\n\r\n")
-                        found = re.search(rb"(?im)^content-type:[ \t]*([^\r\n]*)", head)
-                        kind = found[1].decode("latin-1") if found else None
-                    rows.append((h.get("warc-record-id"), h.get("warc-target-uri"),
-                                 h.get("warc-date"), kind, payload.decode("utf-8", "replace")))
-                    if len(rows) == 500:
-                        yield pd.DataFrame(rows, columns=["record_id", "target_uri", "warc_date",
-                                                          "content_type", "payload"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["record_id", "target_uri", "warc_date",
-                                                  "content_type", "payload"], dtype=object)
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(run, RESPONSE)
-
-
 def query(spark, sf_dir):
     made = derivatives(responses_of_pages(table(spark, sf_dir, "pages")))
     return made.select("page_id", "warc_type", "record_id", "refers_to", "refers_to_uri",
