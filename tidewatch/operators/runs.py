@@ -5,10 +5,24 @@ Stored as parquet in the shared folder, as versions: a change appends rows in a
 partition of its own and a read takes the newest version of each id. Nothing that
 was written is read or rewritten to make a change, so a failed or repeated write
 cannot lose history and costs as much as its own rows.
+
+``compact`` folds the versions into a base table, so that a read does not list and group
+all that were ever written:
+
+    <path>/version=<v>                     a version, as written
+    <path>/_compacted/base=<b>/rows        the newest row of each id, with its version
+    <path>/_compacted/base=<b>/manifest    the versions it holds; written last
+
+A read takes the newest base that has a manifest and all versions that are still there.
+A version that is read beside a base that holds it changes nothing, so the versions can
+go at any time later: they go once a base that holds them is older than a reader can be.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,21 +120,89 @@ def clear(spark: SparkSession, path: str) -> None:
         .partitionBy("version").parquet(path)
 
 
-def newest(versions: DataFrame) -> DataFrame:
-    """Of each id the row written last: by its time, then by version."""
-    row = F.struct(*ANALYSIS_RUNS.fieldNames())
+def _newest(versions: DataFrame) -> DataFrame:
+    row = F.struct(*ANALYSIS_RUNS.fieldNames(), "version")
     age = F.struct(F.coalesce("completed_at", "created_at"), "version")
     return versions.groupBy(F.col("id").alias("_id")).agg(F.max_by(row, age).alias("r")) \
         .select("r.*")
 
 
+def newest(versions: DataFrame) -> DataFrame:
+    """Of each id the row written last: by its time, then by version."""
+    return _newest(versions).drop("version")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The newest row of each run; no table yet is an empty one. Any other
     failure to read raises."""
     if not path_exists(spark, path):
         return empty(spark)
+    return newest(_written(spark, path))
+
+
+def _written(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the newest base and of all versions that are there, with their version."""
     schema = f"{_ddl()}, version long"
-    return newest(spark.read.schema(schema).parquet(path))
+    rows = spark.read.schema(schema).parquet(path)
+    bases = _bases(spark, path)
+    return rows.unionByName(spark.read.schema(schema).parquet(f"{bases[-1][0]}/rows")) if bases else rows
+
+
+def _listed(spark: SparkSession, folder: str, prefix: str, mark: str) -> list[tuple[str, int]]:
+    """(folder, milliseconds of its ``mark`` file) of the whole ones under ``folder`` whose
+    name starts with ``prefix``, by name."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    out = []
+    for found in fs.listStatus(where):
+        name = found.getPath().getName()
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/{mark}")
+        if name.startswith(prefix) and fs.exists(done):
+            out.append((f"{folder}/{name}", fs.getFileStatus(done).getModificationTime()))
+    return sorted(out)
+
+
+def _bases(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    return _listed(spark, f"{path.rstrip('/')}/_compacted", "base=", "manifest/_SUCCESS")
+
+
+def _manifest(spark: SparkSession, base: str) -> set[tuple[int, int]]:
+    return {(r[0], r[1]) for r in spark.read.schema("version long, stamp long")
+            .parquet(f"{base}/manifest").collect()}
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def compact(spark: SparkSession, path: str, grace_s: float = 86_400) -> None:
+    """Fold the versions that are there into a new base, and delete those that a base of at
+    least ``grace_s`` seconds ago holds as well, so a reader that began before loses no file.
+    A version written again since then stays until it is folded anew. May be broken off and
+    run again at any place, beside readers and writers, by several callers at once. What a
+    version holds that was folded is added to, no longer replaced, when it is written again."""
+    path = path.rstrip("/")
+    if not path_exists(spark, path):
+        return
+    found = _listed(spark, path, "version=", "_SUCCESS")
+    stamps = {(int(name.rpartition("=")[2]), stamp): name for name, stamp in found}
+    bases = _bases(spark, path)
+    if stamps and not (bases and set(stamps) <= _manifest(spark, bases[-1][0])):
+        base = f"{path}/_compacted/base={time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        _newest(_written(spark, path)).write.parquet(f"{base}/rows")
+        spark.createDataFrame(list(stamps), "version long, stamp long").coalesce(1) \
+            .write.parquet(f"{base}/manifest")
+        bases = _bases(spark, path)
+    old = [b for b, stamp in bases if stamp <= (time.time() - grace_s) * 1000]
+    if old:
+        held = set.union(*(_manifest(spark, b) for b in old)) & _manifest(spark, bases[-1][0])
+        for key in held & set(stamps):
+            _delete(spark, stamps[key])
+        for b in old[:-1]:
+            _delete(spark, b)
 
 
 def _ddl() -> str:
@@ -133,8 +215,10 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, version: int | None
     if version is None:
         version = 0
         if path_exists(spark, path):
-            last = spark.read.schema(f"{_ddl()}, version long").parquet(path) \
-                .agg(F.max("version")).first()[0]
+            used = _written(spark, path).select("version")
+            for base, _ in _bases(spark, path)[-1:]:
+                used = used.union(spark.read.schema("version long").parquet(f"{base}/manifest"))
+            last = used.agg(F.max("version")).first()[0]
             version = 0 if last is None else last + 1
     rows.select(*ANALYSIS_RUNS.fieldNames()).write.mode("overwrite") \
         .parquet(f"{path.rstrip('/')}/version={int(version)}")

@@ -50,7 +50,8 @@ def capture_stream(spark: SparkSession, folder: str,
     return reader.load(folder)
 
 
-def _batch_writer(out_path: str, stream: str, bundle, merge: str, max_bytes: int):
+def _batch_writer(out_path: str, stream: str, bundle, merge: str, max_bytes: int,
+                  compact_every: int = 0):
     out_path = out_path.rstrip("/")
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -78,6 +79,8 @@ def _batch_writer(out_path: str, stream: str, bundle, merge: str, max_bytes: int
         outcome = done.select(F.col("capture_id").alias("file_path"), "error", "error_details") \
             .join(text, "file_path")
         runs_op.upsert(spark, runs_path, runs_op.finish(queued, outcome), first + 1)
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            runs_op.compact(spark, runs_path)
     return write
 
 
@@ -99,12 +102,14 @@ def runs(spark: SparkSession, out_path: str) -> DataFrame:
 
 def start(spark: SparkSession, folder: str, out_path: str, bundle=None,
           checkpoint: str | None = None, merge: str = "max", available_now: bool = False,
-          processing_time: str | None = "30 seconds", max_bytes: int = cap.MAX_BYTES):
-    """Start the stream; ``available_now=True`` processes what is there and stops."""
+          processing_time: str | None = "30 seconds", max_bytes: int = cap.MAX_BYTES,
+          compact_every: int = 500):
+    """Start the stream; ``available_now=True`` processes what is there and stops. The run
+    history is compacted after every ``compact_every`` batches (0: never)."""
     ckpt = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "capture_stream")
     stream = str(zlib.crc32(ckpt.encode()) >> 1)
     w = (capture_stream(spark, folder).writeStream
-         .foreachBatch(_batch_writer(out_path, stream, bundle, merge, max_bytes))
+         .foreachBatch(_batch_writer(out_path, stream, bundle, merge, max_bytes, compact_every))
          .option("checkpointLocation", ckpt))
     if available_now:
         w = w.trigger(availableNow=True)
