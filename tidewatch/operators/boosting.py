@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.util import MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.ml.util import DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -406,6 +406,7 @@ class _Writer(MLWriter):
 
     def saveImpl(self, path: str) -> None:
         m, spark = self.model, self.sparkSession
+        DefaultParamsWriter.saveMetadata(m, path, spark)     # a PipelineModel looks for it
         meta = {"features": m.featuresCol, "classes": m.classes, "params": asdict(m.boost),
                 "cuts": [c.tolist() for c in m.cuts], "history": m.history}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.util import MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.ml.util import DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -272,6 +272,7 @@ class _Writer(MLWriter):
 
     def saveImpl(self, path: str) -> None:
         m = self.model
+        DefaultParamsWriter.saveMetadata(m, path, self.sparkSession)     # a PipelineModel looks for it
         meta = {"columns": m.columns, "features": m.features, "params": asdict(m.network), "history": m.history}
         chunks = [(k, bytearray(m.theta[at:at + CHUNK].tobytes()))
                   for k, at in enumerate(range(0, len(m.theta), CHUNK))]

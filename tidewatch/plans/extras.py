@@ -5,12 +5,15 @@ prepared feature rows (P15, P16, T4)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.scalar import file_extension, flow_key_parts, flow_key_text
 from ..operators import prepare as P
 from ..operators import rules as R
 from ..operators import runs as RU
+from ..session import shared_path
 from ..sources.labelled import load_audit
 from . import sql_fixtures as sqlf
 from .output import r6, round_doubles
@@ -105,6 +108,20 @@ def q_run_outcomes(spark, sf_dir):
     return RU.outcomes(runs_from_orders(spark, sf_dir))
 
 
+def q_run_compaction(spark, sf_dir):
+    """Runs queued, finished in two more versions with a compaction between and one after;
+    read from what is left (O4, U5)."""
+    rows, path = runs_from_orders(spark, sf_dir), shared_path(spark, "runs", uuid.uuid4().hex)
+    RU.upsert(spark, path, RU.queued(rows.select(F.col("file_path").alias("path"))))
+    for status in ("completed", "failed"):
+        ended = rows.filter(F.col("status") == status).select(
+            "file_path", F.when(F.col("status") == "completed", "{}").alias("result"), "error")
+        RU.upsert(spark, path, RU.finish(RU.read(spark, path).join(ended.select("file_path"), "file_path",
+                                                                   "left_semi"), ended))
+        RU.compact(spark, path, grace_s=0)
+    return RU.outcomes(RU.read(spark, path))
+
+
 def q_prep_rows(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(
         "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus",
@@ -126,6 +143,7 @@ QUERIES = {
     "documents_unlabelled": q_documents_unlabelled,
     "run_history": q_run_history,
     "run_outcomes": q_run_outcomes,
+    "run_compaction": q_run_compaction,
     "prep_rows": q_prep_rows,
 }
 
@@ -156,6 +174,13 @@ ORACLE = {
                                CASE WHEN status = 'completed' THEN 'ready' WHEN status = 'failed' THEN 'failed'
                                     ELSE 'pending' END AS outcome
                         FROM ({_RUNS})""",
+    "run_compaction": f"""SELECT substr(sha256('/captures/' || filename), 1, 32) AS id, filename,
+                                 CASE status WHEN 'processing' THEN 'queued' ELSE status END AS status,
+                                 CAST(CASE WHEN status = 'processing' THEN 0 ELSE 100 END AS INTEGER) AS progress,
+                                 CASE WHEN status = 'failed' THEN 'analysis error' END AS error,
+                                 CASE WHEN status = 'completed' THEN 'ready' WHEN status = 'failed' THEN 'failed'
+                                      ELSE 'pending' END AS outcome
+                          FROM ({_RUNS})""",
     "prep_rows": """SELECT l_returnflag AS Label,
                            CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS INTEGER) AS label_idx,
                            CAST(5 AS INTEGER) AS width,

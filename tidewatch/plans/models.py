@@ -17,12 +17,16 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import PCA
 from pyspark.sql import functions as F
 
 from ..operators import analyze as A
 from ..operators import boosting as B
 from ..operators import model as MD
 from ..operators import rules as R
+from ..operators import stages as ST
 from ..schemas import FEATURES
 from ..session import shared_path
 from . import sql_fixtures as sqlf
@@ -269,6 +273,27 @@ def q_saved_rescore(spark, sf_dir):
     return same.agg(F.sum("rows").alias("rows_equal"))
 
 
+def q_saved_pipeline(spark, sf_dir):
+    """Preparation, encoder, classifier and class names as one pipeline: fitted, saved,
+    loaded and applied to raw rows (T2-T4); rows by class whose output is the same."""
+    li = _lineitem_training(spark, sf_dir, *KEYS)
+    stages = [ST.Preparation(keep=KEYS), PCA(k=3, inputCol="fvec", outputCol="latent"),
+              RandomForestClassifier(featuresCol="latent", labelCol="label_idx", numTrees=3, maxDepth=4, seed=1)]
+    fitted = Pipeline(stages=stages).fit(li)
+    whole = PipelineModel([*fitted.stages, ST.ClassNames(fitted.stages[0].classes)])
+    path = shared_path(spark, "models", uuid.uuid4().hex)
+    whole.write().save(path)
+    cols = ["Label", "label_idx", "pred_label", *KEYS]
+    one, two = (m.transform(li).select(*cols, F.floor(F.col("pred_prob") * 1e9).alias("p"),
+                                       F.xxhash64("features").alias("h"))
+                for m in (whole, PipelineModel.load(path)))
+
+    def signed(df):
+        return df.groupBy("Label", "label_idx").agg(
+            F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("sign"))
+    return signed(one).join(signed(two), ["Label", "label_idx", "rows", "sign"], "left_semi").drop("sign")
+
+
 QUERIES = {
     "model_report": q_model_report,
     "model_gate": q_model_gate,
@@ -287,6 +312,7 @@ QUERIES = {
     "model_scores": q_model_scores,
     "hybrid_verdict": q_hybrid_verdict,
     "saved_rescore": q_saved_rescore,
+    "saved_pipeline": q_saved_pipeline,
 }
 
 
@@ -347,6 +373,8 @@ ORACLE = {
                           FROM (VALUES ('train'), ('validation')) t(x)""",
     "model_scores": f"SELECT l_orderkey, l_linenumber, {_CLASS_SQL} AS Label, true AS fine FROM lineitem",
     "saved_rescore": "SELECT count(*) AS rows_equal FROM lineitem",
+    "saved_pipeline": f"""SELECT Label, CAST(dense_rank() OVER (ORDER BY Label) - 1 AS INTEGER) AS label_idx,
+                                 count(*) AS rows FROM ({_LI}) GROUP BY Label""",
     "hybrid_verdict": f"""SELECT capture_id, count(*) AS flows_analyzed, true AS fine
                           FROM ({sqlf.flows_sql('mixed')}) GROUP BY capture_id""",
 }
