@@ -4,7 +4,9 @@ import os
 
 import pytest
 
+from pcap_bytes import ether, ipv4, pcap, tcp
 from tidewatch.operators import runs as RU
+from tidewatch.streaming import capture_stream as ST
 
 
 def files(spark, *names):
@@ -109,3 +111,15 @@ def test_versions_of_several_streams(spark, tmp_path):
     assert RU.read(spark, table).count() == 4
     RU.upsert(spark, table, RU.queued(files(spark, "next")))
     assert f"version={(5 << 31) + 2}" in versions(table)
+
+
+def test_a_stream_compacts_its_history(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    for name in ("one", "two"):
+        (src / f"{name}.pcap").write_bytes(pcap([(1, 0, ether(ipv4("10.0.0.1", "10.0.0.2", 6, tcp(1, 80, 2))))]))
+        ST.start(spark, str(src), out, checkpoint=str(tmp_path / "c"), available_now=True,
+                 compact_every=1).awaitTermination()
+    assert len(bases(f"{out}/runs")) == 2 and len(versions(f"{out}/runs")) == 4     # within the grace
+    assert {r.filename: r.status for r in ST.runs(spark, out).collect()} == {
+        "one.pcap": "completed", "two.pcap": "completed"}
