@@ -118,3 +118,29 @@ def test_synthetic_rows_are_appended_once(spark):
     assert out.filter("Label = 'Normal'").count() == 50 and out.columns == df.columns
     assert abs(out.filter("Label = 'Normal'").agg(F.avg("x")).first()[0] - 5) < 1
     assert S.with_synthetic_normal(out, {"x": (5.0, 1.0)}, 50).count() == 51
+
+
+def _open_rows(df, order, cuts, per):
+    """The most rows of a group that one window ranks for a cut."""
+    data, open_cols, _ = S._decided(df, ["g"], order, cuts, per)
+    return max((r["count"] for c in open_cols for r in data.filter(c).groupBy("g").count().collect()), default=0)
+
+
+@pytest.mark.parametrize("order", [
+    [(_expr("concat(repeat('p', 40), id % 7)"), "desc"), "id"],
+    [_expr("IF(id % 2 = 0, NULL, 'same')"), _expr("id % 3 / 10"), _expr("repeat('x', 300)"), ("id", "desc")],
+    [_expr("CAST(id % 5 AS decimal(20, 3)) / 7"), "id"], [_expr("id + (1L << 60)")],
+], ids=["long prefix", "ties in all columns but the last", "decimal", "neighbouring large digits"])
+def test_few_rows_are_ranked_whatever_the_key(spark, order):
+    order = made(order)
+    df = spark.range(4000).select(F.lit(None).cast("string").alias("g"), F.col("id"))
+    assert _open_rows(df, order, [lambda n: n // 5, lambda n: 0 * n + 1000], 64) <= 64
+    got = S.first_n_per_group(df, ["g"], order, 1000, rows_per_range=64)
+    assert sorted(r["id"] for r in got.collect()) == expected(df, order, 1000)
+
+
+def test_a_cut_at_the_end_of_a_group_ranks_nothing(rows):
+    cuts = [lambda n: n, lambda n: n + 5, lambda n: 0 * n]
+    assert _open_rows(rows.filter("g = 'a'"), ["id"], cuts, 64) == 0
+    out = S.below_cuts(rows, ["g"], ["id"], cuts, 64)
+    assert out.filter("below_0 AND below_1 AND NOT below_2").count() == rows.count() == out.count()
