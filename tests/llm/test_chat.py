@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.llm import chat
 
@@ -99,3 +100,20 @@ def test_stored_text_grows_with_the_turns(spark):
 def test_empty_table(spark):
     assert chat.digests(*chat.expand(frame(spark, []))).collect() == []
     assert chat.texts(*chat.expand(frame(spark, []))).collect() == []
+
+
+def test_digests_read_the_written_examples(spark, monkeypatch):
+    seen, expanded = [], chat.texts
+
+    def texts(turns, in_order):
+        out = expanded(turns, in_order)
+        seen.append([(r["text"], r["example"]) for r in out.collect()])
+        return out.withColumn("text", F.regexp_replace("text", "said", "read"))
+    monkeypatch.setattr(chat, "texts", texts)
+    rows = [(1, t, "assistant" if t % 2 else "user", f"said {t}") for t in range(4)]
+    got = chat.digests(*chat.expand(frame(spark, rows))).collect()[0]
+    assert [n for _, n in seen[0]] == [0, 1] and seen[0][1][0].startswith(seen[0][0][0])
+    assert got["formatted_chars"] == sum(len(t) for t, _ in seen[0])
+    assert got["loss_sha256"] == hashlib.sha256(b"read 1read 3").hexdigest()
+    assert got["turns_sha256"] == hashlib.sha256("".join(
+        f"{r}\nread {t}\n" for t, r in enumerate(["user", "assistant"] * 2)).encode()).hexdigest()

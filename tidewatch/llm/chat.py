@@ -11,8 +11,9 @@ not behind a backslash is the template's own. Roles are percent-encoded.
 
 The examples of a conversation are prefixes of one another. They are kept that way: each
 turn is formatted and stored once, in a row with its place in the conversation's text, and
-an example is the row of its last turn, whose text is that of all rows up to there. Rows
-and bytes so grow with the turns, not with their square. ``texts`` writes the examples out.
+an example is the row of its last turn, whose text is that of all rows up to there. What
+is shuffled so grows with the turns, not with their square. ``texts`` expands: it writes
+every example out with its whole context, one after the other, and the query reads those.
 
 On Spark: one shuffle deals turns to (conversation, slice of ``SLICE`` turn numbers),
 sorted, and a running sum over the sorted rows gives the places; a task holds two batches of
@@ -206,50 +207,48 @@ def texts(turns: DataFrame, in_order: bool) -> DataFrame:
 
 
 def _digests(batches):
-    """A row per conversation, read back from its segments and masks, turn by turn."""
+    """A row per conversation, read back from its written examples: the text under each
+    one's mask, and all turns from the last, whose context they are."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256",
              "formatted_chars", "n_examples"]
-    state = None
-
-    def row():
-        conv, n, turns, chars, loss, formatted, examples = state
-        return conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted, examples
-
-    def batch_of(rows, kind):
+    state, kind = None, None
+
+    def finished():
+        conv, chars, loss, formatted, examples, text = state
+        n, turns = 0, hashlib.sha256()
+        for role, said in read(text):
+            n += 1
+            turns.update(f"{role or ''}\n{said}\n".encode())
+        row = conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted, examples
         kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
 
-    kind = None
     for batch in batches:
-        kind, done = batch.schema.field("conv_id").type, []
-        for conv, segment, start, stop, example, low, high in zip(*(batch.column(c).to_pylist() for c in (
-                "conv_id", "segment", "start", "stop", "example", "loss_start", "loss_stop"))):
+        kind = batch.schema.field("conv_id").type
+        for k in range(batch.num_rows):
+            conv, text, low, high = (batch.column(c)[k].as_py() for c in ("conv_id", "text", "loss_start", "loss_stop"))
             if state is None or state[0] != conv:
                 if state is not None:
-                    done.append(row())
-                state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-            for role, text in read(segment):
-                state[1] += 1
-                state[2].update(f"{role or ''}\n{text}\n".encode())
-            if example is not None:
-                part = unescaped(segment[low - start:high - start])
-                state[3] += len(part)
-                state[4].update(part.encode())
-                state[5] += stop
-                state[6] += 1
-        if done:
-            yield batch_of(done, kind)
+                    yield finished()
+                state = [conv, 0, hashlib.sha256(), 0, 0, None]
+            part = unescaped(text[low:high])
+            state[1] += len(part)
+            state[2].update(part.encode())
+            state[3] += len(text)
+            state[4] += 1
+            state[5] = text
     if state is not None:
-        yield batch_of([row()], kind)
+        yield finished()
 
 
 def digests(turns: DataFrame, in_order: bool) -> DataFrame:
-    """A row per conversation: n_turns, turns_sha256 (role, line feed, text, line feed a
-    turn), loss_chars, loss_sha256 (all text under the masks), formatted_chars (the
-    lengths of its examples), n_examples. A digest is taken in order, so a conversation
-    passes one task, turn by turn."""
+    """A row per conversation, read back from its examples as ``texts`` writes them out:
+    n_turns, turns_sha256 (role, line feed, text, line feed a turn), loss_chars,
+    loss_sha256 (all text under the masks), formatted_chars (the lengths of its examples),
+    n_examples. A digest is taken in order, so a conversation passes one task, example by
+    example."""
     kind = turns.schema["conv_id"].dataType.simpleString()
-    return by_conversation(turns, in_order).mapInArrow(
+    return texts(turns, in_order).mapInArrow(
         _digests, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, "
                   "loss_sha256 string, formatted_chars long, n_examples long")
 
