@@ -1,6 +1,7 @@
 """Histogram boosting: against one task, stopping and roll-back, persistence, edges."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
@@ -130,3 +131,33 @@ def test_edges(spark):
     assert history[0]["train_rows"] == 0
     p = B.SoftmaxBoostModel("latent", cuts, rounds, 2, params, history).probabilities(np.zeros((1, 2)))
     assert p.tolist() == [[0.5, 0.5]]
+
+
+def test_leaves_match_a_walk_of_each_row():
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 256, (300, 3)).astype(np.uint8)[::2]
+    trees = B.Round.empty(4, 5)                          # the last class has no cut
+    for k in range(3):
+        grow = [0]
+        while grow:
+            i = grow.pop()
+            if i < 31 and rng.random() < 0.8:
+                trees.feature[k, i], trees.cut[k, i] = rng.integers(0, 3), rng.integers(0, 256)
+                grow += [2 * i + 1, 2 * i + 2]
+    want = np.zeros((4, len(bins)), dtype=int)
+    for k in range(4):
+        for r, row in enumerate(bins):
+            while trees.feature[k, want[k, r]] >= 0:
+                i = want[k, r]
+                want[k, r] = 2 * i + 1 + int(row[trees.feature[k, i]] > trees.cut[k, i])
+    assert (trees.leaves(bins) == want).all()
+
+
+def test_rows_of_a_sliced_batch_are_read():
+    bins = [bytes([k, k + 1]) for k in range(9)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(9)), pa.array([0] * 9), pa.array([1.0] * 9), pa.array([False] * 9), pa.array(bins),
+         pa.array([[]] * 9, pa.list_(pa.float64()))], names=B._STATE_NAMES)
+    for kind in (pa.binary(), pa.large_binary()):
+        some = batch.set_column(4, "bins", batch.column("bins").cast(kind)).slice(4, 3)
+        assert B._columns(some, 3)[4].tolist() == [[4, 5], [5, 6], [6, 7]]
