@@ -9,6 +9,7 @@ from tidewatch import session as SE
 from tidewatch.operators import metrics as M
 from tidewatch.operators import model as MD
 from tidewatch.operators import prepare as P
+from tidewatch.operators import sampling as S
 
 
 @pytest.fixture(scope="module")
@@ -140,3 +141,43 @@ def test_checkpoint_folder_must_be_named_on_a_cluster(spark, monkeypatch):
 
 def test_paths(spark, tmp_path):
     assert SE.path_exists(spark, str(tmp_path)) and not SE.path_exists(spark, str(tmp_path / "x"))
+
+
+NARROW = 64
+
+
+@pytest.fixture(scope="module")
+def narrow_fit(training):
+    """``fit(kind)``: a job whose cuts narrow groups above 64 rows, and the most rows of a
+    class that one window of it ranks for a cut; one job a kind."""
+    made = {}
+
+    def fit(kind, **params):
+        if kind in made:
+            return made[kind]
+        ranked, cut, decided = [], S.below_cuts, S._decided
+
+        def narrow_cuts(df, groups, order, cuts, rows_per_range=None, names=None):
+            return cut(df, groups, order, cuts, NARROW, names)
+
+        def counted(df, keys, *rest):
+            out = decided(df, keys, *rest)
+            for c in out[1]:
+                ranked.extend(r["count"] for r in out[0].filter(c).groupBy(*keys).count().collect())
+            return out
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(S, "below_cuts", narrow_cuts)
+            m.setattr(S, "_decided", counted)
+            made[kind] = (*MD.train_job(training, kind=kind, classifier_quota=100, **params), max(ranked, default=0))
+        return made[kind]
+    return fit
+
+
+FOREST = {"trees": 5, "depth": 4}
+
+
+def test_a_forest_job_ranks_few_rows_of_a_class(narrow_fit):
+    _, done, ranked = narrow_fit("forest", **FOREST)
+    assert ranked <= NARROW                 # of 288 training rows a class
+    gate = done["validation_gate"].first()
+    assert (gate["rows"], gate["meets_target"]) == (72 + 72, True)
