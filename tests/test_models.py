@@ -181,3 +181,10 @@ def test_a_forest_job_ranks_few_rows_of_a_class(narrow_fit):
     assert ranked <= NARROW                 # of 288 training rows a class
     gate = done["validation_gate"].first()
     assert (gate["rows"], gate["meets_target"]) == (72 + 72, True)
+
+
+def test_importances_of_a_job_that_ranks_few_rows(narrow_fit):
+    _, done, ranked = narrow_fit("forest", **FOREST)
+    found = [r["importance"] for r in done["importances"].collect()]
+    assert ranked <= NARROW
+    assert len(found) == 4 and abs(sum(found) - 1) < 1e-6 and found == sorted(found, reverse=True)
