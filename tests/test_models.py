@@ -188,3 +188,11 @@ def test_importances_of_a_job_that_ranks_few_rows(narrow_fit):
     found = [r["importance"] for r in done["importances"].collect()]
     assert ranked <= NARROW
     assert len(found) == 4 and abs(sum(found) - 1) < 1e-6 and found == sorted(found, reverse=True)
+
+
+def test_every_row_is_scored_by_a_job_that_ranks_few_rows(narrow_fit, training):
+    bundle, _, ranked = narrow_fit("forest", **FOREST)
+    assert ranked <= NARROW
+    rows = MD.score(bundle, training).collect()
+    assert len(rows) == 900 and all(abs(sum(r["probs"]) - 1) < 1e-6 for r in rows)
+    assert all(r["pred_label"] == bundle.classes[r["probs"].index(max(r["probs"]))] for r in rows)
