@@ -196,3 +196,10 @@ def test_every_row_is_scored_by_a_job_that_ranks_few_rows(narrow_fit, training):
     rows = MD.score(bundle, training).collect()
     assert len(rows) == 900 and all(abs(sum(r["probs"]) - 1) < 1e-6 for r in rows)
     assert all(r["pred_label"] == bundle.classes[r["probs"].index(max(r["probs"]))] for r in rows)
+
+
+def test_diversity_of_a_job_that_ranks_few_rows(narrow_fit):
+    _, done, ranked = narrow_fit("forest", **FOREST)
+    d = done["diversity"].first()
+    assert ranked <= NARROW
+    assert (d["distinct_predicted"], d["single_class"], d["low_confidence_spread"]) == (2, False, False)
