@@ -203,3 +203,11 @@ def test_diversity_of_a_job_that_ranks_few_rows(narrow_fit):
     d = done["diversity"].first()
     assert ranked <= NARROW
     assert (d["distinct_predicted"], d["single_class"], d["low_confidence_spread"]) == (2, False, False)
+
+
+def test_confusion_of_a_job_that_ranks_few_rows(narrow_fit):
+    _, done, ranked = narrow_fit("forest", **FOREST)
+    pairs = {(r["truth"], r["predicted"]): r["count"] for r in done["confusion"].collect()}
+    right = sum(n for (t, p), n in pairs.items() if t == p)
+    assert ranked <= NARROW
+    assert sum(pairs.values()) == 90 + 90 and abs(right / 180 - done["test_accuracy"].first()["accuracy"]) < 1e-9
