@@ -211,3 +211,10 @@ def test_confusion_of_a_job_that_ranks_few_rows(narrow_fit):
     right = sum(n for (t, p), n in pairs.items() if t == p)
     assert ranked <= NARROW
     assert sum(pairs.values()) == 90 + 90 and abs(right / 180 - done["test_accuracy"].first()["accuracy"]) < 1e-9
+
+
+def test_a_boosted_job_ranks_few_rows_of_a_class(narrow_fit):
+    _, done, ranked = narrow_fit("boosted", max_iter=2, depth=3)
+    assert ranked <= NARROW
+    accuracy = done["test_accuracy"].first()
+    assert accuracy["rows"] == 90 + 90 and accuracy["accuracy"] >= 0.8
