@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidewatch import session as SE
@@ -10,6 +11,7 @@ from tidewatch.operators import metrics as M
 from tidewatch.operators import model as MD
 from tidewatch.operators import prepare as P
 from tidewatch.operators import sampling as S
+from tidewatch.sources import labelled as L
 
 
 @pytest.fixture(scope="module")
@@ -218,3 +220,22 @@ def test_a_boosted_job_ranks_few_rows_of_a_class(narrow_fit):
     assert ranked <= NARROW
     accuracy = done["test_accuracy"].first()
     assert accuracy["rows"] == 90 + 90 and accuracy["accuracy"] >= 0.8
+
+
+@pytest.mark.parametrize("how", ["a load", "its own"])
+def test_a_binary_forest_scores_in_a_session_that_has_observed(spark, training, tmp_path, how):
+    other = spark.newSession()
+    rows = other.createDataFrame(training.collect(), training.schema)
+    if how == "a load":
+        L.write_audited(rows, str(tmp_path / "load"), ["a"])
+        assert "load_" not in str([t.name for t in other.catalog.listTables("global_temp")])
+    else:
+        seen = Observation("seen")
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+        assert seen.get == {"n": 900}
+    bundle, done = MD.train_job(rows, trees=3, depth=3)
+    assert MD.score(bundle, rows).count() == 900 and done["test_accuracy"].first()["rows"] == 180
+    if how == "a load":             # neither does a plain fit meet the observer
+        ready = bundle.pipeline.stages[0].transform(MD._vectorise(bundle.prep.transform(rows)).withColumn("weight", F.lit(1.0)))
+        fitted = MD.build_classifier(trees=2, depth=2).fit(ready)
+        assert len(fitted.transform(ready).select("prediction").collect()) == 900

@@ -13,6 +13,7 @@ tasks at once.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -145,13 +146,25 @@ def write_audited(df: DataFrame, path: str, labels: list[str]) -> tuple[DataFram
     """Write a load and audit it in the same pass (S16): (Label, rows) of the given labels,
     of all other rows together when there are any (``other``), and of the total under a null
     label, as ``load_audit`` gives them; and the number of bad cells. The counts are observed
-    as the rows are written, none is read again."""
-    seen = Observation("load")
+    as the rows are written, none is read again.
+
+    A session that has observed cannot be serialised, and a fitted binary forest holds its
+    session: the rows are written, through a view, from another one of the same settings."""
+    spark, seen, view = df.sparkSession, Observation("load"), f"load_{uuid.uuid4().hex}"
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
     counts = [F.count_if(F.col(LABEL) == x).alias(f"rows_{k}") for k, x in enumerate(labels)]
-    df.observe(seen, F.count(F.lit(1)).alias("rows"), bad_cells(df), *counts) \
-        .write.mode("overwrite").parquet(path)
-    said = seen.get
+    df.createGlobalTempView(view)
+    try:
+        own.table(f"{spark.conf.get('spark.sql.globalTempDatabase')}.{view}") \
+            .observe(seen, F.count(F.lit(1)).alias("rows"), bad_cells(df), *counts) \
+            .write.mode("overwrite").parquet(path)
+        said = seen.get
+    finally:
+        spark.catalog.dropGlobalTempView(view)
     rows = [(x, said[f"rows_{k}"]) for k, x in enumerate(labels) if said[f"rows_{k}"]]
     other = said["rows"] - sum(n for _, n in rows)
     rows += [("other", other)] * (other > 0) + [(None, said["rows"])]
-    return df.sparkSession.createDataFrame(rows, f"{LABEL} string, rows long"), said["bad_cells"]
+    return spark.createDataFrame(rows, f"{LABEL} string, rows long"), said["bad_cells"]
