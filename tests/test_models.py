@@ -239,3 +239,31 @@ def test_a_binary_forest_scores_in_a_session_that_has_observed(spark, training,
         ready = bundle.pipeline.stages[0].transform(MD._vectorise(bundle.prep.transform(rows)).withColumn("weight", F.lit(1.0)))
         fitted = MD.build_classifier(trees=2, depth=2).fit(ready)
         assert len(fitted.transform(ready).select("prediction").collect()) == 900
+
+
+@pytest.fixture(scope="module")
+def union_fit(training):
+    """``fit(kind)``: a job whose cuts narrow groups above 64 rows, and the most rows of a
+    class that one call of ``below_cuts`` ranks, as its ranked side has them."""
+    def fit(kind, **params):
+        ranked, cut, union = [], S.below_cuts, type(training).unionByName
+
+        def counted(settled, side, **how):
+            ranked.extend(r["count"] for r in side.groupBy("Label").count().collect())
+            return union(settled, side, **how)
+
+        def narrow_cuts(df, groups, order, cuts, rows_per_range=None, names=None):
+            with pytest.MonkeyPatch.context() as inner:
+                inner.setattr(type(df), "unionByName", counted)
+                return cut(df, groups, order, cuts, NARROW, names)
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(S, "below_cuts", narrow_cuts)
+            _, done = MD.train_job(training, kind=kind, classifier_quota=100, **params)
+        return done, ranked
+    return fit
+
+
+def test_importances_come_of_samples_that_rank_no_whole_class(union_fit):
+    done, ranked = union_fit("forest", **FOREST)
+    assert 0 < max(ranked) <= 2 * NARROW        # around two cuts, of 288 training rows a class
+    assert abs(sum(r["importance"] for r in done["importances"].collect()) - 1) < 1e-6
