@@ -267,3 +267,10 @@ def test_importances_come_of_samples_that_rank_no_whole_class(union_fit):
     done, ranked = union_fit("forest", **FOREST)
     assert 0 < max(ranked) <= 2 * NARROW        # around two cuts, of 288 training rows a class
     assert abs(sum(r["importance"] for r in done["importances"].collect()) - 1) < 1e-6
+
+
+def test_a_boosted_job_ranks_no_whole_class(union_fit):
+    done, ranked = union_fit("boosted", max_iter=2, depth=3)
+    assert 0 < max(ranked) <= 2 * NARROW
+    accuracy = done["test_accuracy"].first()
+    assert accuracy["rows"] == 90 + 90 and accuracy["accuracy"] >= 0.8
