@@ -61,3 +61,8 @@ def learned(spark, lineitem):
 def test_boosted_accuracy_comes_of_all_training_rows(spark, lineitem, learned):
     assert learned("boosted") == TRAIN
     assert [tuple(r) for r in Q.q_boosted_accuracy(spark, lineitem).collect()] == [(sum(TEST.values()), True)]
+
+
+def test_diversity_comes_of_all_training_rows(spark, lineitem, learned):
+    assert learned("forest") == TRAIN
+    assert [tuple(r) for r in Q.q_model_diversity(spark, lineitem).collect()] == [(3, False, False)]
