@@ -66,3 +66,8 @@ def test_boosted_accuracy_comes_of_all_training_rows(spark, lineitem, learned):
 def test_diversity_comes_of_all_training_rows(spark, lineitem, learned):
     assert learned("forest") == TRAIN
     assert [tuple(r) for r in Q.q_model_diversity(spark, lineitem).collect()] == [(3, False, False)]
+
+
+def test_the_gate_comes_of_all_training_rows(spark, lineitem, learned):
+    assert learned("forest") == TRAIN
+    assert [tuple(r) for r in Q.q_model_gate(spark, lineitem).collect()] == [(sum(VALIDATION.values()), True)]
