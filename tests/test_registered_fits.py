@@ -71,3 +71,8 @@ def test_diversity_comes_of_all_training_rows(spark, lineitem, learned):
 def test_the_gate_comes_of_all_training_rows(spark, lineitem, learned):
     assert learned("forest") == TRAIN
     assert [tuple(r) for r in Q.q_model_gate(spark, lineitem).collect()] == [(sum(VALIDATION.values()), True)]
+
+
+def test_importances_come_of_all_training_rows(spark, lineitem, learned):
+    assert learned("forest") == TRAIN
+    assert [tuple(r) for r in Q.q_model_importances(spark, lineitem).collect()] == [(4, True, True)]
