@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
+from tidewatch.operators import boosting as B
 from tidewatch.operators import model as MD
 from tidewatch.plans import models as Q
 
@@ -76,3 +78,11 @@ def test_the_gate_comes_of_all_training_rows(spark, lineitem, learned):
 def test_importances_come_of_all_training_rows(spark, lineitem, learned):
     assert learned("forest") == TRAIN
     assert [tuple(r) for r in Q.q_model_importances(spark, lineitem).collect()] == [(4, True, True)]
+
+
+def test_softmax_accuracy_comes_of_all_training_rows_in_every_round(spark, lineitem, learned):
+    assert learned("softmax") == learned("forest") == TRAIN
+    model = Q.lineitem_model(spark, lineitem, "softmax")[0].pipeline.stages[1]
+    rows = np.arange(10_000)
+    assert all(B._kept(rows, k, model.boost).all() for k in range(len(model.history)))
+    assert [tuple(r) for r in Q.q_softmax_accuracy(spark, lineitem).collect()] == [(sum(TEST.values()), True, True)]
