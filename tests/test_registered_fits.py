@@ -86,3 +86,13 @@ def test_softmax_accuracy_comes_of_all_training_rows_in_every_round(spark, linei
     rows = np.arange(10_000)
     assert all(B._kept(rows, k, model.boost).all() for k in range(len(model.history)))
     assert [tuple(r) for r in Q.q_softmax_accuracy(spark, lineitem).collect()] == [(sum(TEST.values()), True, True)]
+
+
+def test_history_has_every_round(spark, lineitem, duck):
+    """A row for the start and one after each round, as in the SQL."""
+    rows = sorted(tuple(r) for r in Q.q_softmax_history(spark, lineitem).collect())
+    counts = (sum(TRAIN.values()), sum(VALIDATION.values()))
+    assert rows == [(k, *counts, True, True) for k in range(Q.FITS["softmax"]["rounds"] + 1)]
+    mine = duck.cursor()
+    mine.execute(f"CREATE TEMP VIEW lineitem AS SELECT * FROM read_parquet('{lineitem}/lineitem.parquet/*.parquet')")
+    assert rows == sorted(mine.execute(Q.ORACLE["softmax_history"]).fetchall())
